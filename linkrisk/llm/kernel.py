@@ -125,25 +125,30 @@ class Words:
 
     def hashes(self, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        out = np.empty(len(self.start), U64)
-        at, n = 0, len(self.start)
-        while at < n:
-            origin = self.start[at]
-            to = max(at + 1, int(np.searchsorted(self.end, origin + PIECE, "right")))
-            stop = self.end[to - 1]
-            power, inverse = _power_table(seed, int(stop - origin) + 1)
-            sums = np.zeros(stop - origin + 1, U64)
-            np.cumsum((self.data[origin:stop].astype(U64) + U64(1)) * power[: stop - origin], out=sums[1:])
-            s, e = self.start[at:to] - origin, self.end[at:to] - origin
-            out[at:to] = (sums[e] - sums[s]) * inverse[s]
-            at = to
-        return mix(out ^ ((self.end - self.start).astype(U64) << U64(40)))
+        return span_hashes(self.data, self.start, self.end, seed)
 
     def room(self) -> np.ndarray:
         """For each word: how many words its row has from here on, itself included."""
         return np.repeat(self.first[1:], self.counts) - np.arange(len(self.start))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; spans in order, none inside another."""
+    out = np.empty(len(start), U64)
+    at, n = 0, len(start)
+    while at < n:
+        origin = start[at]
+        to = max(at + 1, int(np.searchsorted(end, origin + PIECE, "right")))
+        stop = end[to - 1]
+        power, inverse = _power_table(seed, int(stop - origin) + 1)
+        sums = np.zeros(stop - origin + 1, U64)
+        np.cumsum((data[origin:stop].astype(U64) + U64(1)) * power[: stop - origin], out=sums[1:])
+        s, e = start[at:to] - origin, end[at:to] - origin
+        out[at:to] = (sums[e] - sums[s]) * inverse[s]
+        at = to
+    return mix(out ^ ((end - start).astype(U64) << U64(40)))
+
+
 def window_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """Hash of each run of k values; windows over the end are left out.
 

@@ -26,6 +26,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import STRICT, near_groups
+
+    groups = near_groups(_read(spark, sf_dir, "documents"), STRICT)
+    # hex() of a long is its two's complement without leading zeros
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -35,6 +43,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_simhash": op5_simhash,
     "op8_mixing": op8_mixing,
 }
 
