@@ -40,11 +40,32 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, most=2.0)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import labelled, remainder, score, train
+
+    docs = _read(spark, sf_dir, "documents")
+    out = remainder(F.col("doc_id"), 5) == 0
+    machine = train(labelled(docs, _read(spark, sf_dir, "labels")).where(~out))
+    return score(docs.select("doc_id", "text"), machine, carry=["doc_id"]).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify, train
+    from .toxicity import remainder
+
+    docs = _read(spark, sf_dir, "documents")
+    out = remainder(F.col("doc_id"), 4) == 2
+    trees = train(docs.where(~out))
+    return identify(docs.select("doc_id", "text"), trees, carry=["doc_id"]).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash": op5_simhash,
+    "op6_toxicity": op6_toxicity,
     "op8_mixing": op8_mixing,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
