@@ -34,6 +34,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_store import new_store, read_tokens, write_tokens
+
+    path = new_store(spark)
+    write_tokens(_read(spark, sf_dir, "documents"), path, end_id=2)
+    return read_tokens(spark, path, ids=False)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -64,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
+    "op7_token_store": op7_token_store,
     "op8_mixing": op8_mixing,
     "op10_language_id": op10_language_id,
 }
