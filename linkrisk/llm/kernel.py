@@ -197,6 +197,21 @@ def extended(df: DataFrame, text: str, fields: Sequence[T.StructField], make: Ca
     return df.mapInArrow(run, schema)
 
 
+#: Names of the columns of :func:`row_key`.
+KEY = ["none", "id", "body"]
+
+
+def row_key(id_col: str, text: str) -> list:
+    """Never-null columns that name a row by content, in the order null id last, id, hash of the text.
+
+    Unlike a row number they are the same each time a table is read.  Rows of
+    equal id and text share them.
+    """
+    own = F.col(f"`{id_col}`")
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return [own.isNull().alias("none"), F.coalesce(own.cast("long"), F.lit(0).cast("long")).alias("id"), F.xxhash64(body).alias("body")]
+
+
 def shared_dir(spark) -> str:
     """The folder that all executors and the driver share.
 

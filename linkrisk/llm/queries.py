@@ -73,6 +73,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs.select("doc_id", "text"), machine, carry=["doc_id"]).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import without_boilerplate
+
+    kept = without_boilerplate(_read(spark, sf_dir, "documents"), sites=10)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify, train
     from .toxicity import remainder
@@ -92,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_token_store": op7_token_store,
     "op8_mixing": op8_mixing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
 
@@ -102,4 +110,18 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
+    "op9_line_dedup": r"""
+        WITH parts AS (
+          SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents
+        ), lines AS (
+          SELECT doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM parts
+        ), spread AS (
+          SELECT trim(line, ' ') AS line FROM lines WHERE trim(line, ' ') <> ''
+          GROUP BY trim(line, ' ') HAVING count(DISTINCT coalesce('=' || source, '')) >= 10
+        ), marked AS (
+          SELECT doc_id, l.line, pos, s.line IS NOT NULL AS gone FROM lines l LEFT JOIN spread s ON s.line = trim(l.line, ' ')
+        )
+        SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id""",
 }

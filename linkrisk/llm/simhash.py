@@ -16,11 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import U64, buffers, cut, extended, mix
+from .kernel import KEY, U64, buffers, cut, extended, mix, row_key
 
 #: Node pairs that are walked at a time; leaf pairs that are compared at a time.
 FRONTIER = 1 << 19
@@ -287,35 +287,39 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, plan: Plan = STRICT, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Each row's fingerprint words and component_id: the smallest id in its group, itself included.
+    """Each row's fingerprint words, component_id (the smallest id in its group) and keeper.
 
-    A null id is in its group like any other but never names it unless the
-    whole group has none.  Empty tables give no rows; repeated rows are leaves
-    of the same fingerprint.  Other columns are left out.
+    keeper names the row that stays for the group: null id last, then smallest
+    id, then least hash of its text (:func:`row_key`).  A null id is in its
+    group like any other but never names it unless the whole group has none.
+    Empty tables give no rows; repeated rows share a fingerprint.  Other columns
+    are left out.
     """
     words = [f"fp{w}" for w in range(plan.words)]
-    base = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text}`").alias("__body"))
-    prints = cut(fingerprints(base, plan, text="__body", carry=["__id"]))
-    named = prints.groupBy(*words).agg(F.min("__id").alias("__first"))
+    base = docs.select(*row_key(id_col, text), F.col(f"`{id_col}`").alias("own"), F.col(f"`{text}`").alias("text"))
+    prints = cut(fingerprints(base, plan, carry=[*KEY, "own"]))
+    named = prints.groupBy(*words).agg(F.min(F.struct(*KEY)).alias("first"))
     if plan.words == 1:
         leaves = named.withColumn("leaf", F.col("fp0"))
     else:
         leaves = cut(named.withColumn("leaf", F.monotonically_increasing_id()))
     roots = components(links(leaves, plan))
-    placed = leaves.join(roots, leaves["leaf"] == roots["node"], "left").select(*words, "__first", F.coalesce("root", "leaf").alias("__root"))
+    placed = leaves.join(roots, leaves["leaf"] == roots["node"], "left").select(*words, "first", F.coalesce("root", "leaf").alias("component"))
     # only components of two fingerprints or more need a minimum over their leaves
-    several = placed.join(roots.select(F.col("root").alias("__root")).distinct(), "__root", "left_semi").groupBy("__root").agg(F.min("__first").alias("__least"))
-    named = placed.join(several, "__root", "left").select(*words, F.coalesce("__least", "__first").alias("component_id"))
-    return prints.join(named, words).select(F.col("__id").alias(id_col), *words, "component_id")
+    several = placed.join(roots.select(F.col("root").alias("component")).distinct(), "component", "left_semi").groupBy("component").agg(F.min("first").alias("least"))
+    # a table of its own, so that a common fingerprint can be split in the join
+    keepers = cut(placed.join(several, "component", "left").select(*words, F.coalesce("least", "first").alias("keeper")))
+    out = prints.join(keepers, words)
+    return out.select(F.col("own").alias(id_col), *words, F.when(~F.col("keeper.none"), F.col("keeper.id")).alias("component_id"), "keeper")
 
 
 def deduplicated(docs: DataFrame, plan: Plan = SIMILAR, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each near-duplicate group; columns as before.
 
-    The row whose id names the group stays.  Rows with the same id and the same
-    fingerprint are repeats: one of them stays.
+    The group's keeper stays; of rows repeated with its id and text, one.
     """
-    groups = near_groups(docs, plan, text=text, id_col=id_col)
-    stays = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    kept = docs.join(stays, docs[f"`{id_col}`"].eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    names = docs.columns
+    stays = cut(near_groups(docs, plan, text=text, id_col=id_col).select("keeper.*").distinct())
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], *row_key(id_col, text))
+    kept = rows.join(stays, KEY, "left_semi").withColumn("copy", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(0))))
+    return kept.where("copy = 1").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

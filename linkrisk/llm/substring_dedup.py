@@ -20,16 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import NON_SPACE, U64, Words, buffers, cut, pieces, release, window_hashes
+from .kernel import KEY, NON_SPACE, U64, Words, buffers, cut, pieces, release, row_key, window_hashes
 
 #: Words of a window, words of a minimizer.
 K, M = 20, 10
 #: Minimizers that are counted together before they leave a task.
 FLUSH = 1 << 20
 
-KEY = ["none", "id", "body"]
-
-
 def _minimizers(words: Words, hashes: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(minimizer, first window, windows) of each run of windows whose leftmost minimizer is at one place.
 
@@ -69,8 +66,7 @@ def _edges(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _keyed(docs: DataFrame, text: str, id_col: str, carry: list[str]) -> DataFrame:
     """Documents by (null id last, id, hash of the text), the order of sources."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    own = F.col(f"`{id_col}`")
-    return docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)], own.isNull().alias("none"), F.coalesce(own.cast("long"), F.lit(0)).alias("id"), F.xxhash64(body).alias("body"), body.alias("text"))
+    return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], *row_key(id_col, text), body.alias("text"))
 
 
 def _spans(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
