@@ -217,10 +217,15 @@ def upsert(sources: DataFrame, specs: DataFrame, now: Column, *, update_existing
     given = F.coalesce("__given", F.lit(False)) & (F.lit(update_existing) | F.col("__known").isNull())
     seed = {"state": F.lit("approved"), "origin": F.lit("manual"), "depth": F.lit(0), "enabled": F.lit(True), "discovered_from_id": F.lit(None), "added_at": F.coalesce("added_at", now) if "added_at" in sources.columns else None, "id": F.coalesce("id", F.xxhash64("url"))}
 
+    blank = {"name": F.lit(""), "note": F.lit(""), "last_status": F.lit(""), "last_error": F.lit(""), "render": F.lit(False), **{c: F.lit(0) for c in ("consecutive_failures", "found_total", "promo_score", "evaluation_failures")}, "link_domains": F.array(), "promo_reasons": F.array()}
+
     def value(c, kind):
+        old = F.col(c)
+        if c in blank:  # a new source starts from nothing, an old one keeps what it has
+            old = F.when(F.col("__known").isNull(), blank[c].cast(kind)).otherwise(old)
         if c in own:
-            return F.when(given, F.coalesce(F.col(f"__{c}"), seed.get(c) if seed.get(c) is not None else F.col(c))).otherwise(F.col(c)).cast(kind)
-        return F.when(given, seed[c].cast(kind)).otherwise(F.col(c)) if seed.get(c) is not None else F.col(c)
+            return F.when(given, F.coalesce(F.col(f"__{c}"), seed.get(c) if seed.get(c) is not None else old)).otherwise(old).cast(kind)
+        return F.when(given, seed[c].cast(kind)).otherwise(old) if seed.get(c) is not None else old
 
     return both.select(*[value(c, t).alias(c) for c, t in sources.dtypes])
 

@@ -76,11 +76,11 @@ def merge_sites(old: DataFrame, sightings: DataFrame) -> DataFrame:
     ties.  Keywords, reasons and language are the last that are not empty; title
     and redirect_from the first.  Old rows come before all sightings.
     sightings: url, base_score, category, category_label, matched_keywords,
-    reasons, title, redirect_from, language, seen_at, ord (unique long).
+    reasons, title, redirect_from, language, seen_at, ord (unique, of any type that has an order).
     """
     columns = ["url", "base_score", "category", "category_label", "matched_keywords", "reasons", "title", "redirect_from", "language"]
-    before = old.select(*columns, F.lit(-1).cast("long").alias("ord"), F.col("first_seen_at").alias("first"), F.col("last_seen_at").alias("last"), F.col("seen_count").alias("n"))
-    after = sightings.select(*columns, "ord", F.col("seen_at").alias("first"), F.col("seen_at").alias("last"), F.lit(1).cast("long").alias("n"))
+    before = old.select(*columns, F.struct(F.lit(False).alias("new"), F.lit(None).cast(sightings.schema["ord"].dataType).alias("at")).alias("ord"), F.col("first_seen_at").alias("first"), F.col("last_seen_at").alias("last"), F.col("seen_count").alias("n"))
+    after = sightings.select(*columns, F.struct(F.lit(True).alias("new"), F.col("ord").alias("at")).alias("ord"), F.col("seen_at").alias("first"), F.col("seen_at").alias("last"), F.lit(1).cast("long").alias("n"))
     rows = before.unionByName(after)
     empty = {c: F.size(c) == 0 if kind.startswith("array") else F.col(c) == "" for c, kind in rows.dtypes}
     last = lambda c: F.max_by(c, F.when(~empty[c], F.col("ord")))
@@ -96,7 +96,6 @@ def merge_sites(old: DataFrame, sightings: DataFrame) -> DataFrame:
         F.min("first").alias("first_seen_at"),
         F.max("last").alias("last_seen_at"),
         F.sum("n").cast("long").alias("seen_count"),
-        F.min("ord").alias("first_ord"),
     )
 
 

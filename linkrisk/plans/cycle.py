@@ -49,12 +49,17 @@ def findings(state: State, pages: DataFrame, cfg: Config, redirects: DataFrame |
 
 
 def crawl(state: State, pages: DataFrame, rules: Rules, cfg: Config, now: Column, *, redirects=None, verdicts=None, pagination=()) -> tuple[State, dict[str, DataFrame]]:
-    """State after a cycle, and its parts: findings, accepted links, candidates and counts."""
-    found = findings(state, pages, cfg, redirects, pagination)
+    """State after a cycle, and its parts: findings, accepted links, candidates and counts.
+
+    Shared steps are persisted (memory, then disk); the caller commits the
+    state and may then clear them.
+    """
+    found = findings(state, pages, cfg, redirects, pagination).persist()
     once = site_ops.first_per_url(found)
     judged = scoring.with_verdict(once, F.col("url"), F.col("anchor_text"), F.col("context_text"), rules).select("*", F.col("v.score").alias("score"), "v.category", F.col("v.label").alias("category_label"), "v.matched_keywords", "v.reasons", "v.excluded", "v.always_keep").drop("v")
-    ordered = judged.withColumn("ord", F.col("source_id") * F.lit(1 << 40) + F.col("page_ord") * F.lit(1 << 20) + F.col("link_ord"))
-    candidates = frontier.consider(ordered, state.sources, rules, max_depth=cfg.max_depth, per_cycle=cfg.candidates_per_cycle, total=cfg.total_sources)
+    # pages are parsed and scored once; sites, observations, candidates and counts all read from here
+    ordered = judged.withColumn("ord", F.struct("source_id", "page_ord", "link_ord")).persist()
+    candidates = frontier.consider(ordered, state.sources, rules, max_depth=cfg.max_depth, per_cycle=cfg.candidates_per_cycle, total=cfg.total_sources).persist()
     worth = ordered.where(~F.col("excluded") & ((F.col("score") >= rules.candidate) | F.col("always_keep")))
     name = urls.host_of(F.col("url"))
     worth = worth.withColumn("host", name).withColumn("domain", urls.domain_of(name)).withColumn("tld", urls.tld_of(name))
@@ -69,8 +74,9 @@ def crawl(state: State, pages: DataFrame, rules: Rules, cfg: Config, now: Column
     else:
         accepted, languages = worth.withColumn("language", F.lit("")), state.domain_language
 
+    accepted = accepted.persist()
     sightings = accepted.select("url", F.col("score").alias("base_score"), "category", "category_label", "matched_keywords", "reasons", F.lit("").alias("title"), F.col("via").alias("redirect_from"), "language", now.alias("seen_at"), "ord")
-    merged = site_ops.merge_sites(state.sites, sightings).drop("first_ord")
+    merged = site_ops.merge_sites(state.sites, sightings).persist()
     host = urls.host_of(F.col("url"))
     kept = state.sites.select("url", "id", "alive", "http_status", "last_checked_at", "status", "memo")
     whole = merged.join(kept, "url", "left").withColumn("id", F.coalesce("id", F.xxhash64("url"))).withColumn("status", F.coalesce("status", F.lit("new"))).withColumn("memo", F.coalesce("memo", F.lit(""))).withColumn("host", host).withColumn("domain", urls.domain_of(host))
@@ -107,12 +113,12 @@ def evaluate(state: State, pages: DataFrame, rules: Rules, cfg: Config, now: Col
     at_hand = row.join(good(pages).select("url", "html"), "url")
     read = html.extract_links(at_hand).select("id", F.explode("links").alias("l")).select("id", "l.url", "l.banner")
     signals = at_hand.withColumn("s", html.page_signals("html")).select("id", "url", "place", "s.*")
-    scored = frontier.promotion_scores(frontier.page_features(read, signals, state.sites, rules), rules)
+    scored = frontier.promotion_scores(frontier.page_features(read, signals, state.sites, rules), rules).persist()
     # at most evaluations_per_cycle rows
     from pyspark.sql import Window
 
     placed = scored.join(signals.select("id", "place", F.col("title").alias("name")), "id").withColumn("pos", F.row_number().over(Window.orderBy("place"))).drop("place")
-    decided = frontier.decide(placed, frontier.mirrors(placed, state.sources, cfg.mirror_similarity), queue=cfg.queue_score, auto=cfg.approve_score, auto_approve=cfg.auto_approve, approvals=cfg.approvals_per_cycle)
+    decided = frontier.decide(placed, frontier.mirrors(placed, state.sources, cfg.mirror_similarity), queue=cfg.queue_score, auto=cfg.approve_score, auto_approve=cfg.auto_approve, approvals=cfg.approvals_per_cycle).persist()
     failed = row.join(good(pages).select("url"), "url", "left_anti")
     sources = frontier.record_failures(frontier.record_evaluations(state.sources, decided, now), failed, 3, now)
     approved = decided.where(F.col("state") == "approved").join(row.select("id", "url"), "id").select(urls.domain_of(urls.host_of(F.col("url"))).alias("domain"))
