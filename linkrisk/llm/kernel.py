@@ -250,11 +250,18 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def release(spark) -> None:
-    """Lets Spark's cleaner drop shuffle files of finished, unreachable plans."""
+    """Lets Spark's cleaner drop shuffle files of finished, unreachable plans.
+
+    Python's references go first, then the JVM's; the cleaner works on what the
+    second round finds unreachable.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def forget(spark, path: str) -> None:

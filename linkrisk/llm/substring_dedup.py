@@ -82,21 +82,8 @@ def _expand(first: np.ndarray, starts: np.ndarray, lengths: np.ndarray, counts:
     return np.repeat(base - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
-def without_repeats(docs: DataFrame, *, k: int = K, m: int = M, text: str = "text", id_col: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns (the id by default) with n_words, n_removed, kept_text and removed.
-
-    A word goes if a window of k words over it also starts earlier: in a
-    document of smaller id, or further left in the same one.  Windows are judged
-    on the input.  A null id comes last.  Rows of one id and one text are one
-    document, and each gets its result; rows of one id and different texts stand
-    in the order of a hash.  Null and empty texts have no words.  kept_text:
-    the kept words joined by one space; removed: runs (start, words) of removed
-    words.
-    """
-    carry = [id_col] if carry is None else carry
-    spark = docs.sparkSession
-    rows = _keyed(docs, text, id_col, carry)
-    slim = rows.select(*KEY, "text")
+def _repeated(slim: DataFrame, k: int, m: int) -> DataFrame:
+    """Minimizers that more than one run of windows has."""
 
     def count(batches):
         held, size = [], 0
@@ -116,7 +103,17 @@ def without_repeats(docs: DataFrame, *, k: int = K, m: int = M, text: str = "tex
         if size:
             yield flush()
 
-    repeated = cut(rows.select("text").mapInArrow(count, "minimizer long, n int").groupBy("minimizer").agg(F.sum("n").alias("n")).where("n > 1").select("minimizer"))
+    return cut(slim.select("text").mapInArrow(count, "minimizer long, n int").groupBy("minimizer").agg(F.sum("n").alias("n")).where("n > 1").select("minimizer"))
+
+
+def _candidates(slim: DataFrame, k: int, m: int) -> DataFrame:
+    """Of each text the runs of windows whose minimizer repeats: KEY, place, starts, lengths.
+
+    place is a number that orders texts as KEY does; as the table is written
+    once, it is the same for all that read it.
+    """
+    repeated = _repeated(slim, k, m)
+    release(slim.sparkSession)
 
     def stretches(batches):
         for batch in batches:
@@ -131,14 +128,33 @@ def without_repeats(docs: DataFrame, *, k: int = K, m: int = M, text: str = "tex
                 )
 
     found = slim.mapInArrow(stretches, "minimizer long, none boolean, id long, body long, start int, n int").join(repeated, "minimizer", "left_semi")
-    runs = cut(found.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("runs")).select(*KEY, F.col("runs.start").alias("starts"), F.col("runs.n").alias("lengths")))
+    grouped = found.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("runs"))
+    ordered = grouped.repartitionByRange(*KEY).sortWithinPartitions(*KEY)
+    return cut(ordered.select(*KEY, F.monotonically_increasing_id().alias("place"), F.col("runs.start").alias("starts"), F.col("runs.n").alias("lengths")))
+
+
+def without_repeats(docs: DataFrame, *, k: int = K, m: int = M, text: str = "text", id_col: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """``carry`` columns (the id by default) with n_words, n_removed, kept_text and removed.
+
+    A word goes if a window of k words over it also starts earlier: in a
+    document of smaller id, or further left in the same one.  Windows are judged
+    on the input.  A null id comes last.  Rows of one id and one text are one
+    document, and each gets its result; rows of one id and different texts stand
+    in the order of a hash.  Null and empty texts have no words.  kept_text:
+    the kept words joined by one space; removed: runs (start, words) of removed
+    words.
+    """
+    carry = [id_col] if carry is None else carry
+    spark = docs.sparkSession
+    slim = docs.select(*row_key(id_col, text), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    runs = _candidates(slim, k, m)
     release(spark)
 
     def edges(batches):
-        names = ["first", "second", *KEY, "start"]
+        names = ["first", "second", "place", "start"]
         for batch in batches:
             for piece in pieces(batch, "text"):
-                words = Words(piece.column(3), NON_SPACE)
+                words = Words(piece.column(1), NON_SPACE)
                 starts, counts = _spans(piece, "starts")
                 lengths, _ = _spans(piece, "lengths")
                 at = _expand(words.first[:-1], starts, lengths, counts)
@@ -153,17 +169,23 @@ def without_repeats(docs: DataFrame, *, k: int = K, m: int = M, text: str = "tex
                 at, row = at[keep], row[keep]
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(first[at].view(np.int64)), pa.array(second[at].astype(np.uint32).view(np.int32)), *[piece.column(c).take(take) for c in range(3)], pa.array((at - words.first[row]).astype(np.int32))], names=names
+                    [pa.array(first[at].view(np.int64)), pa.array(second[at].astype(np.uint32).view(np.int32)), piece.column(0).take(take), pa.array((at - words.first[row]).astype(np.int32))], names=names
                 )
 
-    texts = slim.join(runs, KEY).select(*KEY, "text", "starts", "lengths").dropDuplicates(KEY)
-    edge = texts.mapInArrow(edges, "first long, second int, none boolean, id long, body long, start int")
-    source = edge.groupBy("first", "second").agg(F.min(F.struct(*KEY, "start")).alias("s")).select("s.*")
+    texts = slim.join(runs, KEY).select("place", "text", "starts", "lengths")
+    edge = texts.mapInArrow(edges, "first long, second int, place long, start int")
+    source = edge.groupBy("first", "second").agg(F.min(F.struct("place", "start")).alias("s")).select("s.*")
     # edges whose sources stand side by side are one path
-    paths = source.groupBy(*KEY).agg(F.sort_array(F.collect_list("start")).alias("sources"))
+    paths = source.groupBy("place").agg(F.sort_array(F.collect_list("start")).alias("sources"))
+    found = runs.join(paths, "place", "left").drop("place")
 
     names = [f"c{i}" for i in range(len(carry))]
-    joined = rows.join(runs, KEY, "left").join(paths, KEY, "left").select(*names, "text", "starts", "lengths", "sources")
+    if carry == [id_col]:  # the key holds it, so that texts are dealt out once for both steps
+        kind = docs.schema[id_col].dataType
+        rows, given = slim, [F.when(~F.col("none"), F.col("id")).cast(kind).alias("c0")]
+    else:
+        rows, given = _keyed(docs, text, id_col, carry), [F.col(c) for c in names]
+    joined = rows.join(found, KEY, "left").select(*given, "text", "starts", "lengths", "sources")
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("words", T.IntegerType())])
     out = T.StructType([*joined.select(*names).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed", T.ArrayType(span))])
 
