@@ -1,7 +1,8 @@
 """Exact dedup: group by a 128-bit content hash, compare bytes, keep one row.
 
-Native DataFrame operations only.  Texts cross the network only where a hash
-is shared by two rows or more, and there copies collapse before the shuffle.
+Native DataFrame operations only.  Rows are grouped by hash without their
+texts; the texts are dealt out by hash once more, to be compared inside the
+groups of two rows or more.
 """
 
 from __future__ import annotations
