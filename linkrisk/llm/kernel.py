@@ -172,6 +172,17 @@ def window_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix(total)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, so that a reused worker does not carry one step's peak into the next."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def extended(df: DataFrame, text: str, fields: Sequence[T.StructField], make: Callable[[], Callable], carry: Sequence[str] | None = None, limit: int = PIECE) -> DataFrame:
     """``df`` (its columns in ``carry``, or all) with columns computed per row.
 
@@ -193,6 +204,7 @@ def extended(df: DataFrame, text: str, fields: Sequence[T.StructField], make: Ca
             for piece in pieces(batch, "__text", limit):
                 cols = [piece.column(i) for i in range(len(names))] + list(fn(piece.column(piece.schema.get_field_index("__text"))))
                 yield pa.RecordBatch.from_arrays(cols, names=out_names)
+        trim()
 
     return df.mapInArrow(run, schema)
 

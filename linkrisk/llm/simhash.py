@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import KEY, U64, buffers, cut, extended, mix, row_key
+from .kernel import KEY, U64, buffers, cut, extended, mix, row_key, trim
 
 #: Node pairs that are walked at a time; leaf pairs that are compared at a time.
-FRONTIER = 1 << 19
+FRONTIER = 1 << 17
 #: Node pairs with at most so many leaf pairs are compared leaf by leaf.
 LEAF_PAIRS = 24
 
@@ -234,7 +234,7 @@ def links(leaves: DataFrame, plan: Plan) -> DataFrame:
     rows = leaves.select("leaf", *words, F.explode(F.array(*made)).alias("v")).select("leaf", *words, "v.view", "v.key", "v.head")
     # unsigned order of the keys: the sign bit turned
     rows = rows.repartition("view", "head").sortWithinPartitions("view", "head", F.col("key").bitwiseXOR(F.lit(-(1 << 63))) if size == 64 else "key")
-    limit = 1 << 18
+    limit = 1 << 16
 
     def run(batches):
         held: list[pa.Table] = []
@@ -253,6 +253,7 @@ def links(leaves: DataFrame, plan: Plan) -> DataFrame:
                 held, rows_held = [table], table.num_rows
         if rows_held:
             yield _forest(plan, pa.concat_tables(held).combine_chunks())
+        trim()
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 

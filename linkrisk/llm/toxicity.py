@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import ALNUM, LOWER, U64, Words, extended, lists, span_hashes
+from .kernel import ALNUM, LOWER, PIECE, U64, Words, extended, lists, span_hashes
 
 #: Hash bins, length of a term's vector.
 BITS, FACTORS = 18, 8
@@ -37,7 +37,9 @@ def terms(column) -> tuple[np.ndarray, np.ndarray]:
         start = words.start[long]
         h = span_hashes(words.data, start, start + n, seed=1)
         codes.append((row[long] << U64(BITS)) | (h >> U64(64 - BITS)))
-    found = np.unique(np.concatenate(codes))
+    found = np.concatenate(codes)
+    found.sort()
+    found = found[np.r_[True, found[1:] != found[:-1]]] if len(found) else found
     return (found >> U64(BITS)).astype(np.int64), (found & U64((1 << BITS) - 1)).astype(np.int64)
 
 
@@ -129,7 +131,7 @@ def train(docs: DataFrame, *, text: str = "text", label: str = "toxic", id_col:
 
         return run
 
-    made = extended(rows.withColumn("__key", key), "__text", [T.StructField("__bins", T.ArrayType(T.IntegerType()))], make, ["__label", "__key"])
+    made = extended(rows.withColumn("__key", key), "__text", [T.StructField("__bins", T.ArrayType(T.IntegerType()))], make, ["__label", "__key"], limit=PIECE // 4)
     table = made.orderBy("__key").limit(sample_rows).toArrow()
     bins = table.column("__bins").combine_chunks()
     if isinstance(bins, pa.ChunkedArray):
@@ -155,7 +157,7 @@ def score(docs: DataFrame, machine: Machine, *, text: str = "text", carry: list[
 
         return run
 
-    return extended(docs, text, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], make, carry)
+    return extended(docs, text, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], make, carry, limit=PIECE // 4)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label: str = "toxic") -> DataFrame:
