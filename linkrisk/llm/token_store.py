@@ -24,17 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import U64, extended, forget, lists, release, shared_dir, stored
+from .kernel import PIECE, U64, buffers, extended, forget, lists, release, shared_dir, span_hashes, stored, trim
 
 #: Tokens of a block, states of a block, tokens at which a segment is closed.
 BLOCK, LANES, SEGMENT = 8192, 32, 1 << 19
 #: Bits of the frequency scale; lowest state; bits that a state sends out at a time.
 SCALE, LOWEST, WORD = 20, 1 << 31, 32
-#: Distinct pieces of text whose ids a worker keeps.
-CACHE = 400_000
-
-#: White space of the tokenizer's pattern (Unicode White_Space), fixed values.
-_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Distinct pieces of text whose ids a worker keeps, in each of two generations.
+CACHE = 200_000
 
 
 def tokenizer_path() -> str:
@@ -46,9 +43,11 @@ def tokenizer_path() -> str:
 class Encoder:
     """Texts to ids by the tokenizers library, remembering the ids of repeated pieces.
 
-    A piece is a run of white space and the run of other characters after it.
-    The tokenizer's pattern always parts text before white space that follows
-    another character and looks no further back, so pieces are encoded alone.
+    A piece runs from white space that follows another character to the next
+    such place.  The tokenizer's pattern always parts text there and looks no
+    further back, so pieces are encoded alone, and each distinct piece of a batch
+    once.  A new piece of common letters is parted further, just as the pattern
+    does, so that a word is encoded once whatever punctuation follows it.
     """
 
     def __init__(self, path: str):
@@ -62,30 +61,94 @@ class Encoder:
         step = spec.get("pre_tokenizer") or {}
         # pieces may be cut only where the tokenizer is known to part text itself
         self.by_piece = step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space") and spec.get("normalizer") is None and spec.get("post_processor") is None
-        self.specials = [t["content"] for t in spec.get("added_tokens", [])]
+        self.specials = [t["content"].encode() for t in spec.get("added_tokens", [])]
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.pattern = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-        self.known: dict[str, bytes] = {}
+        # Latin text up to U+024F: letters there are the same in every version of Unicode
+        self.common = re.compile("[\\t-\\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+        self.parts = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[^\\W\\d_]+| ?[0-9]+| ?(?:[^\\s\\w]|_)+|\\s+(?!\\S)|\\s+")
+        self.known, self.before = {}, {}
+        self.words: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not self.by_piece or any(s in text for s in self.specials):
-            return self._whole([text])[0]
-        found = self.pattern.findall(text)
-        known = self.known
-        try:
-            return b"".join([known[p] for p in found])
-        except KeyError:
-            new = list({p for p in found if p not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(set(found))
-        known.update(zip(new, self._whole(new)))
-        return b"".join([known[p] for p in found])
+    def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each)."""
+        data, offsets = buffers(column)
+        blob = data.tobytes()
+        if not self.by_piece or any(x in blob for x in self.specials):
+            made = self._whole([blob[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
+            return np.frombuffer(b"".join(made), "<u4"), np.array([len(x) // 4 for x in made], np.int64)
+        start = self._edges(data, offsets)
+        end = np.append(start[1:], len(data))
+        h = span_hashes(data, start, end)
+        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        check = span_hashes(data, start, end, 1)
+        if (check[first][inverse] != check).any():  # two pieces share a hash: every piece is a kind of its own
+            first = inverse = np.arange(len(start))
+        pieces_ = [blob[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
+        ids = self._ids(pieces_)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        at = np.cumsum(size) - size
+        # ids of each piece in the order of the text
+        n = size[inverse]
+        total = np.concatenate([[0], np.cumsum(n)])
+        out = flat[np.repeat(at[inverse] - total[:-1], n) + np.arange(total[-1])]
+        per_row = total[np.searchsorted(start, offsets)]
+        return out, np.diff(per_row)
+
+    @staticmethod
+    def _edges(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces begin: at texts, and at ASCII white space after a character that surely is none."""
+        white = (data == 32) | ((data >= 9) & (data <= 13))
+        at = np.flatnonzero(white[1:] & ~white[:-1]) + 1 if len(data) else np.empty(0, np.int64)
+        b1, b2, b3 = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+        two = (b2 >= 0xC3) & (b2 <= 0xDF)
+        three = (b2 >= 0x80) & (b2 < 0xC0) & ((b3 == 0xE0) | ((b3 >= 0xE3) & (b3 <= 0xEF))) & ~((b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x80))
+        four = (b2 >= 0x80) & (b2 < 0xC0) & (b3 >= 0x80) & (b3 < 0xC0)
+        sure = ((b1 > 0x20) & (b1 < 0x7F)) | ((b1 >= 0x80) & (two | three | four))
+        begins = np.zeros(len(data), bool)
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        begins[at[sure]] = True
+        return np.flatnonzero(begins)
+
+    def _ids(self, pieces_: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces; what was not asked for during a generation is forgotten."""
+        if len(self.known) > CACHE:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        out = [known.get(p) for p in pieces_]
+        new = []
+        for i, x in enumerate(out):
+            if x is None:
+                x = before.get(pieces_[i])
+                if x is None:
+                    new.append(i)
+                else:
+                    out[i] = known[pieces_[i]] = x
+        texts = [pieces_[i].decode() for i in new]
+        parted = [self.parts.findall(t) if self.common.fullmatch(t) else [t] for t in texts]
+        words = self.words
+        unseen = list({w for ws in parted for w in ws if w not in words})
+        if len(words) + len(unseen) > 2 * CACHE:
+            words.clear()
+            unseen = list({w for ws in parted for w in ws})
+        words.update(zip(unseen, self._whole(unseen)))
+        for i, ws in zip(new, parted):
+            out[i] = known[pieces_[i]] = b"".join([words[w] for w in ws])
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder; what it knows serves all tasks that the worker runs."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -124,6 +187,7 @@ class Coder:
         if not blocks:
             return b"", [], []
         steps = BLOCK // LANES
+        freq, first = np.append(self.freq, U64(1 << SCALE)), np.append(self.first, U64(0))
         grid = np.full(blocks * BLOCK, -1, np.int64)
         grid[: len(ids)] = ids
         grid = grid.reshape(blocks, steps, LANES)
@@ -132,17 +196,14 @@ class Coder:
         out = np.zeros((steps, blocks, LANES), bool)
         for t in range(steps - 1, -1, -1):
             symbol = grid[:, t]
-            real = symbol >= 0
-            if not real.any():
-                continue
-            f = np.where(real, self.freq[symbol], U64(1 << SCALE))
-            c = np.where(real, self.first[symbol], U64(0))
-            full = real & (state >= (f << U64(63 - SCALE)))
-            sent[t][full] = (state[full] & U64(0xFFFFFFFF)).astype(np.uint32)
+            f, c = freq[symbol], first[symbol]  # -1 (no token) finds the whole scale, which leaves a state as it is
+            full = state >= (f << U64(63 - SCALE))
+            full &= symbol >= 0
+            sent[t] = state  # the low 32 bits
             out[t] = full
             state = np.where(full, state >> U64(WORD), state)
             quotient = state // f
-            state = np.where(real, (quotient << U64(SCALE)) + (state - quotient * f) + c, state)
+            state = (quotient << U64(SCALE)) + (state - quotient * f) + c
         payload, checkpoints, checksums, at = [], [], [], 0
         for b in range(blocks):
             checkpoints.append(at)
@@ -208,18 +269,22 @@ def _tokenized(docs: DataFrame, text: str, id_col: str, path: str, end_id: int |
     """id and ids (packed: two bytes each, or four for a vocabulary over 65536), sorted by id within range partitions."""
 
     def make() -> Callable:
-        encoder = Encoder(path)
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        encoder = encoder_of(path)
         kind = "<u2" if max(encoder.size - 1, end_id or 0) < 1 << 16 else "<u4"
 
         def run(column):
-            return [pa.array([np.frombuffer(encoder.encode(t or "") + end, "<u4").astype(kind).tobytes() for t in column.to_pylist()], pa.binary())]
+            ids, counts = encoder.encode(column)
+            if end_id is not None:
+                ids = np.insert(ids, np.cumsum(counts), end_id)
+                counts = counts + 1
+            blob, edges = ids.astype(kind).tobytes(), np.concatenate([[0], np.cumsum(counts)]) * np.dtype(kind).itemsize
+            return [pa.array([blob[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())], pa.binary())]
 
         return run
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     ordered = rows.repartitionByRange(F.col("id").asc_nulls_first(), F.xxhash64("text").asc()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text").asc(), "text")
-    made = extended(ordered, "text", [T.StructField("ids", T.BinaryType())], make, ["id"], limit=1 << 18)
+    made = extended(ordered, "text", [T.StructField("ids", T.BinaryType())], make, ["id"], limit=PIECE // 2)
     return made.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "id", "ids")
 
 
@@ -242,8 +307,8 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, en
     def count(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, kind), minlength=size)
+            for a in range(0, batch.num_rows, 256):
+                total += np.bincount(np.frombuffer(b"".join(batch.column(0).slice(a, 256).to_pylist()), kind), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["token", "n"])
 
@@ -276,6 +341,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, en
                 tokens_held += len(row[3]) // width
         if held:
             yield close()
+        trim()
 
     tokens.mapInArrow(encode, SEGMENTS).write.parquet(f"{path}/segments")
     forget(spark, at)

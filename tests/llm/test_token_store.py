@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,8 +51,22 @@ def texts():
 
 def test_pieces_encode_as_whole_texts():
     encoder = ts.Encoder(ts.tokenizer_path())
-    for t in texts():
-        assert encoder.encode(t or "") == encoder._whole([t or ""])[0], repr(t)
+    rows = texts()
+    clean = [t for t in rows if t is None or "<|endoftext|>" not in t]
+    for group in (rows, clean, *[[t] for t in rows], [], [""]):
+        ids, counts = encoder.encode(pa.array(group, pa.string()))
+        made = np.split(ids, np.cumsum(counts)[:-1]) if len(group) else []
+        for t, got in zip(group, made):
+            assert got.tobytes() == encoder._whole([t or ""])[0], repr(t)
+
+
+def test_caches_may_overflow(monkeypatch):
+    monkeypatch.setattr(ts, "CACHE", 20)
+    encoder = ts.Encoder(ts.tokenizer_path())
+    rows = [t for t in texts() if t and "<|" not in t]
+    for a in range(0, len(rows), 10):
+        ids, _ = encoder.encode(pa.array(rows[a : a + 10]))
+        assert ids.tobytes() == b"".join(encoder._whole(rows[a : a + 10]))
 
 
 def test_files_round_trip(spark, tmp_path):
