@@ -1,15 +1,20 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring with a weighted backoff automaton and distributed n-grams.
 
-Unigram counts are exact and cover the whole vocabulary, however large: they
-stay distributed, and texts meet the counts of their rarer words in a join.
-Longer n-grams get an arc where their share of the training tokens reaches
-``share``.  No more than 1/share n-grams of any order can do so, whatever the size
-of the corpus, which bounds the automaton that is sent to the executors.
+Unigram counts are exact and cover the whole vocabulary.  Longer n-grams are kept
+from ``LEAST`` occurrences on, whatever the size of the corpus.  All of them stay
+distributed; the most frequent, of a share ``head_share`` of the tokens or more
+(never more than 1/head_share of an order), are also compiled into an automaton that
+is sent to the executors.
 
 States are the histories that have arcs; a state's failure arc leads to its
 longest proper suffix and carries the mass that interpolated absolute
 discounting leaves for it.  One traversal from left to right carries the state
 and adds up log-probabilities.
+
+A text's score is a sum over its n-grams: each kept n-gram changes the
+log-probability of its last word by a fixed amount, and that of the next word by
+the mass it leaves.  So what the automaton does not hold is looked up by hash in
+partitions of bounded size, and one number for each text comes back.
 """
 
 from __future__ import annotations
@@ -20,16 +25,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import LOWER, NON_SPACE, U64, Words, cut, pieces, stored
+from .kernel import LOWER, NON_SPACE, U64, Words, cut, mix, pieces, release, stored, trim
 
 #: Longest n-gram; share of the training tokens from which a word, or a longer n-gram, is part of the automaton.
-ORDER, WORD_SHARE, SHARE = 3, 1e-6, 1e-5
-#: No n-gram of fewer occurrences has an arc (matters for small corpora only).
+ORDER, WORD_SHARE, HEAD_SHARE = 3, 1e-6, 1e-5
+#: Longer n-grams are kept from so many occurrences on.
 LEAST = 2
 #: What absolute discounting takes from a count; what is added to each count of a single word.
 DISCOUNT, ADDED = 0.75, 0.1
 #: Tokens whose counts are put together before they leave a task.
 FLUSH = 1 << 21
+#: Tokens whose longer n-grams meet in one partition (about); bytes of text whose n-grams leave a task together.
+PART, BYTES = 1 << 19, 4 << 20
 #: The hash of the end token (a fixed value).
 END = U64(0x0E0D0E0D0E0D0E0D)
 
@@ -60,6 +67,7 @@ def word_counts(train: DataFrame) -> DataFrame:
                     held, size = [], 0
         if size:
             yield _rows(held)
+        trim()
 
     return train.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("c"))
 
@@ -82,47 +90,92 @@ class Ids:
         return np.where(self.hashes[at] == h, at, -1)
 
 
-def _gram_codes(ids: np.ndarray, first: np.ndarray, states: dict[int, np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each place where an n-gram of ``order`` could have an arc: (state of its history, last word).
+def _room(first: np.ndarray, n: int) -> np.ndarray:
+    return np.repeat(first[1:], np.diff(first)) - np.arange(n)
 
-    states[n]: sorted codes of the n-grams that may be a history of n words.
-    The number of a history is its place in that array.
-    """
-    history = ids
-    for n in range(2, order):
-        history = _extended(history, ids, first, states[n], n)
-    if len(ids) < order:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    last = ids[order - 1 :] if order > 1 else ids
-    before = history[: len(ids) - order + 1]
-    inside = _room(first, len(ids))[: len(before)] >= order
-    good = (before >= 0) & (last >= 0) & inside
-    return before[good], last[good]
 
+def _joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n-grams from those of their first and last n-1 words."""
+    return mix(a * U64(0x9E3779B97F4A7C15) + b + U64(n))
 
-def _room(first: np.ndarray, n: int) -> np.ndarray:
-    return np.repeat(first[1:], np.diff(first)) - np.arange(n)
+
+def _grams(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, hash of the first n-1 words, hash of the last n-1, place) of all n-grams inside texts."""
+    before, whole = h, h
+    for m in range(2, n + 1):
+        before, whole = whole, _joined(whole[:-1], whole[1:], m)
+    at = np.flatnonzero(_room(first, len(h))[: len(whole)] >= n)
+    return whole[at], before[at], before[at + 1], at
+
+
+def _parts(tokens: int) -> int:
+    return min(1 << 16, max(1, tokens // PART))
 
 
-def _extended(history: np.ndarray, ids: np.ndarray, first: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
-    """For each place, the number among ``codes`` of the n-gram that begins there, or -1."""
-    out = np.full(len(ids), -1, np.int64)
-    if len(ids) < n or not len(codes):
-        return out
-    before, last = history[: len(ids) - n + 1], ids[n - 1 :]
-    good = np.flatnonzero((before >= 0) & (last >= 0) & (_room(first, len(ids))[: len(before)] >= n))
-    code = (before[good] << np.int64(24)) | last[good]
-    at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-    out[good] = np.where(codes[at] == code, at, -1)
-    return out
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((hashes >> U64(48)) * U64(parts) >> U64(16)).astype(np.uint16)
+
+
+def _dealt(part: np.ndarray):
+    """(part, from, to) of each run of equal numbers."""
+    edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
+    return zip(part[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(part)])
+
+
+def _summed(h: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray):
+    by = np.argsort(h)
+    h = h[by]
+    new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+    return h[new], a[by[new]], b[by[new]], np.add.reduceat(n[by], new) if len(h) else n
+
+
+def gram_counts(train: DataFrame, n: int, least: float, tokens: int, turn: int = 0, turns: int = 1) -> DataFrame:
+    """h, a, b, c: the n-grams of at least ``least`` occurrences; a, b: hashes of their first and last n-1 words.
+
+    Of all n-grams, those whose hash leaves the remainder ``turn``: turns need less disk at a time.
+    """
+    parts = _parts(tokens // turns)
+
+    def count(batches):
+        for batch in batches:
+            for piece in pieces(batch, "text", BYTES):
+                h, first = token_hashes(piece.column(0))
+                h, a, b, _ = _grams(h, first, n)
+                if turns > 1:
+                    own = h % U64(turns) == turn
+                    h, a, b = h[own], a[own], b[own]
+                h, a, b, c = _summed(h, a, b, np.ones(len(h), np.int64))
+                rows = [(k, np.concatenate([x[i:j].view(np.uint8) for x in (a, b)]).tobytes(), c[i:j].astype("<u4").tobytes()) for k, i, j in _dealt(_part(h, parts))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "grams", "n"])
+        trim()
+
+    def add(batches):
+        held = [[], [], []]
+        for batch in batches:
+            for g, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                for to, x in zip(held, [*np.frombuffer(g, U64).reshape(2, -1), np.frombuffer(c, "<u4").astype(np.int64)]):
+                    to.append(x)
+        if held[0]:
+            a, b, c = [np.concatenate(x) for x in held]
+            held.clear()
+            h, a, b, c = _summed(_joined(a, b, n), a, b, c)
+            keep = c >= least
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[keep].view(np.int64)) for x in (h, a, b)], pa.array(c[keep])], names=["h", "a", "b", "c"])
+        trim()
+
+    return train.mapInArrow(count, "part int, grams binary, n binary").repartition(parts, "part").mapInArrow(add, "h long, a long, b long, c long")
 
 
 class Automaton:
-    """States, arcs and failure arcs, compiled on the driver from at most 1/share n-grams of each order."""
+    """States, arcs and failure arcs, compiled on the driver from at most 1/head_share n-grams of each order."""
+
+    def __init__(self, ids: Ids, counts: np.ndarray, grams: dict[int, tuple[np.ndarray, np.ndarray]], lefts: dict[int, np.ndarray], heads: dict[int, np.ndarray], tokens: int, kinds: int):
+        """counts: of the words of ids; grams[n]: (codes, counts) of the n-grams that have arcs, n from 2 on.
 
-    def __init__(self, ids: Ids, counts: np.ndarray, grams: dict[int, tuple[np.ndarray, np.ndarray]], tokens: int, kinds: int):
-        """counts: of the words of ids; grams[n]: (codes, counts) of the kept n-grams, n from 2 on."""
-        self.ids, self.tokens, self.kinds = ids, tokens, kinds
+        lefts[n]: what the kept n+1-grams, with arcs or not, leave of the mass of
+        each word (n = 1) or n-gram; heads[n]: sorted hashes of the n-grams.
+        """
+        self.ids, self.heads, self.tokens, self.kinds = ids, heads, tokens, kinds
         self.floor = tokens + ADDED * (kinds + 1)
         self.word = np.log10((counts + ADDED) / self.floor) if len(counts) else np.empty(0)
         self.unseen = float(np.log10(ADDED / self.floor))
@@ -140,8 +193,7 @@ class Automaton:
             before, last = codes >> 24, codes & ((1 << 24) - 1)
             given = history_count[n - 1][before]
             kept = np.maximum(found - DISCOUNT, 0) / np.maximum(given, 1)
-            mass = np.bincount(before, kept, len(history_count[n - 1]))
-            left[self.base[n - 1] : self.base[n - 1] + len(mass)] = np.clip(1 - mass, 1e-9, 1)
+            left[self.base[n - 1] : self.base[n]] = lefts[n - 1]
             if n == 2:
                 suffix[2] = last
                 shorter = chance[1][last]
@@ -204,70 +256,174 @@ def traverse(machine: Automaton, words: list[int]) -> float:
     return total
 
 
-def train(docs: DataFrame, *, text: str = "text", order: int = ORDER, word_share: float = WORD_SHARE, share: float = SHARE) -> tuple[DataFrame, Automaton]:
-    """(table of hash, c of all tokens; the automaton).
+def train(docs: DataFrame, *, text: str = "text", order: int = ORDER, word_share: float = WORD_SHARE, share: float = 0.0, head_share: float = HEAD_SHARE) -> tuple[dict[int, DataFrame], Automaton]:
+    """(for each n the table of all kept n-grams; the automaton of the frequent ones).
 
-    Each order is counted over all texts where the history and the last n-1
-    words are themselves kept (an n-gram is never more frequent than they are),
-    then n-grams below the share go.
+    Tables have h (hash), c, left (the share of mass that longer n-grams leave),
+    p (probability of the last word) and s (what the n-gram adds to a text's
+    score).  All words are kept, and longer n-grams of ``LEAST`` occurrences or
+    more; ``share`` drops those below a share of the tokens as well (none by
+    default).
     """
     if 1 / word_share > 1 << 24:
         raise ValueError("word_share is too small for the numbers of words")
-    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    spark = docs.sparkSession
     counts = cut(word_counts(rows))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, kinds = int(total["n"]), int(total["v"])
-    head = counts.where(F.col("c") >= max(LEAST, word_share * tokens)).toArrow()
-    by_hash = np.argsort(head.column("hash").to_numpy().view(U64)) if head.num_rows else np.empty(0, np.int64)
-    hashes, word_n = head.column("hash").to_numpy().view(U64)[by_hash], head.column("c").to_numpy()[by_hash].astype(np.float64)
-    ids = Ids(hashes)
-    least = max(LEAST, share * tokens)
+    floor = tokens + ADDED * (kinds + 1)
+    kept = {}
+    for n in range(2, order + 1):
+        for turn in range(n - 1):
+            part = stored(gram_counts(rows, n, max(LEAST, share * tokens), tokens, turn, n - 1), f"lm-counts{n}")[0]
+            kept[n] = kept[n].unionByName(part) if turn else part
+            release(spark)
+
+    def with_left(table: DataFrame, n: int) -> DataFrame:
+        if n + 1 not in kept:
+            return table.withColumn("left", F.lit(1.0))
+        mass = kept[n + 1].groupBy(F.col("a").alias("h")).agg(F.sum(F.col("c") - F.lit(DISCOUNT)).alias("mass"))
+        return table.join(mass, "h", "left").withColumn("left", F.greatest(F.lit(1e-9), 1 - F.coalesce("mass", F.lit(0.0)) / F.col("c"))).drop("mass")
+
+    words = with_left(counts.withColumnRenamed("hash", "h"), 1).withColumn("p", (F.col("c") + F.lit(ADDED)) / F.lit(floor))
+    tables = {1: stored(words.withColumn("s", F.log10("p") + F.log10("left")), "lm-grams1")[0]}
+    for n in range(2, order + 1):
+        shorter = tables[n - 1]
+        history = shorter.select(F.col("h").alias("a"), F.col("c").alias("c_a"), F.col("left").alias("left_a"))
+        table = with_left(kept[n], n).join(history, "a").join(shorter.select(F.col("h").alias("b"), F.col("p").alias("p_b")), "b")
+        table = table.withColumn("p", (F.col("c") - F.lit(DISCOUNT)) / F.col("c_a") + F.col("left_a") * F.col("p_b"))
+        table = table.withColumn("s", F.log10("p") - F.log10("left_a") - F.log10("p_b") + F.log10("left"))
+        tables[n] = stored(table.select("h", "a", "b", "c", "left", "p", "s"), f"lm-grams{n}")[0]
+        release(spark)
+
+    column = lambda found, name: found.column(name).to_numpy()
+    found = tables[1].where(F.col("c") >= max(LEAST, word_share * tokens)).toArrow()
+    by = np.argsort(column(found, "h").view(U64))
+    ids = Ids(column(found, "h").view(U64))
+    word_n, lefts = column(found, "c")[by].astype(np.float64), {1: column(found, "left")[by]}
     grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    frequent = np.flatnonzero(word_n >= least)
-    alive = np.zeros(len(word_n), bool)
-    alive[frequent] = True
+    heads: dict[int, np.ndarray] = {}
+    shorter, last = ids, np.arange(len(word_n))  # numbers of the shorter n-grams by hash; their last words
+    number = last
     for n in range(2, order + 1):
-        sent = spark.sparkContext.broadcast((ids, alive, {m: g[0] for m, g in grams.items()}))
-
-        def count(batches, n=n, sent=sent):
-            numbers, keep, known = sent.value
-            held, size = [], 0
-            for batch in batches:
-                for piece in pieces(batch, "text"):
-                    h, first = token_hashes(piece.column(0))
-                    w = numbers.of(h)
-                    w = np.where((w >= 0) & keep[w], w, -1) if len(keep) else w
-                    before, last = _gram_codes(w, first, known, n)
-                    held.append(((before << np.int64(24)) | last).view(U64))
-                    size += len(held[-1])
-                    if size >= FLUSH:
-                        yield _rows(held)
-                        held, size = [], 0
-            if size:
-                yield _rows(held)
-
-        found = rows.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("c")).where(F.col("c") >= least).toArrow()
-        order_of = np.argsort(found.column("hash").to_numpy())
-        codes = found.column("hash").to_numpy()[order_of]
-        if not len(codes):
-            break
-        grams[n] = (codes, found.column("c").to_numpy()[order_of].astype(np.float64))
-    return counts, Automaton(ids, word_n, grams, tokens, kinds)
-
-
-def score(docs: DataFrame, model: tuple[DataFrame, Automaton], *, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+        # the parts of an n-gram are as frequent as it is, so they are found
+        found = tables[n].where(F.col("c") >= max(LEAST, head_share * tokens, word_share * tokens)).select("h", "a", "b", "c", "left").toArrow()
+        h, before, after = (column(found, x).view(U64) for x in "hab")
+        place = shorter.of(after)
+        codes = (number[shorter.of(before)] << np.int64(24)) | last[place] if len(h) else np.empty(0, np.int64)
+        by = np.argsort(codes)
+        grams[n], lefts[n] = (codes[by], column(found, "c")[by].astype(np.float64)), column(found, "left")[by]
+        shorter = Ids(h)
+        heads[n] = shorter.hashes
+        own = np.empty(len(h), np.int64)
+        own[by] = np.arange(len(h))
+        at = np.argsort(h)
+        number, last = own[at], (codes & ((1 << 24) - 1))[at]
+    return tables, Automaton(ids, word_n, grams, lefts, heads, tokens, kinds)
+
+
+def _tails(texts: DataFrame, table: DataFrame, n: int, heads: np.ndarray, tokens: int) -> DataFrame:
+    """row, s: the sums over a text's n-grams that have no arc.  texts: row, text.
+
+    Hashes are dealt out by their first bits; in a part, 48 bits tell them apart.
+    An n-gram that is so frequent that it would crowd a part has an arc.
+    """
+    parts = _parts(tokens)
+    sent = texts.sparkSession.sparkContext.broadcast(heads)
+    low = U64((1 << 48) - 1)
+    names = ["part", "block", "keys", "more"]
+    schema = "part int, block long, keys binary, more binary"
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=names)
+
+    def ask(batches):
+        known = Ids(sent.value)
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(ids) != 1) + 1).tolist(), len(ids)]
+            for i, j in zip(edges, edges[1:]):  # runs of following row numbers: a block is named by its first
+                for k in range(i, j, 1 << 16):
+                    for piece in pieces(batch.slice(k, min(j - k, 1 << 16)), "text", BYTES):
+                        h, first = token_hashes(piece.column(1))
+                        g, _, _, at = _grams(h, first, n)
+                        row = np.repeat(np.arange(piece.num_rows), np.diff(first))[at]
+                        out = known.of(g) < 0
+                        g, row = g[out], row[out].astype("<u2")
+                        part = _part(g, parts)
+                        by = np.argsort(part, kind="stable")
+                        g, row = g[by].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6], row[by]
+                        block = piece.column(0)[0].as_py()
+                        yield batch_of([(p, block, g[x:y].tobytes(), row[x:y].tobytes()) for p, x, y in _dealt(part[by])])
+        trim()
+
+    def tell(batches):
+        for batch in batches:
+            h, s = batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy()
+            by = np.argsort(h)
+            h, s = h[by], s[by]
+            yield batch_of([(p, None, (h[x:y] & low).tobytes(), s[x:y].tobytes()) for p, x, y in _dealt(_part(h, parts))])
+
+    def meet(batches):
+        keys, values, asked = {}, {}, {}
+        for batch in batches:
+            for p, block, k, more in zip(*(batch.column(x).to_pylist() for x in range(4))):
+                if block is None:
+                    keys.setdefault(p, []).append(np.frombuffer(k, U64))
+                    values.setdefault(p, []).append(np.frombuffer(more, np.float64))
+                else:
+                    asked.setdefault(p, []).append((block, k, more))
+        for p, questions in asked.items():
+            if p not in keys:
+                continue
+            key, value = np.concatenate(keys.pop(p)), np.concatenate(values.pop(p))
+            by = np.argsort(key)
+            key, value = key[by], value[by]
+            rows = []
+            for block, k, more in questions:
+                wide = np.zeros((len(more) // 2, 8), np.uint8)
+                wide[:, :6] = np.frombuffer(k, np.uint8).reshape(-1, 6)
+                wanted = wide.reshape(-1).view("<u8")
+                at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+                hit = key[at] == wanted
+                row, which = np.unique(np.frombuffer(more, "<u2")[hit], return_inverse=True)
+                if len(row):
+                    rows.append((p, block, row.tobytes(), np.bincount(which, value[at[hit]], len(row)).tobytes()))
+            if rows:
+                yield batch_of(rows)
+        trim()
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, k, more in zip(*(batch.column(x).to_pylist() for x in (1, 2, 3))):
+                row = np.frombuffer(k, "<u2")
+                have = sums.get(block, np.zeros(0))
+                if len(have) <= row[-1]:
+                    have = sums[block] = np.concatenate([have, np.zeros(int(row[-1]) + 1 - len(have))])
+                have[row] += np.frombuffer(more, np.float64)
+        for block, s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(block + np.arange(len(s))), pa.array(s)], names=["row", "s"])
+
+    asked = texts.select("row", "text").mapInArrow(ask, schema)
+    told = table.select("h", "s").mapInArrow(tell, schema)
+    met = asked.unionByName(told).repartition(parts, "part").mapInArrow(meet, schema)
+    return met.repartition(parts, "block").mapInArrow(add, "row long, s double")
+
+
+def score(docs: DataFrame, model: tuple[dict[int, DataFrame], Automaton], *, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``carry`` columns of ``docs`` (all but the text by default) with n_tokens, n_known, train_tokens, base_score, score.
 
     Null counts as the empty text, which is one end token.  Rows stay apart even
     if they are repeated.
     """
-    counts, machine = model
+    tables, machine = model
     spark = docs.sparkSession
     names = [c for c in docs.columns if c != text] if carry is None else list(carry)
     sent = spark.sparkContext.broadcast(machine)
     rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]).alias("carried") if names else F.struct(F.lit(0).alias("c0")).alias("carried"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    fields = T.StructType([rows.schema["carried"], T.StructField("row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("head_known", T.LongType()), T.StructField("head_base", T.DoubleType()), T.StructField("head_score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType()))])
+    fields = T.StructType([rows.schema["carried"], T.StructField("row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("head_known", T.LongType()), T.StructField("head_base", T.DoubleType()), T.StructField("head_score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("text", T.StringType())])
 
     def run(batches):
         m: Automaton = sent.value
@@ -284,15 +440,24 @@ def score(docs: DataFrame, model: tuple[DataFrame, Automaton], *, text: str = "t
                 scores = [traverse(m, numbers[a:b]) for a, b in zip(edges, edges[1:])]
                 missing = np.concatenate([[0], np.cumsum(rare)])[first]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(1), pa.array(np.diff(first)), pa.array(known[first[1:]] - known[first[:-1]]), pa.array(base[first[1:]] - base[first[:-1]]), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(missing.astype(np.int32)), pa.array(h[rare].view(np.int64)))],
+                    [piece.column(0), piece.column(1), pa.array(np.diff(first)), pa.array(known[first[1:]] - known[first[:-1]]), pa.array(base[first[1:]] - base[first[:-1]]), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(missing.astype(np.int32)), pa.array(h[rare].view(np.int64))), piece.column(2)],
                     names=fields.names,
                 )
+        trim()
 
     heads, _ = stored(rows.mapInArrow(run, fields), "lm-heads")
-    # rarer words meet their exact counts; one number for each text comes back
+    # rarer words meet their exact counts, and longer n-grams without an arc theirs; one number for each text comes back
+    counts = tables[1].select(F.col("h").alias("hash"), "c", "p", "s")
     rare = heads.select("row", F.explode("rare").alias("hash")).join(counts, "hash", "left")
-    tail = rare.groupBy("row").agg(F.count("c").alias("tail_known"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + F.lit(ADDED)) / F.lit(machine.floor))).alias("tail"))
-    out = heads.drop("rare").join(tail, "row", "left")
+    tail = rare.groupBy("row").agg(F.count("c").alias("tail_known"), F.sum(F.log10(F.coalesce("p", F.lit(ADDED / machine.floor)))).alias("tail"), F.sum(F.coalesce("s", F.log10(F.lit(ADDED / machine.floor)))).alias("tail1"))
+    asked = int(heads.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
+    longer = {}
+    for n in sorted(machine.heads):
+        longer[n] = stored(_tails(heads, tables[n], n, machine.heads[n], asked), f"lm-tails{n}")[0].withColumnRenamed("s", f"tail{n}")
+        release(spark)
+    out = heads.drop("rare", "text").join(tail, "row", "left")
+    for sums in longer.values():
+        out = out.join(sums, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return out.select(
         *[F.col(f"carried.c{k}").alias(c) for k, c in enumerate(names)],
@@ -300,7 +465,7 @@ def score(docs: DataFrame, model: tuple[DataFrame, Automaton], *, text: str = "t
         (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(machine.tokens).cast("long").alias("train_tokens"),
         (F.col("head_base") + zero("tail")).alias("base_score"),
-        (F.col("head_score") + zero("tail")).alias("score"),
+        sum((zero(f"tail{n}") for n in (1, *longer)), F.col("head_score")).alias("score"),
     )
 
 

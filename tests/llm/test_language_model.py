@@ -82,6 +82,23 @@ def test_share_prunes_and_words_stay_exact(spark):
     assert math.isclose(got["sum(score)"], sum(w[4] for w in want), rel_tol=1e-9)
 
 
+def test_every_ngram_seen_twice_counts(spark, monkeypatch):
+    """By default none goes for its small share of a large corpus, with an arc or without."""
+    monkeypatch.setattr(lm, "PART", 20000)
+    monkeypatch.setattr(lm, "BYTES", 1000)
+    train = [*corpus(4), "x1 x2 x3 x4 x5", "x1 x2 x3 x6", "x2 x3 x4 w1", *["pad " * 5000] * 60]
+    texts = [*corpus(5, 15), None, "", "x1 x2 x3 x4", "y1 x2 x3 x4 y2 x1 x2"]
+    learn = spark.createDataFrame([(t,) for t in train], "text string").repartition(3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    want, _ = plain_scores(train, texts)
+    for kw in ({}, {"head_share": 1e-9}, {"head_share": 1.0, "word_share": 0.5}):
+        got = sorted(lm.score(docs, lm.train(learn, **kw), carry=["doc_id"]).collect())
+        assert len(got) == len(want)
+        for g, w in zip(got, want):
+            assert tuple(g[1:4]) == w[:3]
+            assert math.isclose(g.base_score, w[3], rel_tol=1e-9) and math.isclose(g.score, w[4], rel_tol=1e-9), (kw, g, w)
+
+
 def test_chances_sum_to_one(spark):
     learn = spark.createDataFrame([(t,) for t in corpus(3)], "text string")
     _, m = lm.train(learn, share=1e-9)
