@@ -4,9 +4,10 @@ Each language has a context tree over folded bytes.  In a context that has been
 seen, a symbol has its count, and the number of different symbols counts as the
 escape (method C); an escape goes on to the next shorter context, in which the
 symbols of the longer one are excluded.  The statistics are frozen after
-training, so the trees are compiled into one table of exact code lengths per
-(context, symbol), and a text's score in a language is the sum of its bytes'
-code lengths.
+training, so the trees are compiled into exact code lengths of the (context,
+symbol) that some language has seen and an escape length of each context; both
+are sorted arrays, whose size follows what was seen and not the alphabet.  A
+text's score in a language is the sum of its bytes' code lengths.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from .kernel import buffers, extended, pieces
 ORDER = 3
 #: Documents of a language that training looks at (about; whole texts).
 SAMPLE_DOCS = 1500
-#: The compiled tables of all languages are at most this large; a shorter context is used if they'd be larger.
-TABLE_BYTES = 64 << 20
+#: Log2 of what is left for symbols that a full context has not seen.
+NOTHING = float(np.log2(1e-12))
 #: No language, for texts without a letter.
 NONE = "und"
 
@@ -65,32 +66,65 @@ class Trees:
         small[names] = np.arange(len(names))
         self.symbol = small[FOLD].astype(np.int32)
         self.order = ORDER
-        while self.order and k ** (self.order + 1) * 4 * max(1, len(languages)) > TABLE_BYTES:
-            self.order -= 1
-        tables = []
-        for codes, n in counts:
-            full = np.zeros(k ** (self.order + 1), np.float64)
-            own = sum(small[codes // CLASSES**j % CLASSES] * k**j for j in range(self.order + 1))
-            np.add.at(full, own, n)
-            tables.append(np.log2(self._compile(full)).astype(np.float32))
-        self.bits = np.stack(tables, axis=1) if tables else np.zeros((k ** (self.order + 1), 0), np.float32)
-
-    def _compile(self, full: np.ndarray) -> np.ndarray:
-        """Probabilities of (context, symbol) for the longest context, from the shortest up."""
-        k = self.classes
-        p = np.full((1, k), 1 / k)
-        for order in range(self.order + 1):
-            n = full.reshape(-1, k**order, k).sum(axis=0)
-            total, kinds = n.sum(axis=1), (n > 0).sum(axis=1)
-            shorter = np.tile(p, (n.shape[0] // p.shape[0], 1))  # the shorter context is the lower digits
-            seen = n > 0
-            left = 1 - np.where(seen, shorter, 0).sum(axis=1)
-            every = (kinds == k) | (left <= 1e-12)
-            escape = np.where(every, 0, kinds / np.maximum(total + kinds, 1))
-            hit = n / np.maximum(total + np.where(every, 0, kinds), 1)[:, None]
-            miss = shorter * (escape / np.maximum(left, 1e-12))[:, None]
-            p = np.where((total == 0)[:, None], shorter, np.where(seen, hit, np.maximum(miss, 1e-12)))
-        return p.reshape(-1)
+        size = len(languages)
+        # lengths[m]: of each code of order m, by language; escapes[m]: of each context
+        self.codes, self.lengths, self.contexts, self.escapes = [], [], [], []
+        uniform = np.full((1, size), -np.log2(k))
+        for order in range(ORDER + 1):
+            own = []
+            for codes, n in counts:
+                short, at = np.unique(sum(small[codes // CLASSES**j % CLASSES] * k**j for j in range(order + 1)), return_inverse=True)
+                own.append((short, np.bincount(at, n, len(short))))
+            every = np.unique(np.concatenate([c for c, _ in own])) if own else np.empty(0, np.int64)
+            contexts, of = np.unique(every // k, return_inverse=True)
+            shorter = self.lengths[-1][np.searchsorted(self.codes[-1], every % k**order)] if order else np.repeat(uniform, len(every), axis=0)
+            lengths, escapes = np.empty((len(every), size)), np.zeros((len(contexts), size))
+            for x, (codes, n) in enumerate(own):
+                at = np.searchsorted(every, codes)
+                total, kinds = np.bincount(of[at], n, len(contexts)), np.bincount(of[at], minlength=len(contexts))
+                left = 1 - np.bincount(of[at], np.exp2(shorter[at, x]), len(contexts))
+                full = (kinds == k) | (left <= 1e-12)
+                known = total > 0
+                escape = kinds[known] / (total + kinds)[known] / np.maximum(left[known], 1e-12)
+                escapes[known, x] = np.where(full[known], NOTHING, np.log2(escape))
+                lengths[:, x] = escapes[of, x] + shorter[:, x]
+                lengths[at, x] = np.log2(n / (total + np.where(full, 0, kinds))[of[at]])
+            self.codes.append(every)
+            self.lengths.append(lengths)
+            self.contexts.append(contexts)
+            self.escapes.append(escapes)
+        self.uniform = uniform.astype(np.float32)
+        self.lengths = [x.astype(np.float32) for x in self.lengths]
+        self.escapes = [x.astype(np.float32) for x in self.escapes]
+
+    @staticmethod
+    def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return at, keys[at] == wanted
+
+    def look(self, codes: np.ndarray) -> np.ndarray:
+        """(codes, languages): log2 probability of each (context, symbol) of the longest context."""
+        out = np.zeros((len(codes), len(self.languages)), np.float32)
+        open_ = np.arange(len(codes))
+        for order in range(self.order, -1, -1):
+            code = codes[open_] % self.classes ** (order + 1)
+            at, hit = self._found(self.codes[order], code)
+            out[open_[hit]] += self.lengths[order][at[hit]]
+            open_, code = open_[~hit], code[~hit]
+            if not len(open_):
+                return out
+            # the others escape, and look at the next shorter context
+            at, hit = self._found(self.contexts[order], code // self.classes)
+            out[open_[hit]] += self.escapes[order][at[hit]]
+        out[open_] += self.uniform
+        return out
+
+    @property
+    def bits(self) -> np.ndarray:
+        """The lengths of all codes, seen or not (for small alphabets)."""
+        return self.look(np.arange(self.classes ** (self.order + 1)))
 
     def totals(self, column) -> np.ndarray:
         """(rows, languages): log2 probability of each text."""
@@ -99,7 +133,7 @@ class Trees:
         sums = np.zeros((len(data) + 1, len(self.languages)), np.float64)
         for a in range(0, len(codes), 1 << 18):
             b = min(len(codes), a + (1 << 18))
-            np.cumsum(self.bits[codes[a:b]], axis=0, dtype=np.float64, out=sums[a + 1 : b + 1])
+            np.cumsum(self.look(codes[a:b]), axis=0, dtype=np.float64, out=sums[a + 1 : b + 1])
             sums[a + 1 : b + 1] += sums[a]
         return sums[offsets[1:]] - sums[offsets[:-1]]
 

@@ -112,6 +112,31 @@ def test_code_lengths_are_exact():
     assert abs(got[0, 0] - want) < 1e-2 and got[1, 0] == 0
 
 
+def test_order_holds_for_large_alphabets():
+    """Order 3 and exact lengths with 100 symbol classes and four languages."""
+    r = random.Random(4)
+    symbols = [chr(97 + i) for i in range(26)] + [chr(i) for i in range(0x80, 0x800, 25)]
+    texts = ["".join(r.choice(symbols[: 8 + 100 * (r.random() < 0.2)]) for _ in range(900)) for _ in range(4)]
+    made = []
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        made.append(np.unique(language_id._codes(language_id.FOLD[data], np.array([0, len(data)]), language_id.ORDER, language_id.CLASSES), return_counts=True))
+    trees = language_id.Trees(list("abcd"), made)
+    assert trees.order == 3 and trees.classes > 70
+    probe = texts[0][5:40] + texts[1][:20]
+    got = trees.totals(pa.array([probe]))[0]
+    s = [0] * 3 + trees.symbol[np.frombuffer(probe.encode(), np.uint8)].tolist()
+    for x, text in enumerate(texts):
+        counts = {}
+        learned = [0] * 3 + trees.symbol[np.frombuffer(text.encode(), np.uint8)].tolist()
+        for i in range(3, len(learned)):
+            for m in range(4):
+                own = counts.setdefault(tuple(learned[i - m : i]), {})
+                own[learned[i]] = own.get(learned[i], 0) + 1
+        want = sum(np.log2(_ppm(counts, tuple(s[i - 3 : i]), s[i], trees.classes)) for i in range(3, len(s)))
+        assert abs(got[x] - want) < 1e-2
+
+
 def test_codes_stop_at_text_edges():
     texts = ["ab", "", "c", "abcde", "z"]
     whole = language_id._codes(language_id.FOLD[np.frombuffer("".join(texts).encode(), np.uint8)], np.cumsum([0, *map(len, texts)]), 3, 155)
