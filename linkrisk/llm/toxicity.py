@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import ALNUM, LOWER, PIECE, U64, Words, extended, lists, span_hashes
+from .kernel import ALNUM, LOWER, PIECE, U64, Words, extended, lists, span_hashes, trim
 
 #: Hash bins, length of a term's vector.
 BITS, FACTORS = 18, 8
@@ -22,7 +22,8 @@ BITS, FACTORS = 18, 8
 HEADS = (5, 7)
 #: Training looks at no more labelled rows than this (chosen by a hash of their id and text; whole texts).
 SAMPLE_ROWS = 16000
-#: A term is learned if that many training rows have it, and if its chi-square with the label is that large.
+#: A term is learned if that many training rows have it, and if its chi-square with the label is that large, over all
+#: rows or (raised by the number of such pairs) over the rows of another term that is.
 LEAST_ROWS, LEAST_CHI = 3, 6.0
 
 
@@ -49,7 +50,7 @@ class Machine:
     def __init__(self, bins: list[np.ndarray], labels: np.ndarray, *, epochs: int = 8, rate: float = 0.1, decay: float = 1e-2, batch: int = 64, seed: int = 11):
         r = np.random.default_rng(seed)
         size = 1 << BITS
-        names = np.flatnonzero(self._informative(bins, labels, size))
+        names = np.flatnonzero(self._learned(bins, labels, size))
         self.place = np.full(size, -1, np.int32)
         self.place[names] = np.arange(len(names))
         bins = [x[x >= 0] for x in (self.place[b] for b in bins)]
@@ -82,15 +83,48 @@ class Machine:
         self.weight, self.vector = self.weight.astype(np.float32), self.vector.astype(np.float32)
 
     @staticmethod
-    def _informative(bins: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
-        """Which bins go with the label more than chance explains; without this, rare words fit the training rows."""
-        row_label = np.repeat(labels, [len(b) for b in bins]) if len(bins) else np.empty(0)
-        at = np.concatenate(bins) if len(bins) else np.empty(0, np.int64)
-        n, toxic = len(labels), labels.sum()
+    def _chi(at: np.ndarray, row_label: np.ndarray, n: int, toxic: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each bin: rows that have it, chi-square with the label."""
         have, both = np.bincount(at, minlength=size).astype(float), np.bincount(at, row_label, size)
         cross = both * (n - have - toxic + both) - (have - both) * (toxic - both)
-        chi = n * cross**2 / np.maximum(have * (n - have) * toxic * (n - toxic), 1)
-        return (have >= LEAST_ROWS) & (chi >= LEAST_CHI)
+        return have, n * cross**2 / np.maximum(have * (n - have) * toxic * (n - toxic), 1)
+
+    @classmethod
+    def _learned(cls, bins: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
+        """Which bins go with the label more than chance explains, alone or next to one that does; without this, rare words fit the training rows."""
+        counts = np.array([len(b) for b in bins], np.int64)
+        at = np.concatenate(bins) if len(bins) else np.empty(0, np.int64)
+        have, chi = cls._chi(at, np.repeat(labels, counts), len(labels), labels.sum(), size)
+        del at
+        often = have >= LEAST_ROWS
+        alone = often & (chi >= LEAST_CHI)
+        names, partners = np.flatnonzero(often), np.flatnonzero(alone)
+        if not len(partners):
+            return alone
+        place = np.full(size, -1, np.int32)
+        place[names] = np.arange(len(names))
+        few = [x[x >= 0] for x in (place[b] for b in bins)]
+        row = np.repeat(np.arange(len(few), dtype=np.int32), [len(b) for b in few])
+        flat = np.concatenate(few)
+        by = np.argsort(flat, kind="stable")
+        edges = np.append(0, np.cumsum(np.bincount(flat, minlength=len(names))))
+        row = row[by]
+        del flat, by
+        least = LEAST_CHI + 2 * np.log(len(partners) * len(names))
+        learned = alone[names]
+        for partner in place[partners]:
+            rows = row[edges[partner] : edges[partner + 1]]
+            toxic = labels[rows].sum()
+            if len(rows) < least or toxic in (0, len(rows)):  # a chi-square is never above the number of rows
+                continue
+            near = [few[i] for i in rows]
+            have, chi = cls._chi(np.concatenate(near), np.repeat(labels[rows], [len(b) for b in near]), len(rows), toxic, len(names))
+            learned |= (have >= LEAST_ROWS) & (chi >= least)
+        out = np.zeros(size, bool)
+        out[names[learned]] = True
+        del few, row
+        trim()
+        return out
 
     def _scores(self, at: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
         """Probability of each row, and the sums of its vectors."""

@@ -46,6 +46,20 @@ def test_toxicity_learns_pairs():
     assert abs(machine.vector[at[0]] @ machine.vector[at[1]]) > 0.05
 
 
+def test_toxicity_keeps_terms_that_matter_in_pairs_only():
+    """Term 2 is as common in clean rows as in toxic ones, but decides next to term 1 and next to term 3."""
+    bins, labels = [], []
+    for k in range(8 * 300):
+        a, b, c = k & 1, k >> 1 & 1, k >> 2 & 1
+        bins.append(np.array([x for x, on in ((1, a), (2, b), (3, c), (4, True)) if on]))
+        labels.append(float(a and b or c and not b))
+    machine = toxicity.Machine(bins, np.array(labels), epochs=60)
+    assert (machine.place[[1, 2, 3]] >= 0).all()
+    at = machine.place[np.array([1, 2, 1])]
+    both, alone = machine._scores(at, np.array([0, 0, 1]), 2)[0]
+    assert both > alone
+
+
 def test_toxicity_odd_rows(spark):
     texts = [None, "", "   ", "idiot " * 9000, "you idiot", "fine day", "fine day"]
     docs = spark.createDataFrame([(i, t, "score", 1.5) for i, t in enumerate(texts)], "doc_id long, text string, predicted string, score double")
