@@ -29,24 +29,12 @@ NON_SPACE = ~((_ALL == 32) | ((_ALL >= 9) & (_ALL <= 13)))
 #: Bytes of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` words (after lower-casing).
 ALNUM = ((_ALL >= 48) & (_ALL <= 57)) | ((_ALL >= 97) & (_ALL <= 122)) | (_ALL >= 128)
 
+#: Odd multipliers, one for each seed.
 _BASE = {0: 0x9E3779B97F4A7C15, 1: 0xD6E8FEB86659FD93}
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_table(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get(seed)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        base, inverse = _BASE[seed], pow(_BASE[seed], -1, 1 << 64)
-        out = []
-        for b in (base, inverse):
-            step = np.full(size, b, U64)
-            step[0] = 1
-            out.append(np.cumprod(step))
-        have = (out[0], out[1])
-        if size <= 1 << 23:
-            _powers[seed] = have
-    return have
+#: Spans of more bytes than this are hashed and compared one by one.
+_LONG = 64
+#: Masks of the lowest 0 to 8 bytes.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -132,44 +120,100 @@ class Words:
         return np.repeat(self.first[1:], self.counts) - np.arange(len(self.start))
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as numbers (zeros after the end)."""
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", wide, 0, (1,))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; spans in order, none inside another."""
-    out = np.empty(len(start), U64)
-    at, n = 0, len(start)
-    while at < n:
-        origin = start[at]
-        to = max(at + 1, int(np.searchsorted(end, origin + PIECE, "right")))
-        stop = end[to - 1]
-        power, inverse = _power_table(seed, int(stop - origin) + 1)
-        sums = np.zeros(stop - origin + 1, U64)
-        np.cumsum((data[origin:stop].astype(U64) + U64(1)) * power[: stop - origin], out=sums[1:])
-        s, e = start[at:to] - origin, end[at:to] - origin
-        out[at:to] = (sums[e] - sums[s]) * inverse[s]
-        at = to
-    return mix(out ^ ((end - start).astype(U64) << U64(40)))
+    """A 64-bit hash of the bytes of each span.
+
+    Eight bytes at a time are mixed in, so spans of one length up to eight bytes
+    never share a hash; spans over 64 bytes take XXH64.
+    """
+    import xxhash
+
+    length = end - start
+    out = mix(length.astype(U64) + U64(_BASE[seed]))
+    eights = _eights(data)
+    long = length > _LONG
+    at = np.flatnonzero(~long & (length > 0))
+    done = 0
+    while len(at):
+        left = length[at] - done
+        out[at] = mix(out[at] ^ (eights[start[at] + done] & _LOW[np.minimum(left, 8)]))
+        at = at[left > 8]
+        done += 8
+    if long.any():
+        view = memoryview(np.ascontiguousarray(data))
+        for i in np.flatnonzero(long).tolist():
+            out[i] = xxhash.xxh64_intdigest(view[int(start[i]) : int(end[i])], seed)
+    return out
+
+
+def same_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the ``length`` bytes from a_start in a and from b_start in b are the same."""
+    out = np.ones(len(length), bool)
+    left, right = _eights(a), _eights(b)
+    long = length > _LONG
+    at, done = np.flatnonzero(~long & (length > 0)), 0
+    while len(at):
+        rest = length[at] - done
+        out[at] &= ((left[a_start[at] + done] ^ right[b_start[at] + done]) & _LOW[np.minimum(rest, 8)]) == 0
+        at = at[(rest > 8) & out[at]]
+        done += 8
+    for i in np.flatnonzero(long).tolist():
+        n = int(length[i])
+        out[i] = np.array_equal(a[int(a_start[i]) : int(a_start[i]) + n], b[int(b_start[i]) : int(b_start[i]) + n])
+    return out
 
 
 def window_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """Hash of each run of k values; windows over the end are left out.
 
-    A polynomial in a fixed odd base, put together from runs of powers of two.
+    Runs of powers of two are put together pairwise, each time through the finaliser.
     """
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, U64)
-    base = _BASE[seed] | 1
+    base = U64(_BASE[seed])
     total, taken, run, width = None, 0, h, 1
     left = k
     while left:
         if left & 1:
-            part = run[taken : taken + n] * U64(pow(base, taken, 1 << 64))
-            total = part if total is None else total + part
+            part = run[taken : taken + n]
+            total = part if total is None else mix(total * base + part)
             taken += width
         left >>= 1
         if left:
-            run = run[: len(run) - width] + run[width:] * U64(pow(base, width, 1 << 64))
+            run = mix(run[: len(run) - width] * base + run[width:])
             width *= 2
-    return mix(total)
+    return mix(total + U64(k))
+
+
+class Lookup:
+    """Places of 64-bit hashes in a sorted array, found from their first bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = min(22, max(1, len(keys).bit_length()))
+        self.shift = U64(64 - bits)
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=U64) << self.shift).astype(np.int32)
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 for those that are not there."""
+        if not len(self.keys) or not len(wanted):
+            return np.full(len(wanted), -1, np.int64)
+        last = len(self.keys) - 1
+        at = np.minimum(self.first[(wanted >> self.shift).astype(np.int64)], last).astype(np.int64)
+        short = np.flatnonzero(self.keys[at] < wanted)
+        while len(short):
+            short = short[at[short] < last]
+            at[short] += 1
+            short = short[self.keys[at[short]] < wanted[short]]
+        at[self.keys[at] != wanted] = -1
+        return at
 
 
 def trim() -> None:
@@ -188,47 +232,48 @@ def extended(df: DataFrame, text: str, fields: Sequence[T.StructField], make: Ca
 
     make() runs once in each task and returns a function from a string column
     to one Arrow array per field.  A column of ``df`` with the name of a new
-    field is replaced.
+    field is replaced.  Columns have names of their own on the way, so that none
+    can clash.
     """
     new = {f.name.lower() for f in fields}
     keep = [f for f in df.schema.fields if f.name.lower() not in new and (carry is None or f.name in carry)]
-    schema = T.StructType([*keep, *fields])
-    names = [f.name for f in keep]
-    # what is replaced still has to be readable when it is the text itself
-    df = df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").cast("string").alias("__text"))
-    out_names = [*names, *[f.name for f in fields]]
+    given = [T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(keep)]
+    made = [T.StructField(f"n{i}", f.dataType) for i, f in enumerate(fields)]
+    df = df.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("t"))
+    names = [f.name for f in (*given, *made)]
 
     def run(batches):
         fn = make()
         for batch in batches:
-            for piece in pieces(batch, "__text", limit):
-                cols = [piece.column(i) for i in range(len(names))] + list(fn(piece.column(piece.schema.get_field_index("__text"))))
-                yield pa.RecordBatch.from_arrays(cols, names=out_names)
+            for piece in pieces(batch, "t", limit):
+                yield pa.RecordBatch.from_arrays([*[piece.column(i) for i in range(len(given))], *fn(piece.column(len(given)))], names=names)
         trim()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, T.StructType([*given, *made])).toDF(*[f.name for f in (*keep, *fields)])
 
 
 #: Names of the columns of :func:`row_key`.
 KEY = ["none", "id", "body"]
 
 
-def row_key(id_col: str, text: str) -> list:
+def row_key(docs: DataFrame, id_col: str, text: str) -> list:
     """Never-null columns that name a row by content, in the order null id last, id, hash of the text.
 
-    Unlike a row number they are the same each time a table is read.  Rows of
-    equal id and text share them.
+    Whole-number ids are compared as longs, all others as strings.  Unlike a row
+    number the columns are the same each time a table is read.  Rows of equal id
+    and text share them.
     """
     own = F.col(f"`{id_col}`")
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return [own.isNull().alias("none"), F.coalesce(own.cast("long"), F.lit(0).cast("long")).alias("id"), F.xxhash64(body).alias("body")]
+    kind, missing = ("long", F.lit(0)) if isinstance(docs.schema[id_col].dataType, T.IntegralType) else ("string", F.lit(""))
+    return [own.isNull().alias("none"), F.coalesce(own.cast(kind), missing.cast(kind)).alias("id"), F.xxhash64(body).alias("body")]
 
 
 def shared_dir(spark) -> str:
     """The folder that all executors and the driver share.
 
-    The session's ``spark.checkpoint.dir``; only where the session has none
-    (single-machine tests) a folder of the machine is set.
+    The session's ``spark.checkpoint.dir``; only where a single-machine session
+    (tests) has none, a folder of the machine is set.
     """
     import tempfile
 
@@ -240,6 +285,8 @@ def shared_dir(spark) -> str:
         return folder
     have = sc._jsc.sc().getCheckpointDir()
     if have.isEmpty():
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="linkrisk-"))
         have = sc._jsc.sc().getCheckpointDir()
     return have.get()

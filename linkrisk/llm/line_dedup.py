@@ -55,8 +55,8 @@ def without_boilerplate(docs: DataFrame, *, sites: int = SITES, text: str = "tex
     repeated with id and text get the same result each.
     """
     lines = boilerplate(docs, sites=sites, text=text, site=site)
-    gone = cut(_occurrences(docs, text, row_key(id_col, text)).join(lines, _LINE, "left_semi").groupBy(*KEY).agg(F.collect_set("pos").alias("gone")))
-    rows = docs.select(F.col(f"`{id_col}`").alias("own"), *row_key(id_col, text), F.col(f"`{text}`").cast("string").alias("text"))
+    gone = cut(_occurrences(docs, text, row_key(docs, id_col, text)).join(lines, _LINE, "left_semi").groupBy(*KEY).agg(F.collect_set("pos").alias("gone")))
+    rows = docs.select(F.col(f"`{id_col}`").alias("own"), *row_key(docs, id_col, text), F.col(f"`{text}`").cast("string").alias("text"))
     placed = rows.join(gone, KEY, "left")
     all_lines = F.coalesce(_lines(F.col("text")), F.array().cast("array<string>"))
     kept = F.filter(all_lines, lambda x, i: ~F.coalesce(F.array_contains(F.col("gone"), i), F.lit(False)))

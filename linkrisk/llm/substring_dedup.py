@@ -66,7 +66,7 @@ def _edges(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _keyed(docs: DataFrame, text: str, id_col: str, carry: list[str]) -> DataFrame:
     """Documents by (null id last, id, hash of the text), the order of sources."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], *row_key(id_col, text), body.alias("text"))
+    return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], *row_key(docs, id_col, text), body.alias("text"))
 
 
 def _spans(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +146,7 @@ def without_repeats(docs: DataFrame, *, k: int = K, m: int = M, text: str = "tex
     """
     carry = [id_col] if carry is None else carry
     spark = docs.sparkSession
-    slim = docs.select(*row_key(id_col, text), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    slim = docs.select(*row_key(docs, id_col, text), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     runs = _candidates(slim, k, m)
     release(spark)
 

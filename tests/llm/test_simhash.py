@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkrisk.llm import simhash
-from linkrisk.llm.simhash import SIMILAR, STRICT, Plan, components, deduplicated, links, near_groups
+from linkrisk.llm.simhash import SIMILAR, STRICT, Plan, Similar, components, deduplicated, near_groups, strict_links
 
 DOC = "doc_id long, text string, fp0 string, leaf long, component_id int"
 
@@ -45,10 +45,12 @@ def test_groups_match_all_pairs(spark):
     assert sorted(str((r.doc_id, r.fp0 & (2**64 - 1), r.component_id)) for r in got) == want
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_links_are_complete(spark, seed, monkeypatch):
-    """Bit strings in chains and balls: the forest joins just what all pairs join."""
+@pytest.mark.parametrize("seed, block", [(1, 1 << 16), (2, 1 << 16), (3, 2), (4, 0)])
+def test_links_are_complete(spark, seed, block, monkeypatch):
+    """Bit strings in chains and balls: the forest joins just what all pairs join, however many first bits deal them out."""
     monkeypatch.setattr(simhash, "FRONTIER", 64)
+    monkeypatch.setattr(simhash, "LEAF_PAIRS", 4)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     r = np.random.default_rng(seed)
     values = set()
     for _ in range(12):
@@ -60,17 +62,65 @@ def test_links_are_complete(spark, seed, monkeypatch):
     values = sorted(values)
     signed = [v - 2**64 if v >= 2**63 else v for v in values]
     leaves = spark.createDataFrame([(i, s) for i, s in enumerate(signed)], "leaf long, fp0 long")
-    roots = {x.node: x.root for x in components(links(leaves, STRICT)).collect()}
+    roots = {x.node: x.root for x in components(strict_links(leaves, STRICT)).collect()}
     want = brute.components(dict(enumerate(values)))
     assert {i: roots.get(i, i) for i in want} == want
 
 
-def test_forest_over_small_batches():
+def test_views_hold_all_bits_once():
+    for leaves in (10, 10**7, 10**9, 10**11):
+        views, head = Plan().views(leaves), Plan().head(leaves)
+        assert all(sorted(b for low, width in v for b in range(low, low + width)) == list(range(64)) for v in views)
+        assert leaves >> min(sum(w for _, w in v[:head]) for v in views) < 4 * simhash.BLOCK
+
+
+def test_groups_reach_over_batches():
     """Groups that reach over the limit of held rows stay whole."""
-    plan = Plan()
-    table = pa.table({"leaf": [1, 2, 3], "fp0": [0, 1, 3], "view": pa.array([0, 0, 0], pa.int32()), "key": [0, 1, 3], "head": pa.array([0, 0, 0], pa.int32())})
-    out = simhash._forest(plan, table)
-    assert out.column("a").to_pylist() == [2, 3] and out.column("b").to_pylist() == [1, 1]
+    seen = []
+    run = simhash._by_group(lambda t: seen.append(t.column("g").to_pylist()), ["g"], 64)
+    groups = [0, 0, 1, 2, 2, 2, 2, 2, 2, 2, 2, 3, 4, 4]
+    list(run(iter(pa.RecordBatch.from_pydict({"g": groups[a : a + 3]}) for a in range(0, len(groups), 3))))
+    assert sum(seen, []) == groups and all(not set(a) & set(b) for a, b in zip(seen, seen[1:]))
+
+
+def jaccard(a, b, k=5):
+    sets = []
+    for t in (a, b):
+        w = brute.WORD.findall(brute.lower(t))
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+@pytest.mark.parametrize("hot", [simhash.HOT, 3])
+def test_similar_groups_match_all_pairs(spark, hot, monkeypatch):
+    """Links at a similarity of 0.8 or more, and no others; all texts share a passage."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    r = random.Random(4)
+    rows = []
+    for g in range(30):
+        w = [f"g{g}x{r.randint(0, 10**6)}" for _ in range(r.choice([6, 40, 150]))] + [f"shared{i}" for i in range(8)]
+        for k in range(4):
+            own = list(w)
+            for p in r.sample(range(len(w)), min(len(w) // 20 + 1, k * len(w) // 60 + k)):
+                own[p] = f"changed{g}-{k}"
+            rows.append((g * 10 + k, " ".join(own)))
+    rows += [(900, None), (901, ""), (902, " "), (903, "a"), (904, "A"), (905, "q " * 3000), (906, "q " * 300)]
+    got = {x.doc_id: x.component_id for x in near_groups(frame(spark, rows), Similar(orders=8)).collect()}
+    want = {d: d for d, _ in rows}
+    for d, t in rows:
+        for e, u in rows:
+            if e < d and want[d] != want[e] and jaccard(t, u) >= 0.8:
+                a, b = sorted((want[d], want[e]))
+                want = {k: a if v == b else v for k, v in want.items()}
+    assert got == want
+
+
+def test_ids_of_any_type_and_clashing_columns(spark):
+    rows = [("b", "one two three", 1, "x", 2), ("a", "one two three", 1, "x", 2), (None, "else", 1, "x", 2)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, __text int, t string, n long")
+    assert sorted((x.doc_id or "", x.component_id) for x in near_groups(docs).collect()) == [("", None), ("a", "a"), ("b", "a")]
+    kept = deduplicated(docs)
+    assert kept.dtypes == docs.dtypes and sorted(x.doc_id or "" for x in kept.collect()) == ["", "a"]
 
 
 def test_components_of_a_long_chain(spark):
