@@ -20,18 +20,26 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import PIECE, U64, buffers, extended, forget, lists, release, shared_dir, span_hashes, stored, trim
+from .kernel import U64, buffers, forget, lists, pieces, release, shared_dir, stored, trim
 
 #: Tokens of a block, states of a block, tokens at which a segment is closed.
 BLOCK, LANES, SEGMENT = 8192, 32, 1 << 19
 #: Bits of the frequency scale; lowest state; bits that a state sends out at a time.
 SCALE, LOWEST, WORD = 20, 1 << 31, 32
-#: Distinct pieces of text whose ids a worker keeps, in each of two generations.
-CACHE = 200_000
+#: Distinct pieces of text from which on a worker forgets those it knows; pieces that are encoded at a time.
+KNOWN, TOGETHER = 500_000, 256
+#: Bytes of text whose distinct pieces are found together.
+TEXT = 8 << 20
+_ALL = np.arange(256)
+_IS_LETTER = ((_ALL >= 65) & (_ALL <= 90)) | ((_ALL >= 97) & (_ALL <= 122))
+WHITE, LETTER, PUNCTUATION = 1, 2, 3
+#: ASCII white space, letters and punctuation; all else is 0.
+KINDS = np.select([(_ALL == 32) | ((_ALL >= 9) & (_ALL <= 13)), _IS_LETTER, (_ALL > 32) & (_ALL < 127) & ~((_ALL >= 48) & (_ALL <= 57))], [WHITE, LETTER, PUNCTUATION], 0).astype(np.uint8)
 
 
 def tokenizer_path() -> str:
@@ -41,104 +49,123 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Texts to ids by the tokenizers library, remembering the ids of repeated pieces.
+    """Texts to ids by the tokenizers library, each distinct piece of a batch once.
 
-    A piece runs from white space that follows another character to the next
-    such place.  The tokenizer's pattern always parts text there and looks no
-    further back, so pieces are encoded alone, and each distinct piece of a batch
-    once.  A new piece of common letters is parted further, just as the pattern
-    does, so that a word is encoded once whatever punctuation follows it.
+    A piece begins at white space that follows another character, and at
+    punctuation that follows a letter.  The tokenizer's pattern always parts text
+    there and looks no further back, so pieces can be encoded alone.  Arrow finds
+    the distinct pieces of a batch by their bytes; those that earlier batches had
+    are known, the others are encoded many at a time, parted by line feeds.
     """
 
     def __init__(self, path: str):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         spec = json.loads(open(path, encoding="utf-8").read())
         step = spec.get("pre_tokenizer") or {}
-        # pieces may be cut only where the tokenizer is known to part text itself
-        self.by_piece = step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space") and spec.get("normalizer") is None and spec.get("post_processor") is None
         self.specials = [t["content"].encode() for t in spec.get("added_tokens", [])]
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        # Latin text up to U+024F: letters there are the same in every version of Unicode
-        self.common = re.compile("[\\t-\\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-        self.parts = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[^\\W\\d_]+| ?[0-9]+| ?(?:[^\\s\\w]|_)+|\\s+(?!\\S)|\\s+")
-        self.known, self.before = {}, {}
-        self.words: dict[str, bytes] = {}
+        mark = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        # pieces may be cut only where the tokenizer is known to part text itself
+        self.by_piece = step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space") and spec.get("normalizer") is None and spec.get("post_processor") is None and len(mark) == 1
+        self.mark = mark[0] if mark else -1
+        if self.by_piece and hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # no piece is encoded twice
+        self._forget()
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _forget(self) -> None:
+        self.known, self.flat, self.edges = pa.array([], pa.binary()), np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
         data, offsets = buffers(column)
-        blob = data.tobytes()
-        if not self.by_piece or any(x in blob for x in self.specials):
-            made = self._whole([blob[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
-            return np.frombuffer(b"".join(made), "<u4"), np.array([len(x) // 4 for x in made], np.int64)
+        blob = memoryview(np.ascontiguousarray(data))
+        if not self.by_piece or any(x in bytes(blob) for x in self.specials):
+            made = self._whole([bytes(blob[a:b]).decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
+            return np.concatenate([np.empty(0, np.uint32), *made]), np.array([len(x) for x in made], np.int64)
         start = self._edges(data, offsets)
-        end = np.append(start[1:], len(data))
-        h = span_hashes(data, start, end)
-        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        check = span_hashes(data, start, end, 1)
-        if (check[first][inverse] != check).any():  # two pieces share a hash: every piece is a kind of its own
-            first = inverse = np.arange(len(start))
-        pieces_ = [blob[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
-        ids = self._ids(pieces_)
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        size = np.array([len(x) // 4 for x in ids], np.int64)
-        at = np.cumsum(size) - size
+        bounds = pa.py_buffer(np.append(start, len(data)).astype(np.int32))
+        coded = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, bounds, pa.py_buffer(blob)]).dictionary_encode()
+        begin, size = self._places(coded.dictionary)
         # ids of each piece in the order of the text
-        n = size[inverse]
+        which = coded.indices.to_numpy()
+        n = size[which]
         total = np.concatenate([[0], np.cumsum(n)])
-        out = flat[np.repeat(at[inverse] - total[:-1], n) + np.arange(total[-1])]
-        per_row = total[np.searchsorted(start, offsets)]
-        return out, np.diff(per_row)
+        place = np.repeat((begin[which] - total[:-1]).astype(np.int32), n)
+        place += np.arange(total[-1], dtype=np.int32)
+        return self.flat[place], np.diff(total[np.searchsorted(start, offsets)])
 
     @staticmethod
-    def _edges(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Where pieces begin: at texts, and at ASCII white space after a character that surely is none."""
-        white = (data == 32) | ((data >= 9) & (data <= 13))
-        at = np.flatnonzero(white[1:] & ~white[:-1]) + 1 if len(data) else np.empty(0, np.int64)
+    def _sure(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the characters that end before these places surely are no white space."""
         b1, b2, b3 = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
         two = (b2 >= 0xC3) & (b2 <= 0xDF)
         three = (b2 >= 0x80) & (b2 < 0xC0) & ((b3 == 0xE0) | ((b3 >= 0xE3) & (b3 <= 0xEF))) & ~((b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x80))
         four = (b2 >= 0x80) & (b2 < 0xC0) & (b3 >= 0x80) & (b3 < 0xC0)
-        sure = ((b1 > 0x20) & (b1 < 0x7F)) | ((b1 >= 0x80) & (two | three | four))
+        return ((b1 > 0x20) & (b1 < 0x7F)) | ((b1 >= 0x80) & (two | three | four))
+
+    @classmethod
+    def _edges(cls, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces begin: at texts, at ASCII white space after what surely is none, at ASCII punctuation after an ASCII letter."""
+        kind = KINDS[data]
+        at = np.flatnonzero((kind[1:] == WHITE) & (kind[:-1] != WHITE)) + 1 if len(data) else np.empty(0, np.int64)
         begins = np.zeros(len(data), bool)
         begins[offsets[:-1][np.diff(offsets) > 0]] = True
-        begins[at[sure]] = True
+        begins[at[cls._sure(data, at)]] = True
+        begins[1:] |= (kind[1:] == PUNCTUATION) & (kind[:-1] == LETTER)
         return np.flatnonzero(begins)
 
-    def _ids(self, pieces_: list[bytes]) -> list[bytes]:
-        """Ids of distinct pieces; what was not asked for during a generation is forgotten."""
-        if len(self.known) > CACHE:
-            self.before, self.known = self.known, {}
-        known, before = self.known, self.before
-        out = [known.get(p) for p in pieces_]
-        new = []
-        for i, x in enumerate(out):
-            if x is None:
-                x = before.get(pieces_[i])
-                if x is None:
-                    new.append(i)
-                else:
-                    out[i] = known[pieces_[i]] = x
-        texts = [pieces_[i].decode() for i in new]
-        parted = [self.parts.findall(t) if self.common.fullmatch(t) else [t] for t in texts]
-        words = self.words
-        unseen = list({w for ws in parted for w in ws if w not in words})
-        if len(words) + len(unseen) > 2 * CACHE:
-            words.clear()
-            unseen = list({w for ws in parted for w in ws})
-        words.update(zip(unseen, self._whole(unseen)))
-        for i, ws in zip(new, parted):
-            out[i] = known[pieces_[i]] = b"".join([words[w] for w in ws])
-        return out
+    def _places(self, pieces_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``flat`` the ids of distinct pieces begin, and how many there are."""
+        if len(self.known) > KNOWN:
+            self._forget()
+        at = pc.index_in(pieces_, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = pieces_.take(pa.array(new))
+            at[new] = len(self.known) + np.arange(len(new))
+            ids, sizes = self._fresh(fresh)
+            self.known = pa.concat_arrays([self.known, fresh])
+            self.flat = np.concatenate([self.flat, ids])
+            self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(sizes)])
+        return self.edges[at], self.edges[at + 1] - self.edges[at]
+
+    def _fresh(self, pieces_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, numbers of ids) of pieces.
+
+        A piece without white space, but for one blank in front, is encoded as
+        it is between line feeds; the others are encoded alone.
+        """
+        data, offsets = buffers(pieces_)
+        white = np.concatenate([[0], np.cumsum(KINDS[data] == WHITE)])
+        inside = white[offsets[1:]] - white[offsets[:-1]] - (data[offsets[:-1]] == 32)
+        plain = (inside == 0) & self._sure(data, offsets[1:])
+        raw = pieces_.to_pylist()
+        of = np.flatnonzero(plain).tolist()
+        texts = [b"\n".join([*[raw[i] for i in of[a : a + TOGETHER]], b""]).decode() for a in range(0, len(of), TOGETHER)]
+        found = np.concatenate([np.empty(0, np.uint32), *self._whole(texts)])
+        marks = np.flatnonzero(found == self.mark)
+        if len(marks) != len(of):
+            raise RuntimeError("the tokenizer doesn't part text at line feeds")
+        sizes = np.zeros(len(raw), np.int64)
+        sizes[plain] = np.diff(marks, prepend=-1) - 1
+        odd = np.flatnonzero(~plain)
+        alone = self._whole([raw[i].decode() for i in odd.tolist()])
+        sizes[odd] = [len(x) for x in alone]
+        begin = np.cumsum(sizes) - sizes
+        flat = np.empty(int(sizes.sum()), np.uint32)
+        of_plain = np.repeat(plain, sizes)
+        flat[of_plain] = found[found != self.mark]
+        for b, x in zip(begin[odd].tolist(), alone):
+            flat[b : b + len(x)] = x
+        return flat, sizes
 
 
 _encoders: dict[str, Encoder] = {}
@@ -265,27 +292,35 @@ SEGMENTS = T.StructType(
 )
 
 
-def _tokenized(docs: DataFrame, text: str, id_col: str, path: str, end_id: int | None) -> DataFrame:
-    """id and ids (packed: two bytes each, or four for a vocabulary over 65536), sorted by id within range partitions."""
+def _tokenized(docs: DataFrame, text: str, id_col: str, path: str, size: int, kind: str, end_id: int | None) -> DataFrame:
+    """part, row, id and ids (packed as ``kind``), sorted by id within range partitions.
 
-    def make() -> Callable:
-        encoder = encoder_of(path)
-        kind = "<u2" if max(encoder.size - 1, end_id or 0) < 1 << 16 else "<u4"
-
-        def run(column):
-            ids, counts = encoder.encode(column)
-            if end_id is not None:
-                ids = np.insert(ids, np.cumsum(counts), end_id)
-                counts = counts + 1
-            blob, edges = ids.astype(kind).tobytes(), np.concatenate([[0], np.cumsum(counts)]) * np.dtype(kind).itemsize
-            return [pa.array([blob[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())], pa.binary())]
+    The last row of a part has no id and no ids, but the part's counts: tokens
+    and how often they occur, as packed longs.
+    """
 
-        return run
+    def run(batches):
+        encoder = encoder_of(path)
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for piece in pieces(batch, "text", TEXT):
+                ids, counts = encoder.encode(piece.column(1))
+                if end_id is not None:
+                    ids = np.insert(ids, np.cumsum(counts), end_id)
+                    counts = counts + 1
+                total += np.bincount(ids, minlength=size)
+                blob, edges = ids.astype(kind).tobytes(), np.concatenate([[0], np.cumsum(counts)]) * np.dtype(kind).itemsize
+                packed = pa.array([blob[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column(0), packed, pa.nulls(len(packed), pa.binary())], names=["id", "ids", "counts"])
+        used = np.flatnonzero(total)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([np.stack([used, total[used]]).astype("<i8").tobytes()], pa.binary())], names=["id", "ids", "counts"])
+        trim()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     ordered = rows.repartitionByRange(F.col("id").asc_nulls_first(), F.xxhash64("text").asc()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text").asc(), "text")
-    made = extended(ordered, "text", [T.StructField("ids", T.BinaryType())], make, ["id"], limit=PIECE // 2)
-    return made.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "id", "ids")
+    made = ordered.mapInArrow(run, "id long, ids binary, counts binary")
+    return made.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "id", "ids", "counts")
 
 
 def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: int | None = 2, text: str = "text", id_col: str = "doc_id") -> None:
@@ -301,18 +336,16 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, en
     size = Encoder(tokenizer).size
     size = max(size, (end_id or 0) + 1)
     kind = "<u2" if size - 1 < 1 << 16 else "<u4"
-    tokens, at = stored(_tokenized(docs, text, id_col, tokenizer, end_id), "tokens")
+    tokens, at = stored(_tokenized(docs, text, id_col, tokenizer, size, kind, end_id), "tokens")
     release(spark)
 
-    def count(batches):
-        total = np.zeros(size, np.int64)
+    def unpacked(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                total += np.bincount(np.frombuffer(b"".join(batch.column(0).slice(a, 256).to_pylist()), kind), minlength=size)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["token", "n"])
+            for packed in batch.column(0).to_pylist():
+                token, n = np.frombuffer(packed, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], names=["token", "n"])
 
-    counted = tokens.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    counted = tokens.where(F.col("counts").isNotNull()).select("counts").mapInArrow(unpacked, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(size, np.int64)
     counts[counted.column("token").to_numpy()] = counted.column("n").to_numpy()
     freq = frequencies(counts)
@@ -343,7 +376,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, en
             yield close()
         trim()
 
-    tokens.mapInArrow(encode, SEGMENTS).write.parquet(f"{path}/segments")
+    tokens.where(F.col("counts").isNull()).select("part", "row", "id", "ids").mapInArrow(encode, SEGMENTS).write.parquet(f"{path}/segments")
     forget(spark, at)
 
 
