@@ -23,8 +23,10 @@ HEADS = (5, 7)
 #: Training looks at no more labelled rows than this (chosen by a hash of their id and text; whole texts).
 SAMPLE_ROWS = 16000
 #: A term is learned if that many training rows have it, and if its chi-square with the label is that large, over all
-#: rows or (raised by the number of such pairs) over the rows of another term that is.
-LEAST_ROWS, LEAST_CHI = 3, 6.0
+#: rows or (raised by the number of such pairs) over the rows of one of the terms that go with the label most.
+LEAST_ROWS, LEAST_CHI, PARTNERS = 3, 6.0, 256
+#: Training rows that are counted at a time.
+CHUNK = 512
 
 
 def terms(column) -> tuple[np.ndarray, np.ndarray]:
@@ -70,12 +72,14 @@ class Machine:
                 p, sums = self._scores(at, row, len(part))
                 error = p - labels[part]
                 self_error = error[row]
+                # as in the score, a row's pairs count by the root of its number of terms
+                pair_error = self_error / np.maximum(1.0, np.sqrt(counts))[row]
                 g_b += float((error.mean()) ** 2)
                 self.bias -= rate * error.mean() / np.sqrt(g_b)
                 # gradients add up in the terms of this batch alone
                 own, inverse = np.unique(at, return_inverse=True)
                 gw = np.bincount(inverse, self_error, len(own)) + decay * self.weight[own]
-                gv = np.stack([np.bincount(inverse, self_error * (sums[row, f] - self.vector[at, f]), len(own)) for f in range(FACTORS)], 1) / np.maximum(1.0, np.sqrt(counts.mean())) + decay * self.vector[own]
+                gv = np.stack([np.bincount(inverse, pair_error * (sums[row, f] - self.vector[at, f]), len(own)) for f in range(FACTORS)], 1) + decay * self.vector[own]
                 g_w[own] += gw**2
                 g_v[own] += gv**2
                 self.weight[own] -= rate * gw / np.sqrt(g_w[own])
@@ -83,47 +87,41 @@ class Machine:
         self.weight, self.vector = self.weight.astype(np.float32), self.vector.astype(np.float32)
 
     @staticmethod
-    def _chi(at: np.ndarray, row_label: np.ndarray, n: int, toxic: float, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each bin: rows that have it, chi-square with the label."""
-        have, both = np.bincount(at, minlength=size).astype(float), np.bincount(at, row_label, size)
+    def _chi(have: np.ndarray, both: np.ndarray, n: int, toxic: float) -> np.ndarray:
+        """Chi-square with the label; have, both: rows, and toxic rows, of each bin."""
         cross = both * (n - have - toxic + both) - (have - both) * (toxic - both)
-        return have, n * cross**2 / np.maximum(have * (n - have) * toxic * (n - toxic), 1)
+        return n * cross**2 / np.maximum(have * (n - have) * toxic * (n - toxic), 1)
+
+    @staticmethod
+    def _counts(bins: list[np.ndarray], rows: np.ndarray, size: int) -> np.ndarray:
+        """How many of the rows have each bin."""
+        out = np.zeros(size)
+        for a in range(0, len(rows), CHUNK):
+            out += np.bincount(np.concatenate([bins[i] for i in rows[a : a + CHUNK]]), minlength=size)
+        return out
 
     @classmethod
     def _learned(cls, bins: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
         """Which bins go with the label more than chance explains, alone or next to one that does; without this, rare words fit the training rows."""
-        counts = np.array([len(b) for b in bins], np.int64)
-        at = np.concatenate(bins) if len(bins) else np.empty(0, np.int64)
-        have, chi = cls._chi(at, np.repeat(labels, counts), len(labels), labels.sum(), size)
-        del at
+        every, toxic = np.arange(len(bins)), np.flatnonzero(labels > 0)
+        have = cls._counts(bins, every, size)
+        chi = cls._chi(have, cls._counts(bins, toxic, size), len(bins), len(toxic))
         often = have >= LEAST_ROWS
         alone = often & (chi >= LEAST_CHI)
-        names, partners = np.flatnonzero(often), np.flatnonzero(alone)
-        if not len(partners):
-            return alone
-        place = np.full(size, -1, np.int32)
-        place[names] = np.arange(len(names))
-        few = [x[x >= 0] for x in (place[b] for b in bins)]
-        row = np.repeat(np.arange(len(few), dtype=np.int32), [len(b) for b in few])
-        flat = np.concatenate(few)
-        by = np.argsort(flat, kind="stable")
-        edges = np.append(0, np.cumsum(np.bincount(flat, minlength=len(names))))
-        row = row[by]
-        del flat, by
-        least = LEAST_CHI + 2 * np.log(len(partners) * len(names))
-        learned = alone[names]
-        for partner in place[partners]:
-            rows = row[edges[partner] : edges[partner + 1]]
-            toxic = labels[rows].sum()
-            if len(rows) < least or toxic in (0, len(rows)):  # a chi-square is never above the number of rows
-                continue
-            near = [few[i] for i in rows]
-            have, chi = cls._chi(np.concatenate(near), np.repeat(labels[rows], [len(b) for b in near]), len(rows), toxic, len(names))
-            learned |= (have >= LEAST_ROWS) & (chi >= least)
-        out = np.zeros(size, bool)
-        out[names[learned]] = True
-        del few, row
-        trim()
+        partners = np.flatnonzero(alone)
+        partners = partners[np.argsort(-chi[partners], kind="stable")[:PARTNERS]]
+        number = np.full(size, -1, np.int32)
+        number[partners] = np.arange(len(partners))
+        of: list[list[int]] = [[] for _ in partners]
+        for i, b in enumerate(bins):
+            for k in number[b][number[b] >= 0].tolist():
+                of[k].append(i)
+        least, out = LEAST_CHI + 2 * np.log(max(1, len(partners) * int(often.sum()))), alone.copy()
+        for near in map(np.array, of):
+            bad = near[labels[near] > 0]
+            if len(near) >= least and 0 < len(bad) < len(near):  # a chi-square is never above the number of rows
+                have = cls._counts(bins, near, size)
+                out |= often & (have >= LEAST_ROWS) & (cls._chi(have, cls._counts(bins, bad, size), len(near), len(bad)) >= least)
         return out
 
     def _scores(self, at: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +147,7 @@ def train(docs: DataFrame, *, text: str = "text", label: str = "toxic", id_col:
     """A machine fitted to at most ``sample_rows`` rows with label 0 or 1.
 
     Only hashed terms of the chosen rows come to the driver.  Rows with a null
-    label teach nothing; without any label every score is the prior of one half.
+    label teach nothing; without any label every score is one half.
     """
     rows = docs.where(F.col(f"`{label}`").isNotNull()).select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text"), (F.col(f"`{label}`").cast("double") > 0).cast("int").alias("__label"))
     key = F.xxhash64(F.lit(3), "__id", "__text")
@@ -177,8 +175,8 @@ def train(docs: DataFrame, *, text: str = "text", label: str = "toxic", id_col:
 def score(docs: DataFrame, machine: Machine, *, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 if score is 0.5 or more).
 
-    Null and empty texts, and texts of unknown terms, score as the share of
-    toxic rows in training.
+    Null and empty texts, and texts of unknown terms, score what the trained bias
+    alone says; after training without labels that is one half.
     """
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 

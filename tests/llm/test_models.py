@@ -31,19 +31,25 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_learns_pairs():
-    """Neither term says anything alone; the pair does."""
+    """Either term is toxic, both together are not: no linear score says that."""
     r = np.random.default_rng(0)
-    bins, labels = [], []
-    for _ in range(3000):
-        a, b = r.random(2) < 0.5
-        bins.append(np.array([x for x, on in ((1, a), (2, b), (3, True)) if on]))
-        labels.append(float(a and b))
-    machine = toxicity.Machine(bins, np.array(labels), epochs=30)
-    at = machine.place[np.array([1, 2, 1, 2])]
-    alone, other, both = machine._scores(at, np.array([0, 1, 2, 2]), 3)[0]
-    linear = machine.weight[at[:2]].sum()
-    assert both > 0.5 > max(alone, other) and np.isfinite(linear)
-    assert abs(machine.vector[at[0]] @ machine.vector[at[1]]) > 0.05
+    rows = np.stack([r.random(3000) < 0.5, r.random(3000) < 0.3], 1)
+    labels = (rows[:, 0] ^ rows[:, 1]).astype(float)
+    machine = toxicity.Machine([np.array([x for x, on in ((1, a), (2, b), (3, True)) if on]) for a, b in rows], labels, epochs=80)
+    place = machine.place[[1, 2, 3]]
+    cases = np.array([[0, 0], [1, 0], [0, 1], [1, 1]])
+
+    def predicted():
+        at = np.concatenate([place[:2][c > 0] for c in cases])
+        return machine._scores(at, np.repeat(np.arange(4), cases.sum(1)), 4)[0] >= 0.5
+
+    want = [False, True, True, False]
+    assert predicted().tolist() == want
+    design = np.c_[rows, np.ones(3000)]
+    line = np.c_[cases, np.ones(4)] @ np.linalg.lstsq(design, labels, rcond=None)[0] >= 0.5
+    assert line.tolist() != want  # the control: weights alone
+    machine.vector[:] = 0
+    assert predicted().tolist() != want
 
 
 def test_toxicity_keeps_terms_that_matter_in_pairs_only():
