@@ -19,10 +19,9 @@ def classified_links(pages: DataFrame, rules: Rules, pagination: tuple[str, ...]
 
 
 def classified_pages(pages: DataFrame, rules: Rules) -> DataFrame:
-    """Each page as if it were a link, its title being the anchor: native from scan to score."""
+    """Each page as if it were a link, its title being the anchor."""
     title = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
-    url = F.regexp_replace(F.regexp_replace("url", "#.*$", ""), r"\?utm_source=[^&]*$", "")
-    rows = pages.select("page_id", url.alias("url"), title.alias("anchor"))
+    rows = pages.select("page_id", urls.canonicalize("url").alias("url"), title.alias("anchor"))
     verdict = scoring.with_verdict(rows, F.col("url"), F.col("anchor"), F.lit(""), rules)
     name = urls.host_of(F.col("url"))
     return verdict.select("page_id", "url", name.alias("host"), urls.domain_of(name).alias("domain"), F.col("v.category").alias("category"), F.col("v.score").alias("score"), F.col("v.excluded").alias("excluded"), F.array_join("v.matched_keywords", ",").alias("matched_keywords"), scoring.risk_label(F.col("v.score"), rules).alias("risk"))

@@ -21,6 +21,7 @@ from .sources import sinks
 # -- the store as views over the star schema ---------------------------------
 _TLD = "CASE WHEN cast(floor(p_partkey / 8) AS bigint) % 4 = 0 THEN '.com' WHEN cast(floor(p_partkey / 8) AS bigint) % 4 = 1 THEN '.xyz' WHEN cast(floor(p_partkey / 8) AS bigint) % 4 = 2 THEN '.top' ELSE '.co.kr' END"
 _NO = "cast(cast(floor(p_partkey / 8) AS bigint) AS varchar(20))"
+_SOURCE = "cast(1 + floor(l_partkey / 20) + l_suppkey % (1 + l_partkey % 6) AS bigint)"
 FX = {
     "fx_sources": """
  SELECT s_suppkey AS id, concat('https://promo', cast(s_suppkey AS varchar(20)), '.test/') AS url, s_name AS name,
@@ -30,11 +31,12 @@ FX = {
   s_suppkey % 3 AS depth, (s_suppkey * 7) % 101 AS promo_score, s_suppkey % 12 AS consecutive_failures, (s_suppkey * 13) % 50 AS found_total,
   CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE (s_suppkey * 11) % 97 END AS evaluated_at,
   CASE WHEN s_suppkey > 3 THEN cast(floor(s_suppkey / 3) AS bigint) END AS discovered_from_id FROM supplier""",
-    "fx_obs": """
- SELECT l_orderkey, l_linenumber, l_partkey AS site_id, l_suppkey AS source_id,
-  concat('https://promo', cast(l_suppkey AS varchar(20)), '.test/') AS source_url,
+    # one to six sources for each site, neighbours sharing some
+    "fx_obs": f"""
+ SELECT l_orderkey, l_linenumber, l_partkey AS site_id, {_SOURCE} AS source_id,
+  concat('https://promo', cast({_SOURCE} AS varchar(20)), '.test/') AS source_url,
   CASE WHEN l_linenumber % 4 = 1 THEN 'a_href' WHEN l_linenumber % 4 = 2 THEN 'data_attr' WHEN l_linenumber % 4 = 3 THEN 'js_script' ELSE 'text' END AS method,
-  (l_returnflag = 'R') AS banner, cast(l_quantity AS int) AS score, l_shipdate AS found_at FROM lineitem WHERE l_quantity <= 2""",
+  (l_returnflag = 'R') AS banner, cast(l_quantity AS int) AS score, l_shipdate AS found_at FROM lineitem""",
     "fx_seen": """
  SELECT l_partkey AS site_id, min(l_shipdate) AS first_seen_at, max(l_shipdate) AS last_seen_at, count(*) AS seen_count FROM lineitem GROUP BY l_partkey""",
     "fx_parts": f"""
@@ -142,7 +144,7 @@ def same_site_pages(spark, sf):
     return _table(spark, sf, "pages").select("page_id", urls.same_site(F.col("url"), F.lit("https://www.example.com/")).alias("same"), urls.any_mark(F.col("url"), ("page=", "P=")).alias("pagination"))
 
 
-@query("deobfuscate")
+@query("deobfuscate", f"SELECT page_id, url AS text, {_CLEAN} AS urls FROM pages")
 def deobfuscate(spark, sf):
     spelt = F.regexp_replace("url", r"\.", "[.]")
     return _table(spark, sf, "pages").select("page_id", urls.deobfuscate(spelt).alias("text"), F.array_join(urls.text_urls(spelt), " ").alias("urls"))
@@ -396,11 +398,26 @@ def declared_language(spark, sf):
     return _table(spark, sf, "pages").select("page_id", language.declared_language(F.col("html")).alias("lang"))
 
 
-@query("language_verdict", "SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'ko' ELSE 'foreign' END AS verdict, (page_id % 10 = 0) AS kept FROM pages")
+# every branch: by encoding, empty, by the html tag, by the share of Hangul, too short, by a meta tag, foreign
+_LANGUAGE_PAGES = """SELECT page_id, CASE page_id % 8 WHEN 1 THEN '' WHEN 2 THEN concat('<html lang="ko-KR">', html) WHEN 3 THEN translate(html, 'eta', '가나다')
+   WHEN 4 THEN substr(html, 1, 120) WHEN 5 THEN concat('<html><meta http-equiv="Content-Language" content="KO">', replace(html, 'lang=', 'x=')) ELSE html END AS html,
+   CASE WHEN page_id % 8 = 0 THEN 'EUC-KR' ELSE 'utf-8' END AS encoding FROM pages"""
+
+
+@query(
+    "language_verdict",
+    f"""WITH h AS ({_LANGUAGE_PAGES}),
+     t AS (SELECT *, substr(regexp_replace(substr(html, 1, 80000), '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]+>', ' ', 'gis'), 1, 40000) AS text, substr(html, 1, 8192) AS head FROM h),
+     n AS (SELECT *, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(text, '[^가-힣ᄀ-ᇿ㄰-㆏]', '', 'g')) AS hangul,
+      coalesce(nullif(regexp_extract(head, '(?i)<html[^>]*\\blang\\s*=\\s*["'']?([a-zA-Z\\-]{{2,10}})', 1), ''), regexp_extract(head, '(?i)<meta[^>]+http-equiv\\s*=\\s*["'']?content-language["'']?[^>]*content\\s*=\\s*["'']?([a-zA-Z\\-]{{2,10}})', 1)) AS lang FROM t),
+     v AS (SELECT page_id, CASE WHEN letters < 30 THEN 0.0::DOUBLE ELSE hangul::DOUBLE / letters END AS ratio, lower(encoding) AS encoding,
+      CASE WHEN html = '' THEN 'unknown' WHEN encoding = 'EUC-KR' THEN 'ko' WHEN letters >= 30 AND hangul >= 0.1 * letters THEN 'ko' WHEN lower(lang) LIKE 'ko%' THEN 'ko' WHEN letters < 30 THEN 'unknown' ELSE 'foreign' END AS language FROM n)
+     SELECT page_id, language, ratio, encoding, language <> 'foreign' AS kept FROM v""",
+)
 def language_verdict(spark, sf):
-    encoding = F.when(F.col("page_id") % 10 == 0, F.lit("EUC-KR")).otherwise(F.lit("utf-8"))
-    rows = _table(spark, sf, "pages").select("page_id", language.page_verdict(F.col("html"), encoding).alias("verdict"))
-    return rows.withColumn("kept", language.keeps(F.col("verdict")))
+    pages = spark.sql(_LANGUAGE_PAGES.replace("FROM pages", "FROM {pages}"), pages=_table(spark, sf, "pages"))
+    rows = pages.select("page_id", language.page_evidence(F.col("html"), F.col("encoding")).alias("v")).select("page_id", "v.*")
+    return rows.withColumn("kept", language.keeps(F.col("language")))
 
 
 @query(
@@ -431,10 +448,10 @@ def sources_by_state(spark, sf):
     return frontier.in_states(fx(spark, sf, "fx_sources"), "pending", "rejected").select("id", "state", "promo_score")
 
 
-@query("known_domain_overlap", "SELECT l.id, count(*) AS known FROM fx_links l WHERE l.domain IN (SELECT domain FROM fx_sites WHERE base_score >= 60) GROUP BY l.id", ("fx_links", "fx_sites"))
+@query("known_domain_overlap", "SELECT l.id, count(*) AS known FROM fx_links l WHERE l.domain IN (SELECT domain FROM fx_sites) GROUP BY l.id", ("fx_links", "fx_sites"))
 def known_domain_overlap(spark, sf):
     links = fx(spark, sf, "fx_links")
-    known = frontier.known_domains(links, fx(spark, sf, "fx_sites").where("base_score >= 60"))
+    known = frontier.known_domains(links, fx(spark, sf, "fx_sites"))
     return links.join(known, "domain", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("known"))
 
 
@@ -456,15 +473,15 @@ def new_domain_candidates(spark, sf):
     "jaccard_mirrors",
     """+ l AS (SELECT cast(p_partkey AS bigint) % 300 AS id, cast(floor(p_partkey / 300) AS bigint) * 7 + (p_partkey % 300) % 9 AS d FROM part),
      s AS (SELECT id, list_sort(list_distinct(list(concat('d', cast(d AS varchar(20)))))) AS x FROM l GROUP BY id)
-     SELECT a.id, min(b.id) AS mirror_of_id FROM s a JOIN s b ON a.id <> b.id AND b.id < a.id
+     SELECT a.id, min(b.id) AS mirror_of_id FROM s a JOIN s b ON a.id % 2 = 1 AND a.id <> b.id AND (b.id % 2 = 0 OR b.id < a.id)
      WHERE len(a.x) >= 5 AND len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x))) >= 0.8 GROUP BY a.id""",
     ("fx_runs",),
 )
 def jaccard_mirrors(spark, sf):
     l = _table(spark, sf, "part").select((F.col("p_partkey") % 300).cast("long").alias("id"), F.concat(F.lit("d"), (F.floor(F.col("p_partkey") / 300) * 7 + (F.col("p_partkey") % 300) % 9).cast("string")).alias("d"))
     s = l.groupBy("id").agg(F.sort_array(F.collect_set("d")).alias("link_domains")).withColumn("pos", F.col("id"))
-    stored = s.limit(0).select("id", "link_domains")
-    return frontier.mirrors(s, stored)
+    # odd ids are evaluated now, in this order; even ids are stored
+    return frontier.mirrors(s.where("id % 2 = 1"), s.where("id % 2 = 0").select("id", "link_domains"))
 
 
 @query(
@@ -639,17 +656,31 @@ def summary_sheet(spark, sf):
     return sinks.summary_sheet(aggregate.summary_counts(fx(spark, sf, "fx_sites")).select("total", "alive", "dead"))
 
 
-# -- HTML (no SQL: tests hold the results against fixtures) ------------------
-@query("page_signals")
+# -- HTML --------------------------------------------------------------------
+_BLOCKS = "<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]+>"
+_DECODED = "replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_PIECES = f"list_filter(list_transform(string_split(regexp_replace(html, '{_BLOCKS}', chr(1), 'gs'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '')"
+
+
+@query(
+    "page_signals",
+    f"""WITH t AS (SELECT page_id, {_DECODED.format("regexp_extract(html, '<title>(.*?)</title>', 1)")} AS title, {_DECODED.format("regexp_extract(html, '<h1>(.*?)</h1>', 1)")} AS heading, {_DECODED.format(f"array_to_string({_PIECES}, ' ')")} AS text FROM pages)
+     SELECT page_id, substr(trim(title), 1, 200) AS title, substr(trim(heading), 1, 200) AS headings, '' AS meta_description, substr(text, 1, 20000) AS text, false AS has_password_input FROM t""",
+)
 def page_signals(spark, sf):
-    s = _table(spark, sf, "pages").withColumn("s", html.page_signals("html"))
-    return s.select("page_id", "s.title", "s.headings", "s.has_password_input", F.length("s.text").alias("text_length"))
+    return _table(spark, sf, "pages").select("page_id", html.page_signals("html").alias("s")).select("page_id", "s.*")
 
 
-@query("extract_links")
+@query(
+    "extract_links",
+    """WITH n AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="/([^"]*)">', 1)) AS path, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS said FROM pages)
+     SELECT DISTINCT page_id, 'https://out.top/' || path || '?k=1' AS url, said AS anchor_text, CASE WHEN length(said) > 10 THEN said ELSE '' END AS context_text, 'a_href' AS method, false AS banner FROM n""",
+)
 def extract_links(spark, sf):
-    read = html.extract_links(_table(spark, sf, "pages"), pagination=("page=", "/the"))
-    return read.select("page_id", "title", F.size("links").alias("n_links"), F.size("internal").alias("n_internal"))
+    """The links of each page's navigation, led to another site and given a tracking parameter."""
+    navigation = F.regexp_extract("html", "(?s)<nav>.*?</nav>", 0)
+    pages = _table(spark, sf, "pages").withColumn("html", F.regexp_replace(navigation, 'href="/([^"]*)"', 'href="https://out.top/$1?utm_source=x&k=1"'))
+    return html.extract_links(pages).select("page_id", F.explode("links").alias("l")).select("page_id", "l.url", "l.anchor_text", "l.context_text", "l.method", "l.banner")
 
 
 # -- extensions --------------------------------------------------------------
