@@ -9,7 +9,8 @@ is sent to the executors.
 States are the histories that have arcs; a state's failure arc leads to its
 longest proper suffix and carries the mass that interpolated absolute
 discounting leaves for it.  One traversal from left to right carries the state
-and adds up log-probabilities.
+and adds up log-probabilities; as a state is at most order - 1 words long, all
+places of a batch take the same step of it at a time.
 
 A text's score is a sum over its n-grams: each kept n-gram changes the
 log-probability of its last word by a fixed amount, and that of the next word by
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import LOWER, NON_SPACE, U64, Words, cut, mix, pieces, release, stored, trim
+from .kernel import LOWER, NON_SPACE, U64, Lookup, Words, cut, forget, mix, pieces, release, stored, trim
 
 #: Longest n-gram; share of the training tokens from which a word, or a longer n-gram, is part of the automaton.
 ORDER, WORD_SHARE, HEAD_SHARE = 3, 1e-6, 1e-5
@@ -77,17 +78,12 @@ def _rows(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
 
 
-class Ids:
+class Ids(Lookup):
     """Numbers of the words of the automaton: 0, 1, ... by hash; -1 for all others."""
 
     def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes.astype(U64))
-
-    def of(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(h), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
+        super().__init__(np.sort(hashes.astype(U64)))
+        self.hashes = self.keys
 
 
 def _room(first: np.ndarray, n: int) -> np.ndarray:
@@ -227,41 +223,64 @@ class Automaton:
         self.source, self.to, self.value = join(source, np.int64), join(to, np.int64), join(value, np.float64)
 
     def ready(self) -> None:
-        """Makes the lookups of the traversal; they are not sent, each worker makes its own."""
-        if not hasattr(self, "walk"):
-            self.walk = (dict(zip(self.source.tolist(), zip(self.to.tolist(), self.value.tolist()))), self.fail.tolist(), self.weight.tolist(), self.down.tolist(), self.word.tolist())
-
-
-def traverse(machine: Automaton, words: list[int]) -> float:
-    """Log10-probability of a text's tokens, without the last step of words that have no number."""
-    arcs, fail, weight, down, single = machine.walk
-    get, first = arcs.get, machine.first
-    state, total = 0, 0.0
-    for w in words:
-        if w < 0:
-            total += down[state]
-            state = 0
-            continue
-        while state:
-            arc = get(state << 24 | w)
-            if arc is not None:
-                state = arc[0]
-                total += arc[1]
-                break
-            total += weight[state]
-            state = fail[state]
-        else:
-            total += single[w]
-            state = first + w if first else 0
-    return total
+        """Makes the lookup of arcs; it is not sent, each worker makes its own."""
+        if not hasattr(self, "arcs"):
+            codes = mix(self.source.astype(U64))
+            by = np.argsort(codes)
+            self.by, self.arcs = by, Lookup(codes[by])
+
+    def arc(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The arc of each state and word, -1 where there is none."""
+        at = self.arcs.of(mix((state.astype(U64) << U64(24)) | word.astype(U64)))
+        return np.where(at >= 0, self.by[at], -1) if len(self.by) else at
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("arcs", "by")}
+
+
+def traverse(machine: Automaton, words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Log10-probability of the tokens of each text, without the last step of words that have no number (-1).
+
+    first: where each text begins, and the end.  All places take a step at a time.
+    """
+    machine.ready()
+    n, known = len(words), words >= 0
+    begins = np.zeros(n + 1, bool)
+    begins[first] = True
+    later = np.flatnonzero(known & ~begins[:-1])
+    before = lambda state: np.where(begins[:-1], 0, np.concatenate([[0], state[:-1]])) if n else state
+    # the state after each token: of the longest history of 1, 2, ... words that has arcs
+    state = np.where(known, machine.first + words, 0) if machine.first else np.zeros(n, np.int64)
+    for _ in range(2, len(machine.base) - 1):
+        from_, longer = before(state)[later], state.copy()
+        inner = from_ > 0
+        arc = machine.arc(from_[inner], words[later[inner]])
+        longer[later[inner][arc >= 0]] = machine.to[arc[arc >= 0]]
+        state = longer
+    now = before(state)
+    value = np.where(known, 0.0, machine.down[now])
+    left = later[now[later] > 0]
+    single = known.copy()
+    while len(left):
+        arc = machine.arc(now[left], words[left])
+        hit = arc >= 0
+        value[left[hit]] += machine.value[arc[hit]]
+        single[left[hit]] = False
+        left = left[~hit]  # these fail to a shorter history
+        value[left] += machine.weight[now[left]]
+        now[left] = machine.fail[now[left]]
+        left = left[now[left] > 0]
+    if len(machine.word):
+        value[single] += machine.word[words[single]]
+    total = np.concatenate([[0.0], np.cumsum(value)])
+    return total[first[1:]] - total[first[:-1]]
 
 
 def train(docs: DataFrame, *, text: str = "text", order: int = ORDER, word_share: float = WORD_SHARE, share: float = 0.0, head_share: float = HEAD_SHARE) -> tuple[dict[int, DataFrame], Automaton]:
     """(for each n the table of all kept n-grams; the automaton of the frequent ones).
 
-    Tables have h (hash), c, left (the share of mass that longer n-grams leave),
-    p (probability of the last word) and s (what the n-gram adds to a text's
-    score).  All words are kept, and longer n-grams of ``LEAST`` occurrences or
+    Tables have h (hash) and s (what the n-gram adds to a text's score); that of
+    words also c, left (the share of mass that longer n-grams leave) and p.  All words are kept, and longer n-grams of ``LEAST`` occurrences or
     more; ``share`` drops those below a share of the tokens as well (none by
     default).
     """
@@ -269,14 +288,15 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER, word_share
         raise ValueError("word_share is too small for the numbers of words")
     rows = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
-    counts = cut(word_counts(rows))
+    counts, counts_at = stored(word_counts(rows), "lm-counts1")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, kinds = int(total["n"]), int(total["v"])
     floor = tokens + ADDED * (kinds + 1)
-    kept = {}
+    kept, dead = {}, {n: [] for n in range(1, order + 1)}
     for n in range(2, order + 1):
         for turn in range(n - 1):
-            part = stored(gram_counts(rows, n, max(LEAST, share * tokens), tokens, turn, n - 1), f"lm-counts{n}")[0]
+            part, at = stored(gram_counts(rows, n, max(LEAST, share * tokens), tokens, turn, n - 1), f"lm-counts{n}")
+            dead[n].append(at)
             kept[n] = kept[n].unionByName(part) if turn else part
             release(spark)
 
@@ -284,18 +304,36 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER, word_share
         if n + 1 not in kept:
             return table.withColumn("left", F.lit(1.0))
         mass = kept[n + 1].groupBy(F.col("a").alias("h")).agg(F.sum(F.col("c") - F.lit(DISCOUNT)).alias("mass"))
-        return table.join(mass, "h", "left").withColumn("left", F.greatest(F.lit(1e-9), 1 - F.coalesce("mass", F.lit(0.0)) / F.col("c"))).drop("mass")
+        return table.join(mass.hint("shuffle_hash"), "h", "left").withColumn("left", F.greatest(F.lit(1e-9), 1 - F.coalesce("mass", F.lit(0.0)) / F.col("c"))).drop("mass")
 
     words = with_left(counts.withColumnRenamed("hash", "h"), 1).withColumn("p", (F.col("c") + F.lit(ADDED)) / F.lit(floor))
-    tables = {1: stored(words.withColumn("s", F.log10("p") + F.log10("left")), "lm-grams1")[0]}
+    tables, at = {}, {}
+    tables[1], at[1] = stored(words.withColumn("s", F.log10("p") + F.log10("left")), "lm-grams1")
+    forget(spark, counts_at)
+    heads_of = {}
     for n in range(2, order + 1):
+        # words are looked up by their hashes, each join leaving out what is done with; keys of the hashed sides are unique
         shorter = tables[n - 1]
-        history = shorter.select(F.col("h").alias("a"), F.col("c").alias("c_a"), F.col("left").alias("left_a"))
-        table = with_left(kept[n], n).join(history, "a").join(shorter.select(F.col("h").alias("b"), F.col("p").alias("p_b")), "b")
+        frequent = max(LEAST, head_share * tokens, word_share * tokens)
+        last = shorter.select(F.col("h").alias("b"), F.col("p").alias("p_b")).hint("shuffle_hash")
+        history = shorter.select(F.col("h").alias("a"), F.col("c").alias("c_a"), F.col("left").alias("left_a")).hint("shuffle_hash")
+        table = kept[n].join(last, "b").select("h", "a", F.when(F.col("c") >= frequent, F.col("b")).alias("b"), "c", "p_b").join(history, "a")
         table = table.withColumn("p", (F.col("c") - F.lit(DISCOUNT)) / F.col("c_a") + F.col("left_a") * F.col("p_b"))
-        table = table.withColumn("s", F.log10("p") - F.log10("left_a") - F.log10("p_b") + F.log10("left"))
-        tables[n] = stored(table.select("h", "a", "b", "c", "left", "p", "s"), f"lm-grams{n}")[0]
+        table = table.select("h", F.when(F.col("c") >= frequent, F.col("a")).alias("a"), "b", "c", "p", (F.log10("p") - F.log10("left_a") - F.log10("p_b")).alias("s"))
+        table = with_left(table, n).withColumn("s", F.col("s") + F.log10("left"))
+        tables[n], at[n] = stored(table.select("h", "a", "b", "c", "left", "p", "s"), f"lm-grams{n}")
+        for path in dead[n]:
+            forget(spark, path)
+        heads_of[n] = tables[n].where(F.col("a").isNotNull()).select("h", "a", "b", "c", "left").toArrow()
+        if n > 2:  # what a text asks for is the hash and the score; the rest was for the next order
+            slim, path = stored(tables[n - 1].select("h", "s"), f"lm-scores{n - 1}")
+            forget(spark, at[n - 1])
+            tables[n - 1], at[n - 1] = slim, path
         release(spark)
+    if order > 1:
+        slim, path = stored(tables[order].select("h", "s"), f"lm-scores{order}")
+        forget(spark, at[order])
+        tables[order] = slim
 
     column = lambda found, name: found.column(name).to_numpy()
     found = tables[1].where(F.col("c") >= max(LEAST, word_share * tokens)).toArrow()
@@ -308,7 +346,7 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER, word_share
     number = last
     for n in range(2, order + 1):
         # the parts of an n-gram are as frequent as it is, so they are found
-        found = tables[n].where(F.col("c") >= max(LEAST, head_share * tokens, word_share * tokens)).select("h", "a", "b", "c", "left").toArrow()
+        found = heads_of[n]
         h, before, after = (column(found, x).view(U64) for x in "hab")
         place = shorter.of(after)
         codes = (number[shorter.of(before)] << np.int64(24)) | last[place] if len(h) else np.empty(0, np.int64)
@@ -379,14 +417,13 @@ def _tails(texts: DataFrame, table: DataFrame, n: int, heads: np.ndarray, tokens
                 continue
             key, value = np.concatenate(keys.pop(p)), np.concatenate(values.pop(p))
             by = np.argsort(key)
-            key, value = key[by], value[by]
+            value, known = value[by], Lookup(key[by] << U64(16))
             rows = []
             for block, k, more in questions:
                 wide = np.zeros((len(more) // 2, 8), np.uint8)
                 wide[:, :6] = np.frombuffer(k, np.uint8).reshape(-1, 6)
-                wanted = wide.reshape(-1).view("<u8")
-                at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-                hit = key[at] == wanted
+                at = known.of(wide.reshape(-1).view("<u8") << U64(16))
+                hit = at >= 0
                 row, which = np.unique(np.frombuffer(more, "<u2")[hit], return_inverse=True)
                 if len(row):
                     rows.append((p, block, row.tobytes(), np.bincount(which, value[at[hit]], len(row)).tobytes()))
@@ -427,7 +464,6 @@ def score(docs: DataFrame, model: tuple[dict[int, DataFrame], Automaton], *, tex
 
     def run(batches):
         m: Automaton = sent.value
-        m.ready()
         for batch in batches:
             for piece in pieces(batch, "text"):
                 h, first = token_hashes(piece.column(piece.schema.get_field_index("text")))
@@ -435,9 +471,7 @@ def score(docs: DataFrame, model: tuple[dict[int, DataFrame], Automaton], *, tex
                 rare = w < 0
                 base = np.concatenate([[0.0], np.cumsum(np.where(rare, 0.0, m.word[w]))]) if len(m.word) else np.zeros(len(w) + 1)
                 known = np.concatenate([[0], np.cumsum(~rare)])
-                edges = first.tolist()
-                numbers = w.tolist()
-                scores = [traverse(m, numbers[a:b]) for a, b in zip(edges, edges[1:])]
+                scores = traverse(m, w, first)
                 missing = np.concatenate([[0], np.cumsum(rare)])[first]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), piece.column(1), pa.array(np.diff(first)), pa.array(known[first[1:]] - known[first[:-1]]), pa.array(base[first[1:]] - base[first[:-1]]), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(missing.astype(np.int32)), pa.array(h[rare].view(np.int64))), piece.column(2)],

@@ -102,16 +102,15 @@ def test_every_ngram_seen_twice_counts(spark, monkeypatch):
 def test_chances_sum_to_one(spark):
     learn = spark.createDataFrame([(t,) for t in corpus(3)], "text string")
     _, m = lm.train(learn, share=1e-9)
-    m.ready()
-    arcs, fail, weight, _, single = m.walk
+    arcs, fail, weight, single = dict(zip(m.source.tolist(), m.value.tolist())), m.fail, m.weight, m.word
     unseen = lm.ADDED / m.floor * (m.kinds + 1 - len(single))  # words without a number, and one never seen
     rare_counted = m.tokens - round(sum(10**x * m.floor - lm.ADDED for x in single))
     for state in range(len(fail)):
         total, s, factor, seen = 0.0, state, 1.0, set()
         while s:
             for w in range(len(single)):
-                if w not in seen and (s << 24 | w) in arcs:
-                    total += factor * 10 ** arcs[s << 24 | w][1]
+                if w not in seen and (int(s) << 24 | w) in arcs:
+                    total += factor * 10 ** arcs[int(s) << 24 | w]
                     seen.add(w)
             factor *= 10 ** weight[s]
             s = fail[s]
