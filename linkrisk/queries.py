@@ -658,7 +658,7 @@ def summary_sheet(spark, sf):
 
 # -- HTML --------------------------------------------------------------------
 _BLOCKS = "<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]+>"
-_DECODED = "replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_DECODED = """replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&')"""
 _PIECES = f"list_filter(list_transform(string_split(regexp_replace(html, '{_BLOCKS}', chr(1), 'gs'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '')"
 
 
