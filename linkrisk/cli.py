@@ -5,13 +5,14 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 import sys
+from dataclasses import fields
 
 from pyspark.sql import functions as F
 
 from . import rules as rule_packs
 from .functions.urls import canonical
 from .operators import aggregate, frontier, sites
-from .plans import preview
+from .plans import cycle, preview
 from .session import local_session
 from .sources import readers, sinks
 from .sources.snapshots import Store
@@ -21,6 +22,7 @@ from .streaming.micro import stored_state
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="linkrisk")
     p.add_argument("--rules", help="rule pack (YAML or JSON); a small demo pack otherwise")
+    p.add_argument("--config", help="settings (YAML or JSON)")
     sub = p.add_subparsers(dest="command", required=True)
 
     def command(name, *arguments, store=True):
@@ -32,6 +34,12 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     command("preview", "html", "url", store=False).add_argument("--all", action="store_true")
+    command("init")
+    c = command("run-once", "pages")
+    c.add_argument("--redirects"), c.add_argument("--probes"), c.add_argument("--verdicts")
+    c.add_argument("--cycle", type=int, default=1), c.add_argument("--pagination", nargs="*", default=[])
+    command("evaluate", "pages")
+    command("check-alive", "probes")
     command("status")
     command("export", "folder")
     command("list-sources")
@@ -51,7 +59,9 @@ def main(argv: list[str] | None = None, spark=None, now: dt.datetime | None = No
     a = parser().parse_args(argv)
     spark = spark or local_session()
     pack = rule_packs.load(a.rules) if a.rules else rule_packs.DEMO
-    when = F.lit(now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0))
+    cfg = readers.config(a.config)
+    now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
+    when = F.lit(now)
     if a.command == "preview":
         pages = readers.html_files(spark, a.html, a.url)
         preview.preview(pages, pack, a.all).select("url", "score", "category", "risk", "anchor_text").show(100, truncate=60)
@@ -62,12 +72,20 @@ def main(argv: list[str] | None = None, spark=None, now: dt.datetime | None = No
         counts = aggregate.summary(state.sites, state.sources, state.domain_language, when)
         print(sinks.status_json(counts).first()["status"])
     elif a.command == "export":
-        sinks.write_sheets(sinks.report(state.sites, state.sources, state.observations, state.runs, state.domain_language, pack, when), a.folder)
-        print(sinks.write_feed(sinks.feed(state.sites, aggregate.site_sources(state.observations)), f"{a.folder}/feed.csv"))
+        sheets = sinks.report(state.sites, state.sources, state.observations, state.runs, state.domain_language, pack, when, mode=cfg.group_by, min_score=cfg.min_score)
+        sinks.write_sheets(sheets, a.folder)
+        if cfg.csv_enabled:
+            linked = aggregate.site_sources(state.observations)
+            print(sinks.write_feed(sinks.feed(state.sites, linked, cfg.csv_min_score), f"{a.folder}/feed.csv"))
+            print(sinks.write_feed(sinks.feed(state.sites, linked, cfg.csv_min_score, when - F.expr("interval 24 hours")), f"{a.folder}/feed-new.csv"))
+        if cfg.keep_snapshots:
+            sinks.write_snapshot(sheets, f"{a.folder}/snapshots", now.date().isoformat(), cfg.snapshot_days)
     elif a.command == "list-sources":
         sinks.sources_sheet(state.sources).show(500, truncate=80)
     elif a.command == "candidates":
         sinks.candidates_sheet(state.sources).show(500, truncate=80)
+    elif a.command in ("init", "run-once", "evaluate", "check-alive"):
+        return _cycle(a, spark, store, state, pack, cfg, when)
     elif a.command == "mark":
         marked = sites.mark(state.sites, a.target, a.status, a.memo).persist()
         hits = marked.where("marked").count()
@@ -80,6 +98,30 @@ def main(argv: list[str] | None = None, spark=None, now: dt.datetime | None = No
     return 0
 
 
+def _tables(state) -> dict:
+    return {f.name: getattr(state, f.name) for f in fields(state)}
+
+
+def _cycle(a, spark, store: Store, state, pack, cfg, when) -> int:
+    """Commands that run a cycle or a part of it over tables of what was fetched (Parquet)."""
+    table = lambda path: spark.read.parquet(path) if path else None
+    if a.command == "init":
+        if not store.version():
+            store.commit(_tables(state))
+        return 0
+    if a.command == "run-once":
+        store.commit({"runs": cycle.start_run(state.runs, when)})
+        after = cycle.run_once(stored_state(store), table(a.pages), pack, cfg, when, cycle=a.cycle, redirects=table(a.redirects), verdicts=table(a.verdicts), probes=table(a.probes), pagination=tuple(a.pagination), keep=store.scratch)
+    elif a.command == "evaluate":
+        after, _ = cycle.evaluate(state, table(a.pages), pack, cfg, when)
+    else:
+        after, _ = cycle.check_alive(state, table(a.probes), cfg)
+    store.commit(_tables(after))
+    store.clear()
+    print(store.read("runs").orderBy(F.desc("id")).limit(1).toJSON().collect() if a.command == "run-once" else store.version())
+    return 0
+
+
 def _sources(a, spark, store: Store, state, when) -> int:
     """Commands that change the frontier; an unknown URL changes nothing and returns 1."""
     if a.command == "import-targets":
@@ -89,7 +131,7 @@ def _sources(a, spark, store: Store, state, when) -> int:
     if url is None:
         print(f"not a URL: {a.url}", file=sys.stderr)
         return 2
-    known = state.sources.where(F.col("url") == url).limit(1).count()
+    known = store.lookup("sources", url=url).count()
     if a.command == "add-source":
         store.commit({"sources": frontier.upsert(state.sources, spark.createDataFrame([(url,)], "url string"), when)})
         return 0

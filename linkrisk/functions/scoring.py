@@ -151,3 +151,19 @@ def promotion_score(known: Column, outbound: Column, kinds: Column, title_hits:
         - F.when(landing, F.lit(p.landing_penalty)).otherwise(F.lit(0))
     )
     return F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("int")
+
+
+def promotion_reasons(known: Column, known_sample: Column, outbound: Column, kinds: Column, title_words: Column, banner_ratio: Column, login: Column, rules: Rules) -> Column:
+    """What a promotion score rests on, in the order in which it is added up."""
+    p = rules.promotion
+    named = lambda words, n: F.concat(F.lit(" ("), F.array_join(F.slice(words, 1, n), ", "), F.lit(")"))
+    return F.array_compact(
+        F.array(
+            F.when(known > 0, F.concat(F.lit("known domains: "), known.cast("string"), named(known_sample, 3))),
+            F.when(tiered(outbound, p.outbound_tiers) > 0, F.concat(F.lit("outbound domains: "), outbound.cast("string"))),
+            F.when(kinds > 0, F.concat(F.lit("keywords: "), kinds.cast("string"))),
+            F.when(F.size(title_words) > 0, F.concat(F.lit("title words"), named(title_words, 3))),
+            F.when(banner_ratio >= 0.3, F.concat(F.lit("banner links: "), F.round(banner_ratio * 100).cast("int").cast("string"), F.lit(" %"))),
+            F.when(login & (outbound < p.landing_outbound), F.lit("login page with few links")),
+        )
+    )

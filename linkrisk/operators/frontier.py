@@ -20,6 +20,11 @@ def listed(sources: DataFrame, enabled_only: bool = False) -> DataFrame:
     return (sources.where(F.col("enabled") & (F.col("state") == "approved")) if enabled_only else sources).orderBy("id")
 
 
+def pending(sources: DataFrame, n: int = 20) -> DataFrame:
+    """The best candidates that wait for a review."""
+    return in_states(sources, "pending").limit(n)
+
+
 def in_states(sources: DataFrame, *states: str) -> DataFrame:
     out = sources.where(F.col("state").isin(*states)) if states else sources.limit(0)
     return out.orderBy(F.desc("promo_score"), F.col("discovered_at").asc_nulls_first(), "id") if "discovered_at" in sources.columns else out.orderBy(F.desc("promo_score"), "id")
@@ -91,21 +96,25 @@ def page_features(links: DataFrame, pages: DataFrame, sites: DataFrame, rules: R
     outward = rows.where((F.col("domain") != "") & (F.col("domain") != F.col("own"))).select("id", "domain").distinct()
     known = known_domains(outward, sites).withColumn("known", F.lit(1))
     counted = outward.join(known, "domain", "left").groupBy("id").agg(
-        F.count(F.lit(1)).cast("int").alias("outbound"), F.count("known").cast("int").alias("known"), F.slice(F.sort_array(F.collect_set("domain")), 1, MOST_DOMAINS).alias("link_domains")
+        F.count(F.lit(1)).cast("int").alias("outbound"), F.count("known").cast("int").alias("known"), F.slice(F.sort_array(F.collect_set(F.when(F.col("known").isNotNull(), F.col("domain")))), 1, 3).alias("known_sample"), F.slice(F.sort_array(F.collect_set("domain")), 1, MOST_DOMAINS).alias("link_domains")
     )
     heads = F.concat_ws(" ", "title", "headings", "meta_description")
     p = pages.select(
         "id",
-        F.size(scoring.vocabulary(heads, rules.promotion.title_vocabulary)).alias("title_hits"),
+        scoring.vocabulary(heads, rules.promotion.title_vocabulary).alias("title_words"),
         scoring.keyword_kinds(F.col("text"), rules).alias("kinds"),
         (F.col("has_password_input") | (F.size(scoring.vocabulary(F.concat_ws(" ", "title", "headings"), rules.promotion.login_markers)) > 0)).alias("login"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return p.join(counted, "id", "left").join(banner, "id", "left").select("id", zero("outbound"), zero("known"), F.coalesce("link_domains", F.array().cast("array<string>")).alias("link_domains"), F.coalesce("banner_ratio", F.lit(0.0)).alias("banner_ratio"), "title_hits", "kinds", "login")
+    return p.join(counted, "id", "left").join(banner, "id", "left").select("id", zero("outbound"), zero("known"), F.coalesce("link_domains", F.array().cast("array<string>")).alias("link_domains"), F.coalesce("banner_ratio", F.lit(0.0)).alias("banner_ratio"), F.size("title_words").alias("title_hits"), "title_words", F.coalesce("known_sample", F.array().cast("array<string>")).alias("known_sample"), "kinds", "login")
 
 
 def promotion_scores(features: DataFrame, rules: Rules) -> DataFrame:
+    """Features with promo_score and, where the words that count are at hand, promo_reasons."""
     c = F.col
+    if "title_words" in features.columns:
+        reasons = scoring.promotion_reasons(c("known"), c("known_sample"), c("outbound"), c("kinds"), c("title_words"), c("banner_ratio"), c("login"), rules)
+        features = features.withColumn("promo_reasons", reasons)
     return features.withColumn("promo_score", scoring.promotion_score(c("known"), c("outbound"), c("kinds"), c("title_hits"), c("banner_ratio"), c("login"), rules))
 
 
@@ -154,13 +163,14 @@ def decide(evaluated: DataFrame, mirror: DataFrame, *, queue: int = 40, auto: in
 # -- transitions -------------------------------------------------------------
 def record_evaluations(sources: DataFrame, decided: DataFrame, now: Column) -> DataFrame:
     """Sources after evaluation; an approval also enables, a name is set only where there is none."""
-    d = decided.select("id", F.col("state").alias("__state"), F.col("promo_score").alias("__score"), F.col("link_domains").alias("__domains"), F.col("mirror_of_id").alias("__mirror"), (F.col("name") if "name" in decided.columns else F.lit("")).alias("__name"))
+    d = decided.select("id", F.col("state").alias("__state"), F.col("promo_score").alias("__score"), F.col("link_domains").alias("__domains"), F.col("mirror_of_id").alias("__mirror"), (F.col("name") if "name" in decided.columns else F.lit("")).alias("__name"), (F.col("promo_reasons") if "promo_reasons" in decided.columns else F.lit(None).cast("array<string>")).alias("__reasons"))
     out = sources.join(d, "id", "left")
     hit = F.col("__state").isNotNull()
     new = {
         "state": F.coalesce("__state", "state"),
         "enabled": F.when(hit & (F.col("__state") == "approved"), F.lit(True)).otherwise(F.col("enabled")),
         "promo_score": F.coalesce("__score", "promo_score"),
+        "promo_reasons": F.coalesce("__reasons", "promo_reasons") if "promo_reasons" in sources.columns else None,
         "link_domains": F.when(hit, F.col("__domains")).otherwise(F.col("link_domains")) if "link_domains" in sources.columns else None,
         "mirror_of_id": F.when(hit, F.col("__mirror")).otherwise(F.col("mirror_of_id")) if "mirror_of_id" in sources.columns else None,
         "evaluated_at": F.when(hit, now).otherwise(F.col("evaluated_at")) if "evaluated_at" in sources.columns else None,
@@ -232,10 +242,10 @@ def upsert(sources: DataFrame, specs: DataFrame, now: Column, *, update_existing
 
 def add_candidates(sources: DataFrame, candidates: DataFrame, now: Column) -> DataFrame:
     """Candidates join as disabled and discovered; a known one only comes closer."""
-    nearer = candidates.groupBy("url").agg(F.min("depth").alias("__depth"), F.min_by("discovered_from_id", "depth").alias("__from"))
+    nearer = candidates.groupBy("url").agg(F.min("depth").alias("__depth"), F.min_by("discovered_from_id", "depth").alias("__from"), (F.array_join(F.min_by("matched", "depth"), ", ") if "matched" in candidates.columns else F.max(F.lit(""))).alias("__note"))
     known = sources.join(nearer.select("url", "__depth"), "url", "left").withColumn("depth", F.least("depth", F.coalesce("__depth", "depth"))).select(*sources.columns)
     fresh = nearer.join(sources.select("url"), "url", "left_anti")
-    given = {"id": F.xxhash64("url"), "url": F.col("url"), "enabled": F.lit(False), "state": F.lit("discovered"), "origin": F.lit("auto"), "depth": F.col("__depth"), "discovered_from_id": F.col("__from"), "discovered_at": now, "added_at": now, "name": F.lit(""), "note": F.lit(""), "promo_score": F.lit(0), "consecutive_failures": F.lit(0), "found_total": F.lit(0), "evaluation_failures": F.lit(0), "link_domains": F.array()}
+    given = {"id": F.xxhash64("url"), "url": F.col("url"), "enabled": F.lit(False), "state": F.lit("discovered"), "origin": F.lit("auto"), "depth": F.col("__depth"), "discovered_from_id": F.col("__from"), "discovered_at": now, "added_at": now, "name": F.lit(""), "note": F.col("__note"), "promo_score": F.lit(0), "consecutive_failures": F.lit(0), "found_total": F.lit(0), "evaluation_failures": F.lit(0), "link_domains": F.array()}
     return known.unionByName(fresh.select(*[(given[c].cast(t) if c in given else F.lit(None).cast(t)).alias(c) for c, t in sources.dtypes]))
 
 

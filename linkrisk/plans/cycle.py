@@ -6,7 +6,7 @@ or reads a clock.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +48,7 @@ def findings(state: State, pages: DataFrame, cfg: Config, redirects: DataFrame |
     return marked.withColumn("url", F.coalesce("unwrapped", "found_url")).withColumn("via", F.when(F.col("unwrapped").isNotNull(), F.col("found_url")).otherwise(F.lit(""))).drop("unwrapped", "found_url")
 
 
-def crawl(state: State, pages: DataFrame, rules: Rules, cfg: Config, now: Column, *, redirects=None, verdicts=None, pagination=()) -> tuple[State, dict[str, DataFrame]]:
+def crawl(state: State, pages: DataFrame, rules: Rules, cfg: Config, now: Column, *, redirects=None, verdicts=None, pagination=(), finished: Column | None = None) -> tuple[State, dict[str, DataFrame]]:
     """State after a cycle, and its parts: findings, accepted links, candidates and counts.
 
     Shared steps are persisted (memory, then disk); the caller commits the
@@ -65,11 +65,15 @@ def crawl(state: State, pages: DataFrame, rules: Rules, cfg: Config, now: Column
     worth = worth.withColumn("host", name).withColumn("domain", urls.domain_of(name)).withColumn("tld", urls.tld_of(name))
     if cfg.language_filter:
         none = state.domain_language.limit(0).select("domain", "language")
-        seen = site_ops.detect_languages(worth.where(~F.col("always_keep")), state.domain_language, verdicts if verdicts is not None else none, now, days=cfg.language_days, budget=cfg.language_checks)
+        seen = site_ops.detect_languages(worth.where(~F.col("always_keep")), state.domain_language, verdicts if verdicts is not None else none, now, days=cfg.language_days, budget=cfg.language_checks, korean=cfg.korean_tlds, foreign=cfg.foreign_tlds)
         worth = worth.join(seen.select("domain", "language"), "domain", "left").withColumn("language", F.coalesce("language", F.lit("")))
         keep = language.keeps(F.col("language"), keep=cfg.keep_languages, keep_unknown=cfg.keep_unknown)
         accepted = worth.where(F.col("always_keep") | keep)
-        fresh = seen.where(F.col("origin") != "cache").select("domain", "language", F.col("origin").alias("reason"), F.lit(0.0).alias("hangul_ratio"), F.lit("").alias("encoding"), now.alias("checked_at"))
+        # what a page's verdict rests on is kept with it
+        given = [c for c in ("hangul_ratio", "encoding") if verdicts is not None and c in verdicts.columns]
+        judged_by = seen.where(F.col("origin") != "cache").join((verdicts if given else none).select("domain", *given), "domain", "left")
+        by_page = lambda c, default: F.when(F.col("origin") == "page", F.coalesce(c, F.lit(default))).otherwise(F.lit(default)) if c in given else F.lit(default)
+        fresh = judged_by.select("domain", "language", F.col("origin").alias("reason"), by_page("hangul_ratio", 0.0).alias("hangul_ratio"), by_page("encoding", "").alias("encoding"), now.alias("checked_at"))
         languages = site_ops.remembered(state.domain_language, fresh)
     else:
         accepted, languages = worth.withColumn("language", F.lit("")), state.domain_language
@@ -93,22 +97,84 @@ def crawl(state: State, pages: DataFrame, rules: Rules, cfg: Config, now: Column
     ok = good(pages).select(F.col("source_id").alias("id")).distinct().withColumn("ok", F.lit(True))
     found_by = accepted.groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("found"))
     outcomes = active.join(ok, "id", "left").withColumn("ok", F.coalesce("ok", F.lit(False))).join(found_by, "id", "left")
-    sources = frontier.auto_disable(frontier.record_crawls(state.sources, outcomes), cfg.max_failures)
-    sources = frontier.add_candidates(sources, candidates, now)
-
-    counts = found.agg(F.count(F.lit(1)).alias("candidates_found")).crossJoin(site_ops.new_and_updated(state.sites, accepted)).crossJoin(candidates.agg(F.count(F.lit(1)).alias("candidates_added"))).crossJoin(active.agg(F.count(F.lit(1)).alias("sources_total")))
-    run_id = F.unix_micros(now.cast("timestamp"))
-    run = counts.select(run_id.alias("id"), now.alias("started_at"), now.alias("finished_at"), "sources_total", "candidates_found", F.col("new_sites").alias("sites_new"), F.col("updated_sites").alias("sites_updated"), "candidates_added", F.lit("").alias("note"))
-    after = State(sources, sites, observations, languages, state.runs.unionByName(run))
+    crawled = frontier.record_crawls(state.sources, outcomes)
+    sources = frontier.add_candidates(frontier.auto_disable(crawled, cfg.max_failures), candidates, now)
+
+    below = ~F.col("excluded") & (F.col("score") < rules.candidate) & ~F.col("always_keep")
+    judged_counts = ordered.agg(F.count_if("excluded").alias("excluded"), F.count_if(below).alias("below_threshold"), F.count_if(~F.col("excluded") & ~below).alias("__worth"))
+    kept_count = accepted.agg(F.count(F.lit(1)).alias("__kept"))
+    source_counts = outcomes.agg(F.count_if("ok").alias("sources_ok"), F.count_if(~F.col("ok")).alias("sources_failed"))
+    disabled = crawled.agg(F.count_if(frontier.failing(cfg.max_failures)).alias("sources_disabled"))
+    more = judged_counts.crossJoin(kept_count).crossJoin(source_counts).crossJoin(disabled).crossJoin(good(pages).agg(F.count(F.lit(1)).alias("pages_fetched")))
+    more = more.withColumn("dropped_foreign", F.col("__worth") - F.col("__kept")).drop("__worth", "__kept")
+    counts = found.agg(F.count(F.lit(1)).alias("candidates_found")).crossJoin(site_ops.new_and_updated(state.sites, accepted)).crossJoin(candidates.agg(F.count(F.lit(1)).alias("candidates_added"))).crossJoin(active.agg(F.count(F.lit(1)).alias("sources_total"))).crossJoin(more)
+    run = counts.withColumnsRenamed({"new_sites": "sites_new", "updated_sites": "sites_updated"}).select("*", run_id(now).alias("id"), now.alias("started_at"), (now if finished is None else finished).alias("finished_at"), F.lit("").alias("note"))
+    after = State(sources, sites, observations, languages, finish_run(state.runs, run))
     return after, {"findings": found, "accepted": accepted, "candidates": candidates, "counts": counts}
 
 
+def run_id(now: Column) -> Column:
+    return F.unix_micros(now.cast("timestamp"))
+
+
+def start_run(runs: DataFrame, now: Column) -> DataFrame:
+    """Runs with one that has begun and not ended: its counters are 0, its end is null."""
+    one = runs.sparkSession.range(1)
+    first = {"id": run_id(now), "started_at": now, "finished_at": F.lit(None), "note": F.lit("")}
+    return runs.where(F.col("id") != run_id(now)).unionByName(one.select(*[first.get(c, F.lit(0)).cast(t).alias(c) for c, t in runs.dtypes]))
+
+
+def finish_run(runs: DataFrame, run: DataFrame) -> DataFrame:
+    """Runs with a finished one, in the place of its start; counters that it lacks are 0."""
+    row = run.select(*[(F.col(c) if c in run.columns else F.lit(0)).cast(t).alias(c) for c, t in runs.dtypes])
+    return runs.join(row.select("id"), "id", "left_anti").select(*runs.columns).unionByName(row)
+
+
+def counted(runs: DataFrame, now: Column, counts: DataFrame) -> DataFrame:
+    """Runs with more counters (one row) in the run that began at ``now``."""
+    given = {c: f"__{c}" for c in counts.columns}
+    both = runs.crossJoin(F.broadcast(counts.withColumnsRenamed(given)))
+    own = F.col("id") == run_id(now)
+    return both.select(*[(F.when(own, F.col(given[c])).otherwise(F.col(c)).cast(t).alias(c) if c in given else F.col(c)) for c, t in runs.dtypes])
+
+
+def check_alive(state: State, probes: DataFrame, cfg: Config) -> tuple[State, DataFrame]:
+    """State after the probes (url, alive, http_status, working_url, checked_at) of the sites whose turn it is, and these sites."""
+    due = site_ops.to_check(state.sites, cfg.alive_batch).select("url")
+    taken = probes.join(due, "url", "left_semi")
+    return replace(state, sites=site_ops.apply_probes(state.sites, taken)), taken
+
+
+def run_once(state: State, fetched: DataFrame, rules: Rules, cfg: Config, now: Column, *, cycle: int = 1, redirects=None, verdicts=None, probes=None, pagination=(), finished: Column | None = None, keep=lambda df, name: df) -> State:
+    """A whole cycle: pages along the pagination of each source, collection, evaluation of candidates, liveness, counters.
+
+    fetched: url, status, html, encoding of all pages at hand.  Liveness is
+    looked at in every ``alive_every``-th cycle.  ``keep`` (a table and its name to
+    the same table) may write what one step hands to the next, so that plans
+    stay short.
+    """
+    settled = lambda s: State(**{f.name: keep(getattr(s, f.name), f.name) for f in fields(s)})
+    active = frontier.listed(state.sources, enabled_only=True)
+    to_read = crawl_frontier(active, good(fetched).select("url", "html"), cfg.max_pages, pagination)
+    pages = keep(to_read.join(fetched, "url").select("source_id", "page_ord", "url", "status", "html", "encoding"), "pages")
+    after, _ = crawl(state, pages, rules, cfg, now, redirects=redirects, verdicts=verdicts, pagination=pagination, finished=finished)
+    after, decided = evaluate(settled(after), fetched, rules, cfg, now)
+    decided = keep(decided.select("id", "state", "mirror_of_id"), "decided")
+    after = settled(after)
+    is_ = lambda s: F.col("state") == s
+    counts = decided.agg(F.count(F.lit(1)).alias("sources_evaluated"), F.count_if(is_("approved")).alias("sources_approved"), F.count_if(is_("pending")).alias("sources_queued"), F.count_if(F.col("mirror_of_id").isNotNull()).alias("mirrors"))
+    if cfg.alive_enabled and probes is not None and cycle % cfg.alive_every == 0:
+        after, checked = check_alive(after, keep(probes, "probes"), cfg)
+        counts = counts.crossJoin(checked.agg(F.count(F.lit(1)).alias("sites_checked")))
+    return replace(after, runs=counted(after.runs, now, counts))
+
+
 def evaluate(state: State, pages: DataFrame, rules: Rules, cfg: Config, now: Column) -> tuple[State, DataFrame]:
     """Candidates of the queue whose page is at hand are scored and decided; others count as failures.
 
     pages: url, status, html.
     """
-    queue = frontier.evaluation_queue(state.sources, cfg.evaluations_per_cycle, now - F.expr("interval 90 days"))
+    queue = frontier.evaluation_queue(state.sources, cfg.evaluations_per_cycle, now - F.make_dt_interval(F.lit(cfg.reevaluate_days)))
     row = queue.select("id", "url", F.struct("depth", F.col("discovered_at"), "id").alias("place"))
     at_hand = row.join(good(pages).select("url", "html"), "url")
     read = html.extract_links(at_hand).select("id", F.explode("links").alias("l")).select("id", "l.url", "l.banner")
@@ -120,7 +186,7 @@ def evaluate(state: State, pages: DataFrame, rules: Rules, cfg: Config, now: Col
     placed = scored.join(signals.select("id", "place", F.col("title").alias("name")), "id").withColumn("pos", F.row_number().over(Window.orderBy("place"))).drop("place")
     decided = frontier.decide(placed, frontier.mirrors(placed, state.sources, cfg.mirror_similarity), queue=cfg.queue_score, auto=cfg.approve_score, auto_approve=cfg.auto_approve, approvals=cfg.approvals_per_cycle).persist()
     failed = row.join(good(pages).select("url"), "url", "left_anti")
-    sources = frontier.record_failures(frontier.record_evaluations(state.sources, decided, now), failed, 3, now)
+    sources = frontier.record_failures(frontier.record_evaluations(state.sources, decided, now), failed, cfg.evaluation_failures, now)
     approved = decided.where(F.col("state") == "approved").join(row.select("id", "url"), "id").select(urls.domain_of(urls.host_of(F.col("url"))).alias("domain"))
     return replace(state, sources=sources, sites=site_ops.reclassify_as_promotion(state.sites, approved)), decided
 

@@ -240,6 +240,39 @@ def promo_state(spark, sf):
     return frontier.decide(s, mirror, auto_approve=True).select("id", "state")
 
 
+@query(
+    "promo_reasons",
+    """SELECT s_suppkey AS id, list_filter([CASE WHEN s_suppkey % 7 > 0 THEN concat('known domains: ', cast(s_suppkey % 7 AS varchar), ' (a.test, b.test)') END,
+      CASE WHEN s_suppkey % 25 >= 5 THEN concat('outbound domains: ', cast(s_suppkey % 25 AS varchar)) END, CASE WHEN s_suppkey % 3 > 0 THEN concat('keywords: ', cast(s_suppkey % 3 AS varchar)) END,
+      CASE WHEN s_suppkey % 2 = 0 THEN 'title words (best, top)' END, CASE WHEN s_suppkey % 10 >= 3 THEN concat('banner links: ', cast(s_suppkey % 10 * 10 AS varchar), ' %') END,
+      CASE WHEN s_suppkey % 4 = 0 AND s_suppkey % 25 < 3 THEN 'login page with few links' END], lambda x: x IS NOT NULL) AS reasons FROM supplier""",
+)
+def promo_reasons(spark, sf):
+    k = F.col("s_suppkey")
+    words = F.when(k % 2 == 0, F.array(F.lit("best"), F.lit("top"))).otherwise(F.array().cast("array<string>"))
+    reasons = scoring.promotion_reasons(k % 7, F.array(F.lit("a.test"), F.lit("b.test")), k % 25, k % 3, words, (k % 10) / 10, k % 4 == 0, DEMO)
+    return _table(spark, sf, "supplier").select(k.alias("id"), reasons.alias("reasons"))
+
+
+@query("pending_top", "SELECT id, promo_score FROM fx_sources WHERE state = 'pending' ORDER BY promo_score DESC, id LIMIT 20", ("fx_sources",))
+def pending_top(spark, sf):
+    return frontier.pending(fx(spark, sf, "fx_sources")).select("id", "promo_score")
+
+
+@query("category_sheet", "SELECT category AS label, count(*) AS value FROM fx_sites WHERE score >= 30 GROUP BY category", ("fx_sites",))
+def category_sheet(spark, sf):
+    return sinks.category_sheet(fx(spark, sf, "fx_sites"), 30)
+
+
+@query("sites_to_check_probes", "SELECT id, url, NOT (id % 3 = 0) AS alive, CASE WHEN id % 3 = 0 THEN 404 ELSE 200 END AS http_status FROM (SELECT * FROM fx_sites WHERE status <> 'ignored' ORDER BY last_seen_at, id LIMIT 200)", ("fx_sites",))
+def sites_to_check_probes(spark, sf):
+    """Liveness of the sites whose turn it is: those looked at longest ago."""
+    s = fx(spark, sf, "fx_sites").withColumn("last_checked_at", F.col("last_seen_at"))
+    probes = s.select("url", (F.col("id") % 3 != 0).alias("alive"), F.when(F.col("id") % 3 == 0, 404).otherwise(200).alias("http_status"), F.lit("").alias("working_url"), F.expr("TIMESTAMP_NTZ '2026-01-01 00:00:00'").alias("checked_at"))
+    due = sites.to_check(s, 200).select("url")
+    return sites.apply_probes(s, probes.join(due, "url", "left_semi")).where("last_checked_at = TIMESTAMP_NTZ '2026-01-01 00:00:00'").select("id", "url", "alive", "http_status")
+
+
 # -- sites: filters ----------------------------------------------------------
 @query("sites_for_export", "SELECT id, url, score, category, status FROM fx_sites WHERE score >= 30 AND category NOT IN ('contact') AND status <> 'ignored'", ("fx_sites",))
 def sites_for_export(spark, sf):
@@ -636,12 +669,12 @@ def csv_feed_new(spark, sf):
     return sinks.feed(fx(spark, sf, "fx_sites"), aggregate.site_sources(fx(spark, sf, "fx_obs")), 20, F.expr("TIMESTAMP_NTZ '1995-03-01 00:00:00'"))
 
 
-@query("candidates_view", "SELECT s.id, s.url, s.name, s.state, s.promo_score, s.depth, coalesce(o.url, '') AS found_on FROM fx_sources s LEFT JOIN fx_sources o ON o.id = s.discovered_from_id WHERE s.state <> 'approved'", ("fx_sources",))
+@query("candidates_view", "SELECT row_number() OVER (ORDER BY CASE WHEN s.state = 'pending' THEN 0 ELSE 1 END, s.promo_score DESC, s.id) AS no, s.url, s.name, s.state, s.promo_score, s.depth, coalesce(o.url, '') AS found_on, s.evaluated_at FROM fx_sources s LEFT JOIN fx_sources o ON o.id = s.discovered_from_id WHERE s.state <> 'approved'", ("fx_sources",))
 def candidates_view(spark, sf):
     return sinks.candidates_sheet(fx(spark, sf, "fx_sources"))
 
 
-@query("sources_view", "SELECT id, url, name, origin, depth, enabled, consecutive_failures, found_total FROM fx_sources WHERE state = 'approved'", ("fx_sources",))
+@query("sources_view", "SELECT row_number() OVER (ORDER BY id) AS no, url, name, origin, depth, enabled, consecutive_failures, found_total FROM fx_sources WHERE state = 'approved'", ("fx_sources",))
 def sources_view(spark, sf):
     return sinks.sources_sheet(fx(spark, sf, "fx_sources"))
 

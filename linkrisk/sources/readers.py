@@ -92,6 +92,17 @@ class Config:
     csv_min_score: int = 0
     retention_days: int = 180
     alive_batch: int = 200
+    alive_enabled: bool = True
+    alive_every: int = 6
+    max_pages: int = 3
+    evaluation_failures: int = 3
+    reevaluate_days: int = 30
+    korean_tlds: tuple[str, ...] = ("kr",)
+    foreign_tlds: tuple[str, ...] = ()
+    min_hangul_ratio: float = 0.05
+    csv_enabled: bool = True
+    keep_snapshots: bool = True
+    snapshot_days: int = 90
 
 
 def config(path: str | None = None, **given) -> Config:
@@ -101,8 +112,9 @@ def config(path: str | None = None, **given) -> Config:
     known = {f.name: f for f in fields(Config)}
     if unknown := sorted(set(merged) - set(known)):
         raise ConfigError(f"unknown settings: {', '.join(unknown)}")
-    if "keep_languages" in merged:
-        merged["keep_languages"] = tuple(merged["keep_languages"])
+    for name in ("keep_languages", "korean_tlds", "foreign_tlds"):
+        if name in merged:
+            merged[name] = tuple(merged[name])
     made = Config(**merged)
     from ..functions.urls import GROUP_MODES
 
@@ -113,6 +125,9 @@ def config(path: str | None = None, **given) -> Config:
         "min_score": 0 <= made.min_score <= 100,
         "max_depth": made.max_depth >= 0,
         "total_sources": made.total_sources > 0,
+        "max_pages": made.max_pages > 0,
+        "alive_every": made.alive_every > 0,
+        "min_hangul_ratio": 0 <= made.min_hangul_ratio <= 1,
     }
     if bad := [name for name, ok in checks.items() if not ok]:
         raise ConfigError(f"out of range: {', '.join(bad)}")

@@ -45,7 +45,7 @@ def feed(sites: DataFrame, sources: DataFrame, min_score: int = 0, since: Column
         "matched_keywords": joined("matched_keywords", ", "),
         "reasons": joined("reasons", "; "),
     }
-    return rows.select(*[made.get(c, F.col(c)).alias(c) for c in FEED])
+    return safe(rows.select(*[made.get(c, F.col(c)).alias(c) for c in FEED]))
 
 
 def site_sheet(groups: DataFrame, rules: Rules, shown: int = 30) -> DataFrame:
@@ -56,29 +56,52 @@ def site_sheet(groups: DataFrame, rules: Rules, shown: int = 30) -> DataFrame:
     """
     order = Window.orderBy(F.desc("score"), F.desc("last_seen_at"), "group_key")
     text = lambda c, sep="\n": F.array_join(F.slice(c, 1, shown), sep)
-    return groups.select(
+    return safe(groups.select(
         F.row_number().over(order).alias("no"), "group_key", "representative_url", "url_count", text("urls").alias("urls"), text("domains").alias("domains"), "category",
         scoring.risk_label(F.col("score"), rules).alias("risk"), "score", "first_seen_at", "last_seen_at", "seen_count", "distinct_sources", text("source_urls").alias("sources"),
         text("matched_keywords", ", ").alias("keywords"), text("reasons", "; ").alias("reasons"), "redirect_from",
-        F.when(F.col("alive"), "alive").when(~F.col("alive"), "unreachable").otherwise("unchecked").alias("liveness"), "http_status", "last_checked_at", "status", printable(F.col("memo")).alias("memo"),
-    )
+        F.when(F.col("alive"), "alive").when(~F.col("alive"), "unreachable").otherwise("unchecked").alias("liveness"), "http_status", "last_checked_at", "status", "memo",
+    ))
+
+
+def safe(df: DataFrame) -> DataFrame:
+    """Every text column without control characters, lists included."""
+    kinds = dict(df.dtypes)
+    clean = lambda c: printable(F.col(c)) if kinds[c] == "string" else F.transform(c, printable) if kinds[c] == "array<string>" else F.col(c)
+    return df.select(*[clean(c).alias(c) for c in df.columns])
+
+
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """Rows in an order, with a running number in front; for sheets, which a person reads from top to bottom."""
+    return df.select(F.row_number().over(Window.orderBy(*order)).alias("no"), "*").orderBy("no")
 
 
 def sources_sheet(sources: DataFrame) -> DataFrame:
-    names = ["id", "url", "name", "origin", "depth", "enabled", "consecutive_failures", "found_total"]
-    return sources.where(F.col("state") == "approved").select(*[c for c in names if c in sources.columns]).orderBy("id")
+    names = ["url", "name", "origin", "depth", "enabled", "render", "max_pages", "last_crawled_at", "last_status", "consecutive_failures", "found_total", "last_error", "note"]
+    rows = numbered(sources.where(F.col("state") == "approved"), F.col("id"))
+    return safe(rows.select("no", *[c for c in names if c in sources.columns]))
 
 
 def candidates_sheet(sources: DataFrame) -> DataFrame:
     """What is not approved, pending first, with the URL of the source it was found on."""
     origin = sources.select(F.col("id").alias("discovered_from_id"), F.col("url").alias("found_on"))
     rows = sources.where(F.col("state") != "approved").join(origin, "discovered_from_id", "left")
-    keep = ["id", "url", "name", "state", "promo_score", "depth"]
-    return rows.select(*[c for c in keep if c in rows.columns], F.coalesce("found_on", F.lit("")).alias("found_on")).orderBy(F.when(F.col("state") == "pending", 0).otherwise(1), F.desc("promo_score"), "id")
+    rows = numbered(rows, F.when(F.col("state") == "pending", 0).otherwise(1), F.desc("promo_score"), F.col("id"))
+    if "promo_reasons" in rows.columns:
+        rows = rows.withColumn("promo_reasons", F.array_join("promo_reasons", "; "))
+    before, after = ["url", "name", "state", "promo_score", "depth", "promo_reasons"], ["discovered_at", "evaluated_at"]
+    return safe(rows.select("no", *[c for c in before if c in rows.columns], F.coalesce("found_on", F.lit("")).alias("found_on"), *[c for c in after if c in rows.columns]))
 
 
 def runs_sheet(runs: DataFrame, n: int = 100) -> DataFrame:
-    return runs.orderBy(F.desc("id")).limit(n)
+    """The last runs, newest first; one that has not ended says so."""
+    last = runs.orderBy(F.desc("id")).limit(n)
+    if "finished_at" not in runs.columns:
+        return safe(last)
+    took = F.col("finished_at").cast("timestamp").cast("double") - F.col("started_at").cast("timestamp").cast("double")
+    names = ["sources_total", "sources_ok", "sources_failed", "pages_fetched", "candidates_found", "sites_new", "sites_updated", "candidates_added", "sources_approved", "dropped_foreign", "note"]
+    ended = F.coalesce(clock.iso(F.col("finished_at")), F.lit("running"))
+    return safe(last.select(clock.iso(F.col("started_at")).alias("started_at"), ended.alias("finished_at"), clock.duration(took).alias("duration"), *[c for c in names if c in runs.columns]))
 
 
 def summary_sheet(summary: DataFrame) -> DataFrame:
@@ -86,18 +109,26 @@ def summary_sheet(summary: DataFrame) -> DataFrame:
     return summary.unpivot([], [F.col(c).cast("long").alias(c) for c in summary.columns], "label", "value")
 
 
+def category_sheet(sites: DataFrame, min_score: int = 0) -> DataFrame:
+    """(label, value): sites of each category, the most common first."""
+    rows = aggregate.by_category(sites, min_score)
+    name = F.coalesce(F.when(F.col("category_label") != "", F.col("category_label")), F.col("category")) if "category_label" in rows.columns else F.col("category")
+    return safe(rows.select(name.alias("label"), F.col("n").alias("value")))
+
+
 def status_json(summary: DataFrame) -> DataFrame:
     return summary.select(F.to_json(F.struct(*summary.columns)).alias("status"))
 
 
 def report(sites: DataFrame, sources: DataFrame, observations: DataFrame, runs: DataFrame, languages: DataFrame, rules: Rules, now: Column, *, mode: str = "host", min_score: int = 30) -> dict[str, DataFrame]:
-    """The seven sheets of a report.  The score limit is for groups, after their bonus."""
+    """The seven sheets of a report and its table of categories.  The score limit is for groups, after their bonus."""
     linked = aggregate.site_sources(observations)
     scored = site_ops.for_export(sites, 0, ("contact",), include_ignored=False)
     fresh = scored.where(F.col("first_seen_at") >= now - F.expr("interval 24 hours"))
     group = lambda rows, by: aggregate.group_sites(rows, linked, by, per=rules.bonus_per_source, most=rules.bonus_max)
     return {
         "summary": summary_sheet(aggregate.summary(sites, sources, languages, now, min_score)),
+        "categories": category_sheet(sites, min_score),
         "sites": site_sheet(group(scored, mode).where(F.col("score") >= min_score), rules),
         "new": site_sheet(group(fresh, mode).where(F.col("score") >= min_score), rules),
         "contacts": site_sheet(group(site_ops.of_category(sites, "contact"), "url"), rules),
@@ -138,6 +169,23 @@ def write_sheets(sheets: dict[str, DataFrame], target: str) -> str:
     return target
 
 
+def write_snapshot(sheets: dict[str, DataFrame], folder: str, day: str, keep_days: int = 90) -> list[str]:
+    """The sheets under the day's name; days older than ``keep_days`` go (0 keeps all).  Returns the days that are left."""
+    import shutil
+    from datetime import date, timedelta
+
+    write_sheets(sheets, f"{folder}/{day}")
+    last = date.fromisoformat(day) - timedelta(days=keep_days)
+    for p in Path(folder).iterdir():
+        try:
+            old = keep_days > 0 and p.is_dir() and date.fromisoformat(p.name) < last
+        except ValueError:
+            continue
+        if old:
+            shutil.rmtree(p)
+    return sorted(p.name for p in Path(folder).iterdir())
+
+
 def prune_snapshots(folder: str, days: int, now: float) -> list[str]:
     """Dated report files older than ``days`` go; 0 keeps all."""
     gone = []

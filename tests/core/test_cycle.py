@@ -177,7 +177,7 @@ def test_reports_and_feed(spark, state, tmp_path):
     after, _ = cycle.crawl(state, fetched(spark, state, CONTENT), RULES, CFG, T().now)
     after = settled(spark, after)
     sheets = sinks.report(after.sites, after.sources, after.observations, after.runs, after.domain_language, RULES, T().now)
-    assert {n: d.count() for n, d in sheets.items()} == {"summary": 16, "sites": 2, "new": 2, "contacts": 1, "sources": 3, "candidates": 1, "runs": 1}
+    assert {n: d.count() for n, d in sheets.items()} == {"summary": 16, "categories": 1, "sites": 2, "new": 2, "contacts": 1, "sources": 3, "candidates": 1, "runs": 1}
     top = sheets["sites"].orderBy("no").first()
     assert (top.no, top.group_key, top.risk, top.liveness) == (1, "win.xyz", "medium", "unchecked")
     feed = sinks.feed(after.sites, aggregate.site_sources(after.observations))
