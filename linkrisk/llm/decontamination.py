@@ -2,8 +2,8 @@
 
 Every piece of training text (a shard) gets a suffix array over its words; the
 suffixes of all benchmark items are binary-searched in it.  A suffix range holds
-all places where a window of an item stands; neighbouring hits on one diagonal
-join to the longest verbatim matches.  Documents never leave their task, so
+all places where a window of an item stands; each is followed to the end of the
+longest verbatim match.  Documents never leave their task, so
 there is no shuffle; only the benchmark is sent out, in blocks of bounded size
 that a task takes one after another.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import ALNUM, LOWER, Words, extended
+from .kernel import ALNUM, LOWER, Lookup, Words, extended
 
 #: UTF-8 bytes of benchmark text in one broadcast block.
 BLOCK_BYTES = 16 << 20
@@ -51,61 +51,100 @@ class Index:
         self.length = np.minimum(length[looked_up], window)
         self.item = row[looked_up]
         self.shortest = int(self.length.min()) if len(self.length) else window
-        width = 2 if len(self.vocabulary) < 65535 else 4
-        self.kind = f">u{width}"
-        heads = self.tokens[self.suffix[:, None] + np.arange(window)] if len(self.suffix) else np.empty((0, window), np.int64)
-        inside = np.arange(window) < self.length[:, None]
-        self.low = self.key(np.where(inside, heads, 0))
-        self.high = self.key(np.where(inside, heads, np.iinfo(f"u{width}").max))
+        self.lookup = Lookup(self.vocabulary)
 
-    def key(self, rows: np.ndarray) -> np.ndarray:
-        """Rows of word numbers as byte strings that compare as the rows do."""
-        flat = np.ascontiguousarray(rows.astype(self.kind))
-        return flat.view(f"S{flat.shape[1] * flat.itemsize}").reshape(-1) if len(flat) else np.empty(0, f"S{max(1, flat.shape[1] * flat.itemsize)}")
 
+def suffix_array(shard: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Places of all suffixes that begin with an item word, in order; a word that no item has (0) ends a suffix.
 
-def _search(index: Index, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places in the shard, suffix of the index and length of every occurrence of a window."""
+    Prefix doubling: a suffix's rank is where the suffixes that share its first d
+    words begin in the array; those that share one are ranked anew by the rank of
+    what follows these words, until all differ or have ended.
+    left: how many item words stand from each place on.
+    """
+    order = np.flatnonzero(shard > 0)
+    order = order[np.argsort(shard[order], kind="stable")]
+    rank = np.zeros(len(shard), np.int64)
+
+    def ranked(at, base, new):
+        """Ranks of suffixes in order: base of the run, and how far into it the last new one stands."""
+        place = np.arange(len(at))
+        rank[at] = base + np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(np.r_[True, base[1:] != base[:-1]], place, 0))
+
+    if len(order):
+        ranked(order, np.ones(len(order), np.int64), np.r_[True, shard[order[1:]] != shard[order[:-1]]])
+    open_, depth = np.arange(len(order)), 1
+    while len(open_):
+        of = rank[order[open_]]
+        again = np.r_[False, of[1:] == of[:-1]]
+        open_ = open_[again | np.r_[again[1:], False]]
+        at = order[open_]
+        if not (left[at] > depth).any():
+            break
+        goes_on = left[at] > depth
+        follow = np.zeros(len(at), np.int64)
+        follow[goes_on] = rank[at[goes_on] + depth]
+        by = np.lexsort((follow, rank[at]))
+        at, follow = at[by], follow[by]
+        order[open_], base = at, rank[at]
+        ranked(at, base, np.r_[True, (base[1:] != base[:-1]) | (follow[1:] != follow[:-1])])
+        depth *= 2
+    return order
+
+
+def _search(index: Index, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the shard, suffix of the index and length of every occurrence of a window, and the shard's word numbers.
+
+    All suffixes of the items are looked up at once: the range of the array that
+    shares a suffix's first words is narrowed by binary search, word by word.
+    """
     none = np.empty(0, np.int64)
-    if not len(index.suffix) or not len(words):
-        return none, none, none
-    found = np.minimum(np.searchsorted(index.vocabulary, hashes), len(index.vocabulary) - 1)
-    known = index.vocabulary[found] == hashes
-    row = words.row_of()
     shard = np.zeros(len(words) + len(words.offsets) - 1 + index.window, np.int64)
-    shard[np.arange(len(words)) + row] = np.where(known, found + 1, 0)
-    # a suffix that leaves the item vocabulary before the shortest window ends can't match
-    run, width, left, taken, alive = shard > 0, 1, index.shortest, 0, None
-    while left:
-        if left & 1:
-            part = np.zeros(len(shard), bool)
-            part[: len(shard) - taken] = run[taken:]
-            alive = part if alive is None else alive & part
-            taken += width
-        left >>= 1
-        if left:
-            longer = np.zeros(len(shard), bool)
-            longer[: len(shard) - width] = run[: len(shard) - width] & run[width:]
-            run, width = longer, width * 2
-    suffixes = np.flatnonzero(alive)
-    suffixes = suffixes[suffixes < len(shard) - index.window + 1]
-    if not len(suffixes):
-        return none, none, none
-    heads = shard[suffixes[:, None] + np.arange(index.window)]
-    per = 64 // (16 if index.kind == ">u2" else 32)
-    packed = []
-    for k in range(0, index.window, per):
-        value = np.zeros(len(suffixes), np.uint64)
-        for j in range(per):
-            value = (value << np.uint64(64 // per)) | (heads[:, k + j].astype(np.uint64) if k + j < index.window else np.uint64(0))
-        packed.append(value)
-    order = np.lexsort(packed[::-1])
-    array, keys = suffixes[order], index.key(heads[order])
-    low, high = np.searchsorted(keys, index.low, "left"), np.searchsorted(keys, index.high, "right")
-    times = np.maximum(high - low, 0)
+    if not len(index.suffix) or not len(words):
+        return none, none, none, shard
+    found = index.lookup.of(hashes)
+    shard[np.arange(len(words)) + words.row_of()] = found + 1
+    ends = np.flatnonzero(shard == 0)
+    left = ends[np.searchsorted(ends, np.arange(len(shard)))] - np.arange(len(shard))
+    array = suffix_array(shard, left)
+    array = array[left[array] >= index.shortest]  # the others end before the shortest window does
+    if not len(array):
+        return none, none, none, shard
+    heads, first = shard[array], index.tokens[index.suffix]
+    low, high = np.searchsorted(heads, first, "left"), np.searchsorted(heads, first, "right")
+    for depth in range(1, index.window):
+        on = np.flatnonzero((low < high) & (index.length > depth))
+        if not len(on):
+            break
+        word = index.tokens[index.suffix[on] + depth]
+        bounds = []
+        for after in (False, True):
+            a, b = low[on].copy(), high[on].copy()
+            while (apart := a < b).any():
+                middle = (a + b) // 2
+                have = shard[array[np.minimum(middle, len(array) - 1)] + depth]
+                below = (have <= word) if after else (have < word)
+                a, b = np.where(apart & below, middle + 1, a), np.where(apart & ~below, middle, b)
+            bounds.append(a)
+        low[on], high[on] = bounds
+    times = high - low
     which = np.repeat(np.arange(len(times)), times)
     inside = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-    return array[low[which] + inside], which, index.length[which]
+    return array[low[which] + inside], which, index.length[which], shard
+
+
+def _longest(index: Index, shard: np.ndarray, place: np.ndarray, which: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, item, words) of the longest verbatim matches: occurrences that the word before doesn't belong to, up to where the texts part."""
+    at = index.suffix[which]
+    before = np.where((place > 0) & (at > 0), shard[place - 1], 0)
+    begins = (before == 0) | (before != index.tokens[at - 1])
+    place, at, item, n = place[begins], at[begins], index.item[which[begins]], length[begins].copy()
+    growing = np.arange(len(place))
+    while len(growing):
+        word = shard[place[growing] + n[growing]]
+        growing = growing[(word > 0) & (word == index.tokens[at[growing] + n[growing]])]
+        n[growing] += 1
+    return place, item, n
 
 
 def _report(indexes, column) -> list[pa.Array]:
@@ -117,7 +156,7 @@ def _report(indexes, column) -> list[pa.Array]:
     pairs, spans = [], []
     for get in indexes:
         index: Index = get()
-        place, which, length = _search(index, words, hashes)
+        place, which, length, shard = _search(index, words, hashes)
         if not len(place):
             continue
         np.add.at(delta, place, 1)
@@ -125,15 +164,9 @@ def _report(indexes, column) -> list[pa.Array]:
         row = np.searchsorted(row_at, place, "right") - 1
         for r, i in np.unique(np.stack([row, index.item[which]], 1), axis=0).tolist():
             pairs.append((r, index.ids[i]))
-        # occurrences that follow each other both in the document and in the item are one match
-        diagonal = place - index.suffix[which]
-        order = np.lexsort((place, diagonal, index.item[which]))
-        p, d, i = place[order], diagonal[order], index.item[which][order]
-        begins = np.flatnonzero(np.r_[True, (np.diff(p) != 1) | (np.diff(d) != 0) | (np.diff(i) != 0)])
-        ends = np.r_[begins[1:], len(p)] - 1
-        for b, e in zip(begins.tolist(), ends.tolist()):
-            r = int(row[order[b]])
-            spans.append((r, int(p[b] - row_at[r]), int(p[e] - p[b] + length[order[e]]), index.ids[i[b]]))
+        for p, i, n in zip(*(x.tolist() for x in _longest(index, shard, place, which, length))):
+            r = int(np.searchsorted(row_at, p, "right")) - 1
+            spans.append((r, int(p - row_at[r]), n, index.ids[i]))
     covered = (np.cumsum(delta[:-1]) > 0).astype(np.int64)
     total = np.concatenate([[0], np.cumsum(covered)])
     hit = total[row_at[1:]] - total[row_at[:-1]]
@@ -190,6 +223,9 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10
     return extended(docs, text, FIELDS, make, carry)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **kw) -> DataFrame:
     """``docs`` without the documents in which a benchmark window stands; columns as before."""
-    return mark_contaminated(docs, benchmark, **kw).where(~F.col("contaminated")).select(*docs.columns)
+    # under names of their own, so that no column of docs is replaced
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    marked = mark_contaminated(docs.toDF(*names), benchmark, text=names[docs.columns.index(text)], carry=names, **kw)
+    return marked.where(~F.col("contaminated")).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

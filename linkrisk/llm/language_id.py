@@ -170,7 +170,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: st
 
 
 def identify(docs: DataFrame, trees: Trees, *, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``docs`` with lang_pred and score.
+    """``docs`` with lang_pred and score, in the place of columns of these names.
 
     The language with the shortest code wins, the first by name on ties.  score
     is its share of probability among all languages, each as likely beforehand.
@@ -194,7 +194,8 @@ def identify(docs: DataFrame, trees: Trees, *, text: str = "text", carry: list[s
         return run
 
     body = F.col(f"`{text}`").cast("string")
-    lettered = docs.withColumn("__lettered", F.coalesce(body.rlike(r"\p{L}"), F.lit(False)))
-    keep = [*(carry if carry is not None else docs.columns), "__lettered"]
-    out = extended(lettered, text, fields, make, keep)
-    return out.withColumn("score", F.when(F.col("__lettered"), F.col("score")).otherwise(F.lit(0.0))).withColumn("lang_pred", F.when(F.col("__lettered"), F.col("lang_pred")).otherwise(F.lit(NONE))).drop("__lettered")
+    names = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ("lang_pred", "score")]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], body.alias("body"), F.coalesce(body.rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    out = extended(rows, "body", fields, make, [*[f"c{i}" for i in range(len(names))], "lettered"])
+    known = lambda c, other: F.when(F.col("lettered"), F.col(c)).otherwise(F.lit(other)).alias(c)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], known("lang_pred", NONE), known("score", 0.0))

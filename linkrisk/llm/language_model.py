@@ -453,11 +453,12 @@ def score(docs: DataFrame, model: tuple[dict[int, DataFrame], Automaton], *, tex
     """``carry`` columns of ``docs`` (all but the text by default) with n_tokens, n_known, train_tokens, base_score, score.
 
     Null counts as the empty text, which is one end token.  Rows stay apart even
-    if they are repeated.
+    if they are repeated; columns with the names of the new ones are replaced.
     """
     tables, machine = model
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c != text] if carry is None else list(carry)
+    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    names = [c for c in (docs.columns if carry is None else carry) if c.lower() not in new and (c != text or carry is not None)]
     sent = spark.sparkContext.broadcast(machine)
     rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]).alias("carried") if names else F.struct(F.lit(0).alias("c0")).alias("carried"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     fields = T.StructType([rows.schema["carried"], T.StructField("row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("head_known", T.LongType()), T.StructField("head_base", T.DoubleType()), T.StructField("head_score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("text", T.StringType())])

@@ -13,6 +13,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of ten words of benchmark items in whole texts; null has no words, empty tables give no rows."""
     from .decontamination import mark_contaminated
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -21,6 +22,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of whole texts (null: empty) under a model of the rows that are not held out."""
     from .language_model import score, split, train
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -30,6 +32,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by windows of 20 that start earlier as well, judged on the input; null has none."""
     from .substring_dedup import without_repeats
 
     kept = without_repeats(_read(spark, sf_dir, "documents"), k=20)
@@ -37,12 +40,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts (null: empty); of each the row with the largest id stays."""
     from .exact_dedup import exact_groups
 
     return exact_groups(_read(spark, sf_dir, "documents"), keep="largest")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64-bit fingerprints of 4-word shingles and the components of links at 4 bits or fewer; no words: fingerprint zero."""
     from .simhash import STRICT, near_groups
 
     groups = near_groups(_read(spark, sf_dir, "documents"), STRICT)
@@ -51,6 +56,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of whole texts (null: empty) in ascending id order, read back from the files."""
     from .token_store import new_store, read_tokens, write_tokens
 
     path = new_store(spark)
@@ -59,12 +65,14 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document; null and empty texts have size 0 and take nothing."""
     from .mixing import mix_sources
 
     return mix_sources(_read(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, most=2.0)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of whole texts (null: empty) by a machine that learned from labelled rows that are not held out."""
     from .toxicity import labelled, remainder, score, train
 
     docs = _read(spark, sf_dir, "documents")
@@ -74,6 +82,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the lines that ten sources or more share; null has no lines."""
     from .line_dedup import without_boilerplate
 
     kept = without_boilerplate(_read(spark, sf_dir, "documents"), sites=10)
@@ -81,6 +90,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and certainty of whole texts; null and texts without a letter are und with score 0."""
     from .language_id import identify, train
     from .toxicity import remainder
 

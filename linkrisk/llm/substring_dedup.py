@@ -127,7 +127,7 @@ def _candidates(slim: DataFrame, k: int, m: int) -> DataFrame:
                     names=["minimizer", *KEY, "start", "n"],
                 )
 
-    found = slim.mapInArrow(stretches, "minimizer long, none boolean, id long, body long, start int, n int").join(repeated, "minimizer", "left_semi")
+    found = slim.mapInArrow(stretches, f"minimizer long, none boolean, id {slim.schema['id'].dataType.simpleString()}, body long, start int, n int").join(repeated, "minimizer", "left_semi")
     grouped = found.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("runs"))
     ordered = grouped.repartitionByRange(*KEY).sortWithinPartitions(*KEY)
     return cut(ordered.select(*KEY, F.monotonically_increasing_id().alias("place"), F.col("runs.start").alias("starts"), F.col("runs.n").alias("lengths")))
@@ -144,7 +144,7 @@ def without_repeats(docs: DataFrame, *, k: int = K, m: int = M, text: str = "tex
     the kept words joined by one space; removed: runs (start, words) of removed
     words.
     """
-    carry = [id_col] if carry is None else carry
+    carry = [c for c in ([id_col] if carry is None else carry) if c.lower() not in ("n_words", "n_removed", "kept_text", "removed")]
     spark = docs.sparkSession
     slim = docs.select(*row_key(docs, id_col, text), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     runs = _candidates(slim, k, m)

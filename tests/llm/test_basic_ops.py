@@ -4,10 +4,11 @@ import hashlib
 import random
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkrisk.llm.decontamination import decontaminated, mark_contaminated
+from linkrisk.llm.decontamination import decontaminated, mark_contaminated, suffix_array
 from linkrisk.llm.exact_dedup import exact_groups
 from linkrisk.llm.mixing import mix_sources, mixed_documents
 
@@ -67,6 +68,38 @@ def test_decontamination_of_empty_tables(spark):
     assert mark_contaminated(docs_frame(spark, []), none).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_suffix_array(seed):
+    r = np.random.default_rng(seed)
+    shard = np.append(r.integers(0, 3, 200) if seed else np.ones(60, np.int64), np.zeros(5, np.int64))
+    ends = np.flatnonzero(shard == 0)
+    left = ends[np.searchsorted(ends, np.arange(len(shard)))] - np.arange(len(shard))
+    got = suffix_array(shard, left).tolist()
+    key = lambda p: shard[p : p + left[p]].tolist()
+    assert sorted(got) == np.flatnonzero(shard).tolist()
+    assert [key(p) for p in got] == sorted(key(p) for p in got)
+
+
+def test_clean_documents_keep_their_columns(spark):
+    rows = [(1, "a b", "it", 3, 2.5, "x"), (2, "one two three", "it", 3, 2.5, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, items string, n_hit int, longest double, contaminated string")
+    kept = decontaminated(docs, spark.createDataFrame([(1, "two three")], "item_id long, text string"))
+    assert kept.dtypes == docs.dtypes and [tuple(r) for r in kept.collect()] == rows[:1]
+
+
+def test_words_that_polynomial_hashes_mix_up(spark):
+    """Thue-Morse words of 1,024 bytes and more."""
+    pairs = []
+    for n in (10, 11, 13):
+        word = "a"
+        for _ in range(n):
+            word += word.translate(str.maketrans("ab", "ba"))
+        pairs.append((word, word.translate(str.maketrans("ab", "ba"))))
+    docs = docs_frame(spark, [(10 * i + k, f"start {w} end", "s") for i, p in enumerate(pairs) for k, w in enumerate(p)])
+    bench = spark.createDataFrame([(i, p[0]) for i, p in enumerate(pairs)], "item_id long, text string")
+    assert sorted(r.doc_id for r in mark_contaminated(docs, bench).collect() if r.contaminated) == [0, 10, 20]
+
+
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 def test_exact_groups(spark, keep):
     rows = [(1, "a", "s"), (2, "a", "s"), (3, "A", "s"), (4, None, "s"), (5, "", None), (6, "b\u0000", "s"), (None, "a", "s"), (None, "zz", "s")]
