@@ -1,8 +1,9 @@
 """Exact dedup: group by a 128-bit content hash, compare bytes, keep one row.
 
-Native DataFrame operations only.  Rows are grouped by hash without their
-texts; the texts are dealt out by hash once more, to be compared inside the
-groups of two rows or more.
+Native DataFrame operations only.  A group is a hash and its bytes: copies fold
+into one row in each task, and each distinct text of a task moves once, so that
+a group of any size is compared without meeting in one place.  Rows find their
+group by hash, those of very large groups without a shuffle by that hash.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernel import cut, spread_join
+
 #: Put before a text for the second half of its 128-bit hash (a fixed value).
 _SALT = "\u0001second half\u0001"
 
@@ -32,25 +35,15 @@ def exact_groups(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
         "__id", "__text", F.xxhash64("__text").alias("__h1"), F.xxhash64(F.concat(F.lit(_SALT), "__text")).alias("__h2")
     )
     key = ["__h1", "__h2"]
+    # Grouped by hash and bytes, copies fold into one row in each task before any text moves.
+    texts = rows.groupBy(*key, "__text").agg(best("__id").alias("__best"), F.count(F.lit(1)).alias("__n"))
+    # Different texts that share both halves of the hash are told apart by their SHA-256 from here on.
+    shared = cut(texts.where("__n > 1").select(*key, F.sha2("__text", 256).alias("__sha"), "__best", "__n"))
     slim = rows.select("__id", *key, F.sha2("__text", 256).alias("__sha"))
-    groups = slim.groupBy(*key).agg(best("__id").alias("__best"), F.count(F.lit(1)).alias("__n"))
-    shared = groups.where("__n > 1")
-
-    # Bytes are compared inside shared groups: one row for each distinct text.
-    texts = rows.join(shared.select(*key), key, "left_semi").groupBy(*key, "__text").agg(best("__id").alias("__best"), F.count(F.lit(1)).alias("__n"))
-    distinct = texts.groupBy(*key).agg(F.count(F.lit(1)).alias("__texts"))
-    clash = distinct.where("__texts > 1").select(*key)
-    # Where different texts share a hash, each text is a group of its own, told apart by its SHA-256.
-    own = texts.join(clash, key, "left_semi").select(*key, F.sha2("__text", 256).alias("__sha"), F.col("__best").alias("__own"), F.col("__n").alias("__own_n"))
-
-    out = (
-        slim.join(shared, key, "left")
-        .join(own, [*key, "__sha"], "left")
-        .select(
-            F.col("__id").alias(id_col),
-            F.coalesce("__own", "__best", "__id").alias("keep_id"),
-            F.coalesce("__own_n", "__n", F.lit(1)).cast("long").alias("group_size"),
-            F.col("__sha").alias("text_sha256"),
-        )
+    out = spread_join(slim, shared, [*key, "__sha"], "__n", ["__id"]).select(
+        F.col("__id").alias(id_col),
+        F.coalesce("found.__best", "__id").alias("keep_id"),
+        F.coalesce("found.__n", F.lit(1)).cast("long").alias("group_size"),
+        F.col("__sha").alias("text_sha256"),
     )
     return out.select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

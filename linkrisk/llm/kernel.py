@@ -323,6 +323,30 @@ def release(spark) -> None:
         time.sleep(0.4)
 
 
+#: A key that more than one in so many rows have is hot: there are fewer of them than this, whatever the data.
+HOT = 1024
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: Sequence[str], n: str, spread: Sequence[str]) -> DataFrame:
+    """``rows`` with ``found``: the other columns of ``table``'s row of the same ``key``, null where there is none.
+
+    ``key`` is unique in ``table`` and begins with a long; ``n`` counts the rows
+    that have it.  Keys that hold more than 1/HOT of all that ``n`` counts are
+    fewer than HOT, so these are broadcast, and rows that have one are dealt out
+    by their ``spread`` columns.  All other keys meet in a shuffled join.
+    ``table`` is read several times, so it should be a stored one.
+    """
+    total = table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = F.col(n) * HOT > total
+    found = F.struct(*[F.col(c) for c in table.columns if c not in key])
+    few = table.where(hot).select(*key, found.alias("few"))
+    most = table.where(~hot).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(key)], F.lit(True).alias("free"), found.alias("most"))
+    free = F.col("few").isNull()
+    own = [F.when(free, F.col(key[0])).otherwise(F.xxhash64(*spread)), *[F.col(c) for c in key[1:]]]
+    dealt = rows.join(F.broadcast(few), list(key), "left").select(*rows.columns, "few", *[c.alias(f"k{i}") for i, c in enumerate(own)], free.alias("free"))
+    return dealt.join(most, [*[f"k{i}" for i in range(len(key))], "free"], "left").select(*rows.columns, F.coalesce("few", "most").alias("found"))
+
+
 def forget(spark, path: str) -> None:
     """Deletes a table that :func:`stored` made."""
     jvm = spark.sparkContext._jvm

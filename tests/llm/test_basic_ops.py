@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from linkrisk.llm import kernel
 from linkrisk.llm.decontamination import decontaminated, mark_contaminated, suffix_array
 from linkrisk.llm.exact_dedup import exact_groups
 from linkrisk.llm.mixing import mix_sources, mixed_documents
@@ -101,7 +102,9 @@ def test_words_that_polynomial_hashes_mix_up(spark):
 
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
-def test_exact_groups(spark, keep):
+@pytest.mark.parametrize("hot", [1, 3, 1024])
+def test_exact_groups(spark, monkeypatch, keep, hot):
+    monkeypatch.setattr(kernel, "HOT", hot)  # 1: no key is hot; 1024: each key of so few rows is
     rows = [(1, "a", "s"), (2, "a", "s"), (3, "A", "s"), (4, None, "s"), (5, "", None), (6, "b\u0000", "s"), (None, "a", "s"), (None, "zz", "s")]
     got = {(r.doc_id, r.text_sha256): r for r in exact_groups(docs_frame(spark, rows), keep=keep).collect()}
     groups = {}
@@ -117,6 +120,15 @@ def test_exact_groups(spark, keep):
     assert exact_groups(docs_frame(spark, []), keep=keep).count() == 0
 
 
+def test_hot_keys_leave_the_shuffle(spark):
+    """A key with half of all rows is dealt out by id; each row finds its key's value or none."""
+    table = spark.createDataFrame([(1, "x", 600, "hot"), (2, "x", 4, "a"), (1, "y", 1, "b")], "h long, s string, n long, v string")
+    rows = spark.createDataFrame([(i, 1, "x") for i in range(600)] + [(600 + i, 2, "x") for i in range(4)] + [(700, 1, "y"), (701, 3, "x"), (702, None, "x")], "id long, h long, s string")
+    got = kernel.spread_join(rows, table, ["h", "s"], "n", ["id"])
+    assert got.columns == ["id", "h", "s", "found"]
+    assert {r.id: r.found and r.found.v for r in got.collect()} == {i: "hot" for i in range(600)} | {600 + i: "a" for i in range(4)} | {700: "b", 701: None, 702: None}
+
+
 def mix_rows(seed=3):
     r = random.Random(seed)
     sources = [*(["hot"] * 60), *(["b"] * 10), *(["é"] * 5), *(["z"] * 25), *([None] * 8), *(["none"] * 2)]
