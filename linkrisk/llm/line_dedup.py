@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import KEY, cut, row_key
+from .kernel import KEY, cut, row_key, spread_join
 
 #: A line on so many sites or more is boilerplate.
 SITES = 10
@@ -28,13 +28,15 @@ def _lines(text: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, *, sites: int = SITES, text: str = "text", site: str = "source") -> DataFrame:
-    """128-bit hashes (l1, l2) of the lines that stand on ``sites`` different sites or more."""
+    """128-bit hashes (l1, l2) of the lines that stand on ``sites`` different sites or more, and n, how often they stand anywhere."""
     seen = _occurrences(docs, text, [F.coalesce(F.concat(F.lit("="), F.col(f"`{site}`").cast("string")), F.lit("")).alias("site")])
-    spread = cut(seen.groupBy(*_LINE).agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("site", REGISTERS).alias("sketch")).where(F.col("n") >= sites).select(*_LINE, F.hll_sketch_estimate("sketch").alias("estimate")))
+    spread = cut(seen.groupBy(*_LINE).agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("site", REGISTERS).alias("sketch")).where(F.col("n") >= sites).select(*_LINE, "n", F.hll_sketch_estimate("sketch").alias("estimate")))
     margin = max(1.0, MARGIN * sites)
-    sure = spread.where(F.col("estimate") > sites + margin).select(*_LINE)
-    near = spread.where((F.col("estimate") >= sites - margin) & (F.col("estimate") <= sites + margin)).select(*_LINE)
-    exact = seen.join(near, _LINE, "left_semi").groupBy(*_LINE, "site").agg(F.lit(1).alias("one")).groupBy(*_LINE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites).select(*_LINE)
+    sure = spread.where(F.col("estimate") > sites + margin).select(*_LINE, "n")
+    near = spread.where((F.col("estimate") >= sites - margin) & (F.col("estimate") <= sites + margin)).select(*_LINE, "n")
+    # a line's rows fold into one for each site before they meet
+    places = seen.groupBy(*_LINE, "site").agg(F.lit(1).alias("one"))
+    exact = places.join(near, _LINE).groupBy(*_LINE).agg(F.count(F.lit(1)).alias("found"), F.first("n").alias("n")).where(F.col("found") >= sites).select(*_LINE, "n")
     return cut(sure.unionByName(exact))
 
 
@@ -55,14 +57,16 @@ def without_boilerplate(docs: DataFrame, *, sites: int = SITES, text: str = "tex
     repeated with id and text get the same result each.
     """
     lines = boilerplate(docs, sites=sites, text=text, site=site)
-    gone = cut(_occurrences(docs, text, row_key(docs, id_col, text)).join(lines, _LINE, "left_semi").groupBy(*KEY).agg(F.collect_set("pos").alias("gone")))
-    rows = docs.select(F.col(f"`{id_col}`").alias("own"), *row_key(docs, id_col, text), F.col(f"`{text}`").cast("string").alias("text"))
+    places = spread_join(_occurrences(docs, text, row_key(docs, id_col, text)), lines, _LINE, "n", ["id", "body", "pos"])
+    gone = cut(places.where("found is not null").groupBy(*KEY).agg(F.collect_set("pos").alias("gone")))
+    # the lines are a column of the joined rows, so that no lambda parts the text again
+    rows = docs.select(F.col(f"`{id_col}`").alias("own"), *row_key(docs, id_col, text), F.coalesce(_lines(F.col(f"`{text}`").cast("string")), F.array().cast("array<string>")).alias("lines"))
     placed = rows.join(gone, KEY, "left")
-    all_lines = F.coalesce(_lines(F.col("text")), F.array().cast("array<string>"))
-    kept = F.filter(all_lines, lambda x, i: ~F.coalesce(F.array_contains(F.col("gone"), i), F.lit(False)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", F.array().cast("array<int>")))
+    kept = F.when(F.size("lines") > 0, F.transform(left, lambda i: F.get(F.col("lines"), i))).otherwise(F.array().cast("array<string>"))
     return placed.select(
         F.col("own").alias(id_col),
-        F.size(all_lines).cast("long").alias("n_lines"),
+        F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.array_join(kept, "\n").alias("kept_text"),
     )

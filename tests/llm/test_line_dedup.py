@@ -2,6 +2,7 @@
 
 import random
 
+from linkrisk.llm import kernel
 from linkrisk.llm.line_dedup import without_boilerplate
 
 DOC = "doc_id long, text string, source string, pos int, gone string"
@@ -49,6 +50,14 @@ def test_odd_rows(spark):
     assert without_boilerplate(frame(spark, [])).count() == 0
 
 
+def test_common_lines(spark, monkeypatch):
+    """A line on every row, whether its key is hot or not, and a long list of lines that go."""
+    rows = [(i, "top\nown %d\ntop\n" % i + "\n".join(f"l{k}" for k in range(i % 3 * 400)), f"s{i % 12}") for i in range(60)]
+    for hot in (1, 4, 1024):
+        monkeypatch.setattr(kernel, "HOT", hot)
+        check(spark, rows, 10)
+
+
 def test_many_sites_are_estimated(spark):
     rows = [(i, "everywhere\nhere", f"site{i}") for i in range(300)] + [(1000 + i, "often", f"site{i}") for i in range(99)] + [(2000 + i, "enough", f"site{i}") for i in range(100)]
     check(spark, rows, 100)
