@@ -100,6 +100,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), trees, carry=["doc_id"]).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of whole texts (null: empty) in sequences of at most 1024 tokens, read from the sequences."""
+    from .packing import pack_documents, packed_pieces
+
+    return packed_pieces(pack_documents(_read(spark, sf_dir, "documents"), capacity=1024, end_id=0))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of whole texts towards the benchmark's words, and the tenth of the documents that is drawn."""
+    from .resampling import resample
+
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), share=0.1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_lm_scoring": op2_lm_scoring,
@@ -111,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op12_packing": op12_packing,
+    "op13_resampling": op13_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -134,4 +150,41 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    # CRC-32: bytes one by one through the table of the reflected polynomial, which is made here too
+    "op13_resampling": r"""
+        WITH RECURSIVE steps AS (
+          SELECT i AS b, 0 AS k, i::BIGINT AS c FROM range(256) r(i)
+          UNION ALL
+          SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8
+        ), crc AS (
+          SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8
+        ), words AS (
+          SELECT 's' AS side, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+          UNION ALL
+          SELECT 't', NULL, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+        ), counted AS (
+          SELECT side, doc_id, word, count(*) AS n FROM words GROUP BY ALL
+        ), coded AS (
+          SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), (2 * i + 1)::INTEGER, 2))::BIGINT)),
+                 lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+          FROM (SELECT DISTINCT word FROM words), crc
+        ), bars AS (
+          SELECT bucket, sum(CASE WHEN side = 's' THEN n ELSE 0 END)::DOUBLE AS s, sum(CASE WHEN side = 't' THEN n ELSE 0 END)::DOUBLE AS t
+          FROM counted JOIN coded USING (word) GROUP BY bucket
+        ), totals AS (
+          SELECT sum(s) AS s_all, sum(t) AS t_all FROM bars
+        ), gain AS (
+          SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM bars, totals
+        ), weighed AS (
+          SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight
+          FROM counted JOIN coded USING (word) JOIN gain USING (bucket) WHERE side = 's' GROUP BY doc_id
+        ), scored AS (
+          SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                 coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+          FROM documents d LEFT JOIN weighed w ON w.doc_id = d.doc_id
+        ), ranked AS (
+          SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, floor(10 * count(*) OVER () / 100) AS wanted FROM scored WHERE n_features >= 20
+        )
+        SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= wanted THEN place END AS rank
+        FROM scored s LEFT JOIN ranked r ON r.doc_id = s.doc_id""",
 }
