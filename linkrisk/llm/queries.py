@@ -100,6 +100,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), trees, carry=["doc_id"]).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of whole texts under two tokenizers, and what the corpus counts for each link's pair."""
+    from .alignment import align_tokenizers
+
+    return align_tokenizers(_read(spark, sf_dir, "documents"))[0]
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of whole texts (null: empty) in sequences of at most 1024 tokens, read from the sequences."""
     from .packing import pack_documents, packed_pieces
@@ -125,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op11_alignment": op11_alignment,
     "op12_packing": op12_packing,
     "op13_resampling": op13_resampling,
 }

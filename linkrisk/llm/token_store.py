@@ -56,9 +56,10 @@ class Encoder:
     there and looks no further back, so pieces can be encoded alone.  Arrow finds
     the distinct pieces of a batch by their bytes; those that earlier batches had
     are known, the others are encoded many at a time, parted by line feeds.
+    ``plain``: the strings of special tokens are text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,8 +67,9 @@ class Encoder:
 
         spec = json.loads(open(path, encoding="utf-8").read())
         step = spec.get("pre_tokenizer") or {}
-        self.specials = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        self.specials = [] if plain else [t["content"].encode() for t in spec.get("added_tokens", [])]
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self.size = self.tokenizer.get_vocab_size()
         mark = self.tokenizer.encode("\n", add_special_tokens=False).ids
         # pieces may be cut only where the tokenizer is known to part text itself
