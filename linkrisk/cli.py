@@ -16,7 +16,6 @@ from .plans import cycle, preview
 from .session import local_session
 from .sources import readers, sinks
 from .sources.snapshots import Store
-from .streaming.micro import stored_state
 
 
 def parser() -> argparse.ArgumentParser:
@@ -67,7 +66,7 @@ def main(argv: list[str] | None = None, spark=None, now: dt.datetime | None = No
         preview.preview(pages, pack, a.all).select("url", "score", "category", "risk", "anchor_text").show(100, truncate=60)
         return 0
     store = Store(spark, a.store)
-    state = stored_state(store)
+    state = cycle.stored_state(store)
     if a.command == "status":
         counts = aggregate.summary(state.sites, state.sources, state.domain_language, when)
         print(sinks.status_json(counts).first()["status"])
@@ -90,7 +89,7 @@ def main(argv: list[str] | None = None, spark=None, now: dt.datetime | None = No
         marked = sites.mark(state.sites, a.target, a.status, a.memo).persist()
         hits = marked.where("marked").count()
         if hits:
-            store.commit({"sites": marked.drop("marked")})
+            store.commit(changes={"sites": marked.where("marked").drop("marked")})
         print(f"{hits} sites")
         return 0 if hits else 1
     else:
@@ -109,15 +108,17 @@ def _cycle(a, spark, store: Store, state, pack, cfg, when) -> int:
         if not store.version():
             store.commit(_tables(state))
         return 0
-    if a.command == "run-once":
-        store.commit({"runs": cycle.start_run(state.runs, when)})
-        after = cycle.run_once(stored_state(store), table(a.pages), pack, cfg, when, cycle=a.cycle, redirects=table(a.redirects), verdicts=table(a.verdicts), probes=table(a.probes), pagination=tuple(a.pagination), keep=store.scratch)
-    elif a.command == "evaluate":
-        after, _ = cycle.evaluate(state, table(a.pages), pack, cfg, when)
-    else:
-        after, _ = cycle.check_alive(state, table(a.probes), cfg)
-    store.commit(_tables(after))
-    store.clear()
+    try:
+        if a.command == "run-once":
+            store.commit({"runs": cycle.start_run(state.runs, when)})
+            cycle.run_once(store, table(a.pages), pack, cfg, when, cycle=a.cycle, redirects=table(a.redirects), verdicts=table(a.verdicts), probes=table(a.probes), pagination=tuple(a.pagination))
+        elif a.command == "evaluate":
+            cycle.evaluate_stored(store, table(a.pages), pack, cfg, when)
+        else:
+            cycle.check_stored(store, table(a.probes), cfg)
+    finally:
+        store.clear()
+        spark.catalog.clearCache()
     print(store.read("runs").orderBy(F.desc("id")).limit(1).toJSON().collect() if a.command == "run-once" else store.version())
     return 0
 
@@ -145,12 +146,13 @@ def _sources(a, spark, store: Store, state, when) -> int:
     else:
         verdict = "approved" if a.command == "approve" else "rejected"
         review = spark.createDataFrame([(url, verdict, "cli", "")], "url string, state string, by string, note string")
-        tables = {"sources": frontier.review(state.sources, review, when)}
+        tables, changes = {"sources": frontier.review(state.sources, review, when)}, {}
         if verdict == "approved":
             from .functions.urls import domain
 
-            tables["sites"] = sites.reclassify_as_promotion(state.sites, spark.createDataFrame([(domain(url),)], "domain string"))
-        store.commit(tables)
+            own = state.sites.where(F.col("domain") == domain(url))
+            changes["sites"] = sites.reclassify_as_promotion(own, spark.createDataFrame([(domain(url),)], "domain string"))
+        store.commit(tables, changes=changes)
     return 0
 
 

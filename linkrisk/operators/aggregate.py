@@ -16,6 +16,26 @@ def distinct_sources(observations: DataFrame) -> DataFrame:
     return observations.groupBy("site_id").agg(F.count_distinct("source_url").alias("distinct_sources"))
 
 
+def sightings_of(observations: DataFrame) -> DataFrame:
+    """site_id, source_url, last_found_at: the last time that each source showed each site.
+
+    A source counts for a site as long as its last sighting is kept, so these
+    rows say as much about distinct sources as all observations do.
+    """
+    return observations.where(F.col("source_url").isNotNull()).groupBy("site_id", "source_url").agg(F.max("found_at").alias("last_found_at"))
+
+
+def merged_sightings(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Both as one: a row for each site and source."""
+    return old.unionByName(new).groupBy("site_id", "source_url").agg(F.max("last_found_at").alias("last_found_at"))
+
+
+def sources_since(sightings: DataFrame, since: Column | None) -> DataFrame:
+    """site_id, distinct_sources as of what is kept: those seen at ``since`` or later."""
+    kept = sightings if since is None else sightings.where(F.col("last_found_at") >= since)
+    return kept.groupBy("site_id").agg(F.count(F.lit(1)).alias("distinct_sources"))
+
+
 def site_sources(observations: DataFrame) -> DataFrame:
     """site_id, sources: sorted distinct source URLs, without empty ones."""
     return observations.where(F.col("source_url") != "").groupBy("site_id").agg(F.sort_array(F.collect_set("source_url")).alias("sources"))
@@ -32,7 +52,12 @@ def bonus_score(base: Column, n: Column, per: int = 6, most: int = 24) -> Column
 
 def rescored(sites: DataFrame, observations: DataFrame, per: int = 6, most: int = 24) -> DataFrame:
     """Sites with distinct_sources and score recomputed from the observations at hand."""
-    counts = distinct_sources(observations).withColumnRenamed("site_id", "id")
+    return with_sources(sites, distinct_sources(observations), per, most)
+
+
+def with_sources(sites: DataFrame, counts: DataFrame, per: int = 6, most: int = 24) -> DataFrame:
+    """Sites with distinct_sources from ``counts`` (site_id, distinct_sources; 0 where there is none) and the score that follows."""
+    counts = counts.withColumnRenamed("site_id", "id")
     kept = sites.drop("distinct_sources", "score")
     return kept.join(counts, "id", "left").withColumn("distinct_sources", F.coalesce("distinct_sources", F.lit(0))).withColumn("score", bonus_score(F.col("base_score"), F.col("distinct_sources"), per, most))
 

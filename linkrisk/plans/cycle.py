@@ -6,7 +6,8 @@ or reads a clock.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from ..functions import html, language, scoring, urls
 from ..operators import aggregate, frontier, sites as site_ops
 from ..rules import Rules
 from ..sources.readers import Config, good
+from ..sources.snapshots import TABLES, Store
 
 PAGE = "source_id long, page_ord int, url string, status int, html string, encoding string"
 
@@ -28,6 +30,15 @@ class State:
     observations: DataFrame
     domain_language: DataFrame
     runs: DataFrame
+    sightings: DataFrame
+
+
+def stored_state(store: Store) -> State:
+    """The current tables of a store; one without sightings gets them from its observations."""
+    tables = {name: store.read(name) for name in TABLES}
+    if "sightings" not in store.manifest()["tables"]:
+        tables["sightings"] = aggregate.sightings_of(tables["observations"])
+    return State(**tables)
 
 
 def findings(state: State, pages: DataFrame, cfg: Config, redirects: DataFrame | None = None, pagination: tuple[str, ...] = ()) -> DataFrame:
@@ -48,11 +59,15 @@ def findings(state: State, pages: DataFrame, cfg: Config, redirects: DataFrame |
     return marked.withColumn("url", F.coalesce("unwrapped", "found_url")).withColumn("via", F.when(F.col("unwrapped").isNotNull(), F.col("found_url")).otherwise(F.lit(""))).drop("unwrapped", "found_url")
 
 
-def crawl(state: State, pages: DataFrame, rules: Rules, cfg: Config, now: Column, *, redirects=None, verdicts=None, pagination=(), finished: Column | None = None) -> tuple[State, dict[str, DataFrame]]:
-    """State after a cycle, and its parts: findings, accepted links, candidates and counts.
+def crawl(state: State, pages: DataFrame, rules: Rules, cfg: Config, now: Column, *, redirects=None, verdicts=None, pagination=(), finished: Column | None = None, near: Callable[[str, DataFrame], DataFrame] | None = None) -> tuple[State, dict[str, DataFrame]]:
+    """State after a cycle, and its parts: findings, accepted links, candidates, counts and what changes.
 
-    Shared steps are persisted (memory, then disk); the caller commits the
-    state and may then clear them.
+    What a cycle does to sites rests on the rows of the sites that it saw.
+    ``near`` (a table's name and keys to the rows that may have them) finds
+    these without reading the table, as a store dealt by keys can.  The parts
+    sites, sightings and observations are the rows that replace those of their
+    key or join: all that a store has to write.  Shared steps are persisted
+    (memory, then disk); the caller commits the state and may then clear them.
     """
     found = findings(state, pages, cfg, redirects, pagination).persist()
     once = site_ops.first_per_url(found)
@@ -80,18 +95,22 @@ def crawl(state: State, pages: DataFrame, rules: Rules, cfg: Config, now: Column
 
     accepted = accepted.persist()
     sightings = accepted.select("url", F.col("score").alias("base_score"), "category", "category_label", "matched_keywords", "reasons", F.lit("").alias("title"), F.col("via").alias("redirect_from"), "language", now.alias("seen_at"), "ord")
-    merged = site_ops.merge_sites(state.sites, sightings).persist()
+    near = near or (lambda name, _: getattr(state, name))
+    touched = accepted.select("url").distinct()
+    old = near("sites", touched).join(touched, "url", "left_semi")
+    merged = site_ops.merge_sites(old, sightings).persist()
     host = urls.host_of(F.col("url"))
-    kept = state.sites.select("url", "id", "alive", "http_status", "last_checked_at", "status", "memo")
+    kept = old.select("url", "id", "alive", "http_status", "last_checked_at", "status", "memo")
     whole = merged.join(kept, "url", "left").withColumn("id", F.coalesce("id", F.xxhash64("url"))).withColumn("status", F.coalesce("status", F.lit("new"))).withColumn("memo", F.coalesce("memo", F.lit(""))).withColumn("host", host).withColumn("domain", urls.domain_of(host))
-    observed = accepted.select("url", "source_id", "source_url", "page_url", F.substring("anchor_text", 1, 300).alias("anchor_text"), "method", "banner", "score", now.alias("found_at")).join(whole.select("url", F.col("id").alias("site_id")), "url").select(*state.observations.columns)
+    observed = accepted.select("url", "source_id", "source_url", "page_url", F.substring("anchor_text", 1, 300).alias("anchor_text"), "method", "banner", "score", now.alias("found_at")).join(whole.select("url", F.col("id").alias("site_id")), "url").select(*state.observations.columns).persist()
     observations = site_ops.prune(state.observations.unionByName(observed), now, cfg.retention_days)
-    counted = aggregate.rescored(whole, observations, rules.bonus_per_source, rules.bonus_max)
-    # only sites that were seen now are scored anew
-    touched = accepted.select("url").distinct().withColumn("touched", F.lit(True))
-    before = state.sites.select("url", F.col("score").alias("old_score"), F.col("distinct_sources").alias("old_sources"))
-    sites = counted.join(touched, "url", "left").join(before, "url", "left")
-    sites = sites.withColumn("score", F.when(F.col("touched").isNull(), F.coalesce("old_score", "score")).otherwise(F.col("score"))).withColumn("distinct_sources", F.when(F.col("touched").isNull(), F.coalesce("old_sources", "distinct_sources")).otherwise(F.col("distinct_sources"))).select(*state.sites.columns)
+    # of the sites that were seen now: all sources that ever showed them
+    seen_now, ids = aggregate.sightings_of(observed), whole.select(F.col("id").alias("site_id"))
+    linked = aggregate.merged_sightings(near("sightings", ids).join(ids, "site_id", "left_semi"), seen_now)
+    since = now - F.make_dt_interval(F.lit(cfg.retention_days)) if cfg.retention_days > 0 else None
+    changed = aggregate.with_sources(whole, aggregate.sources_since(linked, since), rules.bonus_per_source, rules.bonus_max).select(*state.sites.columns)
+    sites = state.sites.join(touched, "url", "left_anti").select(*state.sites.columns).unionByName(changed)
+    all_sightings = state.sightings.join(ids, "site_id", "left_anti").select(*state.sightings.columns).unionByName(linked)
 
     active = frontier.listed(state.sources, enabled_only=True).select("id")
     ok = good(pages).select(F.col("source_id").alias("id")).distinct().withColumn("ok", F.lit(True))
@@ -107,10 +126,20 @@ def crawl(state: State, pages: DataFrame, rules: Rules, cfg: Config, now: Column
     disabled = crawled.agg(F.count_if(frontier.failing(cfg.max_failures)).alias("sources_disabled"))
     more = judged_counts.crossJoin(kept_count).crossJoin(source_counts).crossJoin(disabled).crossJoin(good(pages).agg(F.count(F.lit(1)).alias("pages_fetched")))
     more = more.withColumn("dropped_foreign", F.col("__worth") - F.col("__kept")).drop("__worth", "__kept")
-    counts = found.agg(F.count(F.lit(1)).alias("candidates_found")).crossJoin(site_ops.new_and_updated(state.sites, accepted)).crossJoin(candidates.agg(F.count(F.lit(1)).alias("candidates_added"))).crossJoin(active.agg(F.count(F.lit(1)).alias("sources_total"))).crossJoin(more)
+    counts = found.agg(F.count(F.lit(1)).alias("candidates_found")).crossJoin(site_ops.new_and_updated(old, accepted)).crossJoin(candidates.agg(F.count(F.lit(1)).alias("candidates_added"))).crossJoin(active.agg(F.count(F.lit(1)).alias("sources_total"))).crossJoin(more)
     run = counts.withColumnsRenamed({"new_sites": "sites_new", "updated_sites": "sites_updated"}).select("*", run_id(now).alias("id"), now.alias("started_at"), (now if finished is None else finished).alias("finished_at"), F.lit("").alias("note"))
-    after = State(sources, sites, observations, languages, finish_run(state.runs, run))
-    return after, {"findings": found, "accepted": accepted, "candidates": candidates, "counts": counts}
+    after = State(sources, sites, observations, languages, finish_run(state.runs, run), all_sightings)
+    return after, {"findings": found, "accepted": accepted, "candidates": candidates, "counts": counts, "sites": changed, "sightings": linked, "observations": observed}
+
+
+def commit_crawl(store: Store, before: State, after: State, parts: dict[str, DataFrame], cfg: Config, now: Column, base: int) -> int:
+    """A cycle's state as the store's next version: small tables as a whole, of the others what changes."""
+    entries = store.manifest()["tables"]
+    whole = {"sources": after.sources, "domain_language": after.domain_language, "runs": after.runs}
+    if "sightings" not in entries:
+        whole["sightings"] = before.sightings
+    since = {"observations": now - F.make_dt_interval(F.lit(cfg.retention_days))} if cfg.retention_days > 0 else None
+    return store.commit(whole, changes={n: parts[n] for n in ("sites", "sightings")}, added={"observations": parts["observations"]}, since=since, base=base)
 
 
 def run_id(now: Column) -> Column:
@@ -145,28 +174,54 @@ def check_alive(state: State, probes: DataFrame, cfg: Config) -> tuple[State, Da
     return replace(state, sites=site_ops.apply_probes(state.sites, taken)), taken
 
 
-def run_once(state: State, fetched: DataFrame, rules: Rules, cfg: Config, now: Column, *, cycle: int = 1, redirects=None, verdicts=None, probes=None, pagination=(), finished: Column | None = None, keep=lambda df, name: df) -> State:
-    """A whole cycle: pages along the pagination of each source, collection, evaluation of candidates, liveness, counters.
+def check_stored(store: Store, probes: DataFrame, cfg: Config, now: Column | None = None) -> int:
+    """:func:`check_alive` over a store: reads and writes the buckets of the probed URLs and of those that work instead.
+
+    Where ``now`` is given, the run that began then counts the sites.
+    """
+    base, sites, runs = store.version(), store.read("sites"), store.read("runs")
+    due = site_ops.to_check(sites, cfg.alive_batch).select("url")
+    taken = store.scratch(probes.join(due, "url", "left_semi"), "taken")
+    every = taken.select("url").unionByName(taken.where(F.coalesce("working_url", F.lit("")) != "").select(F.col("working_url").alias("url")))
+    old = store.near("sites", every)
+    own = old.join(taken.select("url"), "url", "left_semi").select("id")
+    changed = store.scratch(site_ops.apply_probes(old, taken).join(own, "id", "left_semi").select(*sites.columns), "checked")
+    counts = taken.agg(F.count(F.lit(1)).alias("sites_checked"))
+    tables = {"runs": counted(runs, now, counts)} if now is not None else {}
+    return store.commit(tables, changes={"sites": changed}, gone={"sites": taken.select("url").join(changed.select("url"), "url", "left_anti")}, base=base)
+
+
+def run_once(store: Store, fetched: DataFrame, rules: Rules, cfg: Config, now: Column, *, cycle: int = 1, redirects=None, verdicts=None, probes=None, pagination=(), finished: Column | None = None) -> int:
+    """A whole cycle over a store: pages along the pagination of each source, collection, evaluation of candidates, liveness, counters.
 
     fetched: url, status, html, encoding of all pages at hand.  Liveness is
-    looked at in every ``alive_every``-th cycle.  ``keep`` (a table and its name to
-    the same table) may write what one step hands to the next, so that plans
-    stay short.
+    looked at in every ``alive_every``-th cycle.  Each step is a commit of its
+    own and writes what it changes; the next one reads the tables that it left.
     """
-    settled = lambda s: State(**{f.name: keep(getattr(s, f.name), f.name) for f in fields(s)})
+    base, state = store.version(), stored_state(store)
     active = frontier.listed(state.sources, enabled_only=True)
     to_read = crawl_frontier(active, good(fetched).select("url", "html"), cfg.max_pages, pagination)
-    pages = keep(to_read.join(fetched, "url").select("source_id", "page_ord", "url", "status", "html", "encoding"), "pages")
-    after, _ = crawl(state, pages, rules, cfg, now, redirects=redirects, verdicts=verdicts, pagination=pagination, finished=finished)
-    after, decided = evaluate(settled(after), fetched, rules, cfg, now)
-    decided = keep(decided.select("id", "state", "mirror_of_id"), "decided")
-    after = settled(after)
+    pages = store.scratch(to_read.join(fetched, "url").select("source_id", "page_ord", "url", "status", "html", "encoding"), "pages")
+    near = store.near if "sightings" in store.manifest()["tables"] else None
+    after, parts = crawl(state, pages, rules, cfg, now, redirects=redirects, verdicts=verdicts, pagination=pagination, finished=finished, near=near)
+    commit_crawl(store, state, after, parts, cfg, now, base)
+    version = evaluate_stored(store, fetched, rules, cfg, now, of_run=True)
+    if cfg.alive_enabled and probes is not None and cycle % cfg.alive_every == 0:
+        version = check_stored(store, probes, cfg, now)
+    return version
+
+
+def evaluate_stored(store: Store, pages: DataFrame, rules: Rules, cfg: Config, now: Column, of_run: bool = False) -> int:
+    """:func:`evaluate` over a store: writes the sources, and the buckets of the sites that turn out to promote others."""
+    base, state = store.version(), stored_state(store)
+    after, decided = evaluate(state, pages, rules, cfg, now)
+    decided = store.scratch(decided.select("id", "state", "mirror_of_id"), "decided")
     is_ = lambda s: F.col("state") == s
     counts = decided.agg(F.count(F.lit(1)).alias("sources_evaluated"), F.count_if(is_("approved")).alias("sources_approved"), F.count_if(is_("pending")).alias("sources_queued"), F.count_if(F.col("mirror_of_id").isNotNull()).alias("mirrors"))
-    if cfg.alive_enabled and probes is not None and cycle % cfg.alive_every == 0:
-        after, checked = check_alive(after, keep(probes, "probes"), cfg)
-        counts = counts.crossJoin(checked.agg(F.count(F.lit(1)).alias("sites_checked")))
-    return replace(after, runs=counted(after.runs, now, counts))
+    tables = {"sources": after.sources} | ({"runs": counted(after.runs, now, counts)} if of_run else {})
+    approved = decided.where(is_("approved")).join(state.sources.select("id", "url"), "id").select(urls.domain_of(urls.host_of(F.col("url"))).alias("domain"))
+    promoted = store.scratch(site_ops.reclassify_as_promotion(state.sites.join(approved, "domain", "left_semi").select(*state.sites.columns), approved), "promoted")
+    return store.commit(tables, changes={"sites": promoted}, base=base)
 
 
 def evaluate(state: State, pages: DataFrame, rules: Rules, cfg: Config, now: Column) -> tuple[State, DataFrame]:

@@ -16,7 +16,9 @@ from .functions import html, language, scoring, urls
 from .operators import aggregate, frontier, sites
 from .plans import preview
 from .rules import DEMO
+from .session import work_folder
 from .sources import sinks
+from .sources.snapshots import Layout, Store
 
 # -- the store as views over the star schema ---------------------------------
 _TLD = "CASE WHEN cast(floor(p_partkey / 8) AS bigint) % 4 = 0 THEN '.com' WHEN cast(floor(p_partkey / 8) AS bigint) % 4 = 1 THEN '.xyz' WHEN cast(floor(p_partkey / 8) AS bigint) % 4 = 2 THEN '.top' ELSE '.co.kr' END"
@@ -651,6 +653,44 @@ def prune_observations(spark, sf):
     return kept.agg(F.count(F.lit(1)).alias("n"), F.min("found_at").alias("oldest"))
 
 
+# -- the store: commits that write what they change ---------------------------
+_MERGED = "SELECT id, url, CASE WHEN domain LIKE 'site1%' THEN 'confirmed' ELSE status END AS status, CASE WHEN domain LIKE 'site1%' THEN seen_count + 1 ELSE seen_count END AS seen_count FROM fx_sites WHERE NOT (id % 97 = 0)"
+
+
+@query("store_merge", _MERGED + " UNION ALL SELECT -id, concat(url, '#new'), 'new', 1 FROM fx_sites WHERE id % 41 = 0", ("fx_sites",))
+def store_merge(spark, sf):
+    """Changed, new and removed sites merged into a store's buckets, and the table read back."""
+    store = Store(spark, work_folder(spark, "store"), {"sites": Layout("url", 32)})
+    rows = fx(spark, sf, "fx_sites").select("id", "url", "domain", "status", "seen_count")
+    store.commit({"sites": rows})
+    old = store.read("sites")
+    changed = old.where(F.col("domain").startswith("site1")).select("id", "url", "domain", F.lit("confirmed").alias("status"), (F.col("seen_count") + 1).alias("seen_count"))
+    new = old.where("id % 41 = 0").select((-F.col("id")).alias("id"), F.concat("url", F.lit("#new")).alias("url"), "domain", F.lit("new").alias("status"), F.lit(1).cast("long").alias("seen_count"))
+    gone = old.where("id % 97 = 0").select("url")
+    store.commit(changes={"sites": changed.unionByName(new).join(gone, "url", "left_anti")}, gone={"sites": gone})
+    return store.read("sites").select("id", "url", "status", "seen_count")
+
+
+@query("store_retention", "SELECT method, count(*) AS n, min(found_at) AS oldest FROM fx_obs WHERE found_at >= TIMESTAMP '1998-06-01' - INTERVAL 180 DAY GROUP BY method", ("fx_obs",))
+def store_retention(spark, sf):
+    """Observations joined to a store in two commits; the months before the limit leave it without being read."""
+    store = Store(spark, work_folder(spark, "store"), {"observations": Layout("found_at", months=True)})
+    rows = fx(spark, sf, "fx_obs")
+    month = F.expr("TIMESTAMP_NTZ '1998-01-01 00:00:00'")
+    store.commit(added={"observations": rows.where(F.col("found_at") < month)})
+    limit = F.expr("TIMESTAMP_NTZ '1998-06-01 00:00:00'") - F.make_dt_interval(F.lit(180))
+    store.commit(added={"observations": rows.where(F.col("found_at") >= month)}, since={"observations": limit})
+    return store.read("observations").groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.min("found_at").alias("oldest"))
+
+
+@query("sources_after_retention", "SELECT site_id, count(DISTINCT source_url) AS distinct_sources FROM fx_obs WHERE found_at >= TIMESTAMP '1996-06-01' GROUP BY site_id", ("fx_obs",))
+def sources_after_retention(spark, sf):
+    """Independent sources of a site from the last sighting by each, merged from two halves of the observations."""
+    rows = fx(spark, sf, "fx_obs")
+    first, second = (aggregate.sightings_of(rows.where(F.col("l_orderkey") % 2 == k)) for k in (0, 1))
+    return aggregate.sources_since(aggregate.merged_sightings(first, second), F.expr("TIMESTAMP_NTZ '1996-06-01 00:00:00'"))
+
+
 # -- reports -----------------------------------------------------------------
 _FEED_SQL = """+ n AS (SELECT site_id, count(DISTINCT source_url) AS k, string_agg(DISTINCT source_url, ' | ' ORDER BY source_url) AS p FROM fx_obs GROUP BY site_id)
      SELECT url, score, strftime(first_seen_at, '%Y-%m-%dT%H:%M:%SZ') AS first_seen_at, strftime(last_seen_at, '%Y-%m-%dT%H:%M:%SZ') AS last_seen_at, host, domain, category, '' AS language,

@@ -34,3 +34,19 @@ def local_session(name: str = "linkrisk", cores: int | str = "*", shuffle_partit
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the driver and all executors share (``spark.checkpoint.dir``).
+
+    Where a single-machine session names none, it is in a temporary folder of the machine.
+    """
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = tempfile.gettempdir()
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

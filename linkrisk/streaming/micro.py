@@ -6,30 +6,27 @@ batch's number is its run, so a replayed batch is recognised and skipped.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.cycle import State, crawl
+from ..plans.cycle import commit_crawl, crawl, stored_state
 from ..rules import Rules
 from ..sources.readers import Config
-from ..sources.snapshots import TABLES, Store
-
-
-def stored_state(store: Store) -> State:
-    return State(**{name: store.read(name) for name in ("sources", "sites", "observations", "domain_language", "runs")})
+from ..sources.snapshots import Store
 
 
 def run_batch(store: Store, pages: DataFrame, batch: int, rules: Rules, cfg: Config, now) -> int:
     """One cycle over a batch; returns the version it committed, or the current one for a replay."""
     note = f"batch {batch}"
-    state = stored_state(store)
+    base, state = store.version(), stored_state(store)
     if state.runs.where(F.col("note") == note).limit(1).count():
-        return store.version()
-    after, _ = crawl(state, pages, rules, cfg, F.lit(now))
+        return base
+    near = store.near if "sightings" in store.manifest()["tables"] else None
+    after, parts = crawl(state, pages, rules, cfg, F.lit(now), near=near)
     runs = after.runs.withColumn("note", F.when(F.col("started_at") == F.lit(now), F.lit(note)).otherwise(F.col("note")))
-    tables = {"sources": after.sources, "sites": after.sites, "observations": after.observations, "domain_language": after.domain_language, "runs": runs}
-    assert set(tables) == set(TABLES)
-    return store.commit(tables)
+    return commit_crawl(store, state, replace(after, runs=runs), parts, cfg, F.lit(now), base)
 
 
 def start(stream: DataFrame, store: Store, rules: Rules, cfg: Config, clock, checkpoint: str, **trigger):

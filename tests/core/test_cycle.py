@@ -37,8 +37,8 @@ def page(*links, title="list"):
 def state(spark):
     empty = {n: spark.createDataFrame([], t) for n, t in snapshots.TABLES.items()}
     seeds = spark.createDataFrame([("https://p1.test/",), ("https://p2.test/",), ("https://down.test/",)], "url string")
-    start = cycle.State(**{k: empty[k] for k in ("sources", "sites", "observations", "domain_language", "runs")})
-    return settled(spark, cycle.State(frontier.upsert(start.sources, seeds, T().now), start.sites, start.observations, start.domain_language, start.runs))
+    start = cycle.State(**empty)
+    return settled(spark, cycle.State(frontier.upsert(start.sources, seeds, T().now), start.sites, start.observations, start.domain_language, start.runs, start.sightings))
 
 
 def fetched(spark, state, content):
@@ -148,7 +148,7 @@ def test_groups_regain_their_bonus(spark):
     assert (g.score, g.distinct_sources, g.representative_url, g.status, g.alive, g.memo, g.seen_count) == (32, 2, "https://h.test/", "reported", True, "m", 3)
 
 
-def test_store_versions(spark, tmp_path):
+def test_store_versions(spark, tmp_path, monkeypatch):
     store = snapshots.Store(spark, str(tmp_path / "store"))
     assert store.version() == 0 and store.read("sites").count() == 0
     one = spark.createDataFrame([(1, "https://a.test/")], "id long, url string")
@@ -157,7 +157,9 @@ def test_store_versions(spark, tmp_path):
     read = store.read("sites")
     assert read.first().language == "" and read.columns == snapshots.migrated(read, "sites").columns
     assert store.read("sites", 0).count() == 0
-    spark.createDataFrame([(1, 99)], "id long, __schema int").write.parquet(str(tmp_path / "store/v3/sites"))
+    monkeypatch.setattr(snapshots, "SCHEMA", 99)
+    store.commit({"sites": one})
+    monkeypatch.undo()
     with pytest.raises(snapshots.StoreError):
         store.read("sites", 3)
 
