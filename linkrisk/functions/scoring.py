@@ -1,7 +1,8 @@
 """Scores as native expressions built from a rule pack.
 
 A pack's keywords become literals of one projection, so scoring is a map without
-a join, a shuffle or Python.
+a join, a shuffle or Python.  Packs of very many keywords go through an
+automaton, and very long lists of what is left alone through a join.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import Rules
+from . import exclusion, keywords
 from .urls import domain_of, host_of, tld_of
 
 
@@ -30,8 +32,11 @@ def is_contact(url: Column, rules: Rules) -> Column:
     return name.isin(*rules.contacts) | domain_of(name).isin(*rules.contacts) if rules.contacts else F.lit(False)
 
 
-def exclusion_reason(url: Column, rules: Rules) -> Column:
-    """Why a URL is left alone, or null: pattern, no domain, exact name, suffix, in this order."""
+def exclusion_reason(url: Column, rules: Rules, listed: Column | None = None) -> Column:
+    """Why a URL is left alone, or null: pattern, no domain, exact name, suffix, in this order.
+
+    listed: the reason that the lists of names and suffixes give, where it is known already.
+    """
     name = host_of(url)
     dom = domain_of(name)
     out = None
@@ -43,6 +48,8 @@ def exclusion_reason(url: Column, rules: Rules) -> Column:
     for p in rules.excluded_patterns:
         rule(url.rlike(f"(?i){p}"), F.lit("pattern"))
     rule(dom == "", F.lit("no domain"))
+    if listed is not None:
+        return out.otherwise(listed)
     if rules.excluded_domains:
         rule(dom.isin(*rules.excluded_domains) | name.isin(*rules.excluded_domains), F.lit("excluded domain"))
     for s in rules.excluded_suffixes:
@@ -50,6 +57,14 @@ def exclusion_reason(url: Column, rules: Rules) -> Column:
     return out
 
 
+def with_exclusion(df: DataFrame, url: Column, rules: Rules, name: str) -> DataFrame:
+    """``df`` with the reason why each URL is left alone, or null; long lists meet the hosts in a join."""
+    if not exclusion.long_lists(rules):
+        return df.withColumn(name, exclusion_reason(url, rules))
+    found = exclusion.with_listed(df.withColumn("__host", host_of(url)), "__host", exclusion.entries(df.sparkSession, rules), "__listed")
+    return found.withColumn(name, exclusion_reason(url, rules, F.col("__listed"))).drop("__host", "__listed")
+
+
 def with_verdict(df: DataFrame, url: Column, anchor: Column, context: Column, rules: Rules, name: str = "v") -> DataFrame:
     """``df`` with a struct of score, category, label, matched_keywords, reasons, excluded, exclusion_reason, always_keep.
 
@@ -63,14 +78,15 @@ def with_verdict(df: DataFrame, url: Column, anchor: Column, context: Column, ru
     site = host_of(url)
     dom, tld = domain_of(site), tld_of(site)
 
+    by_automaton = keywords.many(rules)
     ranked = []
-    for i, (category, label, keywords) in enumerate(rules.categories):
-        keywords = [(k, w) for k, w in keywords if w > 0]
-        here = _hits(text, keywords)
-        there = [(k, w, ~text.contains(k) & around.contains(k)) for k, w in keywords]
+    for i, (category, label, words) in enumerate(() if by_automaton else rules.categories):
+        words = [(k, w) for k, w in words if w > 0]
+        here = _hits(text, words)
+        there = [(k, w, ~text.contains(k) & around.contains(k)) for k, w in words]
         a = _sum(F.when(c, F.lit(w)).otherwise(F.lit(0)) for _, w, c in here)
         c = _sum(F.when(x, F.lit(w)).otherwise(F.lit(0)) for _, w, x in there)
-        found = F.array_compact(F.array(*[F.when(x, F.lit(k)) for k, _, x in [*here, *there]])) if keywords else F.array().cast("array<string>")
+        found = F.array_compact(F.array(*[F.when(x, F.lit(k)) for k, _, x in [*here, *there]])) if words else F.array().cast("array<string>")
         ranked.append(F.struct(a.alias("a"), c.alias("c"), F.lit(-i).alias("order"), F.lit(category).alias("category"), F.lit(label).alias("label"), found.alias("found")))
 
     patterns = [(dom.rlike(f"(?i){p}"), s, r) for p, s, r in rules.domain_patterns]
@@ -79,14 +95,16 @@ def with_verdict(df: DataFrame, url: Column, anchor: Column, context: Column, ru
     extra_reasons = F.array(*[F.when(cond, F.lit(r)) for cond, _, r in [*patterns, *ending]]) if patterns or ending else F.array().cast("array<string>")
 
     # structs compare field by field; the largest has the most in the anchor, then around, then comes first
-    best = F.array_max(F.array(*ranked)) if ranked else F.lit(None).cast("struct<a:int,c:int,order:int,category:string,label:string,found:array<string>>")
+    best = F.array_max(F.array(*ranked)) if ranked else F.lit(None).cast(keywords.BEST)
+    if by_automaton:
+        best = keywords.best_category(df, text, around, rules)
 
     def finish(b):
         keyword = F.least(F.coalesce(b["a"] * rules.anchor_weight + b["c"] * rules.context_weight, F.lit(0.0)), F.lit(float(rules.keyword_cap)))
         hit = F.coalesce((b["a"] > 0) | (b["c"] > 0), F.lit(False))
         score = F.greatest(F.lit(0), F.least(F.lit(100), F.bround(F.lit(float(rules.base_score)) + keyword + extra.cast("double")).cast("int")))
         first = F.when(hit, F.concat(F.lit("keyword: "), b["label"]))
-        reason = exclusion_reason(url, rules)
+        reason = F.col("__excluded")
         contact = is_contact(url, rules)
         none = F.array().cast("array<string>")
         part = lambda c, e, o: F.when(contact, c).when(reason.isNotNull(), e).otherwise(o)
@@ -102,7 +120,8 @@ def with_verdict(df: DataFrame, url: Column, anchor: Column, context: Column, ru
         )
 
     # a column of its own: the keyword tests are written, compiled and run once
-    return df.withColumn("__best", best).withColumn(name, finish(F.col("__best"))).drop("__best")
+    judged = with_exclusion(df.withColumn("__best", best), url, rules, "__excluded")
+    return judged.withColumn(name, finish(F.col("__best"))).drop("__best", "__excluded")
 
 
 def final_score(base: Column, distinct_sources: Column, rules: Rules) -> Column:
@@ -134,7 +153,9 @@ def vocabulary(text: Column, words) -> Column:
 def keyword_kinds(text: Column, rules: Rules, most: int = 20) -> Column:
     """Number of (category, keyword) pairs in a text, at most ``most``."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    every = [k for _, _, keywords in rules.categories for k, _ in keywords]
+    if keywords.many(rules):
+        return F.least(keywords.pair_count(low, rules), F.lit(most))
+    every = [k for _, _, words in rules.categories for k, _ in words]
     return F.least(_sum(low.contains(k).cast("int") for k in every), F.lit(most)) if every else F.lit(0)
 
 

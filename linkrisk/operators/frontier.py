@@ -61,11 +61,10 @@ def consider(links: DataFrame, sources: DataFrame, rules: Rules, *, enabled: boo
     if not enabled:
         return schema.limit(0)
     url = F.col("url")
+    worded = links.where(F.col("depth") + 1 <= max_depth).withColumn("matched", scoring.vocabulary(F.concat_ws(" ", "anchor_text", "context_text"), rules.promotion.link_vocabulary)).where(F.size("matched") > 0)
     fit = (
-        links.where(F.col("depth") + 1 <= max_depth)
-        .withColumn("matched", scoring.vocabulary(F.concat_ws(" ", "anchor_text", "context_text"), rules.promotion.link_vocabulary))
-        .where(F.size("matched") > 0)
-        .where(F.coalesce(scoring.exclusion_reason(url, rules), F.lit("")) == "")
+        scoring.with_exclusion(worded, url, rules, "__excluded")
+        .where(F.col("__excluded").isNull())
         .where(~scoring.is_contact(url, rules))
         .withColumn("domain", domain_of(host_of(url)))
         .where(F.col("domain") != "")
@@ -89,7 +88,8 @@ def page_features(links: DataFrame, pages: DataFrame, sites: DataFrame, rules: R
     has_password_input.  links: id (of the page), url, banner.
     """
     url = F.col("url")
-    rows = links.select("id", "banner", F.when(F.coalesce(scoring.exclusion_reason(url, rules), F.lit("")) == "", domain_of(host_of(url))).alias("domain"))
+    judged = scoring.with_exclusion(links.select("id", "banner", "url"), url, rules, "__excluded")
+    rows = judged.select("id", "banner", F.when(F.col("__excluded").isNull(), domain_of(host_of(url))).alias("domain"))
     own = pages.select("id", domain_of(host_of(F.col("url"))).alias("own"))
     rows = rows.join(own, "id")
     banner = rows.groupBy("id").agg(F.avg(F.col("banner").cast("int")).alias("banner_ratio"))
