@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import group_key, path_length_of
@@ -62,64 +62,110 @@ def with_sources(sites: DataFrame, counts: DataFrame, per: int = 6, most: int =
     return kept.join(counts, "id", "left").withColumn("distinct_sources", F.coalesce("distinct_sources", F.lit(0))).withColumn("score", bonus_score(F.col("base_score"), F.col("distinct_sources"), per, most))
 
 
-def group_sites(sites: DataFrame, observations_or_sources: DataFrame, mode: str = "host", *, per: int = 6, most: int = 24, min_score: int | None = None) -> DataFrame:
-    """One row for each URL, host or registrable domain.
-
-    sites need id, url, domain, host, base_score, score, category, status, memo,
-    alive, http_status, first_seen_at, last_seen_at and seen_count;
-    last_checked_at, redirect_from, matched_keywords and reasons are optional.
-    Members count in the order of score, last_seen_at (both falling), then id.
-    The bonus is for the sources of the whole group, and min_score is applied to
-    the group, never to its members.
-    """
-    sources = observations_or_sources if "sources" in observations_or_sources.columns else site_sources(observations_or_sources)
+def _members(sites: DataFrame, mode: str) -> DataFrame:
+    """Sites with their group and their place in it, and columns that a caller may lack."""
     have = set(sites.columns)
     text = lambda name: F.coalesce(F.col(name), F.lit("")) if name in have else F.lit("")
     words = (F.col("matched_keywords") if dict(sites.dtypes)["matched_keywords"].startswith("array") else F.split("matched_keywords", ",")) if "matched_keywords" in have else F.array().cast("array<string>")
     checked = F.col("last_checked_at") if "last_checked_at" in have else F.when(F.col("alive").isNotNull(), F.col("last_seen_at"))
     place = F.struct(-F.col("score").cast("long"), -F.unix_micros(F.col("last_seen_at").cast("timestamp")), F.col("id"))
-    rows = sites.join(sources.withColumnRenamed("site_id", "id"), "id", "left").select(
-        group_key(F.col("url"), mode).alias("group_key"),
+    return sites.select(
+        "id", group_key(F.col("url"), mode).alias("group_key"),
         "url", "host", "domain", "category", "base_score", "status", "alive", "http_status", "first_seen_at", "last_seen_at", "seen_count",
         place.alias("ord"),
         text("memo").alias("memo"), text("redirect_from").alias("redirect_from"), text("category_label").alias("category_label"),
         F.col("reasons").alias("reasons") if "reasons" in have else F.array().cast("array<string>").alias("reasons"),
         words.alias("words"), checked.alias("checked_at"),
-        F.coalesce("sources", F.array().cast("array<string>")).alias("sources"),
         F.array_position(F.array(*[F.lit(s) for s in STATUSES]), F.col("status")).alias("rank"),
     )
+
+
+def _values() -> list[Column]:
+    """Aggregates of a group that are one value each, whatever its size."""
     # first among equals: of two keys the smaller ord is the larger struct when every part is negated
     ord_down = F.struct(-F.col("ord.col1"), -F.col("ord.col2"), -F.col("ord.id"))
     strongest = lambda c: F.max_by(c, F.struct(F.col("base_score"), ord_down))
-    in_order = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("ord", F.col(c).alias("v")))), lambda x: x["v"])
     up, seen = F.col("alive"), F.col("checked_at").isNotNull()
     latest = lambda v, cond: F.max_by(v, F.when(cond, F.struct("checked_at", ord_down)))
-    grouped = rows.groupBy("group_key").agg(
+    return [
         F.min_by("url", F.struct(path_length_of(F.col("url")), -F.col("base_score"), F.col("ord"))).alias("representative_url"),
         strongest(F.col("category")).alias("category"),
         strongest(F.col("category_label")).alias("category_label"),
         strongest(F.col("reasons")).alias("reasons"),
         F.max("base_score").alias("base_score"),
-        F.array_distinct(F.flatten(in_order("sources"))).alias("source_urls"),
-        F.sort_array(F.collect_set("url")).alias("urls"),
-        F.sort_array(F.collect_set("host")).alias("hosts"),
-        F.sort_array(F.collect_set("domain")).alias("domains"),
         F.count(F.lit(1)).alias("url_count"),
         F.sum("seen_count").cast("long").alias("seen_count"),
-        F.array_distinct(F.filter(F.transform(F.flatten(in_order("words")), lambda w: F.trim(w)), lambda w: w != "")).alias("matched_keywords"),
         F.when(F.bool_or(F.coalesce(up & seen, F.lit(False))), F.lit(True)).when(F.bool_or(seen), F.lit(False)).alias("alive"),
         F.coalesce(latest(F.col("http_status"), up & seen), latest(F.col("http_status"), seen)).alias("http_status"),
         F.coalesce(F.max(F.when(up & seen, F.col("checked_at"))), F.max("checked_at")).alias("last_checked_at"),
         F.max_by("status", F.struct(F.col("rank"), ord_down)).alias("status"),
-        F.array_join(F.array_distinct(F.filter(in_order("memo"), lambda m: m != "")), " / ").alias("memo"),
         F.min("first_seen_at").alias("first_seen_at"),
         F.max("last_seen_at").alias("last_seen_at"),
         F.coalesce(F.min_by("redirect_from", F.when(F.col("redirect_from") != "", F.col("ord"))), F.lit("")).alias("redirect_from"),
+    ]
+
+
+def group_sites(sites: DataFrame, observations_or_sources: DataFrame, mode: str = "host", *, per: int = 6, most: int = 24, min_score: int | None = None) -> DataFrame:
+    """One row for each URL, host or registrable domain, with lists of all its members.
+
+    sites need id, url, domain, host, base_score, score, category, status, memo,
+    alive, http_status, first_seen_at, last_seen_at and seen_count;
+    last_checked_at, redirect_from, matched_keywords and reasons are optional.
+    Members count in the order of score, last_seen_at (both falling), then id.
+    The bonus is for the sources of the whole group, and min_score is applied to
+    the group, never to its members.  Where groups may be very large, see
+    :func:`bounded_groups`.
+    """
+    sources = observations_or_sources if "sources" in observations_or_sources.columns else site_sources(observations_or_sources)
+    rows = _members(sites, mode).join(sources.withColumnRenamed("site_id", "id"), "id", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
+    in_order = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("ord", F.col(c).alias("v")))), lambda x: x["v"])
+    grouped = rows.groupBy("group_key").agg(
+        *_values(),
+        F.array_distinct(F.flatten(in_order("sources"))).alias("source_urls"),
+        F.sort_array(F.collect_set("url")).alias("urls"),
+        F.sort_array(F.collect_set("host")).alias("hosts"),
+        F.sort_array(F.collect_set("domain")).alias("domains"),
+        F.array_distinct(F.filter(F.transform(F.flatten(in_order("words")), lambda w: F.trim(w)), lambda w: w != "")).alias("matched_keywords"),
+        F.array_join(F.array_distinct(F.filter(in_order("memo"), lambda m: m != "")), " / ").alias("memo"),
     )
     out = grouped.withColumn("distinct_sources", F.size("source_urls")).withColumn("score", bonus_score(F.col("base_score"), F.col("distinct_sources"), per, most))
     return out if min_score is None else out.where(F.col("score") >= min_score)
 
 
+#: Lists of a group, by the name that their columns have.
+LISTS = ("urls", "hosts", "domains", "matched_keywords", "memo", "source_urls")
+
+
+def bounded_groups(sites: DataFrame, observations: DataFrame, mode: str = "host", *, shown: int = 30, per: int = 6, most: int = 24, min_score: int | None = None) -> DataFrame:
+    """:func:`group_sites` with the first ``shown`` entries of each list and exact numbers beside them.
+
+    No row and no task holds a whole group.  What the lists are made of is a
+    table of (group, list, entry): entries are made distinct all over the
+    cluster, counted, and cut to the first of each list by a rank whose limit is
+    applied in each task before rows move.  New columns: host_count,
+    domain_count and keyword_count.  observations: site_id, source_url.
+    """
+    rows = _members(sites, mode)
+    entry = lambda name, value, *ord_: F.struct(F.lit(name).alias("list"), value.alias("value"), F.struct(*[x.alias(f"o{i}") for i, x in enumerate(ord_)]).alias("at"))
+    zero, first = F.lit(0).cast("long"), (F.col("ord.col1"), F.col("ord.col2"), F.col("ord.id").cast("long"))
+    plain = [entry(name, F.col(c), zero, zero, zero, F.lit(0)) for name, c in (("urls", "url"), ("hosts", "host"), ("domains", "domain"))]
+    words = F.transform("words", lambda w, i: entry("matched_keywords", F.trim(w), *first, i))
+    own = rows.select("group_key", F.explode(F.concat(F.array(*plain, entry("memo", F.col("memo"), *first, F.lit(0))), words)).alias("e"))
+    seen = observations.where(F.col("source_url") != "").select(F.col("site_id").alias("id"), "source_url").distinct()
+    linked = rows.select("id", "group_key", "ord").join(seen, "id").select("group_key", entry("source_urls", F.col("source_url"), *first, F.lit(0)).alias("e"))
+    entries = own.unionByName(linked).select("group_key", "e.*").where((F.col("value") != "") | F.col("list").isin("urls", "hosts", "domains"))
+    distinct = entries.groupBy("group_key", "list", "value").agg(F.min("at").alias("at"))
+    rank = F.row_number().over(Window.partitionBy("group_key", "list").orderBy("at", "value"))
+    top = distinct.withColumn("rn", rank).where(F.col("rn") <= shown)
+    of = lambda name: F.transform(F.sort_array(F.collect_list(F.when(F.col("list") == name, F.struct("rn", "value")))), lambda x: x["value"])
+    lists = top.groupBy("group_key").agg(*[of(name).alias(name) for name in LISTS])
+    number = lambda name: F.count_if(F.col("list") == name)
+    counts = distinct.groupBy("group_key").agg(*[number(n).alias(c) for n, c in (("source_urls", "distinct_sources"), ("hosts", "host_count"), ("domains", "domain_count"), ("matched_keywords", "keyword_count"))])
+    grouped = rows.groupBy("group_key").agg(*_values()).join(lists, "group_key").join(counts, "group_key").withColumn("memo", F.array_join("memo", " / ")).withColumn("distinct_sources", F.col("distinct_sources").cast("int"))
+    out = grouped.withColumn("score", bonus_score(F.col("base_score"), F.col("distinct_sources"), per, most))
+    return out if min_score is None else out.where(F.col("score") >= min_score)
+
+
 def in_report_order(groups: DataFrame) -> DataFrame:
     return groups.orderBy(F.desc("score"), F.desc("last_seen_at"), "group_key")
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, language, scoring, urls
-from ..operators import aggregate, frontier, sites as site_ops
+from ..operators import aggregate, frontier, redirects as chains, sites as site_ops
 from ..rules import Rules
 from ..sources.readers import Config, good
 from ..sources.snapshots import TABLES, Store
@@ -45,16 +45,20 @@ def findings(state: State, pages: DataFrame, cfg: Config, redirects: DataFrame |
     """Links on the pages of enabled, approved sources, each with the target it leads to.
 
     A target in the link's own query is taken first; the rest that look like
-    gateways are looked up in ``redirects`` (url, final_url) while the budget lasts.
+    gateways are looked up in ``redirects`` while the budget lasts: a table of
+    (url, final_url), or of fetches (url, status, next) whose chains are followed.
     """
     active = frontier.listed(state.sources, enabled_only=True).select(F.col("id").alias("source_id"), F.col("url").alias("source_url"), "depth")
-    read = html.extract_links(good(pages).join(F.broadcast(active) if cfg.total_sources <= 10_000 else active, "source_id"), pagination=pagination)
+    read = html.extract_links(good(pages).join(active, "source_id"), pagination=pagination)
     links = read.select("source_id", "source_url", "depth", "page_ord", F.col("url").alias("page_url"), "title", F.posexplode("links").alias("link_ord", "l"))
     links = links.select("source_id", "source_url", "depth", "page_ord", "page_url", "title", "link_ord", F.col("l.url").alias("found_url"), "l.anchor_text", "l.context_text", "l.method", "l.banner")
     marked = links.withColumn("unwrapped", F.when(F.col("found_url").contains("?"), urls.unwrap_redirect("found_url")))
     if redirects is not None:
         gate = F.col("unwrapped").isNull() & urls.any_mark(F.col("found_url"), urls.GATEWAY_MARKS)
         asked = site_ops.within_budget(marked, gate, cfg.redirects_per_cycle, ["source_id", "page_ord", "link_ord"], "asked")
+        if "next" in redirects.columns:
+            gates = asked.where("asked").select(F.col("found_url").alias("url"))
+            redirects = chains.resolved(redirects, gates, max(1, cfg.redirect_hops)).where(F.col("status").isNotNull()).select("url", urls.canonicalize("final_url").alias("final_url"))
         marked = asked.join(redirects.select(F.col("url").alias("found_url"), "final_url"), "found_url", "left").withColumn("unwrapped", F.coalesce("unwrapped", F.when(F.col("asked"), F.col("final_url")))).drop("asked", "final_url")
     return marked.withColumn("url", F.coalesce("unwrapped", "found_url")).withColumn("via", F.when(F.col("unwrapped").isNotNull(), F.col("found_url")).otherwise(F.lit(""))).drop("unwrapped", "found_url")
 
@@ -79,6 +83,8 @@ def crawl(state: State, pages: DataFrame, rules: Rules, cfg: Config, now: Column
     name = urls.host_of(F.col("url"))
     worth = worth.withColumn("host", name).withColumn("domain", urls.domain_of(name)).withColumn("tld", urls.tld_of(name))
     if cfg.language_filter:
+        if verdicts is not None and "html" in verdicts.columns:
+            verdicts = page_verdicts(verdicts, cfg)
         none = state.domain_language.limit(0).select("domain", "language")
         seen = site_ops.detect_languages(worth.where(~F.col("always_keep")), state.domain_language, verdicts if verdicts is not None else none, now, days=cfg.language_days, budget=cfg.language_checks, korean=cfg.korean_tlds, foreign=cfg.foreign_tlds)
         worth = worth.join(seen.select("domain", "language"), "domain", "left").withColumn("language", F.coalesce("language", F.lit("")))
@@ -132,6 +138,13 @@ def crawl(state: State, pages: DataFrame, rules: Rules, cfg: Config, now: Column
     return after, {"findings": found, "accepted": accepted, "candidates": candidates, "counts": counts, "sites": changed, "sightings": linked, "observations": observed}
 
 
+def page_verdicts(pages: DataFrame, cfg: Config) -> DataFrame:
+    """domain, language, hangul_ratio, encoding of each domain from a page of it (url, status, html, encoding); of several the first by URL."""
+    of = good(pages).withColumn("domain", urls.domain_of(urls.host_of(F.col("url")))).groupBy("domain").agg(F.min_by(F.struct("html", "encoding"), "url").alias("p"))
+    judged = of.select("domain", language.page_evidence(F.col("p.html"), F.col("p.encoding"), least_ratio=cfg.min_hangul_ratio).alias("v"))
+    return judged.select("domain", "v.language", F.col("v.ratio").alias("hangul_ratio"), "v.encoding")
+
+
 def commit_crawl(store: Store, before: State, after: State, parts: dict[str, DataFrame], cfg: Config, now: Column, base: int) -> int:
     """A cycle's state as the store's next version: small tables as a whole, of the others what changes."""
     entries = store.manifest()["tables"]

@@ -12,10 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import html, language, scoring, urls
-from .operators import aggregate, frontier, sites
+from .functions import exclusion, html, language, scoring, urls
+from .operators import aggregate, frontier, redirects, sites
 from .plans import preview
-from .rules import DEMO
+from .rules import DEMO, Rules
 from .session import work_folder
 from .sources import sinks
 from .sources.snapshots import Layout, Store
@@ -446,7 +446,7 @@ _LANGUAGE_PAGES = """SELECT page_id, CASE page_id % 8 WHEN 1 THEN '' WHEN 2 THEN
      n AS (SELECT *, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(text, '[^가-힣ᄀ-ᇿ㄰-㆏]', '', 'g')) AS hangul,
       coalesce(nullif(regexp_extract(head, '(?i)<html[^>]*\\blang\\s*=\\s*["'']?([a-zA-Z\\-]{{2,10}})', 1), ''), regexp_extract(head, '(?i)<meta[^>]+http-equiv\\s*=\\s*["'']?content-language["'']?[^>]*content\\s*=\\s*["'']?([a-zA-Z\\-]{{2,10}})', 1)) AS lang FROM t),
      v AS (SELECT page_id, CASE WHEN letters < 30 THEN 0.0::DOUBLE ELSE hangul::DOUBLE / letters END AS ratio, lower(encoding) AS encoding,
-      CASE WHEN html = '' THEN 'unknown' WHEN encoding = 'EUC-KR' THEN 'ko' WHEN letters >= 30 AND hangul >= 0.1 * letters THEN 'ko' WHEN lower(lang) LIKE 'ko%' THEN 'ko' WHEN letters < 30 THEN 'unknown' ELSE 'foreign' END AS language FROM n)
+      CASE WHEN html = '' THEN 'unknown' WHEN encoding = 'EUC-KR' THEN 'ko' WHEN letters >= 30 AND hangul >= 0.05 * letters THEN 'ko' WHEN lower(lang) LIKE 'ko%' THEN 'ko' WHEN letters < 30 THEN 'unknown' ELSE 'foreign' END AS language FROM n)
      SELECT page_id, language, ratio, encoding, language <> 'foreign' AS kept FROM v""",
 )
 def language_verdict(spark, sf):
@@ -653,6 +653,85 @@ def prune_observations(spark, sf):
     return kept.agg(F.count(F.lit(1)).alias("n"), F.min("found_at").alias("oldest"))
 
 
+# -- large packs, long lists, large groups, chains --------------------------
+_LETTERS3 = [chr(97 + i // 676) + chr(97 + i // 26 % 26) + chr(97 + i % 26) for i in range(26**3)]
+#: All words of three letters, in three categories.
+PACK = Rules(categories=tuple((f"c{k}", f"C{k}", tuple((w, i % 7 + 1) for i, w in enumerate(_LETTERS3) if i % 3 == k)) for k in range(3)))
+
+
+@query(
+    "keyword_pack",
+    """WITH d AS (SELECT doc_id, lower(split_part(coalesce(text, ''), chr(10), 1)) AS a, lower(coalesce(text, '') || ' https://d' || doc_id || '.test/') AS c FROM documents),
+     k AS (SELECT chr(97 + (i // 676)::INT) || chr(97 + (i // 26 % 26)::INT) || chr(97 + (i % 26)::INT) AS w, i % 7 + 1 AS n, i % 3 AS cat FROM range(17576) r(i)),
+     ga AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(a)), lambda p: a[p:p+2])) AS w FROM d), gc AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(c)), lambda p: c[p:p+2])) AS w FROM d),
+     h AS (SELECT doc_id, cat, w, n, true AS here FROM ga JOIN k USING (w) UNION ALL SELECT doc_id, cat, w, n, false FROM gc JOIN k USING (w) WHERE (doc_id, w) NOT IN (SELECT (doc_id, w) FROM ga)),
+     s AS (SELECT doc_id, cat, CAST(coalesce(sum(n) FILTER (WHERE here), 0) AS BIGINT) AS an, CAST(coalesce(sum(n) FILTER (WHERE NOT here), 0) AS BIGINT) AS cn, count(*) AS found FROM h GROUP BY 1, 2),
+     b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY an DESC, cn DESC, cat) AS rn FROM s)
+     SELECT d.doc_id, coalesce('c' || cat, 'unknown') AS category, coalesce(found, 0) AS n_found,
+       CAST(round_even(15 + least(coalesce(an * 1.0::DOUBLE + cn * 0.35::DOUBLE, 0), 60), 0) AS INTEGER) AS score FROM d LEFT JOIN b ON b.doc_id = d.doc_id AND rn = 1""",
+)
+def keyword_pack(spark, sf):
+    """17,576 keywords in whole texts: the first line is the anchor, the text the context."""
+    docs = _table(spark, sf, "documents").select("doc_id", F.concat(F.lit("https://d"), F.col("doc_id").cast("string"), F.lit(".test/")).alias("url"), F.split("text", "\n").getItem(0).alias("anchor"), "text")
+    out = scoring.with_verdict(docs, F.col("url"), F.col("anchor"), F.col("text"), PACK)
+    return out.select("doc_id", "v.category", F.size("v.matched_keywords").cast("long").alias("n_found"), "v.score")
+
+
+@query(
+    "exclusion_lists",
+    """+ l AS (SELECT DISTINCT concat('s0.site', id, '.com') AS e, 0 AS kind, id AS pos FROM fx_parts UNION ALL SELECT concat('.site', id, '.xyz'), 1, id FROM fx_parts UNION ALL SELECT concat(id % 100, '.top'), 1, 1000000 + id FROM fx_parts UNION ALL SELECT '.kr', 1, 2000000),
+     h AS (SELECT DISTINCT host FROM fx_sites),
+     m AS (SELECT host, e, kind, row_number() OVER (PARTITION BY host ORDER BY kind, pos) AS rn FROM h JOIN l ON (kind = 0 AND host = e) OR (kind = 1 AND suffix(host, e)))
+     SELECT s.id, CASE WHEN kind = 0 THEN 'excluded domain' WHEN kind = 1 THEN 'excluded suffix ' || e END AS reason FROM fx_sites s LEFT JOIN m ON m.host = s.host AND rn = 1""",
+    ("fx_parts", "fx_sites"),
+)
+def exclusion_lists(spark, sf):
+    """A list of as many names and endings as there are parts, met by every site's host."""
+    p = fx(spark, sf, "fx_parts")
+    listed = lambda e, kind, base: p.select(e.alias("entry"), F.lit(kind).alias("kind"), (F.col("id") + base).cast("long").alias("pos"))
+    number = F.col("id").cast("string")
+    names = listed(F.concat(F.lit("s0.site"), number, F.lit(".com")), exclusion.NAME, 0)
+    ends = listed(F.concat(F.lit(".site"), number, F.lit(".xyz")), exclusion.ENDING, 0).unionByName(listed(F.concat((F.col("id") % 100).cast("string"), F.lit(".top")), exclusion.ENDING, 1_000_000))
+    every = names.unionByName(ends).unionByName(spark.createDataFrame([(".kr", exclusion.ENDING, 2_000_000)], exclusion.ENTRY))
+    return exclusion.with_listed(fx(spark, sf, "fx_sites"), "host", every, "reason").select("id", "reason")
+
+
+_CHAINS = """SELECT p_partkey AS k, concat('https://r', cast(p_partkey AS varchar(20)), '.test/') AS url,
+  CASE WHEN p_partkey % 7 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 200 ELSE 404 END ELSE 302 END AS status,
+  CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 50 = 1 THEN concat('https://r', cast(p_partkey + 1 AS varchar(20)), '.test/') ELSE concat('https://r', cast(p_partkey - 1 AS varchar(20)), '.test/') END AS next FROM part"""
+
+
+@query(
+    "redirect_chains",
+    f"""WITH RECURSIVE f AS ({_CHAINS}), w AS (SELECT url AS start, url AS place, 0 AS n FROM f UNION ALL SELECT start, next, n + 1 FROM w JOIN f ON f.url = place WHERE next IS NOT NULL AND n <= 4),
+     e AS (SELECT start, place, n, status FROM w JOIN f ON f.url = place WHERE next IS NULL AND n <= 4)
+     SELECT f.url, coalesce(place, f.url) AS final_url, e.status, coalesce(n, 0) AS hops FROM f LEFT JOIN e ON start = f.url""",
+)
+def redirect_chains(spark, sf):
+    """Chains of up to four redirects; longer ones, circles and ones that lead nowhere stay where they are."""
+    out = redirects.resolved(spark.sql(_CHAINS.replace("FROM part", "FROM {part}"), part=_table(spark, sf, "part")), hops=4)
+    return out.select("url", "final_url", "status", F.size("chain").alias("hops"))
+
+
+@query(
+    "bounded_groups",
+    """+ m AS (SELECT *, row_number() OVER (ORDER BY score DESC, last_seen_at DESC, id) AS place FROM fx_sites),
+     o AS (SELECT m.domain AS group_key, source_url, min(place) AS place FROM m JOIN fx_obs o ON o.site_id = m.id WHERE source_url <> '' GROUP BY 1, 2),
+     n AS (SELECT group_key, CAST(count(*) AS INTEGER) AS distinct_sources, array_to_string(list_slice(list(source_url ORDER BY place, source_url), 1, 3), ' ') AS sources FROM o GROUP BY 1),
+     g AS (SELECT domain AS group_key, count(*) AS url_count, count(DISTINCT host) AS host_count, array_to_string(list_slice(list(url ORDER BY url), 1, 3), ' ') AS urls,
+       array_to_string(list_slice(list_sort(list(DISTINCT host)), 1, 3), ' ') AS hosts, max(base_score) AS base_score FROM m GROUP BY 1),
+     q AS (SELECT domain AS group_key, memo, min(place) AS place FROM m WHERE memo <> '' GROUP BY 1, 2), x AS (SELECT group_key, array_to_string(list_slice(list(memo ORDER BY place, memo), 1, 3), ' / ') AS memo FROM q GROUP BY 1)
+     SELECT group_key, url_count, host_count, urls, hosts, coalesce(distinct_sources, 0) AS distinct_sources, coalesce(sources, '') AS sources, coalesce(memo, '') AS memo,
+       CAST(greatest(0, least(100, base_score + least(greatest(coalesce(distinct_sources, 0) - 1, 0) * 6, 24))) AS INTEGER) AS score FROM g LEFT JOIN n USING (group_key) LEFT JOIN x USING (group_key)""",
+    ("fx_sites", "fx_obs"),
+)
+def bounded_groups(spark, sf):
+    """Groups by domain with the first three entries of each list and exact numbers."""
+    g = aggregate.bounded_groups(fx(spark, sf, "fx_sites"), fx(spark, sf, "fx_obs"), "domain", shown=3)
+    joined = lambda c: F.array_join(c, " ")
+    return g.select("group_key", "url_count", "host_count", joined("urls").alias("urls"), joined("hosts").alias("hosts"), "distinct_sources", joined("source_urls").alias("sources"), "memo", "score")
+
+
 # -- the store: commits that write what they change ---------------------------
 _MERGED = "SELECT id, url, CASE WHEN domain LIKE 'site1%' THEN 'confirmed' ELSE status END AS status, CASE WHEN domain LIKE 'site1%' THEN seen_count + 1 ELSE seen_count END AS seen_count FROM fx_sites WHERE NOT (id % 97 = 0)"
 

@@ -82,6 +82,7 @@ class Config:
     mirror_similarity: float = 0.8
     max_failures: int = 10
     redirects_per_cycle: int = 150
+    redirect_hops: int = 5
     language_checks: int = 30
     language_days: int = 30
     keep_languages: tuple[str, ...] = ("ko",)
@@ -127,6 +128,7 @@ def config(path: str | None = None, **given) -> Config:
         "total_sources": made.total_sources > 0,
         "max_pages": made.max_pages > 0,
         "alive_every": made.alive_every > 0,
+        "redirect_hops": made.redirect_hops >= 0,
         "min_hangul_ratio": 0 <= made.min_hangul_ratio <= 1,
     }
     if bad := [name for name, ok in checks.items() if not ok]:

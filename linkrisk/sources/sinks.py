@@ -48,7 +48,11 @@ def feed(sites: DataFrame, sources: DataFrame, min_score: int = 0, since: Column
     return safe(rows.select(*[made.get(c, F.col(c)).alias(c) for c in FEED]))
 
 
-def site_sheet(groups: DataFrame, rules: Rules, shown: int = 30) -> DataFrame:
+#: Entries of a group's lists that a sheet shows.
+SHOWN = 30
+
+
+def site_sheet(groups: DataFrame, rules: Rules, shown: int = SHOWN) -> DataFrame:
     """Groups as a numbered sheet with risk and liveness in words.
 
     The running number is over the report, which is what a person reads; the
@@ -122,10 +126,9 @@ def status_json(summary: DataFrame) -> DataFrame:
 
 def report(sites: DataFrame, sources: DataFrame, observations: DataFrame, runs: DataFrame, languages: DataFrame, rules: Rules, now: Column, *, mode: str = "host", min_score: int = 30) -> dict[str, DataFrame]:
     """The seven sheets of a report and its table of categories.  The score limit is for groups, after their bonus."""
-    linked = aggregate.site_sources(observations)
     scored = site_ops.for_export(sites, 0, ("contact",), include_ignored=False)
     fresh = scored.where(F.col("first_seen_at") >= now - F.expr("interval 24 hours"))
-    group = lambda rows, by: aggregate.group_sites(rows, linked, by, per=rules.bonus_per_source, most=rules.bonus_max)
+    group = lambda rows, by: aggregate.bounded_groups(rows, observations, by, shown=SHOWN, per=rules.bonus_per_source, most=rules.bonus_max)
     return {
         "summary": summary_sheet(aggregate.summary(sites, sources, languages, now, min_score)),
         "categories": category_sheet(sites, min_score),
