@@ -38,9 +38,36 @@ def evaluation_queue(sources: DataFrame, n: int, before: Column | None) -> DataF
     return rows.orderBy("__turn", F.when(fresh, F.col("depth")).otherwise(F.lit(0)), F.when(fresh, F.col("discovered_at")).otherwise(F.col("evaluated_at")).asc_nulls_first(), "id").limit(n).drop("__turn")
 
 
+#: Bits of a filter for each domain in it, and bytes up to which a filter is sent out.
+FILTER_BITS, FILTER_BYTES = 16, 64 << 20
+#: Bits of one bitmap row.
+BITMAP = 32_768
+
+
+def maybe_known(rows: DataFrame, sites: DataFrame, column: str = "domain") -> DataFrame:
+    """``rows`` without most of those whose domain no site is on; none that has one goes.
+
+    A Bloom filter with one hash: bitmaps of the sites' domains are built by an
+    aggregate, sent to all executors, and looked at before any row moves.  Two
+    bytes for each domain; where that is more than FILTER_BYTES, all rows stay.
+    """
+    n = sites.agg(F.approx_count_distinct("domain")).first()[0]
+    size = max(1, -(-n * FILTER_BITS // BITMAP))  # bitmaps
+    if size * BITMAP // 8 > FILTER_BYTES:
+        return rows
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size * BITMAP)) + 1
+    spots = sites.where(F.col("domain").isNotNull()).select(place(F.col("domain")).alias("p"))
+    maps = spots.groupBy(F.bitmap_bucket_number("p").alias("__map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
+    bit = F.bitmap_bit_position(place(F.col(column)))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    shifted = F.floor(byte / F.pow(F.lit(2), bit % 8)).cast("int")
+    met = rows.withColumn("__map", F.bitmap_bucket_number(place(F.col(column)))).join(F.broadcast(maps), "__map")
+    return met.where(shifted % 2 == 1).select(*rows.columns)
+
+
 def known_domains(domains: DataFrame, sites: DataFrame) -> DataFrame:
     """Those of the domains that some site, of whatever status, is on."""
-    return domains.select("domain").distinct().join(sites.select("domain"), "domain", "left_semi")
+    return maybe_known(domains.select("domain"), sites).distinct().join(sites.select("domain"), "domain", "left_semi")
 
 
 def link_domain_sets(sources: DataFrame) -> DataFrame:

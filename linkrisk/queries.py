@@ -732,6 +732,13 @@ def bounded_groups(spark, sf):
     return g.select("group_key", "url_count", "host_count", joined("urls").alias("urls"), joined("hosts").alias("hosts"), "distinct_sources", joined("source_urls").alias("sources"), "memo", "score")
 
 
+@query("bloom_prefilter", "SELECT l.id, count(*) AS known FROM fx_links l WHERE l.domain IN (SELECT domain FROM fx_sites WHERE id % 5 = 0) GROUP BY l.id", ("fx_links", "fx_sites"))
+def bloom_prefilter(spark, sf):
+    """Links to known domains: most others leave before the exact join."""
+    known = fx(spark, sf, "fx_sites").where("id % 5 = 0")
+    return frontier.maybe_known(fx(spark, sf, "fx_links"), known).join(known.select("domain"), "domain", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("known"))
+
+
 # -- the store: commits that write what they change ---------------------------
 _MERGED = "SELECT id, url, CASE WHEN domain LIKE 'site1%' THEN 'confirmed' ELSE status END AS status, CASE WHEN domain LIKE 'site1%' THEN seen_count + 1 ELSE seen_count END AS seen_count FROM fx_sites WHERE NOT (id % 97 = 0)"
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-from pathlib import Path
+import uuid
+from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, scoring
@@ -141,59 +141,121 @@ def report(sites: DataFrame, sources: DataFrame, observations: DataFrame, runs:
     }
 
 
-def write_feed(rows: DataFrame, target: str) -> Path:
-    """One CSV file with a byte order mark, put in place at once.
+class Files:
+    """Files of whatever file system a path is on, moved and listed from the driver; what is in them never comes here."""
 
-    Rows stream to the driver partition by partition; a file that is open
-    elsewhere is left alone and a second name is used.
+    def __init__(self, spark: SparkSession, path: str):
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._gateway = spark.sparkContext._gateway
+        self.fs = self.path(path).getFileSystem(self._conf)
+
+    def path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(name)
+
+    def listed(self, folder: str) -> list:
+        at = self.path(folder)
+        return list(self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.path(name), True)
+
+    def replace(self, name: str, by: str) -> None:
+        """Puts one file in the place of another in one step."""
+        kinds = self._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        kinds[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        place = self.fs.makeQualified(self.path(name))
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), self._conf).rename(self.fs.makeQualified(self.path(by)), place, kinds)
+
+    def join(self, name: str, head: bytes, parts: list) -> None:
+        """Writes a file from its first bytes and the files that follow, as streams."""
+        out = self.fs.create(self.path(name), False)
+        try:
+            out.write(bytearray(head))
+            for part in parts:
+                stream = self.fs.open(part)
+                try:
+                    self._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, self._conf, False)
+                finally:
+                    stream.close()
+        finally:
+            out.close()
+
+
+def csv_field(value: Column) -> Column:
+    """A value as a field of CSV: in quotes where it has a comma, a quote or a line end; null is empty."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    return F.when(text.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def write_feed(rows: DataFrame, target: str) -> str:
+    """One CSV file with a byte order mark, put in place at once, on any file system that Spark reaches.
+
+    Executors write the rows as parts, in the order of the rows; the parts are
+    put together as streams of bytes.  Whatever fails leaves the old file as it
+    was.  A file that can't be replaced is left alone and a second name is used.
     """
-    import csv
-
-    place = Path(target)
-    place.parent.mkdir(parents=True, exist_ok=True)
-    fd, temporary = tempfile.mkstemp(dir=place.parent, prefix=place.name, suffix=".part")
-    with os.fdopen(fd, "w", encoding="utf-8-sig", newline="") as f:
-        out = csv.writer(f)
-        out.writerow(rows.columns)
-        for row in rows.toLocalIterator():
-            out.writerow(["" if v is None else v for v in row])
+    files, work = Files(rows.sparkSession, target), f"{target}.parts-{uuid.uuid4().hex}"
     try:
-        os.replace(temporary, place)
-    except OSError:
-        place = place.with_name(f"{place.stem}-new{place.suffix}")
-        os.replace(temporary, place)
-    return place
+        rows.select(F.concat_ws(",", *[csv_field(F.col(c)) for c in rows.columns]).alias("line")).write.option("lineSep", "\r\n").text(work)
+        parts = sorted((s.getPath() for s in files.listed(work) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+        whole = f"{work}/whole"
+        files.join(whole, ("\ufeff" + ",".join(rows.columns) + "\r\n").encode(), parts)
+        try:
+            files.replace(target, whole)
+        except Py4JJavaError:
+            stem, dot, kind = target.rpartition(".")
+            target = f"{stem}-new.{kind}" if dot and "/" not in kind else f"{target}-new"
+            files.replace(target, whole)
+    finally:
+        files.delete(work)
+    return target
 
 
 def write_sheets(sheets: dict[str, DataFrame], target: str) -> str:
-    """Sheets as CSV folders written by all executors: the form for reports that outgrow one file."""
-    for name, df in sheets.items():
-        df.write.mode("overwrite").option("header", True).csv(f"{target}/{name}")
+    """Sheets as CSV folders written by all executors: the form for reports that outgrow one file.
+
+    All are written before the first takes its place, so a report that fails
+    leaves the one before.
+    """
+    if not sheets:
+        return target
+    files, work = Files(next(iter(sheets.values())).sparkSession, target), f"{target}/_new-{uuid.uuid4().hex}"
+    try:
+        for name, df in sheets.items():
+            df.write.option("header", True).csv(f"{work}/{name}")
+        for name in sheets:
+            old = files.path(f"{target}/{name}")
+            if files.fs.exists(old):
+                files.fs.rename(old, files.path(f"{work}/_old-{name}"))
+            files.fs.rename(files.path(f"{work}/{name}"), old)
+    finally:
+        files.delete(work)
     return target
 
 
 def write_snapshot(sheets: dict[str, DataFrame], folder: str, day: str, keep_days: int = 90) -> list[str]:
     """The sheets under the day's name; days older than ``keep_days`` go (0 keeps all).  Returns the days that are left."""
-    import shutil
-    from datetime import date, timedelta
-
     write_sheets(sheets, f"{folder}/{day}")
-    last = date.fromisoformat(day) - timedelta(days=keep_days)
-    for p in Path(folder).iterdir():
+    spark = next(iter(sheets.values())).sparkSession
+    files, last = Files(spark, folder), date.fromisoformat(day) - timedelta(days=keep_days)
+    left = []
+    for s in files.listed(folder):
+        name = s.getPath().getName()
         try:
-            old = keep_days > 0 and p.is_dir() and date.fromisoformat(p.name) < last
+            old = keep_days > 0 and s.isDirectory() and date.fromisoformat(name) < last
         except ValueError:
-            continue
+            old = False
         if old:
-            shutil.rmtree(p)
-    return sorted(p.name for p in Path(folder).iterdir())
+            files.delete(f"{folder}/{name}")
+        else:
+            left.append(name)
+    return sorted(left)
 
 
-def prune_snapshots(folder: str, days: int, now: float) -> list[str]:
+def prune_snapshots(spark: SparkSession, folder: str, days: int, now: float) -> list[str]:
     """Dated report files older than ``days`` go; 0 keeps all."""
-    gone = []
-    for p in Path(folder).glob("*"):
-        if days > 0 and p.is_file() and p.stat().st_mtime < now - days * 86400:
-            p.unlink()
-            gone.append(p.name)
+    files = Files(spark, folder)
+    gone = [s.getPath().getName() for s in files.listed(folder) if days > 0 and s.isFile() and s.getModificationTime() < (now - days * 86400) * 1000]
+    for name in gone:
+        files.delete(f"{folder}/{name}")
     return sorted(gone)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,7 +186,7 @@ def test_reports_and_feed(spark, state, tmp_path):
     feed = sinks.feed(after.sites, aggregate.site_sources(after.observations))
     assert tuple(feed.columns) == sinks.FEED
     path = sinks.write_feed(feed, str(tmp_path / "feed.csv"))
-    raw = path.read_bytes()
+    raw = Path(path).read_bytes()
     assert raw.startswith(b"\xef\xbb\xbfurl,score") and raw.count(b"\n") == 3
     assert sinks.status_json(aggregate.summary_counts(after.sites)).first().status.startswith('{"total":3')
 
