@@ -805,9 +805,21 @@ def sources_view(spark, sf):
     return sinks.sources_sheet(fx(spark, sf, "fx_sources"))
 
 
-@query("runs_view", "SELECT * FROM fx_runs ORDER BY id DESC LIMIT 100", ("fx_runs",))
+@query(
+    "runs_view",
+    """+ r AS (SELECT * FROM fx_runs ORDER BY id DESC LIMIT 100)
+     SELECT strftime(started_at, '%Y-%m-%dT%H:%M:%SZ') AS started_at, CASE WHEN id % 5 = 0 THEN 'running' ELSE strftime(CAST(started_at AS TIMESTAMP) + to_seconds(id % 9000), '%Y-%m-%dT%H:%M:%SZ') END AS finished_at,
+       CASE WHEN id % 5 = 0 THEN '-' WHEN id % 9000 = 0 THEN '0초' ELSE concat_ws(' ', CASE WHEN id % 9000 >= 3600 THEN (id % 9000 // 3600) || '시간' END, CASE WHEN id % 9000 // 60 % 60 > 0 THEN (id % 9000 // 60 % 60) || '분' END, CASE WHEN id % 60 > 0 THEN (id % 9000 % 60) || '초' END) END AS duration, id % 7 AS sources_total, id % 6 AS sources_ok, id % 2 AS sources_failed, id % 11 AS pages_fetched, id % 13 AS candidates_found, sites_new, id % 3 AS sites_updated,
+       id % 4 AS candidates_added, id % 8 AS sources_approved, id % 10 AS dropped_foreign, CASE WHEN id % 3 = 0 THEN 'note' ELSE '' END AS note FROM r""",
+    ("fx_runs",),
+)
 def runs_view(spark, sf):
-    return sinks.runs_sheet(fx(spark, sf, "fx_runs"))
+    """The last hundred runs with all columns of their sheet."""
+    i = F.col("id")
+    rest = {"sources_total": 7, "sources_ok": 6, "sources_failed": 2, "pages_fetched": 11, "candidates_found": 13, "sites_updated": 3, "candidates_added": 4, "sources_approved": 8, "dropped_foreign": 10}
+    runs = fx(spark, sf, "fx_runs").withColumns({c: i % n for c, n in rest.items()})
+    runs = runs.withColumn("finished_at", F.when(i % 5 != 0, F.col("started_at") + F.make_dt_interval(secs=i % 9000))).withColumn("note", F.when(i % 3 == 0, "note").otherwise(""))
+    return sinks.runs_sheet(runs)
 
 
 @query("summary_sheet", "SELECT unnest(['total', 'alive', 'dead']) AS label, unnest([count(*), count(*) FILTER (WHERE alive), count(*) FILTER (WHERE NOT alive)]) AS value FROM fx_sites", ("fx_sites",))
@@ -830,15 +842,27 @@ def page_signals(spark, sf):
     return _table(spark, sf, "pages").select("page_id", html.page_signals("html").alias("s")).select("page_id", "s.*")
 
 
+# links of every kind, put before the end of each page's article; one of them twice
+_MORE_LINKS = """concat('<p>some words here <span data-href="https://data', page_id, '.top/a">say</span></p><p>a place to look at <a onclick="location.href=''https://click', page_id, '.top/b''">go</a></p>',
+  '<iframe src="https://frame', page_id, '.top/c"></iframe><script>var x = "https://script', page_id, '.top/d";</script><p>see https://text', page_id, '.top/e now</p>',
+  '<p>shown to all <a href="https://ban', page_id, '.top/f"><img src="banner.gif" alt="ad"></a></p><p>once more https://click', page_id, '.top/b there</p></article>')"""
+# (a middle dot spells a dot: with a word after it, a footer's host would be one more address)
+_LINK_PAGES = f"""SELECT page_id, url, replace(replace(regexp_replace(replace(html, '&middot;', '|'), 'href="/([^"]*)"', 'href="https://out.top/{{one}}?utm_source=x&k=1"'), '</article>', {_MORE_LINKS}),
+  '<head>', concat('<head><meta http-equiv="refresh" content="5; url=https://meta', page_id, '.top/g">')) AS html FROM {{pages}}"""
+
+
 @query(
     "extract_links",
-    """WITH n AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="/([^"]*)">', 1)) AS path, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS said FROM pages)
-     SELECT DISTINCT page_id, 'https://out.top/' || path || '?k=1' AS url, said AS anchor_text, CASE WHEN length(said) > 10 THEN said ELSE '' END AS context_text, 'a_href' AS method, false AS banner FROM n""",
+    """WITH n AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="/([^"]*)">', 1)) AS path, unnest(regexp_extract_all(html, '<a href="/[^"]*">([^<]*)</a>', 1)) AS said FROM pages)
+     SELECT DISTINCT page_id, 'https://out.top/' || path || '?k=1' AS url, said AS anchor_text, CASE WHEN length(said) > 10 THEN said ELSE '' END AS context_text, 'a_href' AS method, false AS banner FROM n
+     UNION ALL SELECT page_id, replace(url, '#', page_id), anchor_text, context_text, method, banner FROM pages, (VALUES
+       ('https://data#.top/a', 'say', 'some words here say', 'data_attr', false), ('https://click#.top/b', 'go', 'a place to look at go', 'js_onclick', false), ('https://frame#.top/c', '', '', 'iframe', false),
+       ('https://script#.top/d', '', '', 'js_script', false), ('https://text#.top/e', 'see https://text#.top/e now', '', 'text', false), ('https://ban#.top/f', 'ad banner', 'shown to all', 'a_href', true),
+       ('https://meta#.top/g', '', '', 'meta_refresh', false)) AS v(url, anchor_text, context_text, method, banner)""".replace("page_id, replace(url, '#', page_id), anchor_text", "page_id, replace(v.url, '#', page_id::VARCHAR), replace(anchor_text, '#', page_id::VARCHAR)"),
 )
 def extract_links(spark, sf):
-    """The links of each page's navigation, led to another site and given a tracking parameter."""
-    navigation = F.regexp_extract("html", "(?s)<nav>.*?</nav>", 0)
-    pages = _table(spark, sf, "pages").withColumn("html", F.regexp_replace(navigation, 'href="/([^"]*)"', 'href="https://out.top/$1?utm_source=x&k=1"'))
+    """All links of whole pages: those of the navigation, led to another site, and one of every other kind."""
+    pages = spark.sql(_LINK_PAGES.format(one="$1", pages="{pages}"), pages=_table(spark, sf, "pages"))
     return html.extract_links(pages).select("page_id", F.explode("links").alias("l")).select("page_id", "l.url", "l.anchor_text", "l.context_text", "l.method", "l.banner")
 
 

@@ -104,7 +104,7 @@ def runs_sheet(runs: DataFrame, n: int = 100) -> DataFrame:
         return safe(last)
     took = F.col("finished_at").cast("timestamp").cast("double") - F.col("started_at").cast("timestamp").cast("double")
     names = ["sources_total", "sources_ok", "sources_failed", "pages_fetched", "candidates_found", "sites_new", "sites_updated", "candidates_added", "sources_approved", "dropped_foreign", "note"]
-    ended = F.coalesce(clock.iso(F.col("finished_at")), F.lit("running"))
+    ended = F.when(F.col("finished_at").isNull(), "running").otherwise(clock.iso(F.col("finished_at")))
     return safe(last.select(clock.iso(F.col("started_at")).alias("started_at"), ended.alias("finished_at"), clock.duration(took).alias("duration"), *[c for c in names if c in runs.columns]))
 
 
