@@ -2,8 +2,8 @@
 
 Every piece of training text (a shard) gets a suffix array over its words; the
 suffixes of all benchmark items are binary-searched in it.  A suffix range holds
-all places where a window of an item stands; each is followed to the end of the
-longest verbatim match.  Documents never leave their task, so
+all places where a window of an item stands; the ranks of items and texts in one
+order give the longest verbatim match from each.  Documents never leave their task, so
 there is no shuffle; only the benchmark is sent out, in blocks of bounded size
 that a task takes one after another.
 """
@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import ALNUM, LOWER, Lookup, Words, extended
+from .kernel import ALNUM, LOWER, PIECE, Lookup, Words, extended, same_spans, word_ids
 
 #: UTF-8 bytes of benchmark text in one broadcast block.
 BLOCK_BYTES = 16 << 20
+#: Bytes of text that are searched for one block after another.
+MOST_TEXT = 16 << 20
 
 SPAN = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("start", T.LongType()), T.StructField("words", T.LongType())])
 FIELDS = [
@@ -32,13 +34,37 @@ FIELDS = [
 ]
 
 
+def run_ids(tokens: np.ndarray, n: int) -> np.ndarray:
+    """A number for the run of n tokens from each place on, equal for equal runs (nonsense where fewer follow)."""
+    run, width, out, taken = np.unique(tokens, return_inverse=True)[1], 1, np.zeros(len(tokens), np.int64), 0
+    shifted = lambda x, d: np.concatenate([x[d:], np.zeros(min(d, len(x)), np.int64)])[: len(x)]
+    joined = lambda x, y: np.unique(x * (int(y.max(initial=0)) + 1) + y, return_inverse=True)[1]
+    while n:
+        if n & 1:
+            out = joined(out, shifted(run, taken))
+            taken += width
+        n >>= 1
+        run = joined(run, shifted(run, width)) if n else run
+        width *= 2
+    return out
+
+
 class Index:
-    """One block of benchmark items: their words as numbers and the suffixes to look up."""
+    """One block of benchmark items: their words as numbers and their distinct windows.
+
+    Words are told apart by their bytes; a hash only says where to look.  A
+    window that items share, or that one item repeats, is looked up once.
+    """
 
     def __init__(self, ids: list[str], texts: pa.Array, window: int):
         words = Words(texts, ALNUM, LOWER)
         self.ids, self.window = ids, window
-        self.vocabulary, numbers = np.unique(words.hashes(), return_inverse=True)
+        numbers = word_ids(words)
+        _, first = np.unique(numbers, return_index=True)
+        hashes = words.hashes()[first]
+        by_hash = np.argsort(hashes, kind="stable")
+        self.lookup, self.number = Lookup(hashes[by_hash]), by_hash
+        self.data, self.start, self.size = words.data, words.start[first][by_hash], (words.end - words.start)[first][by_hash]
         counts, row = words.counts, words.row_of()
         # items stand one after another, parted by 0
         self.tokens = np.zeros(len(words) + len(ids) + window, np.int64)
@@ -47,11 +73,39 @@ class Index:
         own = np.arange(len(words)) - words.first[:-1][row]
         length = counts[row]
         looked_up = (own + window <= length) | ((length < window) & (own == 0))
-        self.suffix = at[looked_up]
-        self.length = np.minimum(length[looked_up], window)
-        self.item = row[looked_up]
+        at, item, length = at[looked_up], row[looked_up], np.minimum(length[looked_up], window)
+        suffix, sizes, pairs = [], [], []
+        for n in np.unique(length).tolist():
+            some = np.flatnonzero(length == n)
+            _, one, which = np.unique(run_ids(self.tokens, n)[at[some]], return_index=True, return_inverse=True)
+            pairs.append(np.stack([which + sum(map(len, suffix)), item[some]]))
+            suffix.append(at[some][one])
+            sizes.append(np.full(len(one), n))
+        none = np.empty(0, np.int64)
+        self.suffix, self.length = np.concatenate([none, *suffix]), np.concatenate([none, *sizes])
+        # the items of each distinct window, each once
+        held = np.unique(np.concatenate([np.empty((2, 0), np.int64), *pairs], axis=1), axis=1)
+        self.first, self.items = np.searchsorted(held[0], np.arange(len(self.suffix) + 1)), held[1]
+        self.begin = np.concatenate([[0], np.cumsum(counts + 1)])  # of each item in tokens
         self.shortest = int(self.length.min()) if len(self.length) else window
-        self.lookup = Lookup(self.vocabulary)
+
+    def words_of(self, words: Words, hashes: np.ndarray) -> np.ndarray:
+        """Each word's number, -1 where no item has it."""
+        at = self.lookup.of(hashes)
+        open_ = np.flatnonzero(at >= 0)
+        out = np.full(len(words), -1, np.int64)
+        while len(open_):
+            place, size = at[open_], (words.end - words.start)[open_]
+            same = self.size[place] == size
+            same[same] = same_spans(words.data, words.start[open_][same], self.data, self.start[place[same]], size[same])
+            out[open_[same]] = self.number[place[same]]
+            # another word of the same hash may follow
+            open_, place = open_[~same], place[~same] + 1
+            more = place < len(self.lookup.keys)
+            more[more] = self.lookup.keys[place[more]] == hashes[open_[more]]
+            open_ = open_[more]
+            at[open_] = place[more]
+        return out
 
 
 def suffix_array(shard: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -93,16 +147,17 @@ def suffix_array(shard: np.ndarray, left: np.ndarray) -> np.ndarray:
 
 
 def _search(index: Index, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places in the shard, suffix of the index and length of every occurrence of a window, and the shard's word numbers.
+    """Place in the shard, window and length of every occurrence of a distinct window, and the shard's word numbers.
 
-    All suffixes of the items are looked up at once: the range of the array that
-    shares a suffix's first words is narrowed by binary search, word by word.
+    All windows are looked up at once: the range of the array that shares a
+    window's first words is narrowed by binary search, word by word.  At most
+    one window of each length begins at a place.
     """
     none = np.empty(0, np.int64)
     shard = np.zeros(len(words) + len(words.offsets) - 1 + index.window, np.int64)
     if not len(index.suffix) or not len(words):
         return none, none, none, shard
-    found = index.lookup.of(hashes)
+    found = index.words_of(words, hashes)
     shard[np.arange(len(words)) + words.row_of()] = found + 1
     ends = np.flatnonzero(shard == 0)
     left = ends[np.searchsorted(ends, np.arange(len(shard)))] - np.arange(len(shard))
@@ -133,18 +188,41 @@ def _search(index: Index, words: Words, hashes: np.ndarray) -> tuple[np.ndarray,
     return array[low[which] + inside], which, index.length[which], shard
 
 
-def _longest(index: Index, shard: np.ndarray, place: np.ndarray, which: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, item, words) of the longest verbatim matches: occurrences that the word before doesn't belong to, up to where the texts part."""
-    at = index.suffix[which]
-    before = np.where((place > 0) & (at > 0), shard[place - 1], 0)
-    begins = (before == 0) | (before != index.tokens[at - 1])
-    place, at, item, n = place[begins], at[begins], index.item[which[begins]], length[begins].copy()
-    growing = np.arange(len(place))
-    while len(growing):
-        word = shard[place[growing] + n[growing]]
-        growing = growing[(word > 0) & (word == index.tokens[at[growing] + n[growing]])]
-        n[growing] += 1
-    return place, item, n
+def longest_matches(items: list[np.ndarray], texts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text and each of its places: the longest run of words from there that stands in an item, and one such item.
+
+    Items and texts stand in one sequence, whose ranks by the first 1, 2, 4, ...
+    words order all suffixes.  The item suffix next to a text's suffix, before or
+    after it, shares most with it; how much, the ranks tell from the widest down.
+    """
+    every = [*items, *texts]
+    size = np.array([len(x) + 1 for x in every])
+    first = np.cumsum(size) - size
+    sequence = np.concatenate([np.append(x, 0) for x in every])
+    ends = np.flatnonzero(sequence == 0)
+    sequence[ends] = int(sequence.max(initial=0)) + 1 + np.arange(len(ends))  # ends are all different
+    ranks = [np.unique(sequence, return_inverse=True)[1]]
+    width = 1
+    while int(ranks[-1].max()) + 1 < len(sequence):
+        follow = np.zeros(len(sequence), np.int64)
+        follow[:-width] = ranks[-1][width:] + 1
+        ranks.append(np.unique(ranks[-1] * (len(sequence) + 1) + follow, return_inverse=True)[1])
+        width *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    of_item = order < first[len(items)]
+    place = np.arange(len(order))
+    near = np.stack([np.maximum.accumulate(np.where(of_item, place, -1)), np.minimum.accumulate(np.where(of_item, place, len(order))[::-1])[::-1]])
+    best, whose = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    for side in near:
+        own = np.flatnonzero(~of_item & (side >= 0) & (side < len(order)))
+        p, q = order[own], order[side[own]]
+        shared = np.zeros(len(own), np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            a, b = np.minimum(p + shared, len(order) - 1), np.minimum(q + shared, len(order) - 1)
+            shared += np.where(ranks[k][a] == ranks[k][b], 1 << k, 0)
+        better = shared > best[p]
+        best[p[better]], whose[p[better]] = shared[better], np.searchsorted(first, q[better], "right") - 1
+    return [(best[a : a + n - 1], whose[a : a + n - 1]) for a, n in zip(first[len(items) :].tolist(), size[len(items) :].tolist())]
 
 
 def _report(indexes, column) -> list[pa.Array]:
@@ -153,7 +231,8 @@ def _report(indexes, column) -> list[pa.Array]:
     hashes = words.hashes()
     row_at = np.append(words.first[:-1] + np.arange(rows), len(words) + rows)  # where a row begins in the shard
     delta = np.zeros(len(words) + rows + 2, np.int64)
-    pairs, spans = [], []
+    items: list[set] = [set() for _ in range(rows)]
+    spans: dict[int, dict[int, tuple[int, str]]] = {}  # of each row, by place: words and item
     for get in indexes:
         index: Index = get()
         place, which, length, shard = _search(index, words, hashes)
@@ -162,20 +241,31 @@ def _report(indexes, column) -> list[pa.Array]:
         np.add.at(delta, place, 1)
         np.add.at(delta, place + length, -1)
         row = np.searchsorted(row_at, place, "right") - 1
-        for r, i in np.unique(np.stack([row, index.item[which]], 1), axis=0).tolist():
-            pairs.append((r, index.ids[i]))
-        for p, i, n in zip(*(x.tolist() for x in _longest(index, shard, place, which, length))):
-            r = int(np.searchsorted(row_at, p, "right")) - 1
-            spans.append((r, int(p - row_at[r]), n, index.ids[i]))
+        hit = np.unique(row * len(index.suffix) + which)
+        hit_row, window = np.divmod(hit, len(index.suffix))
+        n = index.first[window + 1] - index.first[window]
+        found = index.items[np.repeat(index.first[window] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        for r, i in zip(np.repeat(hit_row, n).tolist(), found.tolist()):
+            items[r].add(index.ids[i])
+        some, used = np.unique(hit_row).tolist(), np.unique(found).tolist()
+        at = longest_matches([index.tokens[index.begin[i] : index.begin[i + 1] - 1] for i in used], [shard[row_at[r] : row_at[r + 1] - 1] for r in some])
+        begins = np.zeros(len(shard), bool)
+        begins[place] = True
+        for r, (longest, whose) in zip(some, at):
+            into = spans.setdefault(r, {})
+            for p in np.flatnonzero(begins[row_at[r] : row_at[r + 1] - 1]).tolist():
+                into[p] = max(into.get(p, (0, "")), (int(longest[p]), index.ids[used[whose[p]]]))
     covered = (np.cumsum(delta[:-1]) > 0).astype(np.int64)
     total = np.concatenate([[0], np.cumsum(covered)])
     hit = total[row_at[1:]] - total[row_at[:-1]]
-    items: list[set] = [set() for _ in range(rows)]
     matches: list[list] = [[] for _ in range(rows)]
-    for r, i in pairs:
-        items[r].add(i)
-    for r, start, n, i in sorted(spans, key=lambda x: (x[0], x[1], -x[2], str(x[3]))):
-        matches[r].append({"item_id": i, "start": start, "words": n})
+    for r, by_place in spans.items():
+        reach = 0
+        for p in sorted(by_place):  # those within a match that begins earlier are part of it
+            n, i = by_place[p]
+            if p + n > reach:
+                matches[r].append({"item_id": i, "start": p, "words": n})
+                reach = p + n
     return [
         pa.array(counts, pa.int64()),
         pa.array(hit, pa.int64()),
@@ -193,8 +283,9 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10
     item's windows are its runs of ``window`` words; an item with fewer, but not
     none, is one window.  New columns: n_words, n_hit (words inside an
     occurrence), longest (longest match in words), items (ids as sorted
-    strings; a null id counts as the string ``null``), matches (item, first word,
-    words), contaminated.  Null and empty texts have no words and no hits; a
+    strings; a null id counts as the string ``null``), matches (the longest
+    verbatim match from each place where a window begins, without those inside
+    an earlier one: one item that has it, first word, words), contaminated.  Null and empty texts have no words and no hits; a
     benchmark without words marks nothing; repeated items count once.
     """
     spark = docs.sparkSession
@@ -220,7 +311,8 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10
         getters = [of(x) for x in sent]
         return lambda column: _report(getters, column)
 
-    return extended(docs, text, FIELDS, make, carry)
+    # with several blocks, each is fetched for more text at a time
+    return extended(docs, text, FIELDS, make, carry, min(PIECE * blocks, MOST_TEXT))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **kw) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import ALNUM, LOWER, Words, extended, pieces, stored, trim
+from .kernel import ALNUM, LOWER, Words, extended, pieces, stored, trim, word_ids
 
 #: Buckets of the hashed n-grams; longest n-gram; the smallest number of words of a document that can be drawn.
 BUCKETS, MOST, LEAST_WORDS = 10_000, 1, 20
@@ -31,14 +31,6 @@ UNIT = 1000
 BAR = 256
 
 
-def word_ids(words: Words) -> np.ndarray:
-    """A number for each word, equal for equal bytes."""
-    bounds = np.empty(2 * len(words) + 1, np.int32)
-    bounds[0:-1:2], bounds[1::2], bounds[-1] = words.start, words.end, len(words.data)
-    blob = pa.BinaryArray.from_buffers(pa.binary(), 2 * len(words), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(words.data))])
-    return blob.take(pa.array(np.arange(0, 2 * len(words), 2))).dictionary_encode().indices.to_numpy().astype(np.int64)
-
-
 def suffix_runs(ids: np.ndarray, room: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each n up to ``most``: n, the suffixes with n words or more in order, and where a run of equal first n words begins.
 

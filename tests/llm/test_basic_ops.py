@@ -63,6 +63,60 @@ def test_decontamination_matches_give_places(spark):
     assert [(m.item_id, m.start, m.words) for m in row.matches] == [("3", 1, 13)]
 
 
+def test_words_of_equal_hash_are_told_apart(spark):
+    """Two words made to share the 64-bit hash, as item words and as text words."""
+    a, b = "k485ez791iajepz6", "7mw7ze4v2ttrt4uq"
+    docs = docs_frame(spark, [(1, f"x {a} y", "s"), (2, f"x {b} y", "s"), (3, "x y", "s")])
+    for items, want in (([(1, a)], {1: ["1"]}), ([(2, b)], {2: ["2"]}), ([(1, a), (2, b)], {1: ["1"], 2: ["2"]})):
+        got = mark_contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {r.doc_id: r["items"] for r in got if r.contaminated} == want
+
+
+def test_repeated_words_cost_no_pairs():
+    """An item and a text of 20,000 equal words, and a text that repeats a phrase."""
+    import resource
+
+    import pyarrow as pa
+
+    from linkrisk.llm.decontamination import Index, _report
+
+    phrase = " ".join(f"p{i}" for i in range(7))
+    items = ["w " * 20_000, f"{phrase} " * 2000, None, ""]
+    texts = ["a " + "w " * 40_000 + "b", f"z {phrase} " * 50, f"{phrase} " * 3000, "w " * 9, None]
+    index = Index(["1", "2", "3", "4"], pa.array(items), 10)
+    assert len(index.suffix) == 8
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    words, hit, longest, found, matches, _ = (x.to_pylist() for x in _report([lambda: index], pa.array(texts)))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000  # KB
+    assert (words[0], hit, longest) == (40_002, [40_000, 0, 21_000, 0, 0], [20_000, 0, 14_000, 0, 0])
+    assert found == [["1"], [], ["2"], [], []] and matches[0][0] == {"item_id": "1", "start": 1, "words": 20_000}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_longest_matches(seed):
+    from linkrisk.llm.decontamination import longest_matches
+
+    r = np.random.default_rng(seed)
+    items, texts = ([r.integers(1, 4, r.integers(0, 40)) for _ in range(n)] for n in (4, 6))
+    parts = {tuple(x[i:j].tolist()) for x in items for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
+    for text, (got, whose) in zip(texts, longest_matches(items, texts)):
+        for p in range(len(text)):
+            n = max((n for n in range(1, len(text) - p + 1) if tuple(text[p : p + n].tolist()) in parts), default=0)
+            assert got[p] == n
+            mine = items[whose[p]]
+            assert not n or any((mine[i : i + n] == text[p : p + n]).all() for i in range(len(mine) - n + 1))
+
+
+def test_op1_keeps_its_contract(spark):
+    from linkrisk.llm.queries import op1_decontamination
+
+    sf = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    got = [tuple(r) for r in op1_decontamination(spark, sf).drop("longest").collect()]
+    assert sorted(got) == sorted(brute.contaminated(docs, items))
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert mark_contaminated(docs_frame(spark, [(1, "a b", "s")]), none).first().n_hit == 0
