@@ -5,11 +5,10 @@ with.  Only edges that occur twice matter, and an edge cannot occur twice unless
 its minimizer (the least hash among its m-mers) does, so the first step counts
 minimizers, a sixth as many as edges, and keeps the stretches of texts whose
 minimizer repeats.  The edges of these stretches meet by hash and agree on one
-source coordinate, their first occurrence.  Edges whose sources stand side by
-side form one path; a path ends where the next edge has its source elsewhere,
-as the node between them then has a second way in.  Paths go back to their
-source texts in a join, and what a text holds beyond its own source paths has
-come before and is removed.
+source coordinate, their first occurrence.  The sources of a text's edges come
+back to it in a join as a list of places, and an edge of a text that is no source
+has come before: its words are removed.  Degrees of nodes are not stored, and
+edges are not compacted into paths.
 """
 
 from __future__ import annotations
@@ -175,7 +174,7 @@ def without_repeats(docs: DataFrame, *, k: int = K, m: int = M, text: str = "tex
     texts = slim.join(runs, KEY).select("place", "text", "starts", "lengths")
     edge = texts.mapInArrow(edges, "first long, second int, place long, start int")
     source = edge.groupBy("first", "second").agg(F.min(F.struct("place", "start")).alias("s")).select("s.*")
-    # edges whose sources stand side by side are one path
+    # where in each text edges stand for the first time
     paths = source.groupBy("place").agg(F.sort_array(F.collect_list("start")).alias("sources"))
     found = runs.join(paths, "place", "left").drop("place")
 
