@@ -24,6 +24,10 @@ from .kernel import buffers, extended, pieces
 ORDER = 3
 #: Documents of a language that training looks at (about; whole texts).
 SAMPLE_DOCS = 1500
+#: Languages that are learned: those with the most labelled rows, by name among equals.
+LANGUAGES = 256
+#: Code lengths (of a byte in a language) that are looked up at a time.
+STEP = 1 << 20
 #: Log2 of what is left for symbols that a full context has not seen.
 NOTHING = float(np.log2(1e-12))
 #: No language, for texts without a letter.
@@ -130,28 +134,33 @@ class Trees:
         """(rows, languages): log2 probability of each text."""
         data, offsets = buffers(column)
         codes = _codes(self.symbol[data], offsets, self.order, self.classes)
-        sums = np.zeros((len(data) + 1, len(self.languages)), np.float64)
-        for a in range(0, len(codes), 1 << 18):
-            b = min(len(codes), a + (1 << 18))
-            np.cumsum(self.look(codes[a:b]), axis=0, dtype=np.float64, out=sums[a + 1 : b + 1])
-            sums[a + 1 : b + 1] += sums[a]
-        return sums[offsets[1:]] - sums[offsets[:-1]]
+        out = np.zeros((len(offsets) - 1, len(self.languages)), np.float64)
+        step = max(1, STEP // len(self.languages))
+        for a in range(0, len(codes), step):
+            b = min(len(codes), a + step)
+            # rows that have bytes in this step; each one's sum begins where it does
+            first, end = np.searchsorted(offsets, a, "right") - 1, np.searchsorted(offsets, b, "left")
+            rows = np.arange(first, end)
+            rows = rows[offsets[rows + 1] > np.maximum(offsets[rows], a)]
+            out[rows] += np.add.reduceat(self.look(codes[a:b]), np.maximum(offsets[rows], a) - a, axis=0, dtype=np.float64)
+        return out
 
 
-def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Trees:
+def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, most_languages: int = LANGUAGES) -> Trees:
     """Trees from a bounded sample of the labelled rows.
 
     About ``sample_docs`` documents of each language, chosen by a hash of id and
     text; counts are made on the executors and only (context, symbol, count)
-    comes back.  Rows with a null language or text teach nothing.
+    comes back.  At most ``most_languages`` are learned, those with the most rows.
+    Rows with a null language or text teach nothing.
     """
     rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.lit(5), F.col(f"`{id_col}`"), F.octet_length(F.col(f"`{text}`").cast("string"))).alias("key")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     languages = sorted(sizes)
     if not languages:
         return Trees([], [])
     resolution = 1 << 30
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(resolution, resolution * sample_docs // sizes[x] + 1))) for x in languages])
+    share = F.create_map(*[F.lit(v) for x in languages for v in (x, min(resolution, resolution * sample_docs // sizes[x] + 1))])[F.col("lang")]
     sample = rows.where(F.pmod("key", F.lit(resolution)) < share).select("lang", "text")
 
     def count(batches):
