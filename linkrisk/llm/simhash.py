@@ -35,8 +35,10 @@ FRONTIER = 1 << 17
 LEAF_PAIRS = 64
 #: Leaves of a block that are aimed at: a strict plan's first bits are as many as that takes.
 BLOCK = 1 << 16
-#: Leaves that share one least shingle from which on a second one parts them; bytes of leaves that are worked on together.
+#: Leaves of a block by similarity; a block of more is split. Bytes of leaves that are worked on together.
 HOT, HELD = 4096, 16 << 20
+#: Pairs whose sets are compared before components are looked at again.
+COMPARED = 256
 
 
 @dataclass(frozen=True)
@@ -71,13 +73,15 @@ class Plan:
 class Similar:
     """Links at a Jaccard ``similarity`` or more of the sets of ``shingle``-word shingles.
 
-    Fingerprints have ``words`` x 64 bits; ``orders``: least shingles that are looked at.
+    Fingerprints have ``words`` x 64 bits; ``orders``: least shingles that are looked at;
+    ``levels``: how often a block of many leaves is split by as many further orders.
     """
 
     shingle: int = 5
     similarity: float = 0.8
     words: int = 4
     orders: int = 4
+    levels: int = 2
 
     @property
     def leaf(self) -> tuple[str, ...]:
@@ -85,7 +89,7 @@ class Similar:
 
     @property
     def more(self) -> tuple[str, ...]:
-        return (*[f"fp{w}" for w in range(self.words)], *[f"m{v}" for v in range(self.orders)])
+        return (*[f"fp{w}" for w in range(self.words)], *[f"m{v}" for v in range(self.orders * (self.levels + 1))])
 
     def allowed(self) -> np.ndarray:
         """Differing bits that a pair may have within its first 0, 1, 2, ... bits: the mean at the similarity and five deviations."""
@@ -155,7 +159,7 @@ def _salts(n: int, first: int) -> np.ndarray:
 
 
 def _similar_maker(plan: Similar):
-    bits, orders = _salts(plan.words, 1), _salts(plan.orders, 100)[:, None]
+    bits, orders = _salts(plan.words, 1), _salts(plan.orders * (plan.levels + 1), 100)[:, None]
     columns = [*plan.leaf, *plan.more]
 
     def run(column):
@@ -293,22 +297,6 @@ def _strict_forest(plan: Plan, top: list[int], table: pa.Table) -> pa.RecordBatc
     return _children(table.column("leaf").to_numpy(), label)
 
 
-def _hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Joins the components of linked positions; a label is its component's smallest position."""
-    while len(i):
-        a, b = label[i], label[j]
-        apart = a != b
-        if not apart.any():
-            return
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            jumped = label[label]
-            if (jumped == label).all():
-                break
-            label[:] = jumped
-
-
 def _similar_forest(plan: Similar, table: pa.Table) -> pa.RecordBatch:
     """A spanning forest of the links in whole blocks: the trie finds pairs, their sets decide."""
     block = table.column("block").to_numpy()
@@ -322,32 +310,33 @@ def _similar_forest(plan: Similar, table: pa.Table) -> pa.RecordBatch:
     own = [flat[bounds[k] : bounds[k + 1]].view("<u4") for k in order.tolist()]
     size = np.array([len(x) for x in own], np.int64)
     edges = np.append(np.flatnonzero(np.r_[True, block[1:] != block[:-1]]), len(block))
-    parent = list(range(len(block)))
+    label = np.arange(len(block))
+    allowed, least = plan.allowed(), plan.similarity
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+    def similar(p: int, q: int) -> bool:
+        both = np.concatenate((own[p], own[q]))
+        both.sort()
+        shared = np.count_nonzero(both[1:] == both[:-1])
+        return shared >= least * (len(both) - shared)
 
-    allowed, least = plan.allowed(), plan.similarity
     for i, j in _walk(prints, edges, 0, allowed):
-        # sets of too different size can't be that similar
-        close = np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j])
-        i, j = i[close], j[close]
+        # linked ones need no second link, and sets of too different size can't be that similar
+        open_ = (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]))
+        i, j = i[open_], j[open_]
         away = _differing(prints, i, j)
         near = away <= allowed[-1]
-        i, j = i[near], j[near]
         nearest = np.argsort(away[near], kind="stable")
-        for p, q in zip(i[nearest].tolist(), j[nearest].tolist()):
-            a, b = root(p), root(q)
-            if a == b:
-                continue
-            both = np.concatenate((own[p], own[q]))
-            both.sort()
-            shared = np.count_nonzero(both[1:] == both[:-1])
-            if shared >= least * (len(both) - shared):
-                parent[max(a, b)] = min(a, b)
-    return _children(table.column("leaf").to_numpy()[order], np.array([root(x) for x in range(len(parent))], np.int64))
+        i, j = i[near][nearest], j[near][nearest]
+        at = 0
+        while at < len(i):
+            p, q = i[at : at + COMPARED], j[at : at + COMPARED]
+            linked = np.array([similar(x, y) for x, y in zip(p.tolist(), q.tolist())], bool)
+            at += COMPARED
+            if linked.any():
+                _hook(label, p[linked], q[linked])
+                apart = label[i[at:]] != label[j[at:]]
+                i, j, at = i[at:][apart], j[at:][apart], 0
+    return _children(table.column("leaf").to_numpy()[order], label)
 
 
 def _by_group(make, columns: list[str], limit: int):
@@ -403,25 +392,59 @@ def strict_links(leaves: DataFrame, plan: Plan) -> DataFrame:
     return rows.mapInArrow(_by_group(lambda table: _strict_forest(plan, top, table), ["view", "head"], HELD // 8), "a long, b long").distinct()
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    """(leaf, block): each block of ``rows`` (leaf, block, leaves) as cells of some :data:`HOT` leaves, any two leaves together in one.
+
+    Leaves are dealt into parts by a hash of their number, and a cell is two parts.
+    """
+    parts = F.ceil(F.col("leaves") * 2 / HOT).cast("int")
+    dealt = rows.select("leaf", "block", F.pmod(F.xxhash64("leaf"), parts).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    return dealt.where("own != other").select("leaf", F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("block"))
+
+
+def _blocks(leaves: DataFrame, plan: Similar) -> DataFrame:
+    """(leaf, block): blocks of two leaves to some :data:`HOT`, such that similar leaves meet in one.
+
+    A block is the leaves of one least shingle.  One that is too large is split
+    by further orders, where a pair must share one least shingle again; if one
+    of the parts keeps more than half of the leaves, they are much alike and no
+    order parts them, so the block goes into cells that lose no pair, and so does
+    what is still too large after the last level.
+    """
+    least = lambda level: F.posexplode(F.array(*[F.col(f"m{v}") for v in range(level * plan.orders, (level + 1) * plan.orders)])).alias("view", "key")
+    rows = leaves.where("n > 0").select("leaf", least(0)).select("leaf", F.xxhash64("view", "key").alias("block"))
+    made = []
+    for level in range(1, plan.levels + 2):
+        sizes = cut(rows.groupBy("block").agg(F.count(F.lit(1)).alias("leaves")).where("leaves > 1"))
+        made.append(rows.join(sizes.where(F.col("leaves") <= HOT), "block").select("leaf", "block"))
+        hot = sizes.where(F.col("leaves") > HOT)
+        if hot.isEmpty():
+            break
+        large = rows.join(hot, "block").select("leaf", "block", "leaves")
+        if level > plan.levels:
+            made.append(_cells(large))
+            break
+        parts = cut(large.join(leaves, "leaf").select("leaf", "block", "leaves", least(level)))
+        largest = parts.groupBy("block", "view", "key").agg(F.count(F.lit(1)).alias("n"), F.first("leaves").alias("leaves")).groupBy("block").agg(F.max(F.col("n") * 2 > F.col("leaves")).alias("alike"))
+        alike = cut(largest.where("alike").select("block"))
+        made.append(_cells(large.join(alike, "block")))
+        rows = parts.join(alike, "block", "left_anti").select("leaf", F.xxhash64("block", "view", "key").alias("block"))
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def similar_links(leaves: DataFrame, texts: DataFrame, plan: Similar) -> DataFrame:
     """(a, b) leaf numbers: a spanning forest of the links of every block.
 
     leaves: leaf, first (the key of a row that has the set), n, the fingerprint
     and the least shingles; texts: KEY and text.  A pair at the similarity shares
     each least shingle with that probability, so it is missed with
-    (1 - similarity) ** orders.  Where more than :data:`HOT` leaves share one,
-    they must share a second one as well.
+    (1 - similarity) ** orders at most, and once more for each level at which its
+    blocks are too large and split, however many leaves there are.
     """
-    least = F.array(*[F.col(f"m{v}") for v in range(plan.orders)])
-    keyed = leaves.where("n > 0").select("leaf", least.alias("least"), F.posexplode(least).alias("view", "key"))
-    shared = cut(keyed.groupBy("view", "key").agg(F.count(F.lit(1)).alias("leaves")).where("leaves > 1"))
-    hot = shared.where(F.col("leaves") > HOT)
-    named = lambda *c: F.xxhash64("view", *c).alias("block")
-    members = keyed.join(shared.where(F.col("leaves") <= HOT).drop("leaves"), ["view", "key"]).select("leaf", named("key"))
-    if not hot.isEmpty():
-        second = keyed.join(hot.drop("leaves"), ["view", "key"]).select("leaf", "view", "key", F.posexplode("least").alias("other", "value")).where("other != view").select("leaf", named("key", "other", "value"))
-        together = second.groupBy("block").agg(F.count(F.lit(1)).alias("leaves")).where("leaves > 1").select("block")
-        members = members.unionByName(second.join(together, "block"))
+    members = _blocks(leaves, plan)
     blocks = members.groupBy("leaf").agg(F.collect_list("block").alias("blocks"))
     wanted = blocks.join(leaves, "leaf").select("first.*", "leaf", "blocks", *[f"fp{w}" for w in range(plan.words)])
     rows = texts.join(wanted, KEY).select("text", "leaf", "blocks", *[f"fp{w}" for w in range(plan.words)])

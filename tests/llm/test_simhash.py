@@ -115,6 +115,41 @@ def test_similar_groups_match_all_pairs(spark, hot, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("hot", [simhash.HOT, 12])
+def test_shipped_plan_finds_similar_pairs(spark, hot, monkeypatch):
+    """Recall of the plan as it ships, with and without blocks that are too large: texts with a common passage, and one large group."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    r = random.Random(8)
+    passage = [f"common{i}" for i in range(60)]
+    rows = []
+    for g in range(150):
+        w = [f"g{g}x{r.randint(0, 10**6)}" for _ in range(140)]
+        for k in range(2):
+            own = list(w)
+            for p in r.sample(range(140), 2 * k):
+                own[p] = f"changed{g}"
+            rows.append((g * 2 + k, " ".join([*own, *passage])))
+    alike = [f"one{i}" for i in range(200)]
+    for k in range(60):
+        rows.append((1000 + k, " ".join([*alike[: 3 * k], f"own{k}", *alike[3 * k + 1 :]])))
+    got = {x.doc_id: x.component_id for x in near_groups(frame(spark, rows), SIMILAR).collect()}
+    pairs = [(a, a + 1) for a in range(0, 300, 2) if jaccard(rows[a][1], rows[a + 1][1]) >= 0.8]
+    assert len(pairs) == 150
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.98 * len(pairs)
+    assert {got[1000 + k] for k in range(60)} == {1000}
+    assert all(got[a] in (a, a - a % 2) for a in range(300))
+
+
+@pytest.mark.parametrize("leaves", [13, 40, 200])
+def test_cells_lose_no_pair(spark, leaves, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 12)
+    cells = {}
+    for r in simhash._cells(spark.range(leaves).selectExpr("id AS leaf", "7L AS block", f"{leaves}L AS leaves")).collect():
+        cells.setdefault(r.block, set()).add(r.leaf)
+    assert all(any({a, b} <= c for c in cells.values()) for a in range(leaves) for b in range(a))
+    assert max(map(len, cells.values())) < 40
+
+
 def test_ids_of_any_type_and_clashing_columns(spark):
     rows = [("b", "one two three", 1, "x", 2), ("a", "one two three", 1, "x", 2), (None, "else", 1, "x", 2)]
     docs = spark.createDataFrame(rows, "doc_id string, text string, __text int, t string, n long")
