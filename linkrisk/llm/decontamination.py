@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import ALNUM, LOWER, PIECE, Lookup, Words, extended, same_spans, word_ids
+from .kernel import ALNUM, LOWER, PIECE, Lookup, Words, extended, same_spans, trim, word_ids
 
 #: UTF-8 bytes of benchmark text in one broadcast block.
 BLOCK_BYTES = 16 << 20
@@ -297,6 +297,7 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10
         part = (items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)).toArrow()
         sent.append(spark.sparkContext.broadcast(Index(part.column("id").to_pylist(), part.column("text"), window)))
         del part
+    trim()
 
     def make():
         def of(one):

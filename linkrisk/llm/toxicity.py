@@ -169,7 +169,10 @@ def train(docs: DataFrame, *, text: str = "text", label: str = "toxic", id_col:
     if isinstance(bins, pa.ChunkedArray):
         bins = pa.concat_arrays(bins.chunks) if bins.num_chunks else pa.array([], pa.list_(pa.int32()))
     flat, edges = bins.values.to_numpy(), bins.offsets.to_numpy()
-    return Machine([flat[a:b] for a, b in zip(edges, edges[1:])], table.column("__label").to_numpy().astype(np.float64))
+    machine = Machine([flat[a:b] for a, b in zip(edges, edges[1:])], table.column("__label").to_numpy().astype(np.float64))
+    del table, bins, flat
+    trim()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, *, text: str = "text", carry: list[str] | None = None) -> DataFrame:
