@@ -15,7 +15,7 @@ from .operators import aggregate, frontier, sites
 from .plans import cycle, preview
 from .session import local_session
 from .sources import readers, sinks
-from .sources.snapshots import Store
+from .sources.snapshots import TABLES, Store
 
 
 def parser() -> argparse.ArgumentParser:
@@ -51,6 +51,10 @@ def parser() -> argparse.ArgumentParser:
     command("approve", "url")
     command("reject", "url")
     command("mark", "target", "status").add_argument("--memo")
+    command("show", "table", "key", "value").add_argument("--at", type=int, help="a version; the current one otherwise")
+    c = command("query", "sql")
+    c.add_argument("--value", action="append", default=[], metavar="NAME=TEXT", help="a parameter, :NAME in the SQL")
+    c.add_argument("--out", help="a folder for the rows as Parquet, written by the executors; lines of JSON otherwise")
     return p
 
 
@@ -66,6 +70,8 @@ def main(argv: list[str] | None = None, spark=None, now: dt.datetime | None = No
         preview.preview(pages, pack, a.all).select("url", "score", "category", "risk", "anchor_text").show(100, truncate=60)
         return 0
     store = Store(spark, a.store)
+    if a.command in ("show", "query"):
+        return _asked(a, store)
     state = cycle.stored_state(store)
     if a.command == "status":
         counts = aggregate.summary(state.sites, state.sources, state.domain_language, when)
@@ -101,6 +107,25 @@ def _tables(state) -> dict:
     return {f.name: getattr(state, f.name) for f in fields(state)}
 
 
+def _asked(a, store: Store) -> int:
+    """Reads from a store, as lines of JSON; one row by its key (1 where there is none), or the rows of a query."""
+    if a.command == "query":
+        rows = store.query(a.sql, **dict(v.split("=", 1) for v in a.value))
+        if a.out:
+            rows.write.parquet(a.out)
+            return 0
+    elif a.table not in TABLES or a.key not in (columns := store.read(a.table).columns):
+        print(f"no such key: {a.table}.{a.key}; " + (", ".join(columns) if a.table in TABLES else ", ".join(TABLES)), file=sys.stderr)
+        return 2
+    else:
+        rows = store.lookup(a.table, version=a.at, **{a.key: a.value})
+    found = False
+    for row in rows.select(F.to_json(F.struct("*")).alias("line")).toLocalIterator():  # a partition at a time
+        print(row.line)
+        found = True
+    return 0 if found or a.command == "query" else 1
+
+
 def _cycle(a, spark, store: Store, state, pack, cfg, when) -> int:
     """Commands that run a cycle or a part of it over tables of what was fetched (Parquet)."""
     table = lambda path: spark.read.parquet(path) if path else None

@@ -28,6 +28,33 @@ def test_commands(spark, tmp_path, capsys):
     assert (status["total"], status["sources_total"]) == (0, 1)
 
 
+def test_reads_of_a_store(spark, tmp_path, capsys):
+    """A row by its key, of this version or an earlier one, and SQL over the tables with parameters."""
+    store = str(tmp_path / "store")
+    run = lambda *a: cli.main(list(a), spark, NOW)
+    lines = lambda: [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert run("show", store, "sources", "id", "1") == 1 and lines() == []
+    urls = [f"https://p{i}.test/" for i in range(3)]
+    for u in urls:
+        run("add-source", store, u)
+    run("disable-source", store, urls[1])
+    lines()
+    assert run("show", store, "sources", "url", urls[1]) == 0
+    (row,) = lines()
+    assert (row["url"], row["enabled"]) == (urls[1], False)
+    assert run("show", store, "sources", "id", str(row["id"])) == 0 and lines() == [row]
+    assert run("show", store, "sources", "url", urls[1], "--at", "3") == 0 and lines()[0]["enabled"] is True
+    assert run("show", store, "sources", "url", urls[2], "--at", "2") == 1
+    assert run("show", store, "sources", "id", "none") == 1
+    assert run("show", store, "sources", "colour", "1") == 2 and run("show", store, "no", "id", "1") == 2
+    lines()
+    sql = "SELECT url FROM {sources} WHERE enabled = CAST(:on AS BOOLEAN) ORDER BY url"
+    assert run("query", store, sql, "--value", "on=true") == 0 and [r["url"] for r in lines()] == [urls[0], urls[2]]
+    assert run("query", store, "SELECT s.url FROM {sources} s JOIN {sites} t ON s.url = t.url") == 0 and lines() == []
+    assert run("query", store, sql, "--value", "on=false", "--out", str(tmp_path / "rows")) == 0
+    assert [r.url for r in spark.read.parquet(str(tmp_path / "rows")).collect()] == [urls[1]]
+
+
 PAGE = "url string, status int, html string, encoding string"
 
 
