@@ -120,6 +120,16 @@ def test_folding_keeps_texts_and_banner():
     assert html.folded(s) == [{"url": "u", "anchor_text": "name", "context_text": "around", "method": "a_href", "banner": True}]
 
 
+def test_references_by_name_need_their_semicolon():
+    page = """<title>A &amp;&amp</title><h1>&quot;x&quot <b>&copy</b>&copy;</h1><meta name="description" content="a&amp;b&reg">
+    <p>&amp;amp; &ampx; &am &#65; &middot;</p><a href="https://out.test/?a=1&copy=2&amp;b=3">to</a><script>location.href = "https://go.test/?a=1&amp=2"</script>"""
+    s = html.read_signals(page)
+    assert (s["title"], s["headings"], s["meta_description"]) == ("A &&amp", '"x&quot &copy ©', "a&b&reg")
+    assert s["text"].endswith("&amp; &ampx; &am A · to")
+    links = {x["method"]: x["url"] for x in html.read_links(page, "https://src.test/").links}
+    assert links == {"a_href": "https://out.test/?a=1&copy=2&b=3", "js_script": "https://go.test/?a=1&amp=2"}
+
+
 def test_signals_and_redirects():
     s = html.read_signals(PAGE)
     assert (s["title"], s["headings"], s["meta_description"], s["has_password_input"]) == ("Best list", "Top", "verified ranking", True)
