@@ -146,8 +146,10 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     out = mix(length.astype(U64) + U64(_BASE[seed]))
     eights = _eights(data)
     long = length > _LONG
-    at = np.flatnonzero(~long & (length > 0))
-    done = 0
+    at, done = np.flatnonzero(~long & (length > 0)), 0
+    if length.all():  # the first step of all spans at a time
+        out = mix(out ^ (eights[start] & _LOW[np.minimum(length, 8)]))
+        at, done = at[length[at] > 8], 8
     while len(at):
         left = length[at] - done
         out[at] = mix(out[at] ^ (eights[start[at] + done] & _LOW[np.minimum(left, 8)]))

@@ -118,8 +118,21 @@ def _dealt(part: np.ndarray):
     return zip(part[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(part)])
 
 
+def _order(h: np.ndarray) -> np.ndarray:
+    """The places of hashes in ascending order, as np.argsort has them: sorted as numbers of their first bits and their place."""
+    if len(h) < 2:
+        return np.arange(len(h))
+    low = h.min()
+    free = U64(64 - int(h.max() - low).bit_length())
+    place = U64((1 << len(h).bit_length()) - 1)
+    by = np.sort((h - low << free) & ~place | np.arange(len(h), dtype=U64))
+    by = (by & place).astype(np.int64)
+    found = h[by]
+    return by if (found[1:] >= found[:-1]).all() else np.argsort(h)  # some share all those first bits
+
+
 def _summed(h: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray):
-    by = np.argsort(h)
+    by = _order(h)
     h = h[by]
     new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
     return h[new], a[by[new]], b[by[new]], np.add.reduceat(n[by], new) if len(h) else n
@@ -162,16 +175,31 @@ def gram_counts(train: DataFrame, n: int, least: float, tokens: int, turn: int =
     return train.mapInArrow(count, "part int, grams binary, n binary").repartition(parts, "part").mapInArrow(add, "h long, a long, b long, c long")
 
 
+def _beside_words(grams: DataFrame, ids: Ids, counts: np.ndarray, lefts: np.ndarray) -> DataFrame:
+    """Pairs of words with c_a and left_a of the first and c_b of the second; null where it is not one of ``ids``."""
+    sent = grams.sparkSession.sparkContext.broadcast((ids.hashes, np.append(counts, 0.0), np.append(lefts, 1.0)))
+
+    def look(batches):
+        hashes, counts, lefts = sent.value
+        known = Ids(hashes)
+        for batch in batches:
+            a, b = (known.of(batch.column(k).to_numpy().view(U64)) for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts[a], mask=a < 0), pa.array(lefts[a], mask=a < 0), pa.array(counts[b], mask=b < 0)], names=["h", "a", "b", "c", "c_a", "left_a", "c_b"])
+        trim()
+
+    return grams.select("h", "a", "b", "c").mapInArrow(look, "h long, a long, b long, c long, c_a double, left_a double, c_b double")
+
+
 class Automaton:
     """States, arcs and failure arcs, compiled on the driver from at most 1/head_share n-grams of each order."""
 
-    def __init__(self, ids: Ids, counts: np.ndarray, grams: dict[int, tuple[np.ndarray, np.ndarray]], lefts: dict[int, np.ndarray], heads: dict[int, np.ndarray], tokens: int, kinds: int):
-        """counts: of the words of ids; grams[n]: (codes, counts) of the n-grams that have arcs, n from 2 on.
+    def __init__(self, ids: Ids, counts: np.ndarray, grams: dict[int, tuple[np.ndarray, np.ndarray]], lefts: dict[int, np.ndarray], heads: dict[int, np.ndarray], tokens: int, kinds: int, least: float):
+        """counts: of the words of ids, which occur ``least`` times or more; grams[n]: (codes, counts) of the n-grams that have arcs, n from 2 on.
 
         lefts[n]: what the kept n+1-grams, with arcs or not, leave of the mass of
         each word (n = 1) or n-gram; heads[n]: sorted hashes of the n-grams.
         """
-        self.ids, self.heads, self.tokens, self.kinds = ids, heads, tokens, kinds
+        self.ids, self.heads, self.tokens, self.kinds, self.least = ids, heads, tokens, kinds, least
         self.floor = tokens + ADDED * (kinds + 1)
         self.word = np.log10((counts + ADDED) / self.floor) if len(counts) else np.empty(0)
         self.unseen = float(np.log10(ADDED / self.floor))
@@ -310,18 +338,35 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER, word_share
     tables, at = {}, {}
     tables[1], at[1] = stored(words.withColumn("s", F.log10("p") + F.log10("left")), "lm-grams1")
     forget(spark, counts_at)
+    column = lambda found, name: found.column(name).to_numpy()
+    found = tables[1].where(F.col("c") >= max(LEAST, word_share * tokens)).toArrow()
+    by = np.argsort(column(found, "h").view(U64))
+    ids = Ids(column(found, "h").view(U64))
+    word_n, lefts = column(found, "c")[by].astype(np.float64), {1: column(found, "left")[by]}
     heads_of = {}
     for n in range(2, order + 1):
         # words are looked up by their hashes, each join leaving out what is done with; keys of the hashed sides are unique
         shorter = tables[n - 1]
-        frequent = max(LEAST, head_share * tokens, word_share * tokens)
+        frequent = F.col("c") >= max(LEAST, head_share * tokens, word_share * tokens)
+        grams = kept[n]
+        if n == 2:  # most pairs are of words that every task can look up itself
+            grams = _beside_words(grams, ids, word_n, lefts[1])
+            near = F.col("c_a").isNotNull() & F.col("c_b").isNotNull()
+            done = grams.where(near).withColumn("p_b", (F.col("c_b") + F.lit(ADDED)) / F.lit(floor))
+            grams = grams.where(~near).select("h", "a", "b", "c")
         last = shorter.select(F.col("h").alias("b"), F.col("p").alias("p_b")).hint("shuffle_hash")
         history = shorter.select(F.col("h").alias("a"), F.col("c").alias("c_a"), F.col("left").alias("left_a")).hint("shuffle_hash")
-        table = kept[n].join(last, "b").select("h", "a", F.when(F.col("c") >= frequent, F.col("b")).alias("b"), "c", "p_b").join(history, "a")
+        table = grams.join(last, "b").select("h", "a", F.when(frequent, F.col("b")).alias("b"), "c", "p_b").join(history, "a")
+        if n == 2:
+            table = table.unionByName(done.select("h", "a", F.when(frequent, F.col("b")).alias("b"), "c", "p_b", "c_a", "left_a"))
         table = table.withColumn("p", (F.col("c") - F.lit(DISCOUNT)) / F.col("c_a") + F.col("left_a") * F.col("p_b"))
-        table = table.select("h", F.when(F.col("c") >= frequent, F.col("a")).alias("a"), "b", "c", "p", (F.log10("p") - F.log10("left_a") - F.log10("p_b")).alias("s"))
+        table = table.select("h", F.when(frequent, F.col("a")).alias("a"), "b", "c", "p", (F.log10("p") - F.log10("left_a") - F.log10("p_b")).alias("s"))
         table = with_left(table, n).withColumn("s", F.col("s") + F.log10("left"))
-        tables[n], at[n] = stored(table.select("h", "a", "b", "c", "left", "p", "s"), f"lm-grams{n}")
+        if n < order:
+            table = table.select("h", "a", "b", "c", "left", "p", "s")
+        else:  # texts ask for the hash and the score
+            table = table.select("h", "a", "b", *[F.when(frequent, F.col(c)).alias(c) for c in ("c", "left")], "s")
+        tables[n], at[n] = stored(table, f"lm-grams{n}")
         for path in dead[n]:
             forget(spark, path)
         heads_of[n] = tables[n].where(F.col("a").isNotNull()).select("h", "a", "b", "c", "left").toArrow()
@@ -331,15 +376,8 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER, word_share
             tables[n - 1], at[n - 1] = slim, path
         release(spark)
     if order > 1:
-        slim, path = stored(tables[order].select("h", "s"), f"lm-scores{order}")
-        forget(spark, at[order])
-        tables[order] = slim
+        tables[order] = tables[order].select("h", "s")
 
-    column = lambda found, name: found.column(name).to_numpy()
-    found = tables[1].where(F.col("c") >= max(LEAST, word_share * tokens)).toArrow()
-    by = np.argsort(column(found, "h").view(U64))
-    ids = Ids(column(found, "h").view(U64))
-    word_n, lefts = column(found, "c")[by].astype(np.float64), {1: column(found, "left")[by]}
     grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     heads: dict[int, np.ndarray] = {}
     shorter, last = ids, np.arange(len(word_n))  # numbers of the shorter n-grams by hash; their last words
@@ -358,18 +396,25 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER, word_share
         own[by] = np.arange(len(h))
         at = np.argsort(h)
         number, last = own[at], (codes & ((1 << 24) - 1))[at]
-    return tables, Automaton(ids, word_n, grams, lefts, heads, tokens, kinds)
+    return tables, Automaton(ids, word_n, grams, lefts, heads, tokens, kinds, max(LEAST, word_share * tokens))
+
+
+def _steps(row: np.ndarray) -> bytes:
+    """Ascending numbers as the steps between them, all low bytes before all high ones: shuffle files compress them."""
+    return np.diff(row, prepend=row.dtype.type(0)).view(np.uint8).reshape(-1, 2).T.tobytes()
 
 
 def _tails(texts: DataFrame, table: DataFrame, n: int, heads: np.ndarray, tokens: int) -> DataFrame:
-    """row, s: the sums over a text's n-grams that have no arc.  texts: row, text.
+    """row and, of each other column of ``table`` (h, numbers), the sum over a text's n-grams that have no arc.  texts: row, text.
 
-    Hashes are dealt out by their first bits; in a part, 48 bits tell them apart.
-    An n-gram that is so frequent that it would crowd a part has an arc.
+    Hashes are dealt out by their first bits; in a part, 48 bits tell them apart,
+    and all 64 those of single words.  An n-gram that is so frequent that it
+    would crowd a part has an arc.
     """
-    parts = _parts(tokens)
+    parts = _parts(tokens // 4 if n == 1 else tokens)  # rare words are few beside longer n-grams
     sent = texts.sparkSession.sparkContext.broadcast(heads)
-    low = U64((1 << 48) - 1)
+    size, sums_of = 8 if n == 1 else 6, [c for c in table.columns if c != "h"]
+    over, low = U64(64 - 8 * size), U64((1 << 8 * size) - 1)
     names = ["part", "block", "keys", "more"]
     schema = "part int, block long, keys binary, more binary"
 
@@ -385,23 +430,23 @@ def _tails(texts: DataFrame, table: DataFrame, n: int, heads: np.ndarray, tokens
                 for k in range(i, j, 1 << 16):
                     for piece in pieces(batch.slice(k, min(j - k, 1 << 16)), "text", BYTES):
                         h, first = token_hashes(piece.column(1))
-                        g, _, _, at = _grams(h, first, n)
+                        g, at = (h, np.arange(len(h))) if n == 1 else _grams(h, first, n)[::3]
                         row = np.repeat(np.arange(piece.num_rows), np.diff(first))[at]
                         out = known.of(g) < 0
                         g, row = g[out], row[out].astype("<u2")
                         part = _part(g, parts)
                         by = np.argsort(part, kind="stable")
-                        g, row = g[by].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6], row[by]
+                        g, row = g[by].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size], row[by]
                         block = piece.column(0)[0].as_py()
-                        yield batch_of([(p, block, g[x:y].tobytes(), row[x:y].tobytes()) for p, x, y in _dealt(part[by])])
+                        yield batch_of([(p, block, g[x:y].tobytes(), _steps(row[x:y])) for p, x, y in _dealt(part[by])])
         trim()
 
     def tell(batches):
         for batch in batches:
-            h, s = batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy()
-            by = np.argsort(h)
-            h, s = h[by], s[by]
-            yield batch_of([(p, None, (h[x:y] & low).tobytes(), s[x:y].tobytes()) for p, x, y in _dealt(_part(h, parts))])
+            h = batch.column(0).to_numpy().view(U64)
+            by = _order(h)
+            h, s = h[by], np.stack([x.to_numpy()[by] for x in batch.columns[1:]])
+            yield batch_of([(p, None, (h[x:y] & low).tobytes(), s[:, x:y].tobytes()) for p, x, y in _dealt(_part(h, parts))])
 
     def meet(batches):
         keys, values, asked = {}, {}, {}
@@ -409,24 +454,25 @@ def _tails(texts: DataFrame, table: DataFrame, n: int, heads: np.ndarray, tokens
             for p, block, k, more in zip(*(batch.column(x).to_pylist() for x in range(4))):
                 if block is None:
                     keys.setdefault(p, []).append(np.frombuffer(k, U64))
-                    values.setdefault(p, []).append(np.frombuffer(more, np.float64))
+                    values.setdefault(p, []).append(np.frombuffer(more, np.float64).reshape(len(sums_of), -1))
                 else:
                     asked.setdefault(p, []).append((block, k, more))
         for p, questions in asked.items():
             if p not in keys:
                 continue
-            key, value = np.concatenate(keys.pop(p)), np.concatenate(values.pop(p))
-            by = np.argsort(key)
-            value, known = value[by], Lookup(key[by] << U64(16))
+            key, value = np.concatenate(keys.pop(p)), np.concatenate(values.pop(p), axis=1)
+            by = _order(key)
+            value, known = value[:, by], Lookup(key[by] << over)
             rows = []
             for block, k, more in questions:
-                wide = np.zeros((len(more) // 2, 8), np.uint8)
-                wide[:, :6] = np.frombuffer(k, np.uint8).reshape(-1, 6)
-                at = known.of(wide.reshape(-1).view("<u8") << U64(16))
+                wide = np.zeros((len(k) // size, 8), np.uint8)
+                wide[:, :size] = np.frombuffer(k, np.uint8).reshape(-1, size)
+                at = known.of(wide.reshape(-1).view("<u8") << over)
                 hit = at >= 0
-                row, which = np.unique(np.frombuffer(more, "<u2")[hit], return_inverse=True)
+                row = np.cumsum(np.frombuffer(more, np.uint8).reshape(2, -1).T.reshape(-1).view("<u2"), dtype="<u2")[hit]
                 if len(row):
-                    rows.append((p, block, row.tobytes(), np.bincount(which, value[at[hit]], len(row)).tobytes()))
+                    new = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                    rows.append((p, block, row[new].tobytes(), np.add.reduceat(value[:, at[hit]], new, axis=1).tobytes()))
             if rows:
                 yield batch_of(rows)
         trim()
@@ -436,17 +482,17 @@ def _tails(texts: DataFrame, table: DataFrame, n: int, heads: np.ndarray, tokens
         for batch in batches:
             for block, k, more in zip(*(batch.column(x).to_pylist() for x in (1, 2, 3))):
                 row = np.frombuffer(k, "<u2")
-                have = sums.get(block, np.zeros(0))
-                if len(have) <= row[-1]:
-                    have = sums[block] = np.concatenate([have, np.zeros(int(row[-1]) + 1 - len(have))])
-                have[row] += np.frombuffer(more, np.float64)
+                have = sums.get(block, np.zeros((len(sums_of), 0)))
+                if have.shape[1] <= row[-1]:
+                    have = sums[block] = np.pad(have, ((0, 0), (0, int(row[-1]) + 1 - have.shape[1])))
+                have[:, row] += np.frombuffer(more, np.float64).reshape(len(sums_of), -1)
         for block, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array(block + np.arange(len(s))), pa.array(s)], names=["row", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(block + np.arange(s.shape[1])), *[pa.array(x) for x in s]], names=["row", *sums_of])
 
     asked = texts.select("row", "text").mapInArrow(ask, schema)
-    told = table.select("h", "s").mapInArrow(tell, schema)
+    told = table.select("h", *[F.col(c).cast("double") for c in sums_of]).mapInArrow(tell, schema)
     met = asked.unionByName(told).repartition(parts, "part").mapInArrow(meet, schema)
-    return met.repartition(parts, "block").mapInArrow(add, "row long, s double")
+    return met.repartition(max(1, parts // 8), "block").mapInArrow(add, ", ".join(["row long", *[f"{c} double" for c in sums_of]]))
 
 
 def score(docs: DataFrame, model: tuple[dict[int, DataFrame], Automaton], *, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -461,7 +507,7 @@ def score(docs: DataFrame, model: tuple[dict[int, DataFrame], Automaton], *, tex
     names = [c for c in (docs.columns if carry is None else carry) if c.lower() not in new and (c != text or carry is not None)]
     sent = spark.sparkContext.broadcast(machine)
     rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]).alias("carried") if names else F.struct(F.lit(0).alias("c0")).alias("carried"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    fields = T.StructType([rows.schema["carried"], T.StructField("row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("head_known", T.LongType()), T.StructField("head_base", T.DoubleType()), T.StructField("head_score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("text", T.StringType())])
+    fields = T.StructType([rows.schema["carried"], T.StructField("row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("head_known", T.LongType()), T.StructField("head_base", T.DoubleType()), T.StructField("head_score", T.DoubleType()), T.StructField("text", T.StringType())])
 
     def run(batches):
         m: Automaton = sent.value
@@ -473,34 +519,31 @@ def score(docs: DataFrame, model: tuple[dict[int, DataFrame], Automaton], *, tex
                 base = np.concatenate([[0.0], np.cumsum(np.where(rare, 0.0, m.word[w]))]) if len(m.word) else np.zeros(len(w) + 1)
                 known = np.concatenate([[0], np.cumsum(~rare)])
                 scores = traverse(m, w, first)
-                missing = np.concatenate([[0], np.cumsum(rare)])[first]
+                known = known[first[1:]] - known[first[:-1]]
+                unseen = m.unseen * (np.diff(first) - known)  # until the rare ones among them meet their counts
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(1), pa.array(np.diff(first)), pa.array(known[first[1:]] - known[first[:-1]]), pa.array(base[first[1:]] - base[first[:-1]]), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(missing.astype(np.int32)), pa.array(h[rare].view(np.int64))), piece.column(2)],
+                    [piece.column(0), piece.column(1), pa.array(np.diff(first)), pa.array(known), pa.array(base[first[1:]] - base[first[:-1]] + unseen), pa.array(scores + unseen, pa.float64()), piece.column(2)],
                     names=fields.names,
                 )
         trim()
 
     heads, _ = stored(rows.mapInArrow(run, fields), "lm-heads")
-    # rarer words meet their exact counts, and longer n-grams without an arc theirs; one number for each text comes back
-    counts = tables[1].select(F.col("h").alias("hash"), "c", "p", "s")
-    rare = heads.select("row", F.explode("rare").alias("hash")).join(counts, "hash", "left")
-    tail = rare.groupBy("row").agg(F.count("c").alias("tail_known"), F.sum(F.log10(F.coalesce("p", F.lit(ADDED / machine.floor)))).alias("tail"), F.sum(F.coalesce("s", F.log10(F.lit(ADDED / machine.floor)))).alias("tail1"))
+    # rarer words meet their exact counts, and longer n-grams without an arc theirs; a few numbers for each text come back
+    words = tables[1].where(F.col("c") < machine.least).select("h", F.lit(1).alias("tail_known"), (F.log10("p") - F.lit(machine.unseen)).alias("tail"), (F.col("s") - F.lit(machine.unseen)).alias("tail1"))
     asked = int(heads.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
-    longer = {}
-    for n in sorted(machine.heads):
-        longer[n] = stored(_tails(heads, tables[n], n, machine.heads[n], asked), f"lm-tails{n}")[0].withColumnRenamed("s", f"tail{n}")
+    out = heads.drop("text")
+    for n in range(1, max(machine.heads, default=1) + 1):
+        table, known = (words, machine.ids.hashes) if n == 1 else (tables[n].withColumnRenamed("s", f"tail{n}"), machine.heads[n])
+        out = out.join(stored(_tails(heads, table, n, known, asked), f"lm-tails{n}")[0], "row", "left")
         release(spark)
-    out = heads.drop("rare", "text").join(tail, "row", "left")
-    for sums in longer.values():
-        out = out.join(sums, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return out.select(
         *[F.col(f"carried.c{k}").alias(c) for k, c in enumerate(names)],
         "n_tokens",
-        (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
+        (F.col("head_known") + zero("tail_known").cast("long")).alias("n_known"),
         F.lit(machine.tokens).cast("long").alias("train_tokens"),
         (F.col("head_base") + zero("tail")).alias("base_score"),
-        sum((zero(f"tail{n}") for n in (1, *longer)), F.col("head_score")).alias("score"),
+        sum((zero(f"tail{n}") for n in (1, *machine.heads)), F.col("head_score")).alias("score"),
     )
 
 

@@ -126,3 +126,23 @@ def test_empty_tables(spark):
     got = lm.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model).first()
     assert (got.n_tokens, got.n_known, got.train_tokens) == (3, 0, 0) and np.isclose(got.base_score, 0)
     assert lm.score(none, model).count() == 0
+
+
+def test_order_is_that_of_the_hashes():
+    r = np.random.default_rng(0)
+    wide = r.integers(0, 1 << 64, 5000, np.uint64)
+    for h in (wide, wide >> np.uint64(40), wide & np.uint64(7), (wide & np.uint64(1)) << np.uint64(63) | wide & np.uint64(15), wide[:1], wide[:0]):
+        assert (h[lm._order(h)] == np.sort(h)).all() and len(np.unique(lm._order(h))) == len(h)
+
+
+def test_rare_words_do_not_leave_their_texts_one_by_one(spark):
+    """They are asked for in blocks, as longer n-grams are."""
+    train = [*corpus(6), *[f"x{i} x{i + 1}" for i in range(50)] * 2]
+    learn = spark.createDataFrame([(t,) for t in train], "text string").repartition(3)
+    texts = [*corpus(7, 5), "x1 x2 x3", "x1 never x1", None]
+    model = lm.train(learn, word_share=0.004)
+    out = lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, carry=["doc_id"])
+    assert 0 < len(model[1].ids.hashes) < 60 and "explode" not in out._jdf.queryExecution().toString()
+    want, _ = plain_scores(train, texts)
+    for g, w in zip(sorted(out.collect()), want):
+        assert tuple(g[1:4]) == w[:3] and math.isclose(g.base_score, w[3], rel_tol=1e-9) and math.isclose(g.score, w[4], rel_tol=1e-9)
