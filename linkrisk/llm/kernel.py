@@ -37,6 +37,29 @@ _LONG = 64
 _LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
+def _runs(kinds: np.ndarray) -> list[tuple[np.uint8, np.uint8, np.uint8]]:
+    """(kind, first byte, how many more) of each run of bytes of one kind that is not zero."""
+    edges = [0, *(np.flatnonzero(kinds[1:] != kinds[:-1]) + 1).tolist(), len(kinds)]
+    return [(np.uint8(kinds[i]), np.uint8(i), np.uint8(j - i - 1)) for i, j in zip(edges, edges[1:]) if kinds[i]]
+
+
+def mapped(raw: np.ndarray, mapping: np.ndarray) -> np.ndarray:
+    """``mapping[raw]``, one step for each run of bytes that are moved equally far."""
+    out = raw.copy()
+    for step, first, more in _runs(mapping - SAME):
+        out += (raw - first <= more).view(np.uint8) * step
+    return out
+
+
+def marked(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """``kind[data]`` of a mask of bytes, one step for each of its runs."""
+    yes, no = _runs(kind.view(np.uint8)), _runs((~kind).view(np.uint8))
+    out = np.zeros(len(data), bool)
+    for _, first, more in min(yes, no, key=len):
+        out |= data - first <= more
+    return out if len(yes) <= len(no) else ~out
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> U64(30))
@@ -47,6 +70,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: For each seed: what the hash of a span of 0, 1, ... bytes begins with.
+_BEGIN = {seed: mix(np.arange(_LONG + 1, dtype=U64) + U64(base)) for seed, base in _BASE.items()}
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as the empty string."""
     if isinstance(column, pa.ChunkedArray):
@@ -85,20 +112,17 @@ class Words:
 
     def __init__(self, column, word_bytes: np.ndarray, mapping: np.ndarray = SAME):
         raw, self.offsets = buffers(column)
-        self.data = raw if mapping is SAME else mapping[raw]
-        inside = word_bytes[self.data]
-        edge = np.zeros(len(inside) + 1, bool)
-        edge[self.offsets] = True  # a row's edge always parts words
-        before = np.empty(len(inside), bool)
-        if len(inside):
-            before[0] = False
-            before[1:] = inside[:-1]
-        self.start = np.flatnonzero(inside & (~before | edge[:-1]))
-        after = np.empty(len(inside), bool)
-        if len(inside):
-            after[-1] = False
-            after[:-1] = inside[1:]
-        self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+        self.data = raw if mapping is SAME else mapped(raw, mapping)
+        inside = marked(self.data, word_bytes)
+        n = len(inside)
+        bounds = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        bounds = np.concatenate([[0] if n and inside[0] else [], bounds, [n] if n and inside[-1] else []]).astype(np.int64)
+        self.start, self.end = bounds[::2].copy(), bounds[1::2].copy()
+        edge = np.unique(self.offsets[(self.offsets > 0) & (self.offsets < n)])  # a row's edge always parts words
+        edge = edge[inside[edge - 1] & inside[edge]]
+        if len(edge):
+            self.start = np.insert(self.start, np.searchsorted(self.start, edge), edge)
+            self.end = np.insert(self.end, np.searchsorted(self.end, edge), edge)
         self.first = np.searchsorted(self.start, self.offsets)
 
     def __len__(self) -> int:
@@ -143,12 +167,12 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     import xxhash
 
     length = end - start
-    out = mix(length.astype(U64) + U64(_BASE[seed]))
+    out = _BEGIN[seed].take(length, mode="clip")
     eights = _eights(data)
     long = length > _LONG
     at, done = np.flatnonzero(~long & (length > 0)), 0
     if length.all():  # the first step of all spans at a time
-        out = mix(out ^ (eights[start] & _LOW[np.minimum(length, 8)]))
+        out = mix(out ^ (eights[start] & _LOW.take(length, mode="clip")))
         at, done = at[length[at] > 8], 8
     while len(at):
         left = length[at] - done
@@ -308,13 +332,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` as a Parquet table in the shared folder, and its path."""
+def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder (written with the ``options``), and its path."""
     import uuid
 
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

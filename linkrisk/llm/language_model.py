@@ -38,19 +38,32 @@ DISCOUNT, ADDED = 0.75, 0.1
 FLUSH = 1 << 21
 #: Tokens whose longer n-grams meet in one partition (about); bytes of text whose n-grams leave a task together.
 PART, BYTES = 1 << 19, 4 << 20
+#: Bytes of text whose words are hashed together: what they need stays in the processor's cache.
+STEP = 1 << 19
+#: Parquet's switch of dictionaries, which hashes have no use for.
+PLAIN = "parquet.enable.dictionary"
 #: The hash of the end token (a fixed value).
 END = U64(0x0E0D0E0D0E0D0E0D)
 
 
 def token_hashes(column) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens (words, then one end for each text), and where each text begins."""
+    steps = [_step_hashes(x.column(0)) for x in pieces(pa.RecordBatch.from_arrays([column], names=["text"]), "text", STEP)]
+    if not steps:
+        return np.empty(0, U64), np.zeros(1, np.int64)
+    begins = np.cumsum([0, *[len(h) for h, _ in steps]])
+    return np.concatenate([h for h, _ in steps]), np.concatenate([*[first[:-1] + at for (_, first), at in zip(steps, begins)], begins[-1:]])
+
+
+def _step_hashes(column) -> tuple[np.ndarray, np.ndarray]:
     words = Words(column, NON_SPACE, LOWER)
     rows = len(column)
     out = np.empty(len(words) + rows, U64)
-    at = np.arange(len(words)) + words.row_of()
     first = np.append(words.first[:-1] + np.arange(rows), len(out))
-    out[at] = words.hashes()
-    out[first[1:] - 1] = END
+    word = np.ones(len(out), bool)
+    word[first[1:] - 1] = False
+    out[word] = words.hashes()
+    out[~word] = END
     return out, first
 
 
@@ -131,11 +144,14 @@ def _order(h: np.ndarray) -> np.ndarray:
     return by if (found[1:] >= found[:-1]).all() else np.argsort(h)  # some share all those first bits
 
 
-def _summed(h: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray):
+def _summed(h: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None):
+    """The distinct hashes in ascending order, with a, b and the sum of n (without n: how often each is there)."""
     by = _order(h)
     h = h[by]
     new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
-    return h[new], a[by[new]], b[by[new]], np.add.reduceat(n[by], new) if len(h) else n
+    c = np.diff(new, append=len(h)) if n is None else np.add.reduceat(n[by], new) if len(h) else n
+    own = by[new]
+    return h[new], a[own], b[own], c
 
 
 def gram_counts(train: DataFrame, n: int, least: float, tokens: int, turn: int = 0, turns: int = 1) -> DataFrame:
@@ -153,7 +169,7 @@ def gram_counts(train: DataFrame, n: int, least: float, tokens: int, turn: int =
                 if turns > 1:
                     own = h % U64(turns) == turn
                     h, a, b = h[own], a[own], b[own]
-                h, a, b, c = _summed(h, a, b, np.ones(len(h), np.int64))
+                h, a, b, c = _summed(h, a, b)
                 rows = [(k, np.concatenate([x[i:j].view(np.uint8) for x in (a, b)]).tobytes(), c[i:j].astype("<u4").tobytes()) for k, i, j in _dealt(_part(h, parts))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "grams", "n"])
         trim()
@@ -323,7 +339,7 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER, word_share
     kept, dead = {}, {n: [] for n in range(1, order + 1)}
     for n in range(2, order + 1):
         for turn in range(n - 1):
-            part, at = stored(gram_counts(rows, n, max(LEAST, share * tokens), tokens, turn, n - 1), f"lm-counts{n}")
+            part, at = stored(gram_counts(rows, n, max(LEAST, share * tokens), tokens, turn, n - 1), f"lm-counts{n}", {PLAIN: "false"})
             dead[n].append(at)
             kept[n] = kept[n].unionByName(part) if turn else part
             release(spark)
@@ -334,12 +350,12 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER, word_share
         mass = kept[n + 1].groupBy(F.col("a").alias("h")).agg(F.sum(F.col("c") - F.lit(DISCOUNT)).alias("mass"))
         return table.join(mass.hint("shuffle_hash"), "h", "left").withColumn("left", F.greatest(F.lit(1e-9), 1 - F.coalesce("mass", F.lit(0.0)) / F.col("c"))).drop("mass")
 
-    words = with_left(counts.withColumnRenamed("hash", "h"), 1).withColumn("p", (F.col("c") + F.lit(ADDED)) / F.lit(floor))
     tables, at = {}, {}
-    tables[1], at[1] = stored(words.withColumn("s", F.log10("p") + F.log10("left")), "lm-grams1")
+    words, at[1] = stored(with_left(counts.withColumnRenamed("hash", "h"), 1), "lm-grams1", {PLAIN: "false"})
+    tables[1] = words.withColumn("p", (F.col("c") + F.lit(ADDED)) / F.lit(floor)).withColumn("s", F.log10("p") + F.log10("left"))
     forget(spark, counts_at)
     column = lambda found, name: found.column(name).to_numpy()
-    found = tables[1].where(F.col("c") >= max(LEAST, word_share * tokens)).toArrow()
+    found = words.where(F.col("c") >= max(LEAST, word_share * tokens)).toArrow()
     by = np.argsort(column(found, "h").view(U64))
     ids = Ids(column(found, "h").view(U64))
     word_n, lefts = column(found, "c")[by].astype(np.float64), {1: column(found, "left")[by]}
@@ -366,12 +382,12 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER, word_share
             table = table.select("h", "a", "b", "c", "left", "p", "s")
         else:  # texts ask for the hash and the score
             table = table.select("h", "a", "b", *[F.when(frequent, F.col(c)).alias(c) for c in ("c", "left")], "s")
-        tables[n], at[n] = stored(table, f"lm-grams{n}")
+        tables[n], at[n] = stored(table, f"lm-grams{n}", {PLAIN: "false"})
         for path in dead[n]:
             forget(spark, path)
         heads_of[n] = tables[n].where(F.col("a").isNotNull()).select("h", "a", "b", "c", "left").toArrow()
         if n > 2:  # what a text asks for is the hash and the score; the rest was for the next order
-            slim, path = stored(tables[n - 1].select("h", "s"), f"lm-scores{n - 1}")
+            slim, path = stored(tables[n - 1].select("h", "s"), f"lm-scores{n - 1}", {PLAIN: "false"})
             forget(spark, at[n - 1])
             tables[n - 1], at[n - 1] = slim, path
         release(spark)
@@ -404,6 +420,19 @@ def _steps(row: np.ndarray) -> bytes:
     return np.diff(row, prepend=row.dtype.type(0)).view(np.uint8).reshape(-1, 2).T.tobytes()
 
 
+def _keys(h: np.ndarray, wide: bool) -> bytes:
+    """Hashes as bytes: their last four of each, then two more; ``wide``: all eight of each."""
+    return h.astype("<u8").tobytes() if wide else h.astype("<u4").tobytes() + (h >> U64(32)).astype("<u2").tobytes()
+
+
+def _read_keys(keys: bytes, wide: bool) -> np.ndarray:
+    """What _keys wrote, as the first bits of a hash."""
+    if wide:
+        return np.frombuffer(keys, "<u8")
+    n = len(keys) // 6
+    return np.frombuffer(keys, "<u4", n).astype(U64) << U64(16) | np.frombuffer(keys, "<u2", n, 4 * n).astype(U64) << U64(48)
+
+
 def _tails(texts: DataFrame, table: DataFrame, n: int, heads: np.ndarray, tokens: int) -> DataFrame:
     """row and, of each other column of ``table`` (h, numbers), the sum over a text's n-grams that have no arc.  texts: row, text.
 
@@ -413,8 +442,7 @@ def _tails(texts: DataFrame, table: DataFrame, n: int, heads: np.ndarray, tokens
     """
     parts = _parts(tokens // 4 if n == 1 else tokens)  # rare words are few beside longer n-grams
     sent = texts.sparkSession.sparkContext.broadcast(heads)
-    size, sums_of = 8 if n == 1 else 6, [c for c in table.columns if c != "h"]
-    over, low = U64(64 - 8 * size), U64((1 << 8 * size) - 1)
+    sums_of = [c for c in table.columns if c != "h"]
     names = ["part", "block", "keys", "more"]
     schema = "part int, block long, keys binary, more binary"
 
@@ -431,14 +459,14 @@ def _tails(texts: DataFrame, table: DataFrame, n: int, heads: np.ndarray, tokens
                     for piece in pieces(batch.slice(k, min(j - k, 1 << 16)), "text", BYTES):
                         h, first = token_hashes(piece.column(1))
                         g, at = (h, np.arange(len(h))) if n == 1 else _grams(h, first, n)[::3]
-                        row = np.repeat(np.arange(piece.num_rows), np.diff(first))[at]
-                        out = known.of(g) < 0
-                        g, row = g[out], row[out].astype("<u2")
+                        row = np.repeat(np.arange(piece.num_rows).astype("<u2"), np.diff(first))
+                        out = np.flatnonzero(known.of(g) < 0)
+                        g = g[out]
                         part = _part(g, parts)
                         by = np.argsort(part, kind="stable")
-                        g, row = g[by].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size], row[by]
+                        g, row = g[by], row[at[out[by]]]
                         block = piece.column(0)[0].as_py()
-                        yield batch_of([(p, block, g[x:y].tobytes(), _steps(row[x:y])) for p, x, y in _dealt(part[by])])
+                        yield batch_of([(p, block, _keys(g[x:y], n == 1), _steps(row[x:y])) for p, x, y in _dealt(part[by])])
         trim()
 
     def tell(batches):
@@ -446,14 +474,14 @@ def _tails(texts: DataFrame, table: DataFrame, n: int, heads: np.ndarray, tokens
             h = batch.column(0).to_numpy().view(U64)
             by = _order(h)
             h, s = h[by], np.stack([x.to_numpy()[by] for x in batch.columns[1:]])
-            yield batch_of([(p, None, (h[x:y] & low).tobytes(), s[:, x:y].tobytes()) for p, x, y in _dealt(_part(h, parts))])
+            yield batch_of([(p, None, _keys(h[x:y], n == 1), s[:, x:y].tobytes()) for p, x, y in _dealt(_part(h, parts))])
 
     def meet(batches):
         keys, values, asked = {}, {}, {}
         for batch in batches:
             for p, block, k, more in zip(*(batch.column(x).to_pylist() for x in range(4))):
                 if block is None:
-                    keys.setdefault(p, []).append(np.frombuffer(k, U64))
+                    keys.setdefault(p, []).append(_read_keys(k, n == 1))
                     values.setdefault(p, []).append(np.frombuffer(more, np.float64).reshape(len(sums_of), -1))
                 else:
                     asked.setdefault(p, []).append((block, k, more))
@@ -462,12 +490,10 @@ def _tails(texts: DataFrame, table: DataFrame, n: int, heads: np.ndarray, tokens
                 continue
             key, value = np.concatenate(keys.pop(p)), np.concatenate(values.pop(p), axis=1)
             by = _order(key)
-            value, known = value[:, by], Lookup(key[by] << over)
+            value, known = value[:, by], Lookup(key[by])
             rows = []
             for block, k, more in questions:
-                wide = np.zeros((len(k) // size, 8), np.uint8)
-                wide[:, :size] = np.frombuffer(k, np.uint8).reshape(-1, size)
-                at = known.of(wide.reshape(-1).view("<u8") << over)
+                at = known.of(_read_keys(k, n == 1))
                 hit = at >= 0
                 row = np.cumsum(np.frombuffer(more, np.uint8).reshape(2, -1).T.reshape(-1).view("<u2"), dtype="<u2")[hit]
                 if len(row):

@@ -6,6 +6,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 
 from linkrisk.llm import language_model as lm
 
@@ -146,3 +147,23 @@ def test_rare_words_do_not_leave_their_texts_one_by_one(spark):
     want, _ = plain_scores(train, texts)
     for g, w in zip(sorted(out.collect()), want):
         assert tuple(g[1:4]) == w[:3] and math.isclose(g.base_score, w[3], rel_tol=1e-9) and math.isclose(g.score, w[4], rel_tol=1e-9)
+
+
+def test_token_hashes_do_not_depend_on_steps(monkeypatch):
+    r = random.Random(3)
+    texts = ["".join(r.choice("aZ \t\x0e\x85é@[\x1f!") for _ in range(r.randint(0, 90))) for _ in range(200)] + [None, "", "x", "y" * 70, "z" * 9, "", None]
+    column = pa.array(texts)
+    h, first = lm.token_hashes(column)
+    kinds = {}
+    for i, text in enumerate(texts):
+        want = tokens(text)
+        own = h[first[i] : first[i + 1]].tolist()
+        assert len(own) == len(want) and all(kinds.setdefault(t, x) == x for t, x in zip(want, own))
+    assert len(set(kinds.values())) == len(kinds)
+    monkeypatch.setattr(lm, "STEP", 50)
+    for some in (column, column[3:150], column[:0], pa.array(["", None])):
+        h, first = lm.token_hashes(some)
+        monkeypatch.setattr(lm, "STEP", 1 << 19)
+        again = lm.token_hashes(some)
+        monkeypatch.setattr(lm, "STEP", 50)
+        assert (h == again[0]).all() and (first == again[1]).all()
