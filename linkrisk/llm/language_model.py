@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import LOWER, NON_SPACE, U64, Lookup, Words, cut, forget, mix, pieces, release, stored, trim
+from .kernel import LOWER, NON_SPACE, U64, Lookup, Words, buffers, cut, forget, mix, pieces, release, stored, trim
 
 #: Longest n-gram; share of the training tokens from which a word, or a longer n-gram, is part of the automaton.
 ORDER, WORD_SHARE, HEAD_SHARE = 3, 1e-6, 1e-5
@@ -36,7 +36,7 @@ LEAST = 2
 DISCOUNT, ADDED = 0.75, 0.1
 #: Tokens whose counts are put together before they leave a task.
 FLUSH = 1 << 21
-#: Tokens whose longer n-grams meet in one partition (about); bytes of text whose n-grams leave a task together.
+#: Tokens whose longer n-grams meet in one partition (about); bytes of tokens (four of each) whose n-grams leave a task together.
 PART, BYTES = 1 << 19, 4 << 20
 #: Bytes of text whose words are hashed together: what they need stays in the processor's cache.
 STEP = 1 << 19
@@ -99,6 +99,56 @@ class Ids(Lookup):
         self.hashes = self.keys
 
 
+#: Columns of a text's tokens: the bytes of the words' numbers, and the hashes of words that have none.
+CODED = ["low", "mid", "high", "rare"]
+CODED_TYPE = ", ".join(f"{c} binary" for c in CODED)
+
+
+class Coder:
+    """Tokens as numbers: 1, 2, ... for the words of ``ids`` by descending count, 0 for all others, whose hashes stand beside them."""
+
+    def __init__(self, ids: Ids, counts: np.ndarray):
+        by = np.argsort(-counts, kind="stable")
+        self.hash_of = np.append(U64(0), ids.hashes[by])
+        self.number_of = np.zeros(len(by) + 1, "<u4")  # that of id -1 is the last, 0
+        self.number_of[by] = np.arange(1, len(by) + 1)
+
+    def columns(self, h: np.ndarray, w: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+        """Tokens with hashes ``h`` and ids ``w`` as the columns of CODED, a row for each text."""
+        number = self.number_of[w]
+        planes = number.view(np.uint8).reshape(-1, 4).T
+        rare = number == 0
+        return [*[_binary(plane, first) for plane in planes[:3]], _binary(h[rare], 8 * np.append(0, np.cumsum(rare))[first])]
+
+
+def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _tokens(batch: pa.RecordBatch, hash_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, where each text begins, numbers) of the tokens in the columns of CODED."""
+    (low, first), (mid, _), (high, _), (rare, _) = (buffers(batch.column(batch.schema.get_field_index(c))) for c in CODED)
+    number = low | mid.astype("<u4") << 8 | high.astype("<u4") << 16
+    h = hash_of[number]
+    h[number == 0] = rare.view(U64)
+    return h, first, number
+
+
+def coded(texts: DataFrame, coder: Coder, ids: Ids) -> DataFrame:
+    """The tokens of the texts (column ``text``) in the columns of CODED."""
+    sent = texts.sparkSession.sparkContext.broadcast((coder, ids))
+
+    def code(batches):
+        coder, ids = sent.value
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                h, first = token_hashes(piece.column(0))
+                yield pa.RecordBatch.from_arrays(coder.columns(h, ids.of(h), first), names=CODED)
+        trim()
+
+    return texts.select("text").mapInArrow(code, CODED_TYPE)
+
+
 def _room(first: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(first[1:], np.diff(first)) - np.arange(n)
 
@@ -154,41 +204,151 @@ def _summed(h: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray | None =
     return h[new], a[own], b[own], c
 
 
-def gram_counts(train: DataFrame, n: int, least: float, tokens: int, turn: int = 0, turns: int = 1) -> DataFrame:
+#: Odd multipliers that stir numbers, and their inverses.
+_STIR = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
+_BACK = [pow(m, -1, 1 << 64) for m in reversed(_STIR)]
+
+
+def _stirred(x: np.ndarray, bits: int, by: list[int] = _STIR) -> np.ndarray:
+    """Numbers of so many bits, one to one as others that look random; with _BACK the way back."""
+    half, low = U64((bits + 1) // 2), U64((1 << bits) - 1)
+    for m in by:
+        x = (x ^ x >> half) * U64(m) & low
+    return x ^ x >> half
+
+
+def _inside(first: np.ndarray, size: int, n: int) -> np.ndarray:
+    """For each token but the last n-1: whether the n tokens from it on are of one text."""
+    inside = np.ones(size, bool)
+    for k in range(n - 1):
+        last = first[1:] - 1 - k
+        inside[last[last >= 0]] = False
+    return inside[: max(0, size - n + 1)]
+
+
+def _hash_at(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams from these places on."""
+    return h[at] if n == 1 else _joined(_hash_at(h, at, n - 1), _hash_at(h, at + 1, n - 1), n)
+
+
+def _least_of(part: int, parts: int, bits: int) -> int:
+    """The least number of so many bits that belongs to a part."""
+    return -(-(part << 16) // parts) << bits - 16
+
+
+def _size(x: np.ndarray) -> int:
+    """Bytes (1, 2, 4 or 8) that hold each of the numbers."""
+    top = int(x.max())
+    return next(k for k in (1, 2, 4, 8) if top < 1 << 8 * k)
+
+
+def gram_counts(tokens_of: DataFrame, coder: Coder, n: int, least: float, tokens: int, turn: int = 0, turns: int = 1) -> DataFrame:
     """h, a, b, c: the n-grams of at least ``least`` occurrences; a, b: hashes of their first and last n-1 words.
 
-    Of all n-grams, those whose hash leaves the remainder ``turn``: turns need less disk at a time.
+    Of all n-grams (tokens_of: as :func:`coded` gives them) those whose hash, or
+    code, leaves the remainder ``turn``: turns need less disk at a time.  Where
+    all words have numbers and these fit into 64 bits, the n-gram is counted as
+    its code: the numbers side by side, stirred.  Codes leave a task in ascending
+    order, as the steps between them.  All others are counted by hash.
     """
     parts = _parts(tokens // turns)
+    width = (len(coder.hash_of) - 1).bit_length()
+    bits = max(32, n * width)
+    sent = tokens_of.sparkSession.sparkContext.broadcast(coder.hash_of)
+
+    def codes(number, places):
+        """(part, kind, size, data) of the codes from these places on; kind: bytes of a step's low part, its high part and a count."""
+        code = np.zeros(len(places), U64)
+        for k in range(n):
+            code = code << U64(width) | number[places + k]
+        code = _stirred(code, bits)
+        if turns > 1:
+            code = code[code % U64(turns) == turn]
+        if not len(code):
+            return []
+        code.sort()
+        new = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        c, code = np.diff(new, append=len(code)), code[new]
+        runs = list(_dealt((code >> U64(bits - 16)) * U64(parts) >> U64(16)))
+        step = np.diff(code, prepend=U64(0))
+        begins = [i for _, i, _ in runs]
+        step[begins] = code[begins] - np.array([_least_of(p, parts, bits) for p, _, _ in runs], U64)
+        low = 2 if _size(step) <= 4 else 4
+        high = step >> U64(8 * low)
+        sizes = low, _size(high), _size(c)
+        planes = [x.astype(f"<u{k}") for x, k in zip((step, high, c), sizes)]
+        kind = sizes[0] << 8 | sizes[1] << 4 | sizes[2]
+        return [(p, kind, j - i, b"".join([x[i:j].tobytes() for x in planes])) for p, i, j in runs]
+
+    def hashes(h, places):
+        a, b = _hash_at(h, places, n - 1), _hash_at(h, places + 1, n - 1)
+        h = _joined(a, b, n)
+        if turns > 1:
+            own = h % U64(turns) == turn
+            h, a, b = h[own], a[own], b[own]
+        h, a, b, c = _summed(h, a, b)
+        return [(p, 0, j - i, b"".join([a[i:j].tobytes(), b[i:j].tobytes(), c[i:j].astype("<u4").tobytes()])) for p, i, j in _dealt(_part(h, parts))]
 
     def count(batches):
+        hash_of = sent.value
         for batch in batches:
-            for piece in pieces(batch, "text", BYTES):
-                h, first = token_hashes(piece.column(0))
-                h, a, b, _ = _grams(h, first, n)
-                if turns > 1:
-                    own = h % U64(turns) == turn
-                    h, a, b = h[own], a[own], b[own]
-                h, a, b, c = _summed(h, a, b)
-                rows = [(k, np.concatenate([x[i:j].view(np.uint8) for x in (a, b)]).tobytes(), c[i:j].astype("<u4").tobytes()) for k, i, j in _dealt(_part(h, parts))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "grams", "n"])
+            for piece in pieces(batch, "low", max(1, BYTES // 4)):
+                h, first, number = _tokens(piece, hash_of)
+                inside = _inside(first, len(h), n)
+                known = inside.copy() if n * width <= 64 else np.zeros(len(inside), bool)
+                for k in range(n):
+                    known &= number[k : k + len(inside)] > 0
+                rows = [*codes(number, np.flatnonzero(known)), *hashes(h, np.flatnonzero(inside & ~known))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["part", "kind", "size", "grams"])
         trim()
 
     def add(batches):
-        held = [[], [], []]
+        hashed, coded = [], {}
         for batch in batches:
-            for g, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                for to, x in zip(held, [*np.frombuffer(g, U64).reshape(2, -1), np.frombuffer(c, "<u4").astype(np.int64)]):
-                    to.append(x)
-        if held[0]:
-            a, b, c = [np.concatenate(x) for x in held]
-            held.clear()
-            h, a, b, c = _summed(_joined(a, b, n), a, b, c)
+            for p, kind, size, g in zip(*(x.to_pylist() for x in batch.columns)):
+                if kind:
+                    low, high, c = kind >> 8, kind >> 4 & 15, kind & 15
+                    coded.setdefault(kind, []).append((p, size, np.frombuffer(g, f"<u{low}", size), np.frombuffer(g, f"<u{high}", size, low * size), np.frombuffer(g, f"<u{c}", size, (low + high) * size)))
+                else:
+                    hashed.append((np.frombuffer(g, U64, size), np.frombuffer(g, U64, size, 8 * size), np.frombuffer(g, "<u4", size, 16 * size)))
+        if hashed:
+            a, b, c = [np.concatenate(x) for x in zip(*hashed)]
+            hashed.clear()
+            h, a, b, c = _summed(_joined(a, b, n), a, b, c.astype(np.int64))
             keep = c >= least
-            yield pa.RecordBatch.from_arrays([*[pa.array(x[keep].view(np.int64)) for x in (h, a, b)], pa.array(c[keep])], names=["h", "a", "b", "c"])
+            yield batch_of(h[keep], a[keep], b[keep], c[keep])
+        if coded:
+            code, c = [np.concatenate(x) for x in zip(*[read(kind, runs) for kind, runs in coded.items()])]
+            coded.clear()
+            by = _order(code)
+            code = code[by]
+            new = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            c = np.add.reduceat(c[by], new)
+            keep = c >= least
+            code, c = _stirred(code[new[keep]], bits, _BACK), c[keep]
+            number = [(code >> U64(width * k) & U64((1 << width) - 1)).astype(np.int64) for k in reversed(range(n))]
+            words = [sent.value[x] for x in number]
+            a, b = gram(words[:-1]), gram(words[1:])
+            yield batch_of(_joined(a, b, n), a, b, c)
         trim()
 
-    return train.mapInArrow(count, "part int, grams binary, n binary").repartition(parts, "part").mapInArrow(add, "h long, a long, b long, c long")
+    def gram(words):
+        """Hashes of the n-grams with these first, second, ... words."""
+        return words[0] if len(words) == 1 else _joined(gram(words[:-1]), gram(words[1:]), len(words))
+
+    def read(kind, runs):
+        p, size, low, high, c = zip(*runs)
+        step = np.concatenate(low).astype(U64) | np.concatenate(high).astype(U64) << U64(8 * (kind >> 8))
+        size = np.array(size)
+        begin = np.cumsum(size) - size
+        code = np.cumsum(step)
+        code += np.repeat(np.array([_least_of(x, parts, bits) for x in p], U64) - (code[begin] - step[begin]), size)
+        return code, np.concatenate(c).astype(np.int64)
+
+    def batch_of(h, a, b, c):
+        return pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in (h, a, b)], pa.array(c)], names=["h", "a", "b", "c"])
+
+    return tokens_of.mapInArrow(count, "part int, kind int, size int, grams binary").repartition(parts, "part").mapInArrow(add, "h long, a long, b long, c long")
 
 
 def _beside_words(grams: DataFrame, ids: Ids, counts: np.ndarray, lefts: np.ndarray) -> DataFrame:
@@ -216,6 +376,7 @@ class Automaton:
         each word (n = 1) or n-gram; heads[n]: sorted hashes of the n-grams.
         """
         self.ids, self.heads, self.tokens, self.kinds, self.least = ids, heads, tokens, kinds, least
+        self.coder = Coder(ids, counts)
         self.floor = tokens + ADDED * (kinds + 1)
         self.word = np.log10((counts + ADDED) / self.floor) if len(counts) else np.empty(0)
         self.unseen = float(np.log10(ADDED / self.floor))
@@ -328,7 +489,7 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER, word_share
     more; ``share`` drops those below a share of the tokens as well (none by
     default).
     """
-    if 1 / word_share > 1 << 24:
+    if 1 / word_share > (1 << 24) - 1:
         raise ValueError("word_share is too small for the numbers of words")
     rows = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
@@ -336,13 +497,21 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER, word_share
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, kinds = int(total["n"]), int(total["v"])
     floor = tokens + ADDED * (kinds + 1)
+    column = lambda found, name: found.column(name).to_numpy()
+    of_machine = F.col("c") >= max(LEAST, word_share * tokens)
+    found = counts.where(of_machine).toArrow()
+    ids = Ids(column(found, "hash").view(U64))
+    coder = Coder(ids, column(found, "c")[np.argsort(column(found, "hash").view(U64))])
+    # n-grams are counted over the words' numbers: texts are read and hashed once for all of them
+    tokens_of, tokens_at = stored(coded(rows, coder, ids), "lm-tokens", {PLAIN: "false"})
     kept, dead = {}, {n: [] for n in range(1, order + 1)}
     for n in range(2, order + 1):
         for turn in range(n - 1):
-            part, at = stored(gram_counts(rows, n, max(LEAST, share * tokens), tokens, turn, n - 1), f"lm-counts{n}", {PLAIN: "false"})
+            part, at = stored(gram_counts(tokens_of, coder, n, max(LEAST, share * tokens), tokens, turn, n - 1), f"lm-counts{n}", {PLAIN: "false"})
             dead[n].append(at)
             kept[n] = kept[n].unionByName(part) if turn else part
             release(spark)
+    forget(spark, tokens_at)
 
     def with_left(table: DataFrame, n: int) -> DataFrame:
         if n + 1 not in kept:
@@ -354,10 +523,8 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER, word_share
     words, at[1] = stored(with_left(counts.withColumnRenamed("hash", "h"), 1), "lm-grams1", {PLAIN: "false"})
     tables[1] = words.withColumn("p", (F.col("c") + F.lit(ADDED)) / F.lit(floor)).withColumn("s", F.log10("p") + F.log10("left"))
     forget(spark, counts_at)
-    column = lambda found, name: found.column(name).to_numpy()
-    found = words.where(F.col("c") >= max(LEAST, word_share * tokens)).toArrow()
+    found = words.where(of_machine).toArrow()
     by = np.argsort(column(found, "h").view(U64))
-    ids = Ids(column(found, "h").view(U64))
     word_n, lefts = column(found, "c")[by].astype(np.float64), {1: column(found, "left")[by]}
     heads_of = {}
     for n in range(2, order + 1):
@@ -433,15 +600,15 @@ def _read_keys(keys: bytes, wide: bool) -> np.ndarray:
     return np.frombuffer(keys, "<u4", n).astype(U64) << U64(16) | np.frombuffer(keys, "<u2", n, 4 * n).astype(U64) << U64(48)
 
 
-def _tails(texts: DataFrame, table: DataFrame, n: int, heads: np.ndarray, tokens: int) -> DataFrame:
-    """row and, of each other column of ``table`` (h, numbers), the sum over a text's n-grams that have no arc.  texts: row, text.
+def _tails(texts: DataFrame, table: DataFrame, n: int, machine: Automaton, tokens: int) -> DataFrame:
+    """row and, of each other column of ``table`` (h, numbers), the sum over a text's n-grams that have no arc.  texts: row, tokens (CODED).
 
     Hashes are dealt out by their first bits; in a part, 48 bits tell them apart,
     and all 64 those of single words.  An n-gram that is so frequent that it
     would crowd a part has an arc.
     """
     parts = _parts(tokens // 4 if n == 1 else tokens)  # rare words are few beside longer n-grams
-    sent = texts.sparkSession.sparkContext.broadcast(heads)
+    sent = texts.sparkSession.sparkContext.broadcast((machine.heads.get(n), machine.coder.hash_of))
     sums_of = [c for c in table.columns if c != "h"]
     names = ["part", "block", "keys", "more"]
     schema = "part int, block long, keys binary, more binary"
@@ -450,17 +617,18 @@ def _tails(texts: DataFrame, table: DataFrame, n: int, heads: np.ndarray, tokens
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=names)
 
     def ask(batches):
-        known = Ids(sent.value)
+        heads, hash_of = sent.value
+        known = None if n == 1 else Ids(heads)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             edges = [0, *(np.flatnonzero(np.diff(ids) != 1) + 1).tolist(), len(ids)]
             for i, j in zip(edges, edges[1:]):  # runs of following row numbers: a block is named by its first
                 for k in range(i, j, 1 << 16):
-                    for piece in pieces(batch.slice(k, min(j - k, 1 << 16)), "text", BYTES):
-                        h, first = token_hashes(piece.column(1))
+                    for piece in pieces(batch.slice(k, min(j - k, 1 << 16)), "low", max(1, BYTES // 4)):
+                        h, first, number = _tokens(piece, hash_of)
                         g, at = (h, np.arange(len(h))) if n == 1 else _grams(h, first, n)[::3]
                         row = np.repeat(np.arange(piece.num_rows).astype("<u2"), np.diff(first))
-                        out = np.flatnonzero(known.of(g) < 0)
+                        out = np.flatnonzero(number == 0 if n == 1 else known.of(g) < 0)
                         g = g[out]
                         part = _part(g, parts)
                         by = np.argsort(part, kind="stable")
@@ -515,7 +683,7 @@ def _tails(texts: DataFrame, table: DataFrame, n: int, heads: np.ndarray, tokens
         for block, s in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array(block + np.arange(s.shape[1])), *[pa.array(x) for x in s]], names=["row", *sums_of])
 
-    asked = texts.select("row", "text").mapInArrow(ask, schema)
+    asked = texts.select("row", *CODED).mapInArrow(ask, schema)
     told = table.select("h", *[F.col(c).cast("double") for c in sums_of]).mapInArrow(tell, schema)
     met = asked.unionByName(told).repartition(parts, "part").mapInArrow(meet, schema)
     return met.repartition(max(1, parts // 8), "block").mapInArrow(add, ", ".join(["row long", *[f"{c} double" for c in sums_of]]))
@@ -533,7 +701,7 @@ def score(docs: DataFrame, model: tuple[dict[int, DataFrame], Automaton], *, tex
     names = [c for c in (docs.columns if carry is None else carry) if c.lower() not in new and (c != text or carry is not None)]
     sent = spark.sparkContext.broadcast(machine)
     rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]).alias("carried") if names else F.struct(F.lit(0).alias("c0")).alias("carried"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    fields = T.StructType([rows.schema["carried"], T.StructField("row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("head_known", T.LongType()), T.StructField("head_base", T.DoubleType()), T.StructField("head_score", T.DoubleType()), T.StructField("text", T.StringType())])
+    fields = T.StructType([rows.schema["carried"], T.StructField("row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("head_known", T.LongType()), T.StructField("head_base", T.DoubleType()), T.StructField("head_score", T.DoubleType()), *[T.StructField(c, T.BinaryType()) for c in CODED]])
 
     def run(batches):
         m: Automaton = sent.value
@@ -548,19 +716,19 @@ def score(docs: DataFrame, model: tuple[dict[int, DataFrame], Automaton], *, tex
                 known = known[first[1:]] - known[first[:-1]]
                 unseen = m.unseen * (np.diff(first) - known)  # until the rare ones among them meet their counts
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(1), pa.array(np.diff(first)), pa.array(known), pa.array(base[first[1:]] - base[first[:-1]] + unseen), pa.array(scores + unseen, pa.float64()), piece.column(2)],
+                    [piece.column(0), piece.column(1), pa.array(np.diff(first)), pa.array(known), pa.array(base[first[1:]] - base[first[:-1]] + unseen), pa.array(scores + unseen, pa.float64()), *m.coder.columns(h, w, first)],
                     names=fields.names,
                 )
         trim()
 
-    heads, _ = stored(rows.mapInArrow(run, fields), "lm-heads")
+    heads, _ = stored(rows.mapInArrow(run, fields), "lm-heads", {PLAIN: "false"})
     # rarer words meet their exact counts, and longer n-grams without an arc theirs; a few numbers for each text come back
     words = tables[1].where(F.col("c") < machine.least).select("h", F.lit(1).alias("tail_known"), (F.log10("p") - F.lit(machine.unseen)).alias("tail"), (F.col("s") - F.lit(machine.unseen)).alias("tail1"))
     asked = int(heads.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
-    out = heads.drop("text")
+    out = heads.drop(*CODED)
     for n in range(1, max(machine.heads, default=1) + 1):
-        table, known = (words, machine.ids.hashes) if n == 1 else (tables[n].withColumnRenamed("s", f"tail{n}"), machine.heads[n])
-        out = out.join(stored(_tails(heads, table, n, known, asked), f"lm-tails{n}")[0], "row", "left")
+        table = words if n == 1 else tables[n].withColumnRenamed("s", f"tail{n}")
+        out = out.join(stored(_tails(heads, table, n, machine, asked), f"lm-tails{n}")[0], "row", "left")
         release(spark)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return out.select(

@@ -167,3 +167,62 @@ def test_token_hashes_do_not_depend_on_steps(monkeypatch):
         again = lm.token_hashes(some)
         monkeypatch.setattr(lm, "STEP", 50)
         assert (h == again[0]).all() and (first == again[1]).all()
+
+
+def test_texts_are_hashed_once_for_all_ngrams(spark, monkeypatch):
+    """They are read for the words' counts and once more; longer n-grams are counted and asked for over numbers of words."""
+    plans, stored = [], lm.stored
+
+    def seen(df, name, *rest):
+        plans.append((name.rstrip("23"), "text" in df._jdf.queryExecution().analyzed().toString()))
+        return stored(df, name, *rest)
+
+    monkeypatch.setattr(lm, "stored", seen)
+    docs = spark.createDataFrame(list(enumerate(corpus(8))), "doc_id long, text string")
+    lm.score(docs, lm.train(docs), carry=["doc_id"])
+    assert {name for name, text in plans if text} == {"lm-counts1", "lm-tokens", "lm-heads"}
+    assert {"lm-counts", "lm-tails"} <= {name for name, text in plans if not text}
+
+
+def test_tokens_come_back_from_their_numbers():
+    texts = pa.array(["b a a", "", None, "c a x", "x", "a b zz"])
+    h, first = lm.token_hashes(texts)
+    hashes, counts = np.unique(h, return_counts=True)
+    for least in (1, 2, 4, 100):
+        ids = lm.Ids(hashes[counts >= least])
+        coder = lm.Coder(ids, counts[counts >= least])
+        batch = pa.RecordBatch.from_arrays(coder.columns(h, ids.of(h), first), names=lm.CODED)
+        for i, j in ((0, 6), (3, 2), (1, 2), (6, 0)):
+            own, begins, number = lm._tokens(batch.slice(i, j), coder.hash_of)
+            assert (own == h[first[i] : first[i + j]]).all() and (begins == first[i : i + j + 1] - first[i]).all()
+            assert ((number == 0) == (ids.of(own) < 0)).all()
+
+
+def test_codes_are_one_to_one():
+    r = np.random.default_rng(1)
+    for bits in (32, 33, 51, 64):
+        x = np.unique(r.integers(0, 1 << bits, 3000, np.uint64))
+        y = lm._stirred(x, bits)
+        assert len(np.unique(y)) == len(x) and int(y.max()).bit_length() <= bits and (lm._stirred(y, bits, lm._BACK) == x).all()
+        for parts in (1, 7, 5000):
+            part = (y >> np.uint64(bits - 16)) * np.uint64(parts) >> np.uint64(16)
+            assert all(lm._least_of(int(p), parts, bits) <= int(v) for p, v in zip(part[:200], y[:200]))
+
+
+def test_ngrams_are_counted_alike_by_code_and_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BYTES", 2000)
+    monkeypatch.setattr(lm, "PART", 300)
+    train = [*corpus(9), None, "", "w1 w2", "w1", *["same words again and again " * 9] * 40]
+    docs = spark.createDataFrame([(t,) for t in train], "text string").repartition(3).selectExpr("coalesce(text, '') AS text")
+    h, first = lm.token_hashes(pa.array(train))
+    hashes, counts = np.unique(h, return_counts=True)
+    for n in (2, 3, 4):
+        want = Counter(lm._grams(h, first, n)[0].tolist())
+        for least in (1, 60, 10**6):  # all words have numbers, some, none
+            ids = lm.Ids(hashes[counts >= least])
+            coder = lm.Coder(ids, counts[counts >= least])
+            tokens_of = lm.coded(docs, coder, ids).cache()
+            got = [r for turn in range(2) for r in lm.gram_counts(tokens_of, coder, n, 2, len(h), turn, 2).collect()]
+            assert {r.h % (1 << 64): r.c for r in got} == {g: c for g, c in want.items() if c > 1} and len({r.h for r in got}) == len(got)
+            parts = {(g, a, b) for g, a, b in zip(*[x.tolist() for x in lm._grams(h, first, n)[:3]])}
+            assert all((r.h % (1 << 64), r.a % (1 << 64), r.b % (1 << 64)) in parts for r in got)
