@@ -12,6 +12,9 @@ discounting leaves for it.  One traversal from left to right carries the state
 and adds up log-probabilities; as a state is at most order - 1 words long, all
 places of a batch take the same step of it at a time.
 
+Texts are stored once as numbers of words (see :class:`Coder`), from which longer
+n-grams are counted and asked for.
+
 A text's score is a sum over its n-grams: each kept n-gram changes the
 log-probability of its last word by a fixed amount, and that of the next word by
 the mass it leaves.  So what the automaton does not hold is looked up by hash in
